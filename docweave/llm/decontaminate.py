@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.common import spans_of_rows, stored, utf8
+from docweave.llm.common import free_name, spans_of_rows, stored, utf8
 from docweave.llm.words import ALNUM, word_hashes
 
 #: Text bytes of one segment, unless one text is longer.
@@ -257,3 +257,11 @@ def _joined(index: DataFrame, parts: list[DataFrame]) -> DataFrame:
     none = F.array().cast("array<struct<first:bigint,end:bigint>>")
     both = stored(both.withColumn("hits", F.aggregate("hits", none, over)), "matches")
     return index.select(F.explode("segment_docs").alias("d")).select("d.*").join(both, ["tkey", "n_words"], "left").select("doc_id", "tkey", "n_words", F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce("hits", none).alias("hits"))
+
+
+def without(docs: DataFrame, found: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The rows of docs whose id and text are not in found (rows of contamination's result)."""
+    key, own_id, own_key = (free_name(docs, x) for x in ("tkey", "gone_id", "gone_key"))
+    gone = stored(found.select(F.col("doc_id").alias(own_id), F.col("tkey").alias(own_key)).distinct(), "gone")
+    same = (F.col(key) == F.col(own_key)) & F.col(f"`{doc_id}`").eqNullSafe(F.col(own_id))
+    return docs.withColumn(key, F.xxhash64(text)).join(gone, same, "left_anti").select(docs.columns)

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docweave.llm.common import free_name, stored, words_counted
+from docweave.llm.common import stored, words_counted
 
 HASH_BITS, LEVEL_BITS = 60, 10
 
@@ -51,10 +51,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, te
     copies says how often the mix takes the row, `most` times at most. Rows that agree in id and text have the same
     hash and are taken alike. A source without words has target 0. Other columns are not looked at.
     """
-    return decided(stored(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), words_counted(F.col(text)).alias("size"), document_hash(F.col(doc_id), F.col(text)).alias("h")), "sizes"), weights, most)
+    sizes = stored(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), words_counted(F.col(text)).alias("size"), document_hash(F.col(doc_id), F.col(text)).alias("h")), "sizes")
+    goal, copies = _thresholds(sizes, weights, most)
+    return sizes.alias("a").join(goal.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source"))).select("doc_id", "a.source", "size", "source_size", "target", copies(F.col("h")).alias("copies"), "h")
 
 
-def decided(sizes: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
+def _thresholds(sizes: DataFrame, weights: tuple[int, ...], most: int):
+    """A written table of source, source_size, target and its thresholds, and the copies of a hash by a row of it."""
     passes = F.coalesce(F.floor(F.col("target") / F.when(F.col("source_size") > 0, F.col("source_size"))), F.lit(0))
     goal = stored(targets(sizes, weights, most).withColumn("passes", passes).withColumn("need", F.col("target") - F.col("passes") * F.col("source_size")), "targets")
     cut = goal.select("source", "need", F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("below"), F.lit(0).cast("long").alias("inside"))
@@ -69,17 +72,20 @@ def decided(sizes: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
             break
     cut = cut.select("source", "prefix", (F.col("below") + F.col("inside") - F.col("need") < F.col("need") - F.col("below")).alias("also"))
     goal = stored(goal.alias("a").join(cut.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")), "left").select("a.source", "source_size", "target", "passes", "prefix", "also"), "goal")
-    own = F.shiftright("h", HASH_BITS - bits)
-    extra = F.when((own < F.col("prefix")) | ((own == F.col("prefix")) & F.col("also")), 1).otherwise(0)
-    return sizes.alias("a").join(goal.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source"))).select("doc_id", "a.source", "size", "source_size", "target", F.least(F.col("passes") + extra, F.lit(most)).cast("int").alias("copies"), "h")
-
-
-def mixed(docs: DataFrame, **options) -> DataFrame:
-    """docs with each row as often as the mix takes it."""
-    text, doc_id, source = (options.get(k, k) for k in ("text", "doc_id", "source"))
-    chosen = mix(docs, **options).select("source", "h", "copies").where("copies > 0").dropDuplicates(["source", "h"])
-    h, left = free_name(docs, "h"), stored(chosen.withColumnsRenamed({"source": "__s", "h": "__hash", "copies": "__copies"}), "chosen")
-    keyed = docs.withColumn(h, document_hash(F.col(doc_id), F.col(text)))
-    out = keyed.alias("d").join(left.alias("c"), (F.col(f"d.{h}") == F.col("c.__hash")) & F.col(f"d.`{source}`").eqNullSafe(F.col("c.__s")))
-    times = F.explode(F.sequence(F.lit(1), F.col("c.__copies")))
-    return out.select(*[F.col(f"d.`{c}`") for c in docs.columns], times.alias("__time")).drop("__time")
+
+    def copies(h: Column) -> Column:
+        own = F.shiftright(h, HASH_BITS - bits)
+        extra = F.when((own < F.col("prefix")) | ((own == F.col("prefix")) & F.col("also")), 1).otherwise(0)
+        return F.least(F.col("passes") + extra, F.lit(most)).cast("int")
+
+    return goal, copies
+
+
+def mixed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, text: str = "text", doc_id: str = "doc_id", source: str = "source") -> DataFrame:
+    """docs with each row as often as the mix takes it. Rows meet only the table of thresholds, a row for each source."""
+    h = document_hash(F.col(doc_id), F.col(text))
+    goal, copies = _thresholds(stored(docs.select(F.col(source).alias("source"), words_counted(F.col(text)).alias("size"), h.alias("h")), "sizes"), weights, most)
+    own = goal.select(F.col("source").alias("__source"), "passes", "prefix", "also")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(source).alias("__own"), h.alias("__h"))
+    taken = rows.join(own, F.col("__own").eqNullSafe(F.col("__source"))).withColumn("copies", copies(F.col("__h"))).where("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("time")).select("row.*")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.common import spans_of_rows, stored, utf8
+from docweave.llm.common import free_name, spans_of_rows, stored, utf8
 from docweave.llm.components import connected_components
 from docweave.llm.words import SPACED, mix, word_hashes
 
@@ -123,7 +123,8 @@ def near_duplicates(
     a: tuple[int, int] = (10, 2),
     b: tuple[int, int] = (7, 1),
 ) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept and node (the id of the shingle set) for every row of docs.
+    """doc_id, n_shingles, component_id, kept, component (an id that holds for null ids too, null without words) and
+    tkey (xxhash64 of the text) for every row of docs.
 
     Two rows are linked if 100 * intersection >= percent * union of their sets of `words`-word shingles (A-Z
     lower-cased, words parted by ASCII white space). component_id is the smallest id reachable; kept says
@@ -136,14 +137,20 @@ def near_duplicates(
     nodes = stored(signed.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.min(F.struct("tkey", "tlen", "n", "a", "b")).alias("s")).select("node", "doc_id", "copies", "s.*"), "nodes")
     edges = _links(docs, text, nodes, words, percent)
     roots = stored(connected_components(edges), "roots")
-    least = nodes.select("node", "doc_id", "copies").join(roots, "node", "left").select("node", "doc_id", "copies", F.coalesce("root", "node").alias("root"))
     by_root = roots.join(nodes.select("node", "doc_id"), "node").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    members = roots.join(by_root, "root").select("node", "component_id")
-    alone = least.where("copies > 1").select("node", F.col("doc_id").alias("component_id")).join(roots, "node", "left_anti")
+    members = roots.join(by_root, "root").select("node", "root", "component_id")
+    alone = nodes.where("copies > 1").select("node", F.col("node").alias("root"), F.col("doc_id").alias("component_id")).join(roots, "node", "left_anti")
     known = stored(members.unionByName(alone), "components")
-    out = signed.select("doc_id", "n", "node").join(known, "node", "left")
+    out = signed.select("doc_id", "n", "node", "tkey").join(known, "node", "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), F.when(F.col("n") > 0, F.col("node")).alias("node"))
+    return out.select(
+        "doc_id",
+        F.col("n").alias("n_shingles"),
+        component.alias("component_id"),
+        F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"),
+        F.when(F.col("n") > 0, F.coalesce("root", "node")).alias("component"),
+        "tkey",
+    )
 
 
 def _links(docs: DataFrame, text: str, nodes: DataFrame, words: int, percent: int) -> DataFrame:
@@ -226,3 +233,21 @@ def linked(values: np.ndarray, n: np.ndarray, root: list, percent: int) -> list[
                 edges.append((i, int(j)))
                 part[part == part[j]] = part[i]
     return edges
+
+
+def representatives(docs: DataFrame, found: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The rows of docs that stay if each component of found (near_duplicates' result, written) keeps one: that of the
+    smallest id, nulls last, then of the smallest text hash. Of rows that agree in both one stays. Rows without words all stay."""
+    full = found.where("n_shingles > 0")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tkey")
+    best = stored(full.groupBy("component").agg(F.count("*").alias("rows"), F.min(place).alias("best")).where("rows > 1"), "best")
+    grouped = full.join(best, "component").select("doc_id", "tkey", (place == F.col("best")).alias("stays"))
+    gone = stored(grouped.where(~F.col("stays")).select("doc_id", "tkey").distinct(), "gone")
+    twice = stored(grouped.where("stays").groupBy("doc_id", "tkey").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id", "tkey"), "twice")
+    key, own_id, own_key = (free_name(docs, x) for x in ("tkey", "gone_id", "gone_key"))
+    keyed = docs.withColumn(key, F.xxhash64(text))
+    pick = lambda a, b, how: a.join(b.withColumnsRenamed({"doc_id": own_id, "tkey": own_key}), (F.col(key) == F.col(own_key)) & F.col(f"`{doc_id}`").eqNullSafe(F.col(own_id)), how)
+    kept = pick(keyed, gone, "left_anti")
+    if not twice.isEmpty():
+        kept = pick(kept, twice, "left_anti").unionByName(pick(kept, twice, "left_semi").dropDuplicates([key, doc_id]))
+    return kept.select(docs.columns)

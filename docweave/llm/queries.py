@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import decontaminate, host_reputation, html_main, language_id, mixing, near_dedup, secrets, sharding
+from docweave.llm import decontaminate, host_reputation, html_main, image_copies, language_id, mixing, near_dedup, secrets, sharding, warc
+from docweave.llm.common import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -62,6 +63,28 @@ FROM sizes a JOIN passes g ON a.source IS NOT DISTINCT FROM g.source JOIN summed
 """
 
 
+@query
+def op3_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.resolve_revisits(warc.captures_of_pages(_table(spark, sf_dir, "pages")))
+    headers = F.array_join(F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat_ws("=", e["key"], e["value"])), "; ")
+    return found.select("record_id", "canonical", "resolution", "refers_to", headers.alias("headers"))
+
+
+@query
+def op4_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each image: the queries (edited copies of the images whose id is divisible by 50; equal ones stand for
+    each other under their smallest id) that show it."""
+    vectors = _table(spark, sf_dir, "embeddings")
+    images = image_copies.rendered(vectors)
+    asked = image_copies.rendered(vectors.where("vec_id % 50 = 0"))
+    digest = lambda c: F.unhex(F.sha2(c, 256))
+    found = image_copies.copies(images.select(F.col("original").alias("image")), asked.select(F.col("edited").alias("image")))
+    names = asked.groupBy(digest("edited").alias("query_class")).agg(F.min("id").alias("query_id"))
+    by_class = stored(found.join(names, "query_class").groupBy("class").agg(F.array_sort(F.collect_list("query_id")).alias("query_ids"), F.max("inliers").alias("inliers")), "classes")
+    rows = images.select(F.col("id").alias("vec_id"), digest("original").alias("class")).join(by_class, "class", "left")
+    return rows.select("vec_id", F.hex("class").alias("image_class"), F.coalesce(F.array_size("query_ids"), F.lit(0)).cast("long").alias("n_queries"), F.array_join("query_ids", ",").alias("query_ids"), F.coalesce("inliers", F.lit(0)).cast("long").alias("inliers"))
+
+
 #: Fixed values.
 URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 
@@ -97,7 +120,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     checksum = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
-    found = sharding.text_shards(_table(spark, sf_dir, "documents"), {"doc_id": F.col("doc_id"), "text_crc32": checksum}, leaves=8)
+    found = sharding.text_tree(_table(spark, sf_dir, "documents"), leaves=8, keep={"doc_id": F.col("doc_id"), "text_crc32": checksum}).slotted()
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 

@@ -18,71 +18,102 @@ from docweave.llm.common import stored
 KEY_BITS, STEP_BITS = 60, 12
 
 
-def kd_shards(docs: DataFrame, size: Column, dimensions: dict[str, Column], group: Column, tie: Column, keep: dict[str, Column], leaves: int | None = None, target_bytes: int | None = None, tolerance: float = 0.0005) -> DataFrame:
-    """The keep columns with size, shard (0 to leaves - 1) and slot (gapless from 0 in each shard) for every row of docs.
-
-    size: bytes of a row, positive. dimensions: numbers; null counts as the least. group: rows of equal group (and equal
-    dimensions) stay together where balance allows. tie: what divides a group where it doesn't; rows that agree in it too
-    are one. leaves, or target_bytes, of which as many leaves are made as needed (1 for an empty table).
-    """
-    names = [f"d{k}" for k in range(len(dimensions))]
-    kept = {f"k{k}": c for k, c in enumerate(keep.values())}
-    hashed = lambda c, seed: F.shiftright(F.xxhash64(c, F.lit(seed)).bitwiseAND(F.lit(2**63 - 1)), 63 - KEY_BITS)
-    rows = stored(docs.select(*[c.alias(n) for n, c in kept.items()], size.cast("long").alias("size"), *[d.cast("double").alias(n) for n, d in zip(names, dimensions.values(), strict=True)], hashed(group, 1).alias("g"), hashed(tie, 2).alias("t")).withColumn("uid", F.monotonically_increasing_id()).withColumn("node", F.lit(1).cast("long")), "rows")
-    total = rows.agg(F.sum("size").alias("total"), *[f(n).alias(f"{f.__name__}_{n}") for n in names for f in (F.min, F.max)]).first()
-    if leaves is None:
-        leaves = max(1, -(-(total["total"] or 0) // target_bytes))
-    whole = {n: (total[f"max_{n}"] or 0) - (total[f"min_{n}"] or 0) for n in names}
-    todo, shards, first = {1: leaves}, {}, {1: 0}
-    while todo:
-        shards |= {n: first[n] for n, k in todo.items() if k == 1}
-        todo = {n: k for n, k in todo.items() if k > 1}
-        if not todo:
-            break
-        rows = _cut(rows, todo, names, whole, tolerance)
-        for n, k in list(todo.items()):
-            first |= {2 * n: first[n], 2 * n + 1: first[n] + k // 2}
-        todo = {c: k for n, m in todo.items() for c, k in ((2 * n, m // 2), (2 * n + 1, m - m // 2))}
-    spark = docs.sparkSession
-    numbers = F.broadcast(spark.createDataFrame([(n, s) for n, s in shards.items()], "node long, shard int"))  # a row per leaf
-    return _slots(rows.join(numbers, "node")).select(*[F.col(k).alias(n) for k, n in zip(kept, keep, strict=True)], "size", "shard", "slot")
-
-
-def _cut(rows: DataFrame, todo: dict[int, int], names: list[str], whole: dict[str, float], tolerance: float) -> DataFrame:
+class Tree:
+    """The cuts of a k-d tree, level by level; what they need of a row are its dimensions, group and tie."""
+
+    def __init__(self, docs: DataFrame, size: Column, dimensions: dict[str, Column], group: Column, tie: Column, leaves: int | None = None, target_bytes: int | None = None, tolerance: float = 0.0005, keep: dict[str, Column] | None = None):
+        hashed = lambda c, seed: F.shiftright(F.xxhash64(c, F.lit(seed)).bitwiseAND(F.lit(2**63 - 1)), 63 - KEY_BITS)
+        self.names = [f"d{k}" for k in range(len(dimensions))]
+        self.keys = {n: d.cast("double") for n, d in zip(self.names, dimensions.values(), strict=True)} | {"g": hashed(group, 1), "t": hashed(tie, 2), "node": F.lit(1).cast("long")}
+        kept = {f"k{k}": c for k, c in enumerate((keep or {}).values())}
+        rows = docs.select(*[c.alias(n) for n, c in (kept | {"size": size.cast("long")} | self.keys).items()])
+        rows = stored(rows.withColumn("uid", F.monotonically_increasing_id()), "rows")
+        whole = rows.agg(F.sum("size").alias("total"), *[f(n).alias(f"{f.__name__}_{n}") for n in self.names for f in (F.min, F.max)]).first()
+        if leaves is None:
+            leaves = max(1, -(-(whole["total"] or 0) // target_bytes))
+        width = {n: (whole[f"max_{n}"] or 0) - (whole[f"min_{n}"] or 0) for n in self.names}
+        todo, first = {1: leaves}, {1: 0}
+        self.shards, self.levels = {}, []
+        while True:
+            self.shards |= {n: first[n] for n, k in todo.items() if k == 1}
+            todo = {n: k for n, k in todo.items() if k > 1}
+            level = _cuts(rows, todo, self.names, width, tolerance) if todo else []
+            if not level:  # no rows: nothing is cut any more
+                break
+            self.levels.append(level)
+            rows = stored(_apply(rows, level, self.names), "rows")
+            first |= {2 * n + c: first[n] + c * (k // 2) for n, k in todo.items() for c in (0, 1)}
+            todo = {2 * n + c: k // 2 if c == 0 else k - k // 2 for n, k in todo.items() for c in (0, 1)}
+        self.rows, self.kept = rows, dict(zip(kept, keep or {}, strict=True))
+
+    def _numbers(self, df: DataFrame) -> DataFrame:
+        return F.broadcast(df.sparkSession.createDataFrame([*self.shards.items(), (0, 0)], "node long, shard int"))  # a row per leaf
+
+    def slotted(self) -> DataFrame:
+        """The keep columns, size, shard and slot of every row."""
+        return _slots(self.rows.join(self._numbers(self.rows), "node")).select(*[F.col(k).alias(n) for k, n in self.kept.items()], "size", "shard", "slot")
+
+    def assigned(self, docs: DataFrame) -> DataFrame:
+        """docs (as given, or rows like them) with their shard, which replaces a column of that name. Rows meet the cuts
+        only, a few for each leaf; they aren't shuffled."""
+        row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != "shard"]).alias("row")
+        rows = docs.select(row, *[c.alias(n) for n, c in self.keys.items()])
+        for level in self.levels:
+            rows = _apply(rows, level, self.names)
+        return rows.join(self._numbers(docs), "node").select("row.*", "shard")
+
+
+#: node, dim, low and width make the key; the rest says which keys go left.
+CUT = "node long, dim int, low double, width double, prefix long, shift int, also boolean, t_prefix long, t_shift int, t_also boolean"
+
+
+def _key() -> Column:
+    """20 bits of the coordinate, then 40 of the group; null in nodes that aren't cut."""
+    return F.expr("shiftleft(least(cast(floor((coalesce(value, low) - low) / width * 1048575) as bigint), 1048575), 40)") + F.shiftright("g", KEY_BITS - 40)
+
+
+def _value(names: list[str]) -> Column:
+    return F.coalesce(*[F.when(F.col("dim") == k, F.col(n)) for k, n in enumerate(names)])
+
+
+def _cuts(rows: DataFrame, todo: dict[int, int], names: list[str], whole: dict[str, float], tolerance: float) -> list[tuple]:
+    """A row of CUT for each node of todo (node: leaves to make) that has rows."""
     spark = rows.sparkSession
-    stats = rows.where(F.col("node").isin(list(todo))).groupBy("node").agg(F.sum("size").alias("total"), *[f(n).alias(f"{f.__name__}_{n}") for n in names for f in (F.min, F.max)]).collect()
-    plan = []
+    nodes = F.broadcast(spark.createDataFrame([(n,) for n in todo], "node long"))  # at most as many as leaves
+    stats = rows.join(nodes, "node").groupBy("node").agg(F.sum("size").alias("total"), *[f(n).alias(f"{f.__name__}_{n}") for n in names for f in (F.min, F.max)]).collect()
+    if not stats:
+        return []
+    plan = {}
     for s in stats:
         width = {n: ((s[f"max_{n}"] or 0) - (s[f"min_{n}"] or 0)) / whole[n] if whole[n] else 0.0 for n in names}
         d = max(names, key=lambda n: width[n])
-        low, high = s[f"min_{d}"] or 0.0, s[f"max_{d}"] or 0.0
-        plan.append((s["node"], names.index(d), float(low), float(high - low) or 1.0, s["total"] * (todo[s["node"]] // 2) / todo[s["node"]], float(s["total"])))
-    if not plan:
-        return rows
-    how = F.broadcast(spark.createDataFrame(plan, "node long, dim int, low double, width double, need double, total double"))  # a row per node
-    value = F.coalesce(*[F.when(F.col("dim") == k, F.col(n)) for k, n in enumerate(names)], F.col("low"))
-    # 20 bits of the coordinate, then 40 of the group
-    key = F.shiftleft(F.least(F.floor((value - F.col("low")) / F.col("width") * (2**20 - 1)), F.lit(2**20 - 1)).cast("long"), 40) + F.shiftright("g", KEY_BITS - 40)
-    placed = rows.join(how, "node", "left").withColumn("key", F.when(F.col("dim").isNotNull(), key))
-    found = _quantiles(placed.where("key is not null"), "key", tolerance)
-    heavy = {n: c for n, c in found.items() if c["single"] and c["inside"] > tolerance * c["total"]}
+        low, n = float(s[f"min_{d}"] or 0), s["node"]
+        plan[n] = (n, names.index(d), low, float(s[f"max_{d}"] or 0) - low or 1.0, s["total"] * (todo[n] // 2) / todo[n], float(s["total"]))
+    how = F.broadcast(spark.createDataFrame(list(plan.values()), "node long, dim int, low double, width double, need double, total double"))
+    placed = rows.join(how, "node").withColumn("value", _value(names)).withColumn("key", _key()).select("node", "need", "total", "size", "key", "t")
+    found = _quantiles(placed, "key", tolerance)
+    heavy = [(n, c["prefix"], c["need"] - c["below"]) for n, c in found.items() if c["single"] and c["inside"] > tolerance * c["total"]]
     ties = {}
     if heavy:
-        within = spark.createDataFrame([(n, c["prefix"], c["need"] - c["below"]) for n, c in heavy.items()], "node long, hot long, rest double")
-        inside = placed.where("key is not null").join(F.broadcast(within), "node").where(F.shiftright("key", 0) == F.col("hot"))
-        ties = _quantiles(inside.drop("need").withColumnRenamed("rest", "need"), "t", tolerance)
-    cuts = []
+        within = F.broadcast(spark.createDataFrame(heavy, "node long, hot long, rest double"))
+        ties = _quantiles(placed.join(within, "node").where("key = hot").drop("need").withColumnRenamed("rest", "need"), "t", tolerance)
+    out = []
     for n, c in found.items():
         t = ties.get(n)
-        also = t is None and c["need"] - c["below"] >= c["inside"] / 2
-        cuts.append((n, c["prefix"], c["shift"], also, None if t is None else t["prefix"], None if t is None else t["shift"], None if t is None else t["need"] - t["below"] >= t["inside"] / 2))
-    table = F.broadcast(spark.createDataFrame(cuts, "node long, prefix long, shift int, also boolean, t_prefix long, t_shift int, t_also boolean"))  # a row per node
-    side = placed.join(table, "node", "left")
+        last = (None, None, None) if t is None else (t["prefix"], t["shift"], t["need"] - t["below"] >= t["inside"] / 2)
+        out.append((*plan[n][:4], c["prefix"], c["shift"], c["need"] - c["below"] >= c["inside"] / 2, *last))
+    return out
+
+
+def _apply(rows: DataFrame, level: list[tuple], names: list[str]) -> DataFrame:
+    """rows with the node that they go to."""
+    cut = F.broadcast(rows.sparkSession.createDataFrame(level, CUT))  # a row per node
+    side = rows.join(cut, "node", "left").withColumn("value", _value(names)).withColumn("key", _key())
     own, tied = F.expr("shiftright(key, shift)"), F.expr("shiftright(t, t_shift)")
     on_cut = F.when(F.col("t_prefix").isNull(), F.col("also")).otherwise((tied < F.col("t_prefix")) | ((tied == F.col("t_prefix")) & F.col("t_also")))
     left = (own < F.col("prefix")) | ((own == F.col("prefix")) & on_cut)
     node = F.when(F.col("prefix").isNull(), F.col("node")).when(left, F.col("node") * 2).otherwise(F.col("node") * 2 + 1)
-    return stored(side.select(*[c for c in rows.columns if c != "node"], node.alias("node")), "rows")
+    return side.select(*[c for c in rows.columns if c != "node"], node.alias("node"))
 
 
 def _quantiles(rows: DataFrame, key: str, tolerance: float) -> dict[int, dict]:
@@ -117,10 +148,14 @@ def _slots(rows: DataFrame) -> DataFrame:
     return numbered.join(before, ["shard", "part"]).withColumn("slot", (F.col("before") + F.col("own") - 1).cast("long")).drop("part", "own", "before")
 
 
-def text_shards(docs: DataFrame, keep: dict[str, Column], text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
-    """kd_shards over what a text shows of itself, so that equal texts are equal in every dimension: the logarithm of its
-    bytes, the share of bytes beyond one a character, and its checksum. A null text is an empty one; size is the bytes plus 1."""
+def text_tree(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> Tree:
+    """A tree over what a text shows of itself, so that equal texts are equal in every dimension: the logarithm of its bytes,
+    its bytes per character and its checksum. A null text is an empty one; size is the bytes plus 1. options: see Tree.
+
+    Rows of equal text share a leaf where balance allows; those that don't are divided by a hash of the id, and rows that
+    agree in the id too are one. leaves, or target_bytes, of which as many leaves are made as needed (1 for an empty table).
+    """
     body = F.coalesce(F.col(text), F.lit(""))
     size = (F.octet_length(body) + 1).cast("long")
     shape = {"log_bytes": F.log2(size), "wide": F.octet_length(body) / F.greatest(F.length(body), F.lit(1)), "crc": F.crc32(body.cast("binary"))}
-    return kd_shards(docs, size, shape, body, F.col(doc_id), keep, **options)
+    return Tree(docs, size, shape, body, F.col(doc_id), **options)
