@@ -26,7 +26,7 @@ BITS, PIECES = 256, 8
 #: Query descriptors (of 70 bytes, eight rows each) that may be broadcast.
 BROADCAST_CODES = 60_000
 SCALES = (1.0, 0.75, 0.5625)
-RADIUS = 7
+RADIUS = 9
 POINTS = 24
 _PAIRS = np.random.default_rng(11).normal(0, RADIUS / 2.2, (BITS, 4)).clip(-RADIUS + 1, RADIUS - 1)
 
@@ -95,7 +95,7 @@ def descriptors(grey: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             continue
         best = np.argsort(-inner[y, x], kind="stable")[:POINTS]
         y, x = y[best] + edge, x[best] + edge
-        s = _smooth(g, 2)
+        s = _smooth(g)
         around = s[y[:, None] + disk[0], x[:, None] + disk[1]]
         angle = np.arctan2((around * disk[0]).sum(1), (around * disk[1]).sum(1))
         cos, sin = np.cos(angle)[:, None], np.sin(angle)[:, None]
@@ -137,14 +137,16 @@ def copies(images: DataFrame, queries: DataFrame, most_bits: int = 40, least_inl
     wanted = side(asked, "q")
     if asked.count() <= BROADCAST_CODES:
         wanted = F.broadcast(wanted)
-    met = side(there, "b").join(wanted, ["table", "bits"])
+    there = side(there, "b")
     differ = sum((F.bit_count(F.col(f"q.c{k}").bitwiseXOR(F.col(f"b.c{k}"))) for k in range(1, 4)), F.bit_count(F.col("q.c0").bitwiseXOR(F.col("b.c0"))))
+    # the distance is part of the join's condition: pairs that only share a table's bits are no rows
+    met = there.join(wanted, (there["table"] == wanted["table"]) & (there["bits"] == wanted["bits"]) & (differ <= most_bits))
     turn = F.col("b.angle") - F.col("q.angle")
     turn = turn - 2 * math.pi * F.round(turn / (2 * math.pi))
     scale = F.col("b.scale") / F.col("q.scale")
     x = F.col("b.x") - scale * (F.cos(turn) * F.col("q.x") - F.sin(turn) * F.col("q.y"))
     y = F.col("b.y") - scale * (F.sin(turn) * F.col("q.x") + F.cos(turn) * F.col("q.y"))
-    votes = met.where(differ <= most_bits).select(F.col("q.key").alias("query_class"), F.col("b.key").alias("class"), F.round(F.log2(scale) * 2).cast("int").alias("s"), F.pmod(F.round(turn / (math.pi / 6)), F.lit(12)).cast("int").alias("t"), x.alias("x"), y.alias("y"), F.hash("q.x", "q.y", "q.scale").alias("corner"))
+    votes = met.select(F.col("q.key").alias("query_class"), F.col("b.key").alias("class"), F.round(F.log2(scale) * 2).cast("int").alias("s"), F.pmod(F.round(turn / (math.pi / 6)), F.lit(12)).cast("int").alias("t"), x.alias("x"), y.alias("y"), F.hash("q.x", "q.y", "q.scale").alias("corner"))
     halves = F.explode(F.array(*[F.struct(F.floor(F.col("x") / cell + dx).alias("i"), F.floor(F.col("y") / cell + dy).alias("j"), F.lit(int(2 * dx + 4 * dy)).alias("grid")) for dx in (0.0, 0.5) for dy in (0.0, 0.5)]))
     cells = votes.select("query_class", "class", "s", "t", "corner", halves.alias("h")).groupBy("query_class", "class", "s", "t", "h").agg(F.size(F.collect_set("corner")).alias("n"))
     return cells.groupBy("query_class", "class").agg(F.max("n").alias("inliers")).where(F.col("inliers") >= least_inliers)
@@ -161,7 +163,7 @@ def rendered(vectors: DataFrame, id_column: str = "vec_id", vector: str = "embed
                 out.append(None)
                 continue
             rng = np.random.default_rng(np.frombuffer(np.array([x if x is not None else 0 for x in v], np.float32).tobytes() + bytes(4), np.uint32))
-            grey = resized(rng.uniform(0, 255, (18, 18)), side, side) * 0.7 + resized(rng.uniform(0, 255, (7, 7)), side, side) * 0.3
+            grey = resized(rng.uniform(0, 255, (40, 40)), side, side) * 0.7 + resized(rng.uniform(0, 255, (12, 12)), side, side) * 0.3
             cut = side // 8
             edited = write_image(grey)
             edited = write_image(read_image(edited)[cut:, cut:].astype(np.float32) * 0.75 + 50)
