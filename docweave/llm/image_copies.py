@@ -6,8 +6,8 @@ on 32 bits each. Two descriptors that differ in fewer than eight bits agree in s
 the full distance is checked after. Matches vote for a similarity transform (scale, turn, shift) in half-overlapping cells; enough
 votes in one cell make a copy.
 
-Equal images (byte for byte) are one class, on both sides, so a picture that a third of the rows hold is looked at once. The
-queries' descriptors are broadcast while their number is below a fixed bound, else both sides are shuffled by table and bits.
+Equal images (byte for byte) are one class: equal queries are asked once, equal images vote once. Images never move; the
+queries' descriptors come to them in blocks of a fixed size, each broadcast by itself.
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from docweave.llm.common import stored
 
 BITS, PIECES = 256, 8
-#: Query descriptors (of 70 bytes, eight rows each) that may be broadcast.
-BROADCAST_CODES = 60_000
+#: Query descriptors (of about 150 bytes) that are broadcast at once.
+BLOCK_CODES = 150_000
 SCALES = (1.0, 0.75, 0.5625)
 RADIUS = 9
 POINTS = 24
@@ -124,31 +124,75 @@ def features(images: DataFrame, image: str = "image", key: str = "class") -> Dat
     return images.select(F.col(key).alias("key"), F.col(image).alias("image")).mapInArrow(find, "key binary, x float, y float, scale float, angle float, c0 long, c1 long, c2 long, c3 long")
 
 
+def _tables(rows: pa.Table) -> tuple:
+    """Query descriptors with, for each piece of their codes, the pieces in order and whose they are."""
+    code = np.stack([rows[f"c{k}"].to_numpy() for k in range(4)], 1)
+    place = np.stack([rows[c].to_numpy() for c in ("x", "y", "scale", "angle")], 1)
+    pieces = np.ascontiguousarray(code).view(np.uint32)
+    order = np.argsort(pieces, axis=0, kind="stable").astype(np.int32)
+    return code, place, np.take_along_axis(pieces, order, 0), order, rows["key"].to_pylist()
+
+
+def _met(code: np.ndarray, tables: tuple, most_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (own row, query row) that share a piece and differ in most_bits bits at most."""
+    own_pieces, found = np.ascontiguousarray(code).view(np.uint32), []
+    for k in range(PIECES):
+        keys = tables[2][:, k]
+        low = np.searchsorted(keys, own_pieces[:, k])
+        width = np.searchsorted(keys, own_pieces[:, k], side="right") - low
+        b = np.repeat(np.arange(len(code)), width)
+        q = tables[3][np.repeat(low - (np.cumsum(width) - width), width) + np.arange(int(width.sum())), k]
+        near = np.bitwise_count(code[b] ^ tables[0][q]).sum(1) <= most_bits
+        found.append(np.stack([b[near], q[near]], 1))
+    pairs = np.unique(np.concatenate(found), axis=0)
+    return pairs[:, 0], pairs[:, 1]
+
+
+def _votes(b: np.ndarray, q: np.ndarray) -> list[np.ndarray]:
+    """The similarity transform of each pair of places: steps of scale and turn, and the shift in pixels."""
+    turn, scale = b[:, 3] - q[:, 3], b[:, 2] / q[:, 2]
+    x = b[:, 0] - scale * (np.cos(turn) * q[:, 0] - np.sin(turn) * q[:, 1])
+    y = b[:, 1] - scale * (np.sin(turn) * q[:, 0] + np.cos(turn) * q[:, 1])
+    return [np.rint(np.log2(scale) * 2).astype(np.int32), np.rint(turn / (math.pi / 6)).astype(np.int32) % 12, x.astype(np.float64), y.astype(np.float64)]
+
+
 def copies(images: DataFrame, queries: DataFrame, most_bits: int = 40, least_inliers: int = 6, cell: float = 12.0) -> DataFrame:
     """images: image; queries: image. Returns query_class, class (SHA-256 of the images) and inliers, for every class of equal
     images that shows an original or copy of the query's: at least least_inliers corners of it match and agree on one place.
 
     Other columns are not looked at; null and unreadable images match nothing.
     """
-    classes = lambda df: df.where("image is not null").select(F.unhex(F.sha2("image", 256)).alias("class"), "image").dropDuplicates(["class"])
-    there, asked = features(classes(images)), stored(features(classes(queries)), "features")
-    pieces = F.explode(F.array(*[F.struct(F.lit(k).alias("table"), (F.shiftright(f"c{k // 2}", 32) if k % 2 else F.col(f"c{k // 2}").bitwiseAND(F.lit(0xFFFFFFFF))).alias("bits")) for k in range(PIECES)]))
-    side = lambda f, name: f.select(F.struct("key", "x", "y", "scale", "angle", "c0", "c1", "c2", "c3").alias(name), pieces.alias("p")).select(name, "p.*")
-    wanted = side(asked, "q")
-    if asked.count() <= BROADCAST_CODES:
-        wanted = F.broadcast(wanted)
-    there = side(there, "b")
-    differ = sum((F.bit_count(F.col(f"q.c{k}").bitwiseXOR(F.col(f"b.c{k}"))) for k in range(1, 4)), F.bit_count(F.col("q.c0").bitwiseXOR(F.col("b.c0"))))
-    # the distance is part of the join's condition: pairs that only share a table's bits are no rows
-    met = there.join(wanted, (there["table"] == wanted["table"]) & (there["bits"] == wanted["bits"]) & (differ <= most_bits))
-    turn = F.col("b.angle") - F.col("q.angle")
-    turn = turn - 2 * math.pi * F.round(turn / (2 * math.pi))
-    scale = F.col("b.scale") / F.col("q.scale")
-    x = F.col("b.x") - scale * (F.cos(turn) * F.col("q.x") - F.sin(turn) * F.col("q.y"))
-    y = F.col("b.y") - scale * (F.sin(turn) * F.col("q.x") + F.cos(turn) * F.col("q.y"))
-    votes = met.select(F.col("q.key").alias("query_class"), F.col("b.key").alias("class"), F.round(F.log2(scale) * 2).cast("int").alias("s"), F.pmod(F.round(turn / (math.pi / 6)), F.lit(12)).cast("int").alias("t"), x.alias("x"), y.alias("y"), F.hash("q.x", "q.y", "q.scale").alias("corner"))
-    halves = F.explode(F.array(*[F.struct(F.floor(F.col("x") / cell + dx).alias("i"), F.floor(F.col("y") / cell + dy).alias("j"), F.lit(int(2 * dx + 4 * dy)).alias("grid")) for dx in (0.0, 0.5) for dy in (0.0, 0.5)]))
-    cells = votes.select("query_class", "class", "s", "t", "corner", halves.alias("h")).groupBy("query_class", "class", "s", "t", "h").agg(F.size(F.collect_set("corner")).alias("n"))
+    spark = images.sparkSession
+    digest = F.unhex(F.sha2("image", 256)).alias("class")
+    asked = stored(features(queries.where("image is not null").select(digest, "image").dropDuplicates(["class"])), "features")
+    # equal images are not moved to find that they are: their votes fall into the same cells
+    there = features(images.where("image is not null").select(digest, "image"))
+    blocks = max(1, -(-asked.count() // BLOCK_CODES))
+    if blocks > 1:
+        there = stored(there, "features")
+    parts = []
+    for k in range(blocks):
+        own = asked.where(F.pmod(F.xxhash64("key", "x", "y", "scale"), F.lit(blocks)) == k)
+        sent = spark.sparkContext.broadcast(_tables(own.toArrow()))
+
+        def match(batches, sent=sent):
+            tables = sent.value
+            for batch in batches:
+                code = np.stack([batch[f"c{k}"].to_numpy(zero_copy_only=False) for k in range(4)], 1)
+                place = np.stack([batch[c].to_numpy(zero_copy_only=False) for c in ("x", "y", "scale", "angle")], 1)
+                b, q = _met(code, tables, most_bits)
+                votes = _votes(place[b], tables[1][q])
+                names = pa.array([tables[4][i] for i in q], pa.binary())
+                yield pa.record_batch([names, batch["key"].take(pa.array(b)), pa.array(q.astype(np.int32)), *[pa.array(v) for v in votes]], ["query_class", "class", "corner", "s", "t", "x", "y"])
+
+        votes = there.mapInArrow(match, "query_class binary, class binary, corner int, s int, t int, x double, y double")
+        halves = F.explode(F.array(*[F.struct(F.floor(F.col("x") / cell + dx).alias("i"), F.floor(F.col("y") / cell + dy).alias("j"), F.lit(int(2 * dx + 4 * dy)).alias("grid")) for dx in (0.0, 0.5) for dy in (0.0, 0.5)]))
+        # corners of different blocks are different, so their counts add up
+        parts.append(votes.select("query_class", "class", "s", "t", "corner", halves.alias("h")).distinct().groupBy("query_class", "class", "s", "t", "h").agg(F.count("*").alias("n")))
+    cells = parts[0]
+    for more in parts[1:]:
+        cells = cells.unionByName(more)
+    cells = cells.groupBy("query_class", "class", "s", "t", "h").agg(F.sum("n").alias("n")) if blocks > 1 else cells
     return cells.groupBy("query_class", "class").agg(F.max("n").alias("inliers")).where(F.col("inliers") >= least_inliers)
 
 
