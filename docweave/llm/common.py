@@ -28,6 +28,16 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/docweave-{name}-{uuid.uuid4().hex}"
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Batches to Python hold at most 1000 rows or 8 MB (one row at least), for the session: long texts in batches of
+    the default 10,000 rows take hundreds of MB in each worker and as much beside the heap. A smaller setting stays."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1000), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)):
+        now = spark.conf.get(key, None)
+        size = int(now) if now and now.lstrip("-").isdigit() else 0
+        if size <= 0 or size > most:
+            spark.conf.set(key, str(most))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read again: the lineage ends there, and a lost executor
     costs only a reread. Its size is then known to the planner too."""

@@ -18,11 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.common import free_name, spans_of_rows, stored, utf8
+from docweave.llm.common import bounded_batches, free_name, spans_of_rows, stored, utf8
 from docweave.llm.words import ALNUM, word_hashes
 
 #: Text bytes of one segment, unless one text is longer.
-SEGMENT = 1 << 22
+SEGMENT = 1 << 21
 #: Places between two texts of a segment; no phrase or proximity window reaches across.
 GAP = 4096
 INDEX = "segment_docs array<struct<doc_id:string,tkey:long,n_words:long>>, starts array<long>, terms array<long>, ends array<long>, positions array<int>"
@@ -39,6 +39,7 @@ def build_index(docs: DataFrame, terms: np.ndarray | None = None, text: str = "t
     doc_id is kept as a string (null stays null), tkey is xxhash64 of the text, null and empty texts have no
     words. starts has each document's first position, ends each term's end in positions.
     """
+    bounded_batches(docs.sparkSession)
     sent = None if terms is None else docs.sparkSession.sparkContext.broadcast(terms)
 
     def segments(batches):

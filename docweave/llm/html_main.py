@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.common import stored, utf8
+from docweave.llm.common import bounded_batches, stored, utf8
 from docweave.llm.words import SPACED, word_hashes
 
 #: Fixed values, by HTML's own rules.
@@ -167,6 +167,7 @@ def extract(pages: DataFrame, keep: tuple[str, ...], html: str = "html", host=No
         ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array([t for t, _ in flat], pa.string()), pa.array([r for _, r in flat], pa.string())], ["text", "role"]))
 
+    bounded_batches(pages.sparkSession)
     parsed = pages.select(*[F.col(c).alias(f"k{k}") for k, c in enumerate(keep)], F.coalesce(host if host is not None else F.lit(""), F.lit("")).alias("host"), F.length(html).alias("bytes"), F.xxhash64(html, *keep).alias("salt"), F.arrow_udf(parse, "array<struct<text:string,role:string>>")(F.col(html)).alias("blocks"))
     sizes = pages.select(F.coalesce(host if host is not None else F.lit(""), F.lit("")).alias("host"), F.length(html).alias("bytes")).groupBy("host").agg(F.sum("bytes").alias("all"))
     large = stored(sizes.where(F.col("all") > chunk_bytes).select("host", F.ceil(F.col("all") / chunk_bytes).alias("chunks")), "large")

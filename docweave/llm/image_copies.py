@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.common import stored
+from docweave.llm.common import bounded_batches, stored
 
 BITS, PIECES = 256, 8
 #: Query descriptors (of about 150 bytes) that are broadcast at once.
@@ -121,6 +121,7 @@ def features(images: DataFrame, image: str = "image", key: str = "class") -> Dat
                 longs = np.ascontiguousarray(code).view(np.int64)
                 yield pa.record_batch([batch["key"].take(pa.array(row)), *[pa.array(place[:, k].astype(np.float32)) for k in range(4)], *[pa.array(longs[:, k]) for k in range(4)]], ["key", "x", "y", "scale", "angle", "c0", "c1", "c2", "c3"])
 
+    bounded_batches(images.sparkSession)
     return images.select(F.col(key).alias("key"), F.col(image).alias("image")).mapInArrow(find, "key binary, x float, y float, scale float, angle float, c0 long, c1 long, c2 long, c3 long")
 
 

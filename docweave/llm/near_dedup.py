@@ -22,14 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.common import free_name, spans_of_rows, stored, utf8
+from docweave.llm.common import bounded_batches, free_name, spans_of_rows, stored, utf8
 from docweave.llm.components import connected_components
 from docweave.llm.words import SPACED, mix, word_hashes
 
 #: Text bytes whose shingles are in memory together, unless one text is longer.
-_STEP = 1 << 21
+_STEP = 1 << 19
 #: Rows and shingles of one block of a bucket that is compared exactly.
-BLOCK_ROWS, BLOCK_SHINGLES = 1000, 2_000_000
+BLOCK_ROWS, BLOCK_SHINGLES = 1000, 1_000_000
 #: Nodes (of 24 bytes) that may be broadcast to pick out texts; above it, they are joined by shuffle.
 BROADCAST_NODES = 400_000
 
@@ -133,6 +133,7 @@ def near_duplicates(
     it is linked with rows that have one; its kept is false. Repeated ids are separate rows. Columns of other
     names are not looked at.
     """
+    bounded_batches(docs.sparkSession)
     signed = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("tkey"), F.length(text).alias("tlen"), _signer(words, a, b)(F.col(text)).alias("s"))
     signed = stored(signed.select("doc_id", "tkey", "tlen", "s.*"), "signatures")
     nodes = stored(signed.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.min(F.struct("tkey", "tlen", "n", "a", "b")).alias("s")).select("node", "doc_id", "copies", "s.*"), "nodes")

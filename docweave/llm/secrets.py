@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.common import fresh_dir
+from docweave.llm.common import bounded_batches, fresh_dir
 
 
 @dataclass(frozen=True)
@@ -66,6 +66,7 @@ def scan(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = BASE_RULES
 
     A null text is an empty one. Repeated rows stay. Columns named blob or findings are replaced.
     """
+    bounded_batches(versions.sparkSession)
     spark = versions.sparkSession
     body = F.coalesce(F.col(text), F.lit(""))
     blob = F.unhex(F.sha2(body.cast("binary"), 256))

@@ -14,7 +14,7 @@ from docweave.llm.common import spans_of_rows
 _P = 0x9E3779B97F4A7C55 | 1
 _P_INV = pow(_P, -1, 1 << 64)
 #: Bytes worked on at once, unless one word is longer.
-STEP = 1 << 21
+STEP = 1 << 19
 _powers: dict[int, np.ndarray] = {}
 
 
