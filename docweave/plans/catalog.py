@@ -1,4 +1,357 @@
-"""The registered queries of the engine and their SQL."""
+"""The registered queries of the engine and, where DuckDB can express it, the SQL that gives the same rows."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from docweave.functions import terms, text, tokens
+from docweave.operators import batching, guards, jobs, layout, model, references, render, replies
+from docweave.sources import library
+from docweave.streaming import qa
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+GLOSSARY = terms.terms_of(["the", "heat", "tion", "on the", "AND", "que"], {"heat": ("warmth",)})
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def lines_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = table(spark, sf_dir, "documents").select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return found.withColumn("line", F.trim("line")).where("line <> ''")
+
+
+LINES = """lines AS (
+  SELECT doc_id, source, n - 1 AS line_no, trim(l) AS line
+  FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents)
+  WHERE trim(l) <> '')"""
+
+SPANS = """spans AS (
+  SELECT doc_id, n AS block_no, n // 12 + 1 AS page_no, CASE WHEN n % 5 = 3 THEN 320.0 ELSE 72.0 END AS x0, (40 + (n % 12) * 60)::DOUBLE AS y0,
+         CASE WHEN n % 11 = 10 THEN CASE WHEN n % 5 = 3 THEN 335.0 ELSE 85.0 END WHEN n % 5 = 3 THEN 560.0 ELSE 300.0 END AS x1,
+         (55 + (n % 12) * 60)::DOUBLE AS y1, CASE n % 7 WHEN 6 THEN 6.0 WHEN 0 THEN 12.0 ELSE 10.0 END AS size, l AS text
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM documents)),
+body AS (
+  SELECT doc_id, size AS body_size FROM (
+    SELECT doc_id, size, row_number() OVER (PARTITION BY doc_id ORDER BY sum(length(trim(text))) DESC, min(page_no * 100000 + block_no)) AS r
+    FROM spans GROUP BY doc_id, size) WHERE r = 1),
+told AS (
+  SELECT s.*, body_size, CASE WHEN x1 - x0 < 20 THEN 'narrow margin text' WHEN NOT regexp_matches(text, '\\p{L}{3}') THEN 'no words'
+           WHEN y1 < 842 * 0.085 THEN 'running header' END AS reason,
+         CASE WHEN regexp_matches(text, '^(Fig\\.|Figure|Figura|Abb\\.|Abbildung|Table|Tab\\.|Tabelle|Tabla|Tableau|図|表|그림|표)\\s*\\d') THEN 'caption'
+           WHEN size < 0.75 * body_size AND body_size <> 0 THEN 'figure_text'
+           WHEN length(text) < 120 AND NOT regexp_matches(text, '[.,;:。，；：、]$') AND size >= 0.95 * body_size THEN 'title' ELSE 'text' END AS label
+  FROM spans s JOIN body USING (doc_id) WHERE trim(text) <> '')""".replace("\\\\", "\\")
+
+KEPT = """kept AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page_no, x0 > 297.5, y0, block_no) - 1 AS id FROM told WHERE reason IS NULL)"""
+
+BATCHES = """RECURSIVE counted AS (SELECT doc_id, line_no, length(line) AS l, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS k FROM lines),
+folded AS (
+  SELECT doc_id, line_no, l, k, l AS size, 0 AS batch FROM counted WHERE k = 1
+  UNION ALL
+  SELECT c.doc_id, c.line_no, c.l, c.k, CASE WHEN f.size > 0 AND f.size + c.l > 2500 THEN c.l ELSE f.size + c.l END,
+         f.batch + CASE WHEN f.size > 0 AND f.size + c.l > 2500 THEN 1 ELSE 0 END
+  FROM folded f JOIN counted c ON c.doc_id = f.doc_id AND c.k = f.k + 1)"""
+
+
+def with_recursive(body: str) -> str:
+    return f"WITH RECURSIVE {LINES}, {BATCHES.removeprefix('RECURSIVE ')} {body}"
+
+
+@query(f"WITH {LINES} SELECT doc_id, line_no::BIGINT AS line_no, line FROM lines")
+def doc_lines(spark, sf_dir):
+    return lines_of(spark, sf_dir).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "line")
+
+
+def _batches(spark, sf_dir):
+    lines = lines_of(spark, sf_dir).select("doc_id", "line_no", F.length("line").alias("n_chars"))
+    return batching.greedy_batches(lines, "doc_id", "line_no", "n_chars")
+
+
+@query(with_recursive("SELECT doc_id, line_no::BIGINT AS line_no, l::BIGINT AS n_chars, batch::BIGINT AS batch FROM folded"))
+def greedy_batches(spark, sf_dir):
+    return _batches(spark, sf_dir).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "n_chars", F.col("batch").cast("long").alias("batch"))
+
+
+@query(with_recursive(""", sizes AS (SELECT doc_id, batch, sum(l) AS chars, count(*) AS n FROM folded GROUP BY doc_id, batch)
+SELECT source, count(*)::BIGINT AS n_batches, sum(n)::BIGINT AS n_lines, max(chars)::BIGINT AS largest, count(*) FILTER (chars > 2500)::BIGINT AS oversize
+FROM sizes JOIN documents USING (doc_id) GROUP BY source"""))
+def batch_statistics(spark, sf_dir):
+    sizes = _batches(spark, sf_dir).groupBy("doc_id", "batch").agg(F.sum("n_chars").alias("chars"), F.count("*").alias("n"))
+    by = sizes.join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id").groupBy("source")
+    return by.agg(F.count("*").alias("n_batches"), F.sum("n").alias("n_lines"), F.max("chars").alias("largest"), F.count_if(F.col("chars") > 2500).alias("oversize"))
+
+
+def _count_sql(t: terms.Term) -> str:
+    flag = "" if t.acronym else "(?i)"
+    return f"SELECT doc_id, '{t.text}' AS term, len(regexp_extract_all(regexp_replace(text, '<[^>]+>', '', 'g'), '{flag}\\b{t.text}\\b'))::BIGINT AS n FROM documents"
+
+
+@query("SELECT * FROM (" + " UNION ALL ".join(map(_count_sql, GLOSSARY)) + ") WHERE n > 0")
+def term_counts(spark, sf_dir):
+    found = table(spark, sf_dir, "documents").select("doc_id", F.explode(terms.term_counts(F.col("text"), GLOSSARY)).alias("term", "n"))
+    return found.withColumn("n", F.col("n").cast("long"))
+
+
+def _protect_sql() -> str:
+    c = "text"
+    for t in terms.longest_first(GLOSSARY):
+        c = f"regexp_replace({c}, '\\b{t.text}\\b', '{t.token}', '{'g' if t.acronym else 'gi'}')"
+    restored = "protected"
+    for t in GLOSSARY:
+        restored = f"replace({restored}, '{t.token}', '{t.text}')"
+    return f"SELECT doc_id, sha256(protected) AS protected, sha256({restored}) AS restored FROM (SELECT doc_id, {c} AS protected FROM documents)"
+
+
+@query(_protect_sql())
+def protect_restore(spark, sf_dir):
+    safe = table(spark, sf_dir, "documents").select("doc_id", terms.protect(F.col("text"), GLOSSARY).alias("p"))
+    return safe.select("doc_id", F.sha2("p", 256).alias("protected"), F.sha2(terms.restore(F.col("p"), GLOSSARY), 256).alias("restored"))
+
+
+SQUASHED = r"regexp_replace(lower(regexp_replace(text, '\{v[0-9]+\}|<[^>]+>', ' ', 'g')), '[^a-z0-9]', '', 'g')"
+
+
+@query(f"SELECT doc_id, length({SQUASHED})::BIGINT AS n_chars, sha256({SQUASHED}) AS digest FROM documents")
+def squash_text(spark, sf_dir):
+    plain = table(spark, sf_dir, "documents").select("doc_id", text.squash(F.col("text")).alias("s"))
+    return plain.select("doc_id", F.length("s").cast("long").alias("n_chars"), F.sha2("s", 256).alias("digest"))
+
+
+@query(r"""SELECT doc_id, letters, dense, dense >= 15 OR letters - dense >= 40 AS prose FROM (
+  SELECT doc_id, len(regexp_extract_all(text, '\p{L}'))::BIGINT AS letters, len(regexp_extract_all(text, '[\x{3040}-\x{30ff}\x{4e00}-\x{9fff}\x{ac00}-\x{d7af}]'))::BIGINT AS dense FROM documents)""")
+def letter_profile(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.regexp_count("text", F.lit(r"\p{L}")).cast("long").alias("letters"), text.dense_letters(F.col("text")).cast("long").alias("dense"), text.is_prose(F.col("text")).alias("prose"))
+
+
+def _spans(spark, sf_dir):
+    return layout.document_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query(f"WITH {SPANS} SELECT doc_id, body_size FROM body")
+def body_size(spark, sf_dir):
+    return layout.dominant_size(_spans(spark, sf_dir), ["doc_id"], ["page_no", "block_no"])
+
+
+def _told(spark, sf_dir):
+    spans = _spans(spark, sf_dir)
+    rows = spans.where(text.strip(F.col("text")) != "").join(layout.dominant_size(spans, ["doc_id"], ["page_no", "block_no"]), "doc_id")
+    return rows.withColumn("reason", layout.skip_reason()).withColumn("label", layout.label())
+
+
+@query(f"WITH {SPANS} SELECT doc_id, block_no::BIGINT AS block_no, label, (y0 * 1000)::BIGINT AS y_milli FROM told WHERE reason IS NULL")
+def block_labels(spark, sf_dir):
+    return _told(spark, sf_dir).where("reason is null").select("doc_id", F.col("block_no").cast("long").alias("block_no"), "label", (F.col("y0") * 1000).cast("long").alias("y_milli"))
+
+
+@query(f"WITH {SPANS} SELECT coalesce(reason, 'kept') AS reason, count(*)::BIGINT AS n FROM told GROUP BY 1")
+def skip_reasons(spark, sf_dir):
+    return _told(spark, sf_dir).groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {SPANS}, {KEPT} SELECT doc_id, id::BIGINT AS id, block_no::BIGINT AS block_no, page_no::BIGINT AS page_no, label FROM kept")
+def reading_order(spark, sf_dir):
+    return layout.paragraphs(_spans(spark, sf_dir)).select("doc_id", "id", F.col("block_no").cast("long").alias("block_no"), F.col("page_no").cast("long").alias("page_no"), "label")
+
+
+@query(f"""WITH {SPANS}, regions AS (SELECT doc_id, page_no, block_no AS region_id, x0 - 10 AS x0, y0 - 5 AS y0, x0 + 120 AS x1, y0 + 70 AS y1 FROM spans WHERE block_no % 6 = 0)
+SELECT r.doc_id, r.page_no::BIGINT AS page_no, region_id::BIGINT AS region_id, least(r.x0, min(g.x0)) AS x0, least(r.y0, min(g.y0)) AS y0, greatest(r.x1, max(g.x1)) AS x1, greatest(r.y1, max(g.y1)) AS y1
+FROM regions r LEFT JOIN spans g ON r.doc_id = g.doc_id AND r.page_no = g.page_no AND (g.x0 + g.x1) / 2 BETWEEN r.x0 AND r.x1 AND (g.y0 + g.y1) / 2 BETWEEN r.y0 AND r.y1
+GROUP BY r.doc_id, r.page_no, region_id, r.x0, r.y0, r.x1, r.y1""")
+def region_union(spark, sf_dir):
+    spans = _spans(spark, sf_dir)
+    regions = spans.where("block_no % 6 = 0").select("doc_id", "page_no", F.col("block_no").alias("region_id"), (F.col("x0") - 10).alias("x0"), (F.col("y0") - 5).alias("y0"), (F.col("x0") + 120).alias("x1"), (F.col("y0") + 70).alias("y1"))
+    found = layout.region_union(regions, spans, ["doc_id", "page_no"])
+    return found.withColumns({c: F.col(c).cast("long") for c in ("page_no", "region_id")})
+
+
+def _sections(spark, sf_dir):
+    """The benchmark's texts in blocks of a hundred items as reference sections."""
+    items = table(spark, sf_dir, "benchmark").select(F.floor(F.col("item_id") / 100).alias("section"), "item_id", text.squash(F.col("text")).alias("s"))
+    return items.groupBy("section").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item_id", "s"))), lambda r: r["s"]), "").alias("text"))
+
+
+HITS = f"""sections AS (SELECT item_id // 100 AS section, string_agg(s, '' ORDER BY item_id) AS body FROM (SELECT item_id, {SQUASHED} AS s FROM benchmark) GROUP BY 1),
+pieces AS (SELECT doc_id, line_no, line, regexp_replace(lower(regexp_replace(line, '\\{{v[0-9]+\\}}|<[^>]+>', ' ', 'g')), '[^a-z0-9]', '', 'g') AS s FROM lines),
+keyed AS (SELECT *, CASE WHEN length(s) < 12 THEN NULL WHEN length(s) > 60 THEN substr(s, length(s) // 4 + 1, 40) ELSE s END AS k FROM pieces)"""
+
+
+def _keyed(spark, sf_dir):
+    lines = lines_of(spark, sf_dir).withColumn("s", text.squash(F.col("line")))
+    return lines.withColumn("k", references.search_key(F.col("s")))
+
+
+@query(f"WITH {LINES}, {HITS} SELECT doc_id, line_no::BIGINT AS line_no, section::BIGINT AS section FROM keyed JOIN sections ON contains(body, k)")
+def reference_hits(spark, sf_dir):
+    # the sections are the broadcast side as long as the planner finds them small; each line meets each section once
+    found = _keyed(spark, sf_dir).where("k is not null").join(_sections(spark, sf_dir), F.contains("text", "k"))
+    return found.select("doc_id", F.col("line_no").cast("long").alias("line_no"), "section")
+
+
+@query(f"""WITH {LINES}, {HITS} SELECT doc_id, line_no::BIGINT AS id, CASE WHEN EXISTS (SELECT 1 FROM sections WHERE contains(body, k)) THEN line ELSE 'sent: ' || line END AS output FROM keyed""")
+def reference_split(spark, sf_dir):
+    rows = _keyed(spark, sf_dir)
+    cited = rows.where("k is not null").join(_sections(spark, sf_dir), F.contains("text", "k"), "left_semi").select("doc_id", "line_no", F.lit(True).alias("cited"))
+    flagged = rows.join(cited, ["doc_id", "line_no"], "left").select("doc_id", F.col("line_no").cast("long").alias("id"), F.col("line").alias("input"), F.coalesce("cited", F.lit(False)).alias("cited"))
+    return references.split_and_merge(flagged, "cited", lambda r: r.withColumn("output", F.concat(F.lit("sent: "), "input"))).select("doc_id", "id", "output")
+
+
+def _pairs(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations")
+    after = Window.partitionBy("conv_id").orderBy("turn")
+    return turns.select("conv_id", "turn", "role", F.col("text").alias("source"), F.lead("text").over(after).alias("revised")).where("role = 'user' and revised is not null")
+
+
+PAIRS = """pairs AS (SELECT * FROM (SELECT conv_id, turn, role, text AS source, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS revised FROM conversations) WHERE role = 'user' AND revised IS NOT NULL)"""
+NUMBERS = r"\d+(?:[.,]\d+)?"
+
+
+@query(rf"""WITH {PAIRS}, a AS (SELECT conv_id, turn, t, count(*) AS n FROM (SELECT conv_id, turn, unnest(regexp_extract_all(source, '{NUMBERS}')) AS t FROM pairs) GROUP BY ALL),
+b AS (SELECT conv_id, turn, t, count(*) AS n FROM (SELECT conv_id, turn, unnest(regexp_extract_all(revised, '{NUMBERS}')) AS t FROM pairs) GROUP BY ALL)
+SELECT coalesce(a.conv_id, b.conv_id) AS conv_id, coalesce(a.turn, b.turn) AS turn, coalesce(a.t, b.t) AS token, greatest(coalesce(a.n, 0) - coalesce(b.n, 0), 0)::BIGINT AS missing, greatest(coalesce(b.n, 0) - coalesce(a.n, 0), 0)::BIGINT AS extra
+FROM a FULL JOIN b ON a.conv_id = b.conv_id AND a.turn = b.turn AND a.t = b.t WHERE coalesce(a.n, 0) <> coalesce(b.n, 0)""")
+def token_multiset_diff(spark, sf_dir):
+    both = _pairs(spark, sf_dir).select("conv_id", "turn", tokens.multiset(F.col("source")).alias("a"), tokens.multiset(F.col("revised")).alias("b"))
+    both = both.withColumn("missing", tokens.minus(F.col("a"), F.col("b"))).withColumn("extra", tokens.minus(F.col("b"), F.col("a")))
+    names = both.select("conv_id", "turn", "missing", "extra", F.explode(F.array_union(F.map_keys("missing"), F.map_keys("extra"))).alias("token"))
+    return names.select("conv_id", "turn", "token", F.coalesce(F.col("missing")[F.col("token")], F.lit(0)).cast("long").alias("missing"), F.coalesce(F.col("extra")[F.col("token")], F.lit(0)).cast("long").alias("extra"))
+
+
+WORD_ROWS = "VALUES (1, 'One study and the first of two'), (2, 'none of the ones'), (3, 'Ten, tenth; second'), (4, NULL)"
+
+
+@query("SELECT id, digit, sum(n)::BIGINT AS n FROM (" + " UNION ALL ".join(f"SELECT id, '{d}' AS digit, len(regexp_extract_all(txt, '(?i)\\b{w}\\b')) AS n FROM ({WORD_ROWS}) v(id, txt)" for d, words in tokens.NUMBER_WORDS.items() for w in words) + ") GROUP BY id, digit HAVING sum(n) > 0")
+def number_word_allowance(spark, sf_dir):
+    rows = spark.sql(f"SELECT * FROM ({WORD_ROWS}) v(id, txt)")
+    return rows.select("id", F.explode(tokens.number_words(F.col("txt"))).alias("digit", "n")).withColumn("n", F.col("n").cast("long"))
+
+
+GUARDED = terms.terms_of(["heat"], {"heat": ("warmth",)})
+
+
+@query(rf"""WITH {PAIRS}, counted AS (SELECT *, list_sort(regexp_extract_all(source, '{NUMBERS}')) = list_sort(regexp_extract_all(revised, '{NUMBERS}')) AS same,
+  len(regexp_extract_all(regexp_replace(source, '<[^>]+>', '', 'g'), '(?i)\bheat\b')) AS a, len(regexp_extract_all(regexp_replace(revised, '<[^>]+>', '', 'g'), '(?i)\bheat\b')) AS b,
+  len(regexp_extract_all(regexp_replace(source, '<[^>]+>', '', 'g'), '\p{{L}}')) >= 40 AS prose, regexp_replace(lower(source), '[^\p{{L}}\p{{N}}]', '', 'g') = regexp_replace(lower(revised), '[^\p{{L}}\p{{N}}]', '', 'g') AS equal FROM pairs)
+SELECT conv_id, turn, CASE WHEN NOT same THEN 'failed: numbers, tags or placeholders differ' WHEN a <> b THEN 'failed: term heat: expected ' || a || ', found ' || b
+  WHEN a > 0 AND contains(revised, 'warmth') THEN 'failed: rejected rendering of heat' WHEN prose AND equal THEN 'failed: left untranslated' ELSE 'passed' END AS status FROM counted""")
+def guard_pairs(spark, sf_dir):
+    checked = _pairs(spark, sf_dir).withColumn("g", guards.guard(F.col("source"), F.col("revised"), F.lit("de"), F.lit("fr"), GUARDED))
+    return checked.select("conv_id", "turn", guards.status(F.col("g")).alias("status"))
+
+
+@query(ORACLE_SQL["guard_pairs"].replace("SELECT conv_id, turn, CASE", "SELECT split_part(status, ':', 1) AS status, count(*)::BIGINT AS n FROM (SELECT CASE").replace("AS status FROM counted", "AS status FROM counted) GROUP BY 1"))
+def check_histogram(spark, sf_dir):
+    return jobs.check_histogram(guard_pairs(spark, sf_dir), "status")
+
+
+REPLIES = [
+    (1, [1, 2], '```json\n[{"id": 2, "output": "b"}, {"id": 1, "output": "a"}]\n```'),
+    (2, [1], 'Here it is: [{"id": 1, "output": "x", "more": 3}] and more'),
+    (3, [1], '[{"id": 1, "output": 5}]'),
+    (4, [1], '[{"id": true, "output": "x"}]'),
+    (5, [1, 2], '[{"id": 1, "output": "x"}, {"id": 1, "output": "y"}]'),
+    (6, [1], "no array"),
+    (7, [0], '[{"id": 0.0, "output": "x"}]'),
+    (8, [1], '{"id": 1}'),
+]
+
+
+@query("SELECT * FROM (VALUES (1, 'a|b', NULL), (2, 'x', NULL), (3, NULL, 'a row without id or output'), (4, NULL, 'a row without id or output'), (5, NULL, 'other ids'), (6, NULL, 'no array'), (7, NULL, 'a row without id or output'), (8, NULL, 'no array')) v(reply_id, outputs, error)")
+def reply_parse(spark, sf_dir):
+    rows = spark.createDataFrame(REPLIES, "reply_id int, ids array<int>, reply string").withColumn("p", replies.parsed(F.col("reply"), F.col("ids")))
+    return rows.select("reply_id", F.array_join(F.transform("p.rows", lambda r: r["output"]), "|").alias("outputs"), F.col("p.error").alias("error"))
+
+
+@query("SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN b.doc_id IS NULL THEN 'missing' WHEN a.doc_id IS NULL THEN 'extra' WHEN a.n > 1 OR b.n > 1 THEN 'repeated' ELSE 'ok' END AS status FROM (SELECT doc_id, count(*) AS n FROM documents GROUP BY 1) a FULL JOIN (SELECT doc_id, count(*) AS n FROM labels GROUP BY 1) b ON a.doc_id = b.doc_id")
+def id_match(spark, sf_dir):
+    return replies.id_match(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels").select("doc_id"), "doc_id")
+
+
+def _escaped(c: str) -> str:
+    for plain, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("''", "&#x27;")):
+        c = f"replace({c}, '{plain}', '{safe}')"
+    return c
+
+
+@query(f"""WITH {SPANS}, {KEPT}, made AS (SELECT *, CASE label WHEN 'figure_text' THEN '<tr><td>' || {_escaped('text')} || '</td></tr>' WHEN 'title' THEN '<h2>' || {_escaped('text')} || '</h2>' WHEN 'caption' THEN '<figcaption>' || {_escaped('text')} || '</figcaption>' ELSE '<p>' || {_escaped('text')} || '</p>' END AS html FROM kept)
+SELECT doc_id, page_no::BIGINT AS page_no, sha256('<section id="page-' || page_no || '">' || coalesce(string_agg(html, '' ORDER BY id) FILTER (label <> 'figure_text'), '')
+  || CASE WHEN count(*) FILTER (label = 'figure_text') > 0 THEN '<details><summary>' || count(*) FILTER (label = 'figure_text') || '</summary><table>' || string_agg(html, '' ORDER BY id) FILTER (label = 'figure_text') || '</table></details>' ELSE '' END || '</section>') AS digest
+FROM made GROUP BY doc_id, page_no""")
+def html_page(spark, sf_dir):
+    rows = layout.paragraphs(_spans(spark, sf_dir)).withColumn("output", F.col("text")).withColumn("checks", F.lit("passed"))
+    return render.page_sections(rows, ["doc_id"]).select("doc_id", F.col("page_no").cast("long").alias("page_no"), F.sha2("html", 256).alias("digest"))
+
+
+@query("""WITH ranked AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations)
+SELECT conv_id, sha256(string_agg(role || chr(10) || text, chr(10) || chr(10) ORDER BY turn)) AS digest, count(*)::BIGINT AS n FROM ranked WHERE back <= 3 GROUP BY conv_id""")
+def qa_context(spark, sf_dir):
+    last = qa.recent(table(spark, sf_dir, "conversations"), "conv_id", "turn")
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("turn", F.concat_ws("\n", "role", "text").alias("t")))), lambda s: s["t"])
+    return last.groupBy("conv_id").agg(F.sha2(F.array_join(parts, "\n\n"), 256).alias("digest"), F.count("*").alias("n"))
+
+
+@query("SELECT * FROM (VALUES (1, '1,3,4,5'), (2, '1,2,3'), (3, '2,7'), (4, '3')) v(id, pages)")
+def page_spec(spark, sf_dir):
+    rows = spark.createDataFrame([(1, "1,3-5", 10), (2, None, 3), (3, " 7, 2,7 ", 7), (4, "3-3", 3)], "id int, spec string, n int")
+    return rows.select("id", F.array_join(F.transform(library.page_numbers(F.col("spec"), F.col("n")), lambda x: x.cast("string")), ",").alias("pages"))
+
+
+@query("""SELECT a.o_orderkey::VARCHAR AS asked, b.o_orderkey::VARCHAR AS key, 'order-' || b.o_orderkey AS filename FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey WHERE a.o_orderkey % 97 = 0 AND b.o_orderstatus = 'F'""")
+def attachments(spark, sf_dir):
+    """An analogue: customers are parent items, their orders the children, finished ones the PDFs; some orders are asked for."""
+    orders = table(spark, sf_dir, "orders")
+    items = orders.select(F.col("o_orderkey").cast("string").alias("key"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("parent"), F.when(F.col("o_orderstatus") == "F", "application/pdf").alias("content_type"), F.concat(F.lit("order-"), F.col("o_orderkey").cast("string")).alias("filename"))
+    return library.attachments(items, items.where("cast(key as bigint) % 97 = 0").select("key"))
+
+
+@query("SELECT * FROM (VALUES ('A', '2001', 'One', 'Hall, Ito, Lin'), ('B', NULL, 'Two', 'Group'), ('C', '1999', NULL, '')) v(key, date, title, creators)")
+def search_projection(spark, sf_dir):
+    rows = [("A", "2001", "One", [("Hall", None), ("", "Ito"), ("Lin", "x"), ("Fourth", None)]), ("B", None, "Two", [(None, "Group")]), ("C", "1999", None, [])]
+    return library.search_rows(spark.createDataFrame(rows, "key string, date string, title string, creators array<struct<lastName:string,name:string>>"))
+
+
+@query("SELECT doc_id, sha256(text) AS digest, strlen(text)::BIGINT AS n_bytes FROM documents")
+def doc_fingerprint(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("digest"), F.octet_length("text").cast("long").alias("n_bytes"))
+
+
+GLOSSARY_LINES = ["# a list", "heat flow | warm flow, hot flow,", "GPS  # an acronym", "", "heat flow", "isotope | 同位、 元素", "GPS | gps # later"]
+
+
+@query("SELECT * FROM (VALUES (0, 'heat flow', '{v1000000}', 'warm flow|hot flow', false), (1, 'GPS', '{v1000001}', 'gps', true), (2, 'isotope', '{v1000002}', '同位|元素', false)) v(ord, term, token, banned, is_acronym)")
+def glossary_parse(spark, sf_dir):
+    lines = spark.createDataFrame(list(enumerate(GLOSSARY_LINES)), "line_no int, line string")
+    return terms.parse_glossary(lines).withColumn("banned", F.array_join("banned", "|"))
+
+
+@query()
+def symbol_repairs(spark, sf_dir):
+    """Lookaround has no SQL here: tests compare it with plain Python."""
+    fixed = table(spark, sf_dir, "documents").select("doc_id", text.repair_symbols(F.col("text")).alias("r"))
+    return fixed.select("doc_id", F.col("r.n").alias("n"), F.sha2("r.text", 256).alias("digest"))
+
+
+@query("SELECT count(*)::BIGINT AS n_rows, 0::BIGINT AS n_errors, count(DISTINCT conv_id)::BIGINT AS n_batches FROM conversations")
+def model_stage(spark, sf_dir):
+    """Each conversation as a batch through a client that needs no model."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("id"), F.col("text").alias("input"))
+    done = model.translate(rows, lambda: model.reverse_words, "", ["conv_id"])
+    return done.agg(F.count("*").alias("n_rows"), F.count("error").alias("n_errors"), F.count_distinct("conv_id").alias("n_batches"))
