@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.common import stored
+from docweave.llm.common import Scratch, stored
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -16,15 +16,18 @@ def connected_components(edges: DataFrame) -> DataFrame:
     The smallest neighbours are written before they are joined, so both sides of the join are plain
     shuffles and a node with very many neighbours can be split among tasks.
     """
-    found = stored(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    scratch = Scratch(edges.sparkSession)
+    found = scratch.stored(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     while not _stars(found):
         both = found.unionByName(found.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
-        large = stored(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
-        least = stored(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        least = scratch.stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        large = scratch.stored(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        least = scratch.stored(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        found = stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
-    return found.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(found.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
+        found = scratch.stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+    roots = stored(found.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(found.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct(), "roots")
+    scratch.clear()
+    return roots
 
 
 def _stars(found: DataFrame) -> bool:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.common import bounded_batches, free_name, spans_of_rows, stored, utf8
+from docweave.llm.common import Scratch, bounded_batches, free_name, spans_of_rows, stored, utf8
 from docweave.llm.components import connected_components
 from docweave.llm.words import SPACED, mix, word_hashes
 
@@ -136,13 +136,15 @@ def near_duplicates(
     bounded_batches(docs.sparkSession)
     signed = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("tkey"), F.length(text).alias("tlen"), _signer(words, a, b)(F.col(text)).alias("s"))
     signed = stored(signed.select("doc_id", "tkey", "tlen", "s.*"), "signatures")
-    nodes = stored(signed.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.min(F.struct("tkey", "tlen", "n", "a", "b")).alias("s")).select("node", "doc_id", "copies", "s.*"), "nodes")
-    edges = _links(docs, text, nodes, words, percent)
-    roots = stored(connected_components(edges), "roots")
+    scratch = Scratch(docs.sparkSession)
+    nodes = scratch.stored(signed.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.min(F.struct("tkey", "tlen", "n", "a", "b")).alias("s")).select("node", "doc_id", "copies", "s.*"), "nodes")
+    edges = _links(docs, text, nodes, words, percent, scratch)
+    roots = connected_components(edges)
     by_root = roots.join(nodes.select("node", "doc_id"), "node").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     members = roots.join(by_root, "root").select("node", "root", "component_id")
     alone = nodes.where("copies > 1").select("node", F.col("node").alias("root"), F.col("doc_id").alias("component_id")).join(roots, "node", "left_anti")
     known = stored(members.unionByName(alone), "components")
+    scratch.clear()
     out = signed.select("doc_id", "n", "node", "tkey").join(known, "node", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select(
@@ -155,47 +157,49 @@ def near_duplicates(
     )
 
 
-def _links(docs: DataFrame, text: str, nodes: DataFrame, words: int, percent: int) -> DataFrame:
+def _links(docs: DataFrame, text: str, nodes: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame:
     """Edges a, b between nodes of which the components are those of all links that the tables meet."""
-    one = nodes.select("node", F.explode(F.concat(F.transform("a", lambda x, i: F.struct(F.lit(0).alias("side"), i.alias("i"), x.alias("h"))), F.transform("b", lambda x, i: F.struct(F.lit(1).alias("side"), i.alias("i"), x.alias("h"))))).alias("t")).select("node", "t.*")
-    shared = stored(one.groupBy("side", "i", "h").agg(F.count("*").alias("c")).where("c > 1"), "shared")
-    met = one.join(shared, ["side", "i", "h"]).groupBy("node").agg(F.collect_list(F.when(F.col("side") == 0, F.col("h"))).alias("a"), F.collect_list(F.when(F.col("side") == 1, F.col("h"))).alias("b"), F.sum("c").alias("rank"))
+    tuples = lambda c, side: F.transform(c, lambda x, i: F.xxhash64(x, i + F.lit(1000 * side)))
+    one = nodes.select("node", F.explode(F.concat(tuples("a", 0), tuples("b", 1))).alias("h"))
+    shared = scratch.stored(one.groupBy("h").agg(F.count("*").alias("c")).where("c > 1"), "shared")
+    met = one.join(shared, "h").groupBy("node").agg(F.collect_set("h").alias("met"), F.sum("c").alias("rank")).join(nodes.select("node", "n", tuples("a", 0).alias("a"), tuples("b", 1).alias("b")), "node")
+    met = met.select("node", "n", "rank", F.array_intersect("a", "met").alias("a"), F.array_intersect("b", "met").alias("b"))
     pair = F.flatten(F.transform("a", lambda x: F.transform("b", lambda y: F.xxhash64(x, y))))
-    keys = stored(met.select("node", "rank", F.explode(pair).alias("key")).join(nodes.select("node", "n"), "node"), "keys")
-    leaders = stored(keys.groupBy("key").agg(F.count("*").alias("c"), F.max(F.struct("rank", "node", "n")).alias("l")).where("c > 1").select("key", "c", F.col("l.node").alias("leader"), F.col("l.n").alias("leader_n")), "leaders")
-    buckets = stored(keys.join(leaders, "key"), "buckets")
+    keys = scratch.stored(met.select("node", "rank", "n", F.explode(pair).alias("key")), "keys")
+    leaders = scratch.stored(keys.groupBy("key").agg(F.count("*").alias("c"), F.max(F.struct("rank", "node", "n")).alias("l")).where("c > 1").select("key", "c", F.col("l.node").alias("leader"), F.col("l.n").alias("leader_n")), "leaders")
+    buckets = scratch.stored(keys.join(leaders, "key"), "buckets")
     near = (F.least("n", "leader_n") * 100 >= F.greatest("n", "leader_n") * percent) & (F.col("node") != F.col("leader"))
-    stars = stored(buckets.where(near).select("node", "leader").distinct(), "stars")
-    sets = _sets(docs, text, nodes, buckets.select("node").distinct(), words)
+    stars = scratch.stored(buckets.where(near).select("node", "leader").distinct(), "stars")
+    sets = _sets(docs, text, nodes, buckets.select("node").distinct(), words, scratch)
     size = lambda x: F.size(x)
     first = stars.join(sets, "node").withColumnRenamed("set", "own").join(sets.select(F.col("node").alias("leader"), "set"), "leader")
     both = F.size(F.array_intersect("own", "set"))
-    edges = stored(first.where(both * 100 >= (size("own") + size("set") - both) * percent).select(F.col("node").alias("a"), F.col("leader").alias("b")), "links")
-    roots = stored(connected_components(edges), "roots")
-    open_ = stored(buckets.select("key", "node", "n").join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root")), "open")
+    edges = scratch.stored(first.where(both * 100 >= (size("own") + size("set") - both) * percent).select(F.col("node").alias("a"), F.col("leader").alias("b")), "links")
+    roots = connected_components(edges)
+    open_ = scratch.stored(buckets.select("key", "node", "n").join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root")), "open")
     left = open_.groupBy("key").agg(F.count("*").alias("c"), F.sum("n").alias("weight"), F.min("root").alias("low"), F.max("root").alias("high"), F.min("node").alias("head"), F.bit_xor(F.xxhash64("node")).alias("who"))
     # two members were compared by the star; the same members under another key need no second look
-    left = stored(left.where("c > 2 and low <> high").groupBy("who", "c").agg(F.min(F.struct("key", "weight", "head")).alias("k")).select("k.*", "c"), "left")
-    rows = stored(open_.join(left, "key").select("key", "node", "n", "root", "head", "c", "weight"), "rows")
+    left = scratch.stored(left.where("c > 2 and low <> high").groupBy("who", "c").agg(F.min(F.struct("key", "weight", "head")).alias("k")).select("k.*", "c"), "left")
+    rows = scratch.stored(open_.join(left, "key").select("key", "node", "n", "root", "head", "c", "weight"), "rows")
     # buckets of a group overlap: where all that hang together fits one block, each node is moved there once
-    groups = stored(connected_components(rows.select(F.col("node").alias("a"), F.col("head").alias("b"))), "groups").withColumnRenamed("root", "group")
-    members = stored(rows.select("node", "n", "root").distinct().join(groups, "node"), "members")
-    small = stored(members.groupBy("group").agg(F.count("*").alias("c"), F.sum("n").alias("weight")).where((F.col("c") <= BLOCK_ROWS) & (F.col("weight") <= BLOCK_SHINGLES)).select("group"), "small")
+    groups = connected_components(rows.select(F.col("node").alias("a"), F.col("head").alias("b"))).withColumnRenamed("root", "group")
+    members = scratch.stored(rows.select("node", "n", "root").distinct().join(groups, "node"), "members")
+    small = scratch.stored(members.groupBy("group").agg(F.count("*").alias("c"), F.sum("n").alias("weight")).where((F.col("c") <= BLOCK_ROWS) & (F.col("weight") <= BLOCK_SHINGLES)).select("group"), "small")
     once = members.join(small, "group").select(F.hex("group").alias("key"), F.lit(0).alias("lo"), F.lit(0).alias("hi"), "node", "root")
     large = rows.join(groups, "node").join(small, "group", "left_anti").withColumn("blocks", F.greatest(F.ceil(F.col("c") / BLOCK_ROWS), F.ceil(F.col("weight") / BLOCK_SHINGLES)).cast("int"))
     large = large.withColumn("own", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = once.unionByName(large.select(F.col("key").cast("string").alias("key"), F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "node", "root")).join(sets, "node")
     more = dealt.groupBy("key", "lo", "hi").applyInArrow(_block(percent), "a binary, b binary")
-    return edges.unionByName(stored(more, "links"))
+    return edges.unionByName(scratch.stored(more, "links"))
 
 
-def _sets(docs: DataFrame, text: str, nodes: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+def _sets(docs: DataFrame, text: str, nodes: DataFrame, wanted: DataFrame, words: int, scratch: Scratch) -> DataFrame:
     """node, set (array of shingle hashes) of the wanted nodes, from one text of each."""
-    some = stored(wanted.join(nodes, "node").select("node", "tkey", "tlen"), "wanted")
+    some = scratch.stored(wanted.join(nodes, "node").select("node", "tkey", "tlen"), "wanted")
     picked = F.broadcast(some) if some.count() <= BROADCAST_NODES else some
     texts = docs.select(F.col(text).alias("text"), F.xxhash64(text).alias("tkey"), F.length(text).alias("tlen")).join(picked, ["tkey", "tlen"])
     found = texts.select("node", _setter(words)(F.col("text")).alias("set"))
-    return stored(found.groupBy("node").agg(F.first("set").alias("set")), "sets")
+    return scratch.stored(found.groupBy("node").agg(F.first("set").alias("set")), "sets")
 
 
 def _block(percent: int):
@@ -255,7 +259,7 @@ def representatives(docs: DataFrame, found: DataFrame, text: str = "text", doc_i
     key, own_id, own_key = (free_name(docs, x) for x in ("tkey", "gone_id", "gone_key"))
     keyed = docs.withColumn(key, F.xxhash64(text))
     pick = lambda a, b, how: a.join(b.withColumnsRenamed({"doc_id": own_id, "tkey": own_key}), (F.col(key) == F.col(own_key)) & F.col(f"`{doc_id}`").eqNullSafe(F.col(own_id)), how)
-    kept = pick(keyed, gone, "left_anti")
+    kept = pick(keyed, F.broadcast(gone) if gone.count() <= BROADCAST_NODES else gone, "left_anti")
     if not twice.isEmpty():
         kept = pick(kept, twice, "left_anti").unionByName(pick(kept, twice, "left_semi").dropDuplicates([key, doc_id]))
     return kept.select(docs.columns)
