@@ -10,9 +10,8 @@ Scale. Documents with the same shingle set are one node from the start. Tables h
 a tuple that nobody shares is dropped before pairs are formed. Within a bucket every member is checked
 against one leader (the member that meets most others anywhere, so usually the original of a group), never
 against all others. Buckets whose members still belong to different components afterwards get the exact
-treatment: those that hang together and fit one block (bounded by rows and by shingles) are compared there at
-once, larger ones bucket by bucket, dealt into blocks of which each meets each. Only links that join components
-leave a task. Candidates are never capped.
+treatment: they are dealt into blocks (bounded by rows and by shingles) of which each meets each, bucket by bucket or
+all buckets that hang together as one, whichever moves fewer rows. Only links that join components leave a task. Candidates are never capped.
 """
 
 from __future__ import annotations
@@ -179,20 +178,28 @@ def _links(docs: DataFrame, text: str, nodes: DataFrame, words: int, percent: in
     open_ = scratch.stored(buckets.select("key", "node", "n").join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root")), "open")
     left = open_.groupBy("key").agg(F.count("*").alias("c"), F.sum("n").alias("weight"), F.min("root").alias("low"), F.max("root").alias("high"), F.min("node").alias("head"), F.bit_xor(F.xxhash64("node")).alias("who"))
     # two members were compared by the star; the same members under another key need no second look
-    left = scratch.stored(left.where("c > 2 and low <> high").groupBy("who", "c").agg(F.min(F.struct("key", "weight", "head")).alias("k")).select("k.*", "c"), "left")
-    rows = scratch.stored(open_.join(left, "key").select("key", "node", "n", "root", "head", "c", "weight"), "rows")
-    # buckets of a group overlap: where all that hang together fits one block, each node is moved there once
+    left = left.where("c > 2 and low <> high").groupBy("who", "c").agg(F.min(F.struct("key", "weight", "head")).alias("k")).select("k.*", "c")
+    left = scratch.stored(left.withColumn("blocks", _blocks_of("c", "weight")), "left")
+    rows = scratch.stored(open_.join(left.select("key", "head"), "key").select("key", "node", "n", "root", "head"), "rows")
+    # buckets of a group overlap: they are compared as one where that moves fewer rows than bucket by bucket
     groups = connected_components(rows.select(F.col("node").alias("a"), F.col("head").alias("b"))).withColumnRenamed("root", "group")
     members = scratch.stored(rows.select("node", "n", "root").distinct().join(groups, "node"), "members")
-    small = scratch.stored(members.groupBy("group").agg(F.count("*").alias("c"), F.sum("n").alias("weight")).where((F.col("c") <= BLOCK_ROWS) & (F.col("weight") <= BLOCK_SHINGLES)).select("group"), "small")
-    once = members.join(small, "group").select(F.hex("group").alias("key"), F.lit(0).alias("lo"), F.lit(0).alias("hi"), "node", "root")
-    large = rows.join(groups, "node").join(small, "group", "left_anti").withColumn("blocks", F.greatest(F.ceil(F.col("c") / BLOCK_ROWS), F.ceil(F.col("weight") / BLOCK_SHINGLES)).cast("int"))
-    large = large.withColumn("own", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = once.unionByName(large.select(F.col("key").cast("string").alias("key"), F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "node", "root")).join(sets, "node")
+    keyed = left.join(groups.withColumnRenamed("node", "head"), "head").select("key", "group", "c", "blocks")
+    cost = keyed.groupBy("group").agg(F.sum(F.col("c") * F.col("blocks")).alias("cost"))
+    sizes = members.groupBy("group").agg(F.count("*").alias("c"), F.sum("n").alias("weight")).withColumn("blocks", _blocks_of("c", "weight"))
+    whole = scratch.stored(sizes.join(cost, "group").where(F.col("c") * F.col("blocks") <= F.col("cost")).select("group", "blocks"), "whole")
+    as_one = members.join(whole, "group").select(F.hex("group").alias("key"), "node", "root", "blocks")
+    single = rows.select("key", "node", "root").join(keyed.join(whole, "group", "left_anti").select("key", "blocks"), "key").select(F.col("key").cast("string").alias("key"), "node", "root", "blocks")
+    dealt = as_one.unionByName(single).withColumn("own", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "node", "root").join(sets, "node")
     more = dealt.groupBy("key", "lo", "hi").applyInArrow(_block(percent), "a binary, b binary")
     return edges.unionByName(scratch.stored(more, "links"))
 
 
+def _blocks_of(rows: str, weight: str):
+    return F.greatest(F.ceil(F.col(rows) / BLOCK_ROWS), F.ceil(F.col(weight) / BLOCK_SHINGLES)).cast("int")
+
+
 def _sets(docs: DataFrame, text: str, nodes: DataFrame, wanted: DataFrame, words: int, scratch: Scratch) -> DataFrame:
     """node, set (array of shingle hashes) of the wanted nodes, from one text of each."""
     some = scratch.stored(wanted.join(nodes, "node").select("node", "tkey", "tlen"), "wanted")
