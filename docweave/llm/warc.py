@@ -14,6 +14,7 @@ from __future__ import annotations
 import gzip
 import io
 import re
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -104,8 +105,8 @@ def write_record(record_type: str, url: str, date: str, headers: list[tuple[str,
 def records_of(data: bytes):
     """(fields with lower-case names, block) of each record of a WARC file, plain or gzipped by record. A record
     that is cut off at the end of the file is left out."""
-    stream = io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(data))) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
-    try:
+    for part in _members(data) if data[:2] == b"\x1f\x8b" else [data]:
+        stream = io.BytesIO(part)
         while line := stream.readline():
             if not line.startswith(b"WARC/"):
                 continue
@@ -114,8 +115,20 @@ def records_of(data: bytes):
             block = stream.read(size)
             if len(block) == size:
                 yield fields, block
-    except EOFError:
-        return
+
+
+def _members(data: bytes):
+    """The contents of the gzip members, up to one that is damaged or cut off; a record lies in one member."""
+    while data:
+        member = zlib.decompressobj(31)
+        try:
+            part = member.decompress(data)
+        except zlib.error:
+            return
+        if not member.eof:
+            return
+        yield part
+        data = member.unused_data
 
 
 def _fields(stream) -> dict[str, str]:

@@ -1,0 +1,288 @@
+import collections
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import pytest
+from conftest import rows_of
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from docweave.llm import decontaminate, html_main, host_reputation, image_copies, language_id, mixing, near_dedup, queries, secrets, sharding, warc
+from docweave.llm.common import stored, utf8
+from docweave.llm.components import connected_components
+from docweave.llm.words import ALNUM, SPACED, word_hashes
+
+SF = "/root/testdata/sf0.001"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+LOWER = str.maketrans({chr(a): chr(a + 32) for a in range(65, 91)})
+
+
+def odd_documents(spark):
+    """Nulls in every column, empty and very long texts, repeated rows, ties, more columns with clashing names."""
+    base = "the quick brown fox jumps over the lazy dog while seven wise owls watch from the old oak tree at night"
+    rows = [(1, base, "en", "a", 5), (2, base, "en", "b", 5), (2, base, "en", "b", 5), (3, None, None, None, None), (4, "", "en", "a", 0), (None, base, "en", None, 1), (None, None, None, None, None), (5, "a b", "en", "a", 3), (6, "A  B", "de", "a", 3), (7, "12 !?", "en", "c", 5), (8, " ".join(f"w{k % 900}" for k in range(60_000)), "en", "c", 1), (9, "token = 'abcdef123' " * 3, "fr", "c", 1), (10, base.replace("seven", "eight"), "en", "a", 1)]
+    return spark.createDataFrame(rows, DOCS).withColumns({"node": F.lit(1), "key": F.lit("x"), "__tkey": F.lit(2), "shard": F.lit("s"), "size": F.lit(1), "h": F.lit(0)})
+
+
+@pytest.mark.parametrize("rule,pattern", [(SPACED, r"[^\x20\x09-\x0D]+"), (ALNUM, r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")])
+def test_word_hashes_equal_regex(rule, pattern):
+    import pyarrow as pa
+
+    texts = ["", None, "A b\tÉé  x", "x" * 700_000 + " y", "\x0b\x00a\x7fb 1-2", "one two " * 90_000, "z"]
+    h, at = word_hashes(*utf8(pa.array(texts)), rule)
+    words = [re.findall(pattern, (t or "").translate(LOWER)) for t in texts]
+    assert list(np.diff(at)) == [len(w) for w in words]
+    names: dict = {}
+    for w, own in zip([x for ws in words for x in ws], h, strict=True):
+        assert names.setdefault(w, own) == own
+    assert len(set(names.values())) == len(names)
+
+
+def test_components(spark):
+    edges = [(1, 2), (2, 3), (3, 4), (9, 8), (8, 7), (5, 5), *[(100 + k, 101 + k) for k in range(20)]]
+    got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 1, 9: 7, 8: 7, 7: 7} | {k: 100 for k in range(100, 121)}
+
+
+def shingled(t, n=4):
+    w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER))
+    return frozenset(tuple(w[k : k + n]) for k in range(len(w) - n + 1)) or frozenset([tuple(w)] if w else [])
+
+
+def brute_components(docs, n=4):
+    sets = {i: shingled(t, n) for i, t in docs}
+    root = {i: i for i in sets}
+    ids = sorted(sets)
+    for x in ids:
+        for y in ids:
+            if x < y and sets[x] and 100 * len(sets[x] & sets[y]) >= 80 * len(sets[x] | sets[y]):
+                a, b = root[x], root[y]
+                root = {k: min(a, b) if v in (a, b) else v for k, v in root.items()}
+    return sets, root
+
+
+def test_near_duplicates_equal_brute_force(spark, monkeypatch):
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    rng = np.random.default_rng(3)
+    base = [f"w{k}" for k in range(80)]
+    for k in range(60):  # a group of copies with one to six words changed
+        own = list(base)
+        for p in rng.choice(80, rng.integers(1, 7), replace=False):
+            own[p] = f"x{k}_{p}"
+        docs.append((10_000 + k, " ".join(own)))
+    monkeypatch.setattr(near_dedup, "BLOCK_ROWS", 10)
+    sets, root = brute_components(docs)
+    got = near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), words=4).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in got} == {i: (len(sets[i]), root[i], root[i] == i) for i in root}
+
+
+def test_near_duplicates_of_odd_rows(spark):
+    docs = odd_documents(spark)
+    found = stored(near_dedup.near_duplicates(docs, words=4), "t")
+    assert found.count() == docs.count()
+    by = {(r["doc_id"], r["tkey"]): r for r in found.collect()}
+    assert {r["component_id"] for r in by.values() if r["doc_id"] in (1, 2) and r["n_shingles"]} == {1}
+    assert {(r["doc_id"], r["kept"]) for r in by.values() if r["doc_id"] in (5, 6)} == {(5, True), (6, False)}
+    left = near_dedup.representatives(docs, found)
+    assert left.columns == docs.columns
+    kept = sorted((r["doc_id"] or -1) for r in left.collect())
+    assert kept == [-1, 1, 3, 4, 5, 7, 8, 9, 10] or kept == [-1, 1, 3, 4, 5, 7, 8, 9]
+    assert near_dedup.near_duplicates(docs.limit(0)).count() == 0
+
+
+def brute_contamination(docs, items, size=13):
+    pattern = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    windows = collections.defaultdict(set)
+    for i, t in items:
+        w = pattern.findall((t or "").translate(LOWER))
+        n = min(size, len(w))
+        for k in range(len(w) - n + 1 if n else 0):
+            windows[tuple(w[k : k + n])].add(str(i))
+    out = []
+    for i, t in docs:
+        w, hit, found = pattern.findall((t or "").translate(LOWER)), set(), set()
+        for n in {len(x) for x in windows}:
+            for k in range(len(w) - n + 1):
+                if own := windows.get(tuple(w[k : k + n])):
+                    found |= own
+                    hit |= set(range(k, k + n))
+        out.append((i, len(w), len(hit), tuple(sorted(found))))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("block", [5_000_000, 30])
+def test_contamination_equals_brute_force(spark, block):
+    docs = odd_documents(spark).select("doc_id", "text").unionByName(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text"))
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()] + [(900, "quick Brown FOX"), (901, ""), (902, None), (903, "w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11 w12 w13 w14"), (904, "a b")]
+    got = decontaminate.contamination(docs, spark.createDataFrame(items, "item_id long, text string"), block_words=block).collect()
+    assert sorted(((r["doc_id"], r["n_words"], r["n_hit"], tuple(r["items"])) for r in got), key=str) == brute_contamination([(r["doc_id"], r["text"]) for r in docs.collect()], items)
+    assert decontaminate.contamination(docs.limit(0), spark.createDataFrame(items, "item_id long, text string")).count() == 0
+
+
+def test_proximity(spark):
+    docs = spark.createDataFrame([(1, "alpha x beta y gamma"), (2, "alpha " + "x " * 30 + "beta gamma"), (3, "gamma")], "doc_id long, text string")
+    got = decontaminate.proximity_matches(stored(decontaminate.build_index(docs), "t"), [(7, "gamma beta alpha")], within=5).collect()
+    assert [(r["doc_id"], r["item_id"]) for r in got] == [("1", "7")]
+
+
+def test_language_accuracy_and_odd_rows(spark):
+    sf = SF.replace("0.001", "0.01")
+    got = queries.op8_language_id(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").toPandas()
+    held = got[got.held_out]
+    assert len(held) > 200 and (held.lang_pred == held.lang).mean() > 0.98 and not got.rejected.any()
+    assert all(zlib.crc32(str(i).encode()) % 3 == 1 for i in held.doc_id)
+    docs = odd_documents(spark)
+    model = language_id.train(spark.read.parquet(f"{sf}/documents.parquet"))
+    out = docs.select("text", language_id.predictor(docs, model)(F.col("text")).alias("p")).collect()
+    for r in out:
+        assert (r["p"]["lang"] == "und") == (not any(c.isalpha() for c in r["text"] or "")) and 0 <= r["p"]["score"] <= 1
+    strange = spark.createDataFrame([("漢字仮名交じり文の例です。" * 20,), ("zqxj kvwq xzzq qqxk " * 30,)], "text string")
+    assert all(r[0] for r in strange.select(language_id.predictor(strange, model)(F.col("text"))["rejected"]).collect())
+    assert language_id.train(docs.limit(0)) is None
+    assert {r[0]["lang"] for r in docs.select(language_id.predictor(docs, None)(F.col("text"))).collect()} == {"und"}
+
+
+def test_kneser_ney_sums_to_one():
+    g, c = np.unique(language_id._codes(["the cat sat on the mat, the end", "a cat"])[0], return_counts=True)
+    m = language_id._KneserNey(g, c, len(np.unique(g & language_id._MASK[1])))
+    letters = np.unique(g & language_id._MASK[1])
+    context = g[0] >> np.uint64(16)
+    assert m.p(4, (context << np.uint64(16)) | letters).sum() == pytest.approx(1)
+
+
+def test_mixing_of_odd_rows(spark):
+    docs = odd_documents(spark)
+    rows = mixing.mix(docs).collect()
+    assert len(rows) == docs.count() and all(0 <= r["copies"] <= 3 for r in rows)
+    total = sum(r["size"] for r in rows)
+    assert sum({r["source"]: r["target"] for r in rows}.values()) == pytest.approx(total)
+    assert mixing.mixed(docs).columns == docs.columns and mixing.mixed(docs).count() == sum(r["copies"] for r in rows)
+    assert mixing.mix(docs.limit(0)).count() == 0
+
+
+def test_sharding_laws(spark):
+    docs = odd_documents(spark)
+    for frame, leaves in ((docs, 3), (spark.read.parquet(f"{SF}/documents.parquet"), 8), (docs.limit(0), 8)):
+        rows = sharding.text_tree(frame, leaves=leaves, keep={"doc_id": F.col("doc_id")}).slotted().collect()
+        assert len(rows) == frame.count()
+        slots = collections.defaultdict(list)
+        for r in rows:
+            slots[r["shard"]].append(r["slot"])
+        assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    placed = sharding.text_tree(docs, leaves=3).assigned(docs)
+    assert placed.count() == docs.count() and set(placed.columns) == set(docs.columns)
+    copies = spark.createDataFrame([(k, "same text") for k in range(4000)], "doc_id long, text string")
+    sizes = collections.Counter(r["shard"] for r in sharding.text_tree(copies, leaves=4, keep={"doc_id": F.col("doc_id")}).slotted().collect())
+    assert max(sizes.values()) - min(sizes.values()) <= 4
+    assert {r["shard"] for r in sharding.text_tree(docs, target_bytes=10**9, keep={}).slotted().collect()} == {0}
+
+
+def test_secrets_and_ledger(spark, tmp_path):
+    docs, ledger = odd_documents(spark), f"file://{tmp_path}/ledger"
+    first = secrets.scan(docs, ledger, secrets.BASE_RULES)
+    assert first.count() == docs.count()
+    n = spark.read.parquet(ledger).count()
+    assert n == docs.select("text").na.fill("").distinct().count() * 3
+    again = secrets.scan(docs, ledger, secrets.BASE_RULES)
+    assert spark.read.parquet(ledger).count() == n and rows_of(again.select("doc_id", F.to_json("findings").alias("f")).toPandas()) == rows_of(first.select("doc_id", F.to_json("findings").alias("f")).toPandas())
+    secrets.scan(docs, ledger, secrets.BASE_RULES + secrets.MORE_RULES[:1])
+    assert spark.read.parquet(ledger).count() == n + n // 3
+    found = {r["doc_id"]: [(f["kind"], f["start"], f["end"]) for f in r["findings"]] for r in first.collect()}
+    assert found[9] == [("assign", k, k + 18) for k in (0, 20, 40)] and found[3] == []
+    texts = ["AKIA" + "A" * 16, "AKIA" + "A" * 15, "éTOKEN:\"secret=abcdef\" " + "0" * 24, "api_key = short", "api-key=abcdefgh", "tokeN=éabcdef"]
+    got = secrets.scan(spark.createDataFrame([(t,) for t in texts], "text string"), secrets.fresh_ledger(spark), secrets.BASE_RULES).collect()
+    assert {r["text"]: [f["kind"] for f in r["findings"]] for r in got} == dict(zip(texts, (["access"], [], ["assign", "hex"], [], [], [])))
+
+
+def test_urls(spark):
+    urls = ["HTTP://EX.Example.COM/en/7?x", "https://a.net?q=/de/", "x://example.net/de/8#f", None, "no url", "a://b://c/d", "x://com/en/", "x://notexample.com/en/7", "x://org/es/", "x://É.org/es/é"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id int, url string").withColumn("host", F.lit("clash"))
+    got = {r["page_id"]: r for r in host_reputation.judged(pages, queries.URL_RULES).collect()}
+    assert [(r["host"], r["path"], r["rule"]) for _, r in sorted(got.items())] == [("ex.example.com", "/en/7", "example.com/en/7"), ("a.net", "", None), ("example.net", "/de/8", "example.net/de/8"), ("", "", None), ("", "", None), ("b:", "//c/d", None), ("com", "/en/", "com/en/"), ("notexample.com", "/en/7", "com/en/"), ("org", "/es/", "org/es/"), ("É.org", "/es/é", "org/es/")]
+    assert {r["verdict"] for r in got.values()} <= {"allow", "block"}
+    assert host_reputation.judged(pages.limit(0), queries.URL_RULES).count() == 0
+    labelled = spark.createDataFrame([("a.x.com", 1)] * 30 + [("b.x.com", 1)] * 25 + [("c.y.org", 0)] * 40 + [("d.y.org", None)], "host string, bad int")
+    rates = {r["host"]: r["bad_rate"] for r in host_reputation.posterior(spark.createDataFrame([(h,) for h in ("a.x.com", "new.x.com", "new.y.org", "q")], "host string"), host_reputation.reputation(labelled)).collect()}
+    assert rates["a.x.com"] > rates["new.x.com"] > rates["q"] > rates["new.y.org"]
+
+
+def test_html(spark):
+    frame = " ".join(f"menu{k}" for k in range(20))
+    pages = [(k, "u", f"<body><div>{frame}</div><p>p{k} q{k} r{k} words</p></body>") for k in range(4)] + [(10, None, None), (11, "u", ""), (12, "u", "<article><header><h1>T&eacute;</h1></header><p>a<b>b</b>\n c<br>d<p>x &lt;i&gt;<aside>no</aside><div class='comments'>no</div></article><footer>no"), (13, "u", "<main><p>long " + "word " * 50_000 + "</main>")]
+    table = spark.createDataFrame(pages, "page_id int, url string, html string").withColumn("host", F.lit(1)).withColumn("blocks", F.lit(2))
+    got = {r["page_id"]: r["text"] for r in html_main.extract(table, ("page_id", "url"), host=F.col("url")).collect()}
+    assert [got[k] for k in range(4)] == [f"p{k} q{k} r{k} words" for k in range(4)]
+    assert (got[10], got[11], got[12]) == ("", "", "Té\n\nab c d\n\nx <i>") and len(got[13]) == 5 + 250_000 - 1
+    assert html_main.extract(table.limit(0), ("page_id",)).count() == 0
+
+
+def test_repeated_runs_equal_brute_force():
+    rng = np.random.default_rng(5)
+    words, page = rng.integers(0, 4, 600).astype(np.uint64), np.sort(rng.integers(0, 12, 600))
+    want = np.zeros(600, bool)
+    pages = collections.defaultdict(set)
+    at = [k for k in range(597) if page[k] == page[k + 3]]
+    for k in at:
+        pages[tuple(words[k : k + 4])].add(page[k])
+    for k in at:
+        if len(pages[tuple(words[k : k + 4])]) >= 3:
+            want[k : k + 4] = True
+    assert (html_main.repeated(words, page, 4, 3) == want).all()
+
+
+def test_warc(spark, tmp_path):
+    date = "2024-01-01T00:00:{:02d}Z"
+    http = b"HTTP/1.1 200 OK\r\nETag: \"e\"\r\nContent-Type: text/html\r\nServer: s\r\n\r\nbody"
+    data = warc.write_record("warcinfo", "x", date.format(0), [], b"i", "<0>") + warc.write_record("response", "http://www.A.com/p/?b=1&utm_source=z&a=2#f", date.format(1), [], http, "<1>")
+    data += warc.write_record("revisit", "https://a.com:443/p?a=2&b=1", date.format(2), [], b"HTTP/1.1 304 Not Modified\r\nETag: W/\"e\"\r\nServer: t\r\nContent-Type: x\r\n\r\n", "<2>")
+    data += warc.write_record("revisit", "a.com/p?a=2&b=1", date.format(3), [], b"HTTP/1.1 304 N\r\nETag: \"other\"\r\n\r\n", "<3>") + warc.write_record("revisit", "a.com/q", date.format(3), [], b"HTTP/1.1 304 N\r\n\r\n", "<4>")
+    (tmp_path / "a.warc.gz").write_bytes(data + b"\x1f\x8b")
+    captures = stored(warc.read_warc(spark, f"file://{tmp_path}/a.warc.gz"), "t")
+    assert captures.where("record_id = '<1>'").first()["payload"] == b"body"
+    got = {r["record_id"]: r for r in warc.resolve_revisits(captures, parts=3).collect()}
+    assert {k: (r["resolution"], r["refers_to"]) for k, r in got.items()} == {"<0>": ("other", None), "<1>": ("full", None), "<2>": ("resolved", "<1>"), "<3>": ("validator_mismatch", "<1>"), "<4>": ("no_earlier", None)}
+    assert got["<2>"]["headers"] == {"etag": 'W/"e"', "content-type": "text/html", "server": "t"}
+    rng = np.random.default_rng(1)
+    rows = [(f"{k:03d}", "a.com" if rng.random() < 0.6 else None if rng.random() < 0.2 else "b.com", int(rng.integers(0, 60)), "response" if rng.random() < 0.3 else "revisit", str(rng.integers(0, 2))) for k in range(300)]
+    frame = spark.createDataFrame(rows, "record_id string, url string, ts long, type string, tag string").select("record_id", "url", F.timestamp_seconds("ts").alias("ts"), "type", F.lit(None).cast("int").alias("status"), F.create_map(F.lit("etag"), "tag").alias("headers"))
+    for r in warc.resolve_revisits(frame, parts=7).where("type = 'revisit' and canonical is not null").collect():
+        own = next(x for x in rows if x[0] == r["record_id"])
+        before = max(((x[2], x[0], x[4]) for x in rows if x[1] == own[1] and x[3] == "response" and (x[2], x[0]) < (own[2], own[0])), default=None)
+        assert (r["resolution"], r["refers_to"]) == (("no_earlier", None) if before is None else ("resolved" if before[2] == own[4] else "validator_mismatch", before[1]))
+    assert warc.resolve_revisits(frame.limit(0)).count() == 0
+
+
+def test_images(spark, monkeypatch):
+    vectors = spark.createDataFrame([(k, [float(k % 30 + 1), 2.0]) for k in range(40)] + [(None, None)], "vec_id long, embedding array<float>")
+    drawn = stored(image_copies.rendered(vectors), "t")
+    asked = drawn.where("id < 8").select(F.col("edited").alias("image"))
+    images = drawn.select(F.col("original").alias("image")).unionByName(spark.createDataFrame([(bytearray(b"x"),)], "image binary"))
+    digest = lambda b: hashlib.sha256(b).digest()
+    rows = {r["id"]: r for r in drawn.collect() if r["original"]}
+    want = {(digest(bytes(rows[k]["edited"])), digest(bytes(rows[k]["original"]))) for k in range(8)}
+    for block in (150_000, 100):
+        monkeypatch.setattr(image_copies, "BLOCK_CODES", block)
+        assert {(bytes(r["query_class"]), bytes(r["class"])) for r in image_copies.copies(images, asked).collect()} == want
+    assert image_copies.copies(images.limit(0), asked).count() == 0
+
+
+def test_queries_equal_sql(spark, duck):
+    for name, sql in queries.ORACLE_SQL.items():
+        got, want = queries.QUERIES[name](spark, SF.replace("0.001", "0.01")).toPandas(), duck.sql(sql).df()
+        assert rows_of(got) == rows_of(want)
+
+
+def test_pipeline_stages(spark):
+    docs = odd_documents(spark).drop("shard")
+    for frame in (docs, docs.limit(0)):
+        own = frame
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            before, own = own, stored(stage(spark, own, SF), "t")
+            assert own.columns == frame.columns
+            assert own.exceptAll(before).select("doc_id").subtract(before.select("doc_id")).count() == 0
+        last = corpus_pipeline.sharded(spark, own, SF)
+        assert last.count() == own.count()
+    full = corpus_pipeline.run(spark, SF)
+    assert full.count() > 0 and "shard" in full.columns
