@@ -42,15 +42,22 @@ def longest_first(terms: list[Term]) -> list[Term]:
     return sorted(terms, key=lambda t: -len(t.text))
 
 
-def protect(c: Column, terms: list[Term]) -> Column:
-    """Terms replaced by their tokens, the longest first; an error if a token is there already."""
+def has_token(c: Column, terms: list[Term]) -> Column:
     found = F.lit(False)
     for t in terms:
         found = found | F.contains(c, F.lit(t.token))
-    out = c
+    return found
+
+
+def replaced(c: Column, terms: list[Term]) -> Column:
     for t in longest_first(terms):
-        out = F.regexp_replace(out, t.pattern, _replacement(t.token))
-    return F.when(found, F.raise_error(F.lit("the text has a glossary token already"))).otherwise(out)
+        c = F.regexp_replace(c, t.pattern, _replacement(t.token))
+    return c
+
+
+def protect(c: Column, terms: list[Term]) -> Column:
+    """Terms replaced by their tokens, the longest first; an error if a token is there already."""
+    return F.when(has_token(c, terms), F.raise_error(F.lit("the text has a glossary token already"))).otherwise(replaced(c, terms))
 
 
 def restore(c: Column, terms: list[Term]) -> Column:

@@ -16,6 +16,23 @@ def in_references(plain: Column, section: Column) -> Column:
     return F.coalesce(F.contains(section, search_key(plain)), F.lit(False))
 
 
+#: Keys have GRAM to WINDOW characters (see search_key); sections are cut into blocks of BLOCK first places.
+GRAM, WINDOW, BLOCK = 12, 60, 4096
+
+
+def containing(keys: DataFrame, sections: DataFrame, section: str, key: str = "k", text: str = "text") -> DataFrame:
+    """key, section: each distinct search key with each section whose text contains it.
+
+    An equi-join in place of a comparison of all pairs: every place of a text is a window that starts with GRAM characters,
+    keys meet the windows that start as they do, and stay where the window goes on as they do. Null keys meet nothing."""
+    asked = keys.where(F.col(key).isNotNull()).select(key).distinct().withColumn("gram", F.left(key, F.lit(GRAM)))
+    cut = lambda c, step, width: F.transform(F.sequence(F.lit(0), F.floor((F.length(c) - 1) / step).cast("int")), lambda k: F.substr(c, k * step + 1, F.lit(width)))
+    blocks = sections.where(F.length(text) >= GRAM).select(section, F.explode(cut(F.col(text), BLOCK, BLOCK + WINDOW - 1)).alias("block"))
+    places = F.transform(F.sequence(F.lit(1), F.least(F.length("block"), F.lit(BLOCK))), lambda k: F.substr(F.col("block"), k, F.lit(WINDOW)))
+    windows = blocks.select(section, F.explode(places).alias("window")).where(F.length("window") >= GRAM).withColumn("gram", F.left("window", F.lit(GRAM)))
+    return asked.join(windows, "gram").where(F.startswith("window", F.col(key))).select(key, section).distinct()
+
+
 def split_and_merge(rows: DataFrame, flag: str, send, key: str = "id") -> DataFrame:
     """Rows whose flag is true keep `input` as `output`; the others go through send (DataFrame to DataFrame with output)."""
     kept = rows.where(F.col(flag)).withColumn("output", F.col("input"))

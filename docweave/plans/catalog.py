@@ -201,16 +201,18 @@ def _keyed(spark, sf_dir):
 
 @query(f"WITH {LINES}, {HITS} SELECT doc_id, line_no::BIGINT AS line_no, section::BIGINT AS section FROM keyed JOIN sections ON contains(body, k)")
 def reference_hits(spark, sf_dir):
-    # the sections are the broadcast side as long as the planner finds them small; each line meets each section once
-    found = _keyed(spark, sf_dir).where("k is not null").join(_sections(spark, sf_dir), F.contains("text", "k"))
+    lines = _keyed(spark, sf_dir).where("k is not null")
+    found = lines.join(references.containing(lines, _sections(spark, sf_dir), "section"), "k")
     return found.select("doc_id", F.col("line_no").cast("long").alias("line_no"), "section")
 
 
 @query(f"""WITH {LINES}, {HITS} SELECT doc_id, line_no::BIGINT AS id, CASE WHEN EXISTS (SELECT 1 FROM sections WHERE contains(body, k)) THEN line ELSE 'sent: ' || line END AS output FROM keyed""")
 def reference_split(spark, sf_dir):
     rows = _keyed(spark, sf_dir)
-    cited = rows.where("k is not null").join(_sections(spark, sf_dir), F.contains("text", "k"), "left_semi").select("doc_id", "line_no", F.lit(True).alias("cited"))
-    flagged = rows.join(cited, ["doc_id", "line_no"], "left").select("doc_id", F.col("line_no").cast("long").alias("id"), F.col("line").alias("input"), F.coalesce("cited", F.lit(False)).alias("cited"))
+    cited = references.containing(rows, _sections(spark, sf_dir), "section").select("k").distinct().withColumn("cited", F.lit(True))
+    # lines without a key get one that nothing has, each its own, or all of them would meet in one task
+    keyed = rows.withColumn("k", F.coalesce("k", F.concat_ws("-", F.col("doc_id").cast("string"), F.col("line_no").cast("string"), F.lit(""))))
+    flagged = keyed.join(cited, "k", "left").select("doc_id", F.col("line_no").cast("long").alias("id"), F.col("line").alias("input"), F.coalesce("cited", F.lit(False)).alias("cited"))
     return references.split_and_merge(flagged, "cited", lambda r: r.withColumn("output", F.concat(F.lit("sent: "), "input"))).select("doc_id", "id", "output")
 
 
