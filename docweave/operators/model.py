@@ -19,18 +19,25 @@ def reverse_words(system: str, user: str) -> str:
     return json.dumps([{"id": r["id"], "output": " ".join(reversed(r["input"].split()))} for r in json.loads(user)], ensure_ascii=False)
 
 
-def _ask(client: ChatClient, system: str, rows: list[dict]) -> dict[int, str]:
-    reply = client(system, json.dumps(rows, ensure_ascii=False))
+def echo(system: str, user: str) -> str:
+    """A client without a model that leaves every input (or draft) as it is."""
+    asked = json.loads(user)
+    rows = [(r["id"], r["output"]) for r in asked["draft"]] if isinstance(asked, dict) else [(r["id"], r["input"]) for r in asked]
+    return json.dumps([{"id": i, "output": t} for i, t in rows], ensure_ascii=False)
+
+
+def ask(client: ChatClient, system: str, user: list | dict, ids: list[int]) -> dict[int, str]:
+    """The client's outputs by id. ValueError unless the reply's first array has a string for each of ids, once, and no others."""
+    reply = client(system, json.dumps(user, ensure_ascii=False))
     start = reply.find("[")
     if start < 0:
         raise ValueError("no array")
-    found = json.JSONDecoder().raw_decode(reply[start:])[0]
     out = {}
-    for r in found:
+    for r in json.JSONDecoder().raw_decode(reply[start:])[0]:
         if not isinstance(r, dict) or type(r.get("id")) is not int or not isinstance(r.get("output"), str) or r["id"] in out:
             raise ValueError("a row without id or output, or twice")
         out[r["id"]] = r["output"]
-    if out.keys() != {r["id"] for r in rows}:
+    if sorted(out) != sorted(ids):
         raise ValueError("other ids")
     return out
 
@@ -44,13 +51,13 @@ def translate(batches: DataFrame, connect: Callable[[], ChatClient], system: str
         rows = [{"id": int(i), "input": t} for i, t in zip(pdf["id"], pdf["input"], strict=True)]
         answers, errors = {}, {}
         try:
-            answers = _ask(client, system, rows)
+            answers = ask(client, system, rows, [r["id"] for r in rows])
         except (ValueError, RuntimeError, TypeError) as whole:
             for r in rows:
                 try:
                     if len(rows) == 1:
                         raise whole
-                    answers |= _ask(client, system, [r])
+                    answers |= ask(client, system, [r], [r["id"]])
                 except (ValueError, RuntimeError, TypeError) as e:
                     errors[r["id"]] = f"error: {e}"
         return pdf.assign(output=[answers.get(r["id"], "") for r in rows], error=[errors.get(r["id"]) for r in rows])

@@ -34,3 +34,40 @@ def id_match(requested: DataFrame, replied: DataFrame, key: str) -> DataFrame:
     b = replied.groupBy(key).agg(F.count("*").alias("got"))
     how = F.when(F.col("got").isNull(), "missing").when(F.col("asked").isNull(), "extra").when((F.col("got") > 1) | (F.col("asked") > 1), "repeated").otherwise("ok")
     return a.join(b, key, "full_outer").select(key, how.alias("status"))
+
+
+def strict_error(value: Column, ids: Column) -> Column:
+    """What is wrong with a batch (JSON text, an array of objects): their number, repeated or other ids, or keys that are
+    not just id and output; null if nothing is."""
+    items = F.try_variant_get(F.try_parse_json(value), "$", "array<variant>")
+    keys = F.transform(items, lambda v: F.array_sort(F.json_object_keys(F.to_json(v))))
+    own = F.transform(items, lambda v: F.try_variant_get(v, "$.id", "long"))
+    wanted = F.transform(ids, lambda i: i.cast("long"))
+    error = F.when(items.isNull(), "no array").when(F.size(items) != F.size(ids), "another number of rows").when(F.size(F.array_distinct(own)) != F.size(own), "repeated ids")
+    error = error.when(F.array_sort(own) != F.array_sort(wanted), "other ids")
+    return error.when(F.exists(keys, lambda k: ~F.coalesce(k == F.array(F.lit("id"), F.lit("output")), F.lit(False))), "other keys")
+
+
+def after_marker(prompt: Column, marker: str) -> Column:
+    """What follows the marker's first occurrence, stripped; the whole prompt if it isn't there."""
+    at = F.instr(prompt, marker)
+    return F.when(at > 0, F.regexp_replace(F.substr(prompt, at + len(marker)), r"(?U)\A\s+|\s+\z", "")).otherwise(prompt)
+
+
+INPUTS = "array<struct<id:bigint,input:string>>"
+
+
+def embedded(prompt: Column, marker: str) -> Column:
+    """The batch that a prompt has after the marker, as INPUTS; null if there is none or it is malformed: the prompt is then
+    to be passed on as it is."""
+    items = F.when(F.instr(prompt, marker) > 0, F.try_variant_get(F.try_parse_json(after_marker(prompt, marker)), "$", "array<variant>"))
+    bad = F.exists(items, lambda v: F.coalesce(F.schema_of_variant(F.try_variant_get(v, "$.input", "variant")) != "STRING", F.lit(True)))
+    rows = F.transform(items, lambda v: F.struct(F.try_variant_get(v, "$.id", "long").alias("id"), F.try_variant_get(v, "$.input", "string").alias("input")))
+    return F.when(~bad, rows)
+
+
+def merged(reply: Column, kept: Column) -> Column:
+    """reply (JSON rows) and kept (array of struct(id, output)) as JSON by id; a malformed reply stays as it is."""
+    rows = F.try_variant_get(F.try_parse_json(reply), "$", "array<struct<id:bigint,output:string>>")
+    bad = rows.isNull() | F.exists(rows, lambda r: r["id"].isNull() | r["output"].isNull())
+    return F.when(bad, reply).otherwise(F.to_json(F.array_sort(F.concat(rows, kept))))

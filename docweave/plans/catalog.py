@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docweave.functions import terms, text, tokens
-from docweave.operators import batching, guards, jobs, layout, model, references, render, replies
-from docweave.sources import library
+from docweave.functions import script, terms, text, tokens
+from docweave.operators import audit, batching, guards, jobs, layout, model, references, render, replies, translate
+from docweave.sources import library, pdf
 from docweave.streaming import qa
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -357,3 +357,87 @@ def model_stage(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("id"), F.col("text").alias("input"))
     done = model.translate(rows, lambda: model.reverse_words, "", ["conv_id"])
     return done.agg(F.count("*").alias("n_rows"), F.count("error").alias("n_errors"), F.count_distinct("conv_id").alias("n_batches"))
+
+
+ECHO_TERMS = terms.terms_of(["heat"])
+
+
+@query(r"""SELECT conv_id, turn AS id, sha256(lower(text)) AS output, CASE WHEN len(regexp_extract_all(regexp_replace(text, '<[^>]+>', '', 'g'), '\p{L}')) >= 40 THEN 'failed: left untranslated' ELSE 'passed' END AS checks FROM conversations""")
+def translation_stage(spark, sf_dir):
+    """Drafts and reviews by a client that changes nothing, so that what should have been translated fails its guard."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("id"), F.col("text").alias("source"))
+    done = translate.translated(rows, lambda: model.echo, ["conv_id"], ECHO_TERMS, "de", "fr")
+    return done.select("conv_id", "id", F.sha2(F.lower("output"), 256).alias("output"), "checks")
+
+
+@query("SELECT * FROM (VALUES (1, '漢語與書', '汉语与书'), (2, 'abc', 'abc'), (3, NULL, NULL)) v(id, traditional, simplified)")
+def script_conversion(spark, sf_dir):
+    rows = spark.createDataFrame([(1, "汉语与书"), (2, "abc"), (3, None)], "id int, t string")
+    to = rows.select("id", script.convert_script(F.col("t"), "zh-TW").alias("traditional"))
+    return to.withColumn("simplified", script.convert_script(F.col("traditional"), "zh-CN"))
+
+
+@query(r"""SELECT doc_id, list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z]+-[a-z]+'))).list_aggregate('string_agg', ' ') AS compounds FROM documents WHERE regexp_matches(lower(text), '[a-z]+-[a-z]+')""")
+def compound_words(spark, sf_dir):
+    found = layout.compounds(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return found.select("doc_id", F.array_join("compounds", " ").alias("compounds"))
+
+
+@query(f"WITH {SPANS} SELECT doc_id, block_no::BIGINT AS block_no, round(x0 / 595 * 10000)::BIGINT AS l, round(y0 / 842 * 10000)::BIGINT AS t, round((x1 - x0) / 595 * 10000)::BIGINT AS w, round((y1 - y0) / 842 * 10000)::BIGINT AS h FROM spans")
+def percent_boxes(spark, sf_dir):
+    rows = _spans(spark, sf_dir).select("doc_id", F.col("block_no").cast("long").alias("block_no"), *layout.percent_box())
+    return rows.select("doc_id", "block_no", *[F.round(F.col(c) * 100).cast("long").alias(c[0]) for c in ("left", "top", "width", "height")])
+
+
+@query(rf"""WITH {SPANS}, pages AS (SELECT doc_id, page_no, string_agg(text, chr(10) ORDER BY block_no) AS t FROM spans GROUP BY 1, 2)
+SELECT doc_id, count(*)::BIGINT AS n_pages, coalesce(string_agg(page_no::VARCHAR, ',' ORDER BY page_no) FILTER (length(regexp_replace(t, '^\s+|\s+$', '', 'g')) < 30), '') AS low_text FROM pages GROUP BY 1""")
+def low_text_pages(spark, sf_dir):
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("block_no", "text"))), lambda s: s["text"])
+    pages = _spans(spark, sf_dir).groupBy("doc_id", "page_no").agg(F.array_join(ordered, "\n").alias("text"))
+    return pdf.low_text_pages(pages, ["doc_id"]).select("doc_id", "n_pages", F.array_join(F.transform("low_text", lambda p: p.cast("string")), ",").alias("low_text"))
+
+
+@query("SELECT * FROM (VALUES ('a', NULL), ('b', 'not a PDF'), ('c', 'encrypted'), ('d', 'empty file')) v(path, problem)")
+def pdf_preflight(spark, sf_dir):
+    rows = [("a", b"%PDF-1.7 ..."), ("b", b"<html>"), ("c", b"%PDF-1.4 /Encrypt 5 0 R"), ("d", b"")]
+    return pdf.preflight(spark.createDataFrame([(p, bytearray(c)) for p, c in rows], "path string, content binary")).select("path", "problem")
+
+
+@query("SELECT source, sha256(string_agg(sha256(text), '' ORDER BY doc_id)) AS digest, sum(strlen(text))::BIGINT AS n_bytes FROM documents GROUP BY source")
+def ordered_digest(spark, sf_dir):
+    files = table(spark, sf_dir, "documents").select("source", "doc_id", F.sha2("text", 256).alias("d"), F.octet_length("text").alias("n"))
+    return audit.ordered_digest(files, ["source"], "doc_id", "d", "n")
+
+
+@query(f"""WITH told AS ({ORACLE_SQL["translation_stage"]}) SELECT 'failed batches' AS gate, count(DISTINCT conv_id) FILTER (checks <> 'passed')::BIGINT AS n FROM told
+UNION ALL SELECT 'any output', bool_or(output IS NOT NULL)::BIGINT FROM told UNION ALL SELECT 'any error', bool_or(checks <> 'passed')::BIGINT FROM told""")
+def job_gates(spark, sf_dir):
+    done = translation_stage(spark, sf_dir)
+    gates = audit.gates(done).select(F.explode(F.array(F.struct(F.lit("any output").alias("gate"), F.col("any_output").cast("long").alias("n")), F.struct(F.lit("any error").alias("gate"), F.col("any_error").cast("long").alias("n")))).alias("g")).select("g.*")
+    return audit.failed_batches(done, "conv_id").select(F.lit("failed batches").alias("gate"), F.col("n_failed").alias("n")).unionByName(gates)
+
+
+@query(f"""WITH {LINES}, {HITS} SELECT count(*)::BIGINT AS n_lines, count(DISTINCT s)::BIGINT AS n_texts FROM keyed WHERE EXISTS (SELECT 1 FROM sections WHERE contains(body, k))""")
+def skipped_references(spark, sf_dir):
+    rows = _keyed(spark, sf_dir)
+    cited = rows.join(references.containing(rows, _sections(spark, sf_dir), "section").select("k").distinct(), "k")
+    return cited.agg(F.count("*").alias("n_lines"), F.count_distinct("s").alias("n_texts"))
+
+
+@query("SELECT * FROM (VALUES (1, ''), (2, 'model,size'), (3, 'size')) v(id, changed)")
+def config_drift(spark, sf_dir):
+    rows = [(1, {"model": "a", "size": "1"}, {"model": "a", "size": "1"}), (2, {"model": "a"}, {"model": "b", "size": "2"}), (3, {"size": None}, {"size": "1"})]
+    found = spark.createDataFrame(rows, "id int, old map<string,string>, new map<string,string>")
+    return found.select("id", F.array_join(audit.drift(F.col("old"), F.col("new")), ",").alias("changed"))
+
+
+MARKED = [(1, 'Do this. INPUT: [{"id": 1, "input": "a"}, {"id": 2, "input": "b"}] '), (2, "INPUT: [{"), (3, "nothing"), (4, 'INPUT: [{"id": 1, "input": 5}]')]
+
+
+@query("SELECT * FROM (VALUES (1, '1=a|2=b', '[{\"id\":1,\"output\":\"A\"},{\"id\":3,\"output\":\"kept\"}]', 'other keys'), (2, NULL, 'sorry', 'no array'), (3, NULL, 'sorry', 'no array'), (4, NULL, 'sorry', 'no array')) v(id, inputs, merged, problem)")
+def embedded_batches(spark, sf_dir):
+    kept = F.array(F.struct(F.lit(3).cast("long").alias("id"), F.lit("kept").alias("output")))
+    rows = spark.createDataFrame(MARKED, "id int, prompt string").withColumn("reply", F.when(F.col("id") == 1, '[{"id": 1, "output": "A"}]').otherwise("sorry"))
+    found = F.transform(replies.embedded(F.col("prompt"), "INPUT:"), lambda r: F.concat_ws("=", r["id"].cast("string"), r["input"]))
+    problem = replies.strict_error(F.replace("reply", F.lit('"A"'), F.lit('"A", "more": 1')), F.array(F.lit(1)))
+    return rows.select("id", F.array_join(found, "|").alias("inputs"), replies.merged(F.col("reply"), kept).alias("merged"), problem.alias("problem"))
