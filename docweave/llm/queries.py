@@ -3,6 +3,7 @@ derives the result columns of its contract. ORACLE_SQL has the same results in D
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,6 +35,33 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(joined(of(base)), 256).alias("base_sha256"), joined("findings").alias("spans"))
 
 
+def _secrets_sql() -> str:
+    """Each match is looked for from the end of the one before: its text cannot occur between the two, or the pattern would have
+    matched there. Letters in either case are spelled out, for RE2 folds some that aren't ASCII."""
+    either = lambda p: re.sub("[a-z]", lambda m: f"[{m[0].upper()}{m[0]}]", p[: p.index(")")]) + p[p.index(")") :]  # noqa: E731  # the key words, the first group
+    rules = [(k, r, (either(r.pattern) if r.any_case else r.pattern).replace("'", "''")) for k, r in enumerate(secrets.BASE_RULES + secrets.MORE_RULES)]
+    kinds = [f"SELECT doc_id, {k} AS rank, '{r.kind}' AS kind, text, regexp_extract_all(text, '{p}') AS m FROM texts" for k, r, p in rules]
+    sizes = " ".join(f"WHEN {k} THEN length(regexp_extract(hit, '{p}', {r.group}))" for k, r, p in rules)
+    least = " ".join(f"WHEN {k} THEN {r.least}" for k, r, _ in rules)
+    base = ", ".join(f"'{r.kind}'" for r in secrets.BASE_RULES)
+    counts = ", ".join(f"count(*) FILTER (kind = '{r.kind}')::BIGINT AS n_{r.kind}" for r in secrets.BASE_RULES)
+    return f"""
+WITH RECURSIVE texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+found AS ({" UNION ALL ".join(kinds)}),
+placed AS (
+  SELECT doc_id, rank, kind, text, m, 0 AS k, 0::BIGINT AS s, 0::BIGINT AS e FROM found WHERE len(m) > 0
+  UNION ALL
+  SELECT doc_id, rank, kind, text, m, k + 1, e + strpos(substr(text, e + 1), m[k + 1]) - 1, e + strpos(substr(text, e + 1), m[k + 1]) - 1 + length(m[k + 1]) FROM placed WHERE k < len(m)),
+spans AS (SELECT doc_id, rank, kind, s, kind || ':' || s || ':' || e AS span FROM (SELECT *, m[k] AS hit FROM placed WHERE k > 0) WHERE CASE rank {sizes} END >= CASE rank {least} END),
+summed AS (SELECT doc_id, {counts}, string_agg(span, ',' ORDER BY s, rank) FILTER (kind IN ({base})) AS base, string_agg(span, ',' ORDER BY s, rank) AS spans FROM spans GROUP BY doc_id)
+SELECT t.doc_id, {", ".join(f"coalesce(n_{r.kind}, 0)::BIGINT AS n_{r.kind}" for r in secrets.BASE_RULES)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM texts t LEFT JOIN summed s ON t.doc_id = s.doc_id
+"""
+
+
+ORACLE_SQL["op1_secret_scan"] = _secrets_sql()
+
+
 @query
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.mix(_table(spark, sf_dir, "documents"), weights=(5, 2, 1), most=3)
@@ -92,7 +120,35 @@ URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net
 @query
 def op5_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = host_reputation.judged(_table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
-    return found.select("page_id", "host", "path", "rule", "verdict", "bad_rate", "bad_bound")
+    return found.select("page_id", "host", "path", "rule", "verdict", F.round("bad_rate", 9).alias("bad_rate"), F.round("bad_bound", 9).alias("bad_bound"))
+
+
+def _reputation_sql() -> str:
+    fits = lambda rule: (lambda own, start: f"(host = '{own}' OR ends_with(host, '.{own}')) AND starts_with(path, '/{start}')")(*rule.split("/", 1))
+    ordered = sorted(URL_RULES, key=lambda r: -len(r[1]))
+    named = " ".join(f"WHEN {fits(rule)} THEN '{rule}'" for _, rule in ordered)
+    judged = " ".join(f"WHEN '{rule}' THEN '{verdict}'" for verdict, rule in ordered)
+    strength = lambda children, by: f"""SELECT {by}, n, bad, CASE WHEN k < 2 THEN 10.0 ELSE 1 / least(greatest(((q - n * p * p) / (p * (1 - p)) - k) / greatest(n - k, 1), 1 / 1001), 0.5) - 1 END AS m
+  FROM (SELECT {by}, sum(n)::DOUBLE AS n, sum(bad)::DOUBLE AS bad, count(*) AS k, sum(bad * bad / n) AS q, (sum(bad) + 0.5) / (sum(n) + 1.0) AS p FROM {children} GROUP BY {by})"""
+    bound = lambda a, b: f"greatest(0.0, {a} / ({a} + {b}) - 1.645 * sqrt({a} * {b} / (({a} + {b}) * ({a} + {b}) * ({a} + {b} + 1))))"
+    return rf"""
+WITH parts AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(url, ''), '://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
+ruled AS (SELECT *, CASE {named} END AS rule, array_to_string(string_split(host, '.')[greatest(len(string_split(host, '.')) - 1, 1):], '.') AS domain, string_split(host, '.')[-1] AS suffix FROM parts),
+hosts AS (SELECT host, domain, suffix, count(*)::DOUBLE AS n, sum((CASE rule {judged} END = 'block')::INT)::DOUBLE AS bad FROM ruled WHERE rule IS NOT NULL GROUP BY ALL),
+domain_sums AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY ALL),
+suffix_sums AS (SELECT suffix, 1 AS everything, sum(n) AS n, sum(bad) AS bad FROM domain_sums GROUP BY suffix),
+top AS (SELECT coalesce(max(bad) + 1.0, 1.0) AS a, coalesce(max(n) - max(bad) + 1.0, 1.0) AS b, coalesce(max(m), 10.0) AS m FROM ({strength("suffix_sums", "everything")})),
+suffixes AS (SELECT c.suffix, c.m, bad + t.m * t.a / (t.a + t.b) AS a, n - bad + t.m * t.b / (t.a + t.b) AS b FROM ({strength("domain_sums", "suffix")}) c, top t),
+domains AS (SELECT c.domain, c.m, c.bad + u.m * u.a / (u.a + u.b) AS a, c.n - c.bad + u.m * u.b / (u.a + u.b) AS b FROM ({strength("hosts", "domain")}) c JOIN domain_sums d ON c.domain = d.domain JOIN suffixes u ON d.suffix = u.suffix),
+own AS (SELECT host, bad + u.m * u.a / (u.a + u.b) AS a, n - bad + u.m * u.b / (u.a + u.b) AS b FROM hosts h JOIN domains u ON h.domain = u.domain),
+known AS (SELECT page_id, r.host, path, rule, coalesce(o.a, d.a, s.a, t.a) AS a, coalesce(o.b, d.b, s.b, t.b) AS b
+  FROM ruled r LEFT JOIN own o ON r.host = o.host LEFT JOIN domains d ON r.domain = d.domain LEFT JOIN suffixes s ON r.suffix = s.suffix, top t)
+SELECT page_id, host, path, rule, coalesce(CASE rule {judged} END, CASE WHEN {bound("a", "b")} > 0.5 THEN 'block' ELSE 'allow' END) AS verdict, round(a / (a + b), 9) AS bad_rate, round({bound("a", "b")}, 9) AS bad_bound
+FROM known
+"""
+
+
+ORACLE_SQL["op5_host_reputation"] = _reputation_sql()
 
 
 @query
@@ -108,6 +164,24 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+#: All sets that share a shingle are compared in full.
+ORACLE_SQL["op7_minhash_near_dedup"] = r"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingled AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct([array_to_string(w[i:i + 3], ' ') FOR i IN range(1, len(w) - 2)]) END AS s FROM worded),
+sets AS (SELECT min(doc_id) AS node, list_sort(s) AS s, len(s) AS n FROM shingled GROUP BY list_sort(s), len(s)),
+terms AS (SELECT node, n, unnest(s) AS t FROM sets WHERE n > 0),
+pairs AS (SELECT a.node AS x, b.node AS y FROM terms a JOIN terms b ON a.t = b.t AND a.node < b.node AND least(a.n, b.n) * 100 >= greatest(a.n, b.n) * 80
+  GROUP BY a.node, a.n, b.node, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+edges AS (SELECT x, y FROM pairs UNION ALL SELECT y, x FROM pairs),
+reach AS (SELECT node, node AS seen FROM sets WHERE n > 0 UNION SELECT r.node, e.y FROM reach r JOIN edges e ON r.seen = e.x),
+component AS (SELECT node, min(seen) AS component_id FROM reach GROUP BY node)
+SELECT d.doc_id, len(d.s)::BIGINT AS n_shingles, coalesce(c.component_id, d.doc_id) AS component_id, coalesce(c.component_id, d.doc_id) = d.doc_id AS kept
+FROM shingled d JOIN sets s ON list_sort(d.s) = s.s LEFT JOIN component c ON c.node = s.node
+"""
+
 @query
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
@@ -135,3 +209,19 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words"))).alias("contaminated"),
     )
+
+
+ORACLE_SQL["op10_decontamination"] = r"""
+WITH doc_words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+item_words AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+windows AS (SELECT DISTINCT item_id, least(len(w), 13) AS n, array_to_string(w[i:i + least(len(w), 13) - 1], ' ') AS p
+  FROM (SELECT item_id, w, unnest(range(1, len(w) - least(len(w), 13) + 2)) AS i FROM item_words WHERE len(w) > 0)),
+lengths AS (SELECT DISTINCT n FROM windows),
+places AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS p FROM (SELECT doc_id, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM doc_words, lengths WHERE len(w) >= n)),
+met AS (SELECT doc_id, places.n, i, item_id FROM places JOIN windows ON places.n = windows.n AND places.p = windows.p),
+hit AS (SELECT doc_id, count(DISTINCT k)::BIGINT AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM (SELECT DISTINCT doc_id, n, i FROM met)) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*)::BIGINT AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS id FROM met) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * n_hit >= len(w) AS contaminated
+FROM doc_words d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN items ON d.doc_id = items.doc_id
+"""
