@@ -38,6 +38,9 @@ OFF_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar side aside widget widgets rail footer foot header masthead topbar notice notices cookie cookies consent gdpr alert popup modal overlay comment comments commentlist disqus discussion replies reply respond share sharing social related recommended recirc newsletter subscribe subscription signup login search pagination pager toc skip".split()
 )
 
+#: Partitions of chunks grow in number with the pages, to MOST_PARTITIONS; what a task holds at once is a chunk.
+PARTITION_BYTES, MOST_PARTITIONS = 8_000_000, 100_000
+
 _RAW = re.compile(rf"<({RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*?(?:/>|>.*?(?:</\1\s*>|\Z))", re.S | re.I)
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _NAME = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -169,9 +172,11 @@ def extract(pages: DataFrame, keep: tuple[str, ...], html: str = "html", host=No
 
     bounded_batches(pages.sparkSession)
     parsed = pages.select(*[F.col(c).alias(f"k{k}") for k, c in enumerate(keep)], F.coalesce(host if host is not None else F.lit(""), F.lit("")).alias("host"), F.length(html).alias("bytes"), F.xxhash64(html, *keep).alias("salt"), F.arrow_udf(parse, "array<struct<text:string,role:string>>")(F.col(html)).alias("blocks"))
-    sizes = pages.select(F.coalesce(host if host is not None else F.lit(""), F.lit("")).alias("host"), F.length(html).alias("bytes")).groupBy("host").agg(F.sum("bytes").alias("all"))
-    large = stored(sizes.where(F.col("all") > chunk_bytes).select("host", F.ceil(F.col("all") / chunk_bytes).alias("chunks")), "large")
+    sizes = stored(pages.select(F.coalesce(host if host is not None else F.lit(""), F.lit("")).alias("host"), F.length(html).alias("bytes")).groupBy("host").agg(F.sum("bytes").alias("all")), "sizes")
+    large = sizes.where(F.col("all") > chunk_bytes).select("host", F.ceil(F.col("all") / chunk_bytes).alias("chunks"))
     dealt = parsed.join(large, "host", "left").withColumn("chunk", F.coalesce(F.pmod("salt", "chunks"), F.lit(0)))
+    whole = sizes.agg(F.sum("all")).first()[0] or 0
+    parts = min(max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), whole // PARTITION_BYTES), MOST_PARTITIONS)
     names = [f"k{k}" for k in range(len(keep))]
 
     def choose(table: pa.Table) -> pa.Table:
@@ -198,5 +203,5 @@ def extract(pages: DataFrame, keep: tuple[str, ...], html: str = "html", host=No
         return table.select(names).append_column("text", pa.array(out, pa.string()))
 
     kinds = ", ".join(f"{n} {pages.schema[c].dataType.simpleString()}" for n, c in zip(names, keep, strict=True))
-    done = dealt.select("host", "chunk", *names, "blocks").groupBy("host", "chunk").applyInArrow(choose, f"{kinds}, text string")
+    done = dealt.select("host", "chunk", *names, "blocks").repartition(parts, "host", "chunk").groupBy("host", "chunk").applyInArrow(choose, f"{kinds}, text string")
     return done.withColumnsRenamed(dict(zip(names, keep, strict=True)))
