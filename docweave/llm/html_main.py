@@ -33,17 +33,20 @@ OFF = frozenset("nav footer aside form menu dialog button head".split())
 OFF_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 #: A start of the first closes an open one of the second.
 IMPLIED = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-#: Parts of class names and ids of what is not the article.
+#: Class names and ids of what is not the article: tokens whose parts are all among them or PLACES, one of them at least.
 OFF_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar side aside widget widgets rail footer foot header masthead topbar notice notices cookie cookies consent gdpr alert popup modal overlay comment comments commentlist disqus discussion replies reply respond share sharing social related recommended recirc newsletter subscribe subscription signup login search pagination pager toc skip".split()
 )
+PLACES = frozenset("site global top bottom left right box bar list link links button buttons".split())
+#: What never holds the page's own article.
+APART = frozenset("nav footer aside menu dialog".split())
 
 #: Partitions of chunks grow in number with the pages, to MOST_PARTITIONS; what a task holds at once is a chunk.
 PARTITION_BYTES, MOST_PARTITIONS = 8_000_000, 100_000
 
 _RAW = re.compile(rf"<({RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*?(?:/>|>.*?(?:</\1\s*>|\Z))", re.S | re.I)
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_NAME = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _PARTS = re.compile(r"[a-z]+")
 _COMMENT = re.compile(r"<!--.*?(?:-->|\Z)", re.S)
 
@@ -53,13 +56,17 @@ def _off(tag: str, attributes: str) -> bool:
         return True
     if not attributes:
         return False
-    for m in _NAME.finditer(attributes):
+    seen = set()
+    for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), next((x for x in m.groups()[1:] if x), "").lower()
+        if name in seen:
+            continue
+        seen.add(name)
         if name == "role":
             if value in OFF_ROLES:
                 return True
         elif name in ("class", "id"):
-            if tag not in ("html", "body", "main") and not OFF_NAMES.isdisjoint(_PARTS.findall(value)):
+            if tag not in ("html", "body", "main") and any(_off_name(token) for token in value.split()):
                 return True
         elif name == "hidden" and tag not in ("html", "body"):
             return True
@@ -68,13 +75,29 @@ def _off(tag: str, attributes: str) -> bool:
     return False
 
 
+def _off_name(token: str) -> bool:
+    parts = _PARTS.findall(token)
+    return not OFF_NAMES.isdisjoint(parts) and all(p in OFF_NAMES or p in PLACES for p in parts)
+
+
 def blocks(page: str | None) -> list[tuple[str, str]]:
     """(text, role) of each block with text, in page order."""
     if not page:
         return []
     page = _RAW.sub(" ", _COMMENT.sub("", page))
+    tags = list(_TAG.finditer(page))
+    for own in ("main", "article"):
+        if any(m[2] and not m[1] and m[2].lower() == own for m in tags):
+            found = _walked(page, tags, own, frozenset())
+            return _walked(page, tags, own, found) if isinstance(found, frozenset) else found
+    return _walked(page, tags, "", frozenset())
+
+
+def _walked(page: str, tags: list[re.Match], own: str, spared: frozenset[int]) -> list[tuple[str, str]] | frozenset[int]:
+    """The blocks, elements that start at `spared` not switched off; or, if the page's own article (the first `own` element that
+    is not set apart) lies in an element switched off or is one, the starts of those that hold it and its own."""
     out, piece = [], []
-    stack: list[tuple[str, int, int]] = []  # tag, off and main as they were outside
+    stack: list[tuple[str, int, int, int]] = []  # tag, off and main as they were outside, start
     off = main = 0
     at = 0
 
@@ -87,10 +110,10 @@ def blocks(page: str | None) -> list[tuple[str, str]]:
 
     def leave(k: int):
         nonlocal off, main
-        _, off, main = stack[k]
+        _, off, main, _ = stack[k]
         del stack[k:]
 
-    for m in _TAG.finditer(page):
+    for m in tags:
         if m.start() > at:
             piece.append(page[at : m.start()])
         at = m.end()
@@ -118,11 +141,15 @@ def blocks(page: str | None) -> list[tuple[str, str]]:
                     break
                 if stack[k][0] in ("ul", "ol", "dl", "table", "div", "article", "section"):
                     break
-        stack.append((tag, off, main))
-        if _off(tag, m[3]) or tag == "header" and not main:
+        stack.append((tag, off, main, m.start()))
+        if m.start() not in spared and (_off(tag, m[3]) or tag == "header" and not main):
             off += 1
         elif tag in ("article", "main"):
             main += 1
+        if tag == own and not spared and APART.isdisjoint(x[0] for x in stack):
+            if off:
+                return frozenset(x[3] for x in stack)
+            own = ""
     if at < len(page):
         piece.append(page[at:])
     close()

@@ -218,6 +218,13 @@ def test_html(spark):
     assert html_main.extract(table.limit(0), ("page_id",)).count() == 0
 
 
+@pytest.mark.parametrize("before", ["<div style='overflow:hidden'>", "<div data-hidden='false'>", "<div data-id='comments-3'>", "<div id='page' class='has-sidebar'>", "<div class='header-wrap'>", "<form>", "<div class='banner'>", "<div hidden>"])
+def test_html_content_is_not_switched_off(before):
+    page = f"{before}<p>lead</p><article class='post no-sidebar'><p>text</p><div class='cookie-notice'>no</div></article><div id='comments'><article>no</article></div>"
+    assert [t for t, r in html_main.blocks(page) if r != "off"] == ["lead", "text"]
+    assert [t for t, r in html_main.blocks(page.replace("post no-sidebar", "sponsored")) if r == "main"] == ["text"]
+
+
 def test_repeated_runs_equal_brute_force():
     rng = np.random.default_rng(5)
     words, page = rng.integers(0, 4, 600).astype(np.uint64), np.sort(rng.integers(0, 12, 600))
