@@ -4,16 +4,19 @@ host's token streams finds what its pages repeat.
 Every page becomes blocks in page order, each with a role: `main` (inside an article or main element), `body` (unmarked)
 or `off` (menus, headers, footers, sidebars, notices, adverts, forms, reader comments by element, role, class or
 id). The blocks' words of all pages of a host make one stream; its suffixes are sorted by prefix doubling
-up to `run` words, so that suffixes of equal rank share a run of that length. Runs that occur on enough distinct pages cover their
-words. A page's text is its main blocks; a page without any has its body blocks, less those that are covered, unless
-all are (then the page is a copy, not a frame). Repeats inside an article stay.
+up to `run` words, so that suffixes of equal rank share a run of that length. Runs that occur on enough distinct pages of
+the host cover their words. A page's text is its main blocks; a page without any has its body blocks: a block
+that is mostly covered goes, unless all are (then the page
+is a copy, not a frame). Repeats inside an article stay.
 
-A host's pages are dealt into chunks of about `chunk_bytes`, so a host with a third of all pages is many tasks; what frames a
-large host's pages is on many of them and thus repeated within every chunk.
+A host's pages are dealt into chunks of about `chunk_bytes`, so a host with a third of all pages is many tasks. A run on
+enough pages of the host has its share of them in some chunk at least: those are the candidates, which are then
+counted in all chunks, so that the result does not depend on the chunks.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from html import unescape
 
@@ -23,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docweave.llm.common import bounded_batches, stored, utf8
-from docweave.llm.words import SPACED, word_hashes
+from docweave.llm.words import SPACED, mix, word_hashes
 
 #: Fixed values, by HTML's own rules.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -156,13 +159,12 @@ def _walked(page: str, tags: list[re.Match], own: str, spared: frozenset[int]) -
     return out
 
 
-def repeated(hashes: np.ndarray, page: np.ndarray, run: int, least: int) -> np.ndarray:
-    """Which words of the stream lie in a run of `run` words (a power of two) that occurs on `least` distinct pages.
-    page: the page of each word, ascending. Runs do not cross pages."""
+def _suffixes(hashes: np.ndarray, page: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The suffix array of the stream's whole runs of `run` words (a power of two), in page order within a rank; their ranks;
+    and by rank the number of distinct pages. page: the page of each word, ascending. Runs do not cross pages."""
     n = len(hashes)
-    covered = np.zeros(n, bool)
     if n < run:
-        return covered
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1, np.int64)
     rank = np.unique(hashes, return_inverse=True)[1].astype(np.int64) + 1
     length = 1
     while length < run:
@@ -170,25 +172,58 @@ def repeated(hashes: np.ndarray, page: np.ndarray, run: int, least: int) -> np.n
         later[:-length] = np.where(page[length:] == page[:-length], rank[length:], 0)
         rank = np.unique(rank * (n + 1) + later, return_inverse=True)[1].astype(np.int64) + 1
         length *= 2
-    whole = np.zeros(n, bool)
-    whole[: n - run + 1] = page[run - 1 :] == page[: n - run + 1]
-    suffixes = np.flatnonzero(whole)
-    suffixes = suffixes[np.argsort(rank[suffixes], kind="stable")]  # the suffix array, in page order within a rank
+    suffixes = np.flatnonzero(_whole(page, run))
+    suffixes = suffixes[np.argsort(rank[suffixes], kind="stable")]
     r, p = rank[suffixes], page[suffixes]
     new = np.append(True, (r[1:] != r[:-1]) | (p[1:] != p[:-1])) if len(r) else np.zeros(0, bool)
-    pages = np.bincount(r[new], minlength=int(rank.max()) + 1)
-    first = suffixes[pages[r] >= least]
+    return suffixes, r, np.bincount(r[new], minlength=int(rank.max()) + 1)
+
+
+def _whole(part: np.ndarray, run: int) -> np.ndarray:
+    """Where a run of `run` words begins that does not leave its part (a page, a block; ascending)."""
+    whole = np.zeros(len(part), bool)
+    if len(part) >= run:
+        whole[: len(part) - run + 1] = part[run - 1 :] == part[: len(part) - run + 1]
+    return whole
+
+
+def _covered(first: np.ndarray, n: int, run: int) -> np.ndarray:
+    """Which of n words lie in a run that begins at one of `first`."""
     edge = np.zeros(n + 1, np.int64)
     np.add.at(edge, first, 1)
     np.add.at(edge, first + run, -1)
     return np.cumsum(edge[:-1]) > 0
 
 
-def extract(pages: DataFrame, keep: tuple[str, ...], html: str = "html", host=None, run: int = 16, least_pages: int = 2, least_share: float = 0.05, covered_share: float = 0.8, chunk_bytes: int = 4_000_000) -> DataFrame:
+def repeated(hashes: np.ndarray, page: np.ndarray, run: int, least: int) -> np.ndarray:
+    """Which words of the stream lie in a run of `run` words (a power of two) that occurs on `least` distinct pages.
+    page: the page of each word, ascending. Runs do not cross pages."""
+    suffixes, rank, pages = _suffixes(hashes, page, run)
+    return _covered(suffixes[pages[rank] >= least], len(hashes), run)
+
+
+def run_keys(hashes: np.ndarray, run: int) -> np.ndarray:
+    """A hash of the `run` words (a power of two) from each place on, the same in every stream; 0 beyond the last whole run."""
+    key, length = hashes.copy(), 1
+    while length < run:
+        later = np.zeros(len(key), np.uint64)
+        later[:-length] = key[length:]
+        key = mix(key * np.uint64(0x9E3779B97F4A7C55) + later)
+        length *= 2
+    key[max(len(key) - run + 1, 0) :] = 0
+    return key
+
+
+def frame_pages(pages: int, least_pages: int) -> int:
+    """On how many of a host's pages a run is a frame: their number's square root, least_pages at least."""
+    return max(least_pages, math.isqrt(max(pages - 1, 0)) + 1)
+
+
+def extract(pages: DataFrame, keep: tuple[str, ...], html: str = "html", host=None, run: int = 16, least_pages: int = 3, covered_share: float = 0.8, chunk_bytes: int = 4_000_000) -> DataFrame:
     """The keep columns and text (blocks joined by two line feeds; empty if there is none) of every row of pages.
 
-    host: a column (null is a host of its own). A run counts as repeated on max(least_pages, least_share of the chunk's)
-    pages. Null html is an empty page. Repeated rows stay, other columns are not looked at.
+    host: a column (null is a host of its own). A run counts as repeated on frame_pages(the host's, least_pages) distinct
+    pages of the whole host. Null html is an empty page. Repeated rows stay, other columns are not looked at.
     """
 
     def parse(column: pa.Array) -> pa.Array:
@@ -198,37 +233,99 @@ def extract(pages: DataFrame, keep: tuple[str, ...], html: str = "html", host=No
         return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array([t for t, _ in flat], pa.string()), pa.array([r for _, r in flat], pa.string())], ["text", "role"]))
 
     bounded_batches(pages.sparkSession)
-    parsed = pages.select(*[F.col(c).alias(f"k{k}") for k, c in enumerate(keep)], F.coalesce(host if host is not None else F.lit(""), F.lit("")).alias("host"), F.length(html).alias("bytes"), F.xxhash64(html, *keep).alias("salt"), F.arrow_udf(parse, "array<struct<text:string,role:string>>")(F.col(html)).alias("blocks"))
-    sizes = stored(pages.select(F.coalesce(host if host is not None else F.lit(""), F.lit("")).alias("host"), F.length(html).alias("bytes")).groupBy("host").agg(F.sum("bytes").alias("all")), "sizes")
-    large = sizes.where(F.col("all") > chunk_bytes).select("host", F.ceil(F.col("all") / chunk_bytes).alias("chunks"))
-    dealt = parsed.join(large, "host", "left").withColumn("chunk", F.coalesce(F.pmod("salt", "chunks"), F.lit(0)))
+    own_host = F.coalesce(host if host is not None else F.lit(""), F.lit("")).alias("host")
+    names = [f"k{k}" for k in range(len(keep))]
+    sizes = stored(pages.select(own_host, F.length(html).alias("bytes")).groupBy("host").agg(F.sum("bytes").alias("all"), F.count("*").alias("pages")), "sizes")
+    large = sizes.where(F.col("all") > chunk_bytes).select("host", F.ceil(F.col("all") / chunk_bytes).alias("chunks"), "pages")
+    sized = pages.select(*[F.col(c).alias(n) for n, c in zip(names, keep, strict=True)], own_host, F.xxhash64(html, *keep).alias("salt"), F.col(html).alias("html")).join(F.broadcast(large), "host", "left")
     whole = sizes.agg(F.sum("all")).first()[0] or 0
     parts = min(max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), whole // PARTITION_BYTES), MOST_PARTITIONS)
-    names = [f"k{k}" for k in range(len(keep))]
 
-    def choose(table: pa.Table) -> pa.Table:
+    def dealt(rows: DataFrame) -> DataFrame:
+        read = rows.select("host", F.coalesce(F.pmod("salt", "chunks"), F.lit(0)).alias("chunk"), "chunks", "pages", *names, F.arrow_udf(parse, "array<struct<text:string,role:string>>")("html").alias("blocks"))
+        return read.repartition(parts, "host", "chunk")
+
+    def stream(table: pa.Table):
+        """The blocks and their number on each page; word hashes, word offsets of the blocks, and the page of each word."""
         own = table["blocks"].combine_chunks()
-        flat = own.flatten()
-        n_blocks = np.diff(np.asarray(own.offsets))
-        texts, roles = flat.field("text"), np.array(flat.field("role").to_pylist(), object)
-        h, at = word_hashes(*utf8(texts), SPACED)
-        page_of_block = np.repeat(np.arange(len(table)), n_blocks)
-        least = max(least_pages, int(np.ceil(least_share * len(table))))
-        seen = repeated(h, np.repeat(page_of_block, np.diff(at)), run, least)
+        flat, n_blocks = own.flatten(), np.diff(np.asarray(own.offsets))
+        h, at = word_hashes(*utf8(flat.field("text")), SPACED)
+        return flat, n_blocks, h, at, np.repeat(np.repeat(np.arange(len(table)), n_blocks), np.diff(at))
+
+    def chosen(table: pa.Table, flat: pa.Array, n_blocks: np.ndarray, at: np.ndarray, first: np.ndarray) -> pa.Table:
+        """first: where runs begin that are frames. A body block goes if they cover covered_share of it."""
+        n_words = np.diff(at)
+        seen = _covered(first, int(at[-1]), run)
+        texts, roles = flat.field("text").to_pylist(), flat.field("role").to_pylist()
         sums = np.concatenate([[0], np.cumsum(seen)])
-        frame = (sums[at[1:]] - sums[at[:-1]]) >= covered_share * np.maximum(np.diff(at), 1)
-        texts = texts.to_pylist()
+        covered = sums[at[1:]] - sums[at[:-1]]
+
+        def rest(b: int) -> str:
+            return "" if covered[b] >= covered_share * n_words[b] else texts[b]
+
         out, low = [], 0
         for n in n_blocks:
             mine = range(low, low + n)
             low += n
-            chosen = [b for b in mine if roles[b] == "main"]
-            if not chosen:
-                body = [b for b in mine if roles[b] == "body"]
-                chosen = [b for b in body if not frame[b]] or body
-            out.append("\n\n".join(texts[b] for b in chosen))
+            held = [b for b in mine if roles[b] == "main"]
+            left = held and [texts[b] for b in held]
+            held = held or [b for b in mine if roles[b] == "body"]
+            left = left or [t for t in map(rest, held) if t]
+            out.append("\n\n".join(left or [texts[b] for b in held]))
         return table.select(names).append_column("text", pa.array(out, pa.string()))
 
-    kinds = ", ".join(f"{n} {pages.schema[c].dataType.simpleString()}" for n, c in zip(names, keep, strict=True))
-    done = dealt.select("host", "chunk", *names, "blocks").repartition(parts, "host", "chunk").groupBy("host", "chunk").applyInArrow(choose, f"{kinds}, text string")
+    def alone(table: pa.Table) -> pa.Table:
+        flat, n_blocks, h, at, page = stream(table)
+        suffixes, rank, n_pages = _suffixes(h, page, run)
+        return chosen(table, flat, n_blocks, at, suffixes[n_pages[rank] >= frame_pages(len(table), least_pages)])
+
+    def tallied(table: pa.Table, key: np.ndarray, n: np.ndarray) -> pa.Table:
+        return pa.table({"host": pa.array([table["host"][0].as_py()] * len(key), pa.string()), "key": pa.array(key.view(np.int64)), "n": pa.array(n.astype(np.int64))})
+
+    def candidates(table: pa.Table) -> pa.Table:
+        """Runs on so many of the chunk's pages that the host's may be enough: a frame has its part in some chunk."""
+        _, _, h, _, page = stream(table)
+        suffixes, rank, n_pages = _suffixes(h, page, run)
+        once = np.append(True, rank[1:] != rank[:-1]) if len(rank) else np.zeros(0, bool)
+        need = -(-frame_pages(table["pages"][0].as_py(), least_pages) // table["chunks"][0].as_py())
+        once &= n_pages[rank] >= need
+        return tallied(table, run_keys(h, run)[suffixes[once]], n_pages[rank[once]])
+
+    def found(table: pa.Table, asked: pa.Table):
+        """(first, key, page of each word): the places of the asked runs."""
+        flat, n_blocks, h, at, page = stream(table)
+        key = run_keys(h, run)
+        wanted = np.unique(asked["key"].to_numpy().view(np.uint64))
+        there = _whole(page, run)
+        if len(wanted):
+            there &= wanted[np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)] == key
+        return flat, n_blocks, at, np.flatnonzero(there) if len(wanted) else np.zeros(0, np.int64), key, page
+
+    def counts(table: pa.Table, asked: pa.Table) -> pa.Table:
+        if not len(table) or not len(asked):
+            return pa.table({"host": pa.array([], pa.string()), "key": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
+        *_, first, key, page = found(table, asked)
+        order = np.lexsort((page[first], key[first]))
+        k, p = key[first][order], page[first][order]
+        new = np.append(True, (k[1:] != k[:-1]) | (p[1:] != p[:-1])) if len(k) else np.zeros(0, bool)
+        return tallied(table, *np.unique(k[new], return_counts=True))
+
+    def choose(table: pa.Table, frames: pa.Table) -> pa.Table:
+        if not len(table):
+            return pa.table({n: pa.array([], table.schema.field(n).type) for n in names} | {"text": pa.array([], pa.string())})
+        flat, n_blocks, at, first, _, _ = found(table, frames)
+        return chosen(table, flat, n_blocks, at, first)
+
+    result = ", ".join(f"{n} {pages.schema[c].dataType.simpleString()}" for n, c in zip(names, keep, strict=True)) + ", text string"
+    done = dealt(sized.where("chunks is null")).groupBy("host", "chunk").applyInArrow(alone, result)
+    if not large.isEmpty():
+        # one exchange, read three times: candidates by suffix array, their host-wide counts, the texts
+        chunked = dealt(sized.where("chunks is not null"))
+        each = lambda keys: keys.join(F.broadcast(large), "host").select("host", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), "key").groupBy("host", "chunk")
+        tally = "host string, key long, n long"
+        asked = chunked.groupBy("host", "chunk").applyInArrow(candidates, tally).groupBy("host", "key").agg(F.sum("n").alias("n"))
+        summed = chunked.groupBy("host", "chunk").cogroup(each(asked)).applyInArrow(counts, tally).groupBy("host", "key").agg(F.sum("n").alias("n"))
+        least = F.udf(lambda n: frame_pages(n, least_pages), "long")
+        frames = summed.join(F.broadcast(large.select("host", least("pages").alias("least"))), "host").where("n >= least").select("host", "key")
+        done = done.unionByName(chunked.groupBy("host", "chunk").cogroup(each(frames)).applyInArrow(choose, result))
     return done.withColumnsRenamed(dict(zip(names, keep, strict=True)))

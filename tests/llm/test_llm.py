@@ -225,6 +225,21 @@ def test_html_content_is_not_switched_off(before):
     assert [t for t, r in html_main.blocks(page.replace("post no-sidebar", "sponsored")) if r == "main"] == ["text"]
 
 
+def extracted(spark, bodies, **more):
+    table = spark.createDataFrame(list(enumerate(bodies)), "page_id int, html string")
+    return {r["page_id"]: r["text"] for r in html_main.extract(table, ("page_id",), **more).collect()}
+
+
+def test_html_frames_do_not_depend_on_chunks(spark):
+    quoted, rare = " ".join(f"q{k}" for k in range(20)), " ".join(f"r{k}" for k in range(20))
+    own = [" ".join(f"u{p}x{k}" for k in range(25)) for p in range(150)]
+    bodies = [f"<p>{t}</p>" + (f"<p>{quoted}</p>" if p < 2 else f"<p>{rare}</p>" if p % 11 == 3 else "") for p, t in enumerate(own)]
+    want = {p: t + (f"\n\n{quoted}" if p < 2 else "") for p, t in enumerate(own)}
+    assert extracted(spark, bodies) == extracted(spark, bodies, chunk_bytes=3000) == want
+    few = [f"<p>{t}</p><p>{quoted}</p>" for t in own[:2]]
+    assert extracted(spark, few) == extracted(spark, few, chunk_bytes=100) == {p: f"{own[p]}\n\n{quoted}" for p in range(2)}
+
+
 def test_repeated_runs_equal_brute_force():
     rng = np.random.default_rng(5)
     words, page = rng.integers(0, 4, 600).astype(np.uint64), np.sort(rng.integers(0, 12, 600))
