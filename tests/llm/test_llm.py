@@ -230,6 +230,13 @@ def extracted(spark, bodies, **more):
     return {r["page_id"]: r["text"] for r in html_main.extract(table, ("page_id",), **more).collect()}
 
 
+def test_html_cuts_runs_not_blocks(spark):
+    intro = " ".join(f"i{k}" for k in range(80))
+    own = [" ".join(f"u{p}x{k}" for k in range(20 + 20 * (p % 2))) for p in range(6)]
+    got = extracted(spark, [f"<p>{intro} {t}</p>" for t in own])
+    assert [got[k] for k in range(6)] == own
+
+
 def test_html_frames_do_not_depend_on_chunks(spark):
     quoted, rare = " ".join(f"q{k}" for k in range(20)), " ".join(f"r{k}" for k in range(20))
     own = [" ".join(f"u{p}x{k}" for k in range(25)) for p in range(150)]
