@@ -5,9 +5,10 @@ Every page becomes blocks in page order, each with a role: `main` (inside an art
 or `off` (menus, headers, footers, sidebars, notices, adverts, forms, reader comments by element, role, class or
 id). The blocks' words of all pages of a host make one stream; its suffixes are sorted by prefix doubling
 up to `run` words, so that suffixes of equal rank share a run of that length. Runs that occur on enough distinct pages of
-the host cover their words. A page's text is its main blocks; a page without any has its body blocks: the covered runs that
-lie within a block are cut out and the rest stays, a block that is covered wholly goes, unless all are (then the page
-is a copy, not a frame). Repeats inside an article stay.
+the host cover their words. A page's text is its main blocks, or its body blocks if it has none: the covered runs that lie
+within a block are cut out and the rest stays; runs across blocks take whole body blocks only (a headline that several
+articles share is no frame). A page whose main blocks are covered by half or more, or whose body blocks all are, is a copy, not
+a frame, and stays whole.
 
 A host's pages are dealt into chunks of about `chunk_bytes`, so a host with a third of all pages is many tasks. A run on
 enough pages of the host has its share of them in some chunk at least: those are the candidates, which are then
@@ -219,7 +220,7 @@ def frame_pages(pages: int, least_pages: int) -> int:
     return max(least_pages, math.isqrt(max(pages - 1, 0)) + 1)
 
 
-def extract(pages: DataFrame, keep: tuple[str, ...], html: str = "html", host=None, run: int = 16, least_pages: int = 3, chunk_bytes: int = 4_000_000) -> DataFrame:
+def extract(pages: DataFrame, keep: tuple[str, ...], html: str = "html", host=None, run: int = 16, least_pages: int = 3, copied_share: float = 0.5, chunk_bytes: int = 4_000_000) -> DataFrame:
     """The keep columns and text (blocks joined by two line feeds; empty if there is none) of every row of pages.
 
     host: a column (null is a host of its own). A run counts as repeated on frame_pages(the host's, least_pages) distinct
@@ -253,12 +254,13 @@ def extract(pages: DataFrame, keep: tuple[str, ...], html: str = "html", host=No
         return flat, n_blocks, h, at, np.repeat(np.repeat(np.arange(len(table)), n_blocks), np.diff(at))
 
     def chosen(table: pa.Table, flat: pa.Array, n_blocks: np.ndarray, at: np.ndarray, first: np.ndarray) -> pa.Table:
-        """first: where runs begin that are frames. A body block goes if they cover it all; else only words
-        of runs within it go."""
+        """first: where runs begin that are frames. A body block goes if they cover it all; else, and in main
+        blocks, only words of runs within it go."""
         n_words = np.diff(at)
         inside = _whole(np.repeat(np.arange(len(n_words)), n_words), run)
         seen, cut = _covered(first, int(at[-1]), run), _covered(first[inside[first]], int(at[-1]), run)
         texts, roles = flat.field("text").to_pylist(), flat.field("role").to_pylist()
+        seen = np.where(np.repeat(np.array([r == "main" for r in roles], bool), n_words), cut, seen)
         sums = np.concatenate([[0], np.cumsum(seen)])
         covered = sums[at[1:]] - sums[at[:-1]]
 
@@ -273,9 +275,9 @@ def extract(pages: DataFrame, keep: tuple[str, ...], html: str = "html", host=No
             mine = range(low, low + n)
             low += n
             held = [b for b in mine if roles[b] == "main"]
-            left = held and [texts[b] for b in held]
+            copied = bool(held) and covered[held].sum() >= copied_share * n_words[held].sum()
             held = held or [b for b in mine if roles[b] == "body"]
-            left = left or [t for t in map(rest, held) if t]
+            left = [] if copied else [t for t in map(rest, held) if t]
             out.append("\n\n".join(left or [texts[b] for b in held]))
         return table.select(names).append_column("text", pa.array(out, pa.string()))
 

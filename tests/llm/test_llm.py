@@ -230,6 +230,13 @@ def extracted(spark, bodies, **more):
     return {r["page_id"]: r["text"] for r in html_main.extract(table, ("page_id",), **more).collect()}
 
 
+def test_html_frames_in_articles(spark):
+    notice, copied = " ".join(f"n{k}" for k in range(18)), " ".join(f"c{k}" for k in range(60))
+    own = [" ".join(f"u{p}x{k}" for k in range(30)) for p in range(9)]
+    got = extracted(spark, [f"<article><h1>a short title</h1><p>{t}</p><p>{notice}</p></article>" for t in own] + [f"<article>{copied} {k} {copied[:8]} {own[k]}</article>" for k in range(5)])
+    assert [got[k] for k in range(14)] == [f"a short title\n\n{t}" for t in own] + [f"{copied} {k} {copied[:8]} {own[k]}" for k in range(5)]
+
+
 def test_html_cuts_runs_not_blocks(spark):
     intro = " ".join(f"i{k}" for k in range(80))
     own = [" ".join(f"u{p}x{k}" for k in range(20 + 20 * (p % 2))) for p in range(6)]
