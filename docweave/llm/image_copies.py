@@ -1,19 +1,19 @@
 """Cropped and edited copies of images, by local descriptors.
 
 Corners are found at several scales (the smaller eigenvalue of the gradient products, local maxima), each gets the direction of its
-intensity centroid, and 256 pairs of points, turned by it, are compared: the descriptor. Descriptors meet in Hamming tables: eight joins
-on 32 bits each. Two descriptors that differ in fewer than eight bits agree in some table for sure, others with falling probability;
-the full distance is checked after. Matches vote for a similarity transform (scale, turn, shift) in half-overlapping cells; enough
-votes in one cell make a copy.
+intensity centroid, and 256 pairs of points, turned by it, are compared: the descriptor. Descriptors meet in Hamming tables: sixteen
+pieces of 24 bits, each looked up as it is and with one bit flipped. Two descriptors that differ in fewer than 20 bits meet for
+sure, others with falling probability (0.96 at 32 bits, 0.75 at 40, if these are spread evenly); the full distance is checked after.
+The matches of two images are verified by
+a similarity transform (scale, turn, shift) that is fitted to their places; enough that agree with one make a copy.
 
-Equal images (byte for byte) are one class: equal queries are asked once, equal images vote once. Images never move; the
+Equal images (byte for byte) are one class: equal queries are asked once, equal matches count once. Images never move; the
 queries' descriptors come to them in blocks of a fixed size, each broadcast by itself.
 """
 
 from __future__ import annotations
 
 import io
-import math
 
 import numpy as np
 import pyarrow as pa
@@ -22,12 +22,19 @@ from pyspark.sql import functions as F
 
 from docweave.llm.common import bounded_batches, stored
 
-BITS, PIECES = 256, 8
+BITS = 256
+#: Where the pieces of 24 bits begin, in bytes: ten side by side, more across them.
+STARTS = (0, 3, 6, 9, 12, 15, 18, 21, 24, 27, 29, 1, 7, 13, 19, 25)
+#: A piece as it is and with one bit flipped.
+FLIPS = np.array([0, *(1 << k for k in range(24))], np.uint32)
+#: Pairs of descriptors compared at once.
+PAIRS = 1 << 20
 #: Query descriptors (of about 150 bytes) that are broadcast at once.
 BLOCK_CODES = 150_000
 SCALES = (1.0, 0.75, 0.5625)
 RADIUS = 9
-POINTS = 24
+#: Corners a scale on a picture of POINTS_AREA pixels or fewer; more in proportion on larger ones.
+POINTS, POINTS_AREA = 24, 96 * 96
 _PAIRS = np.random.default_rng(11).normal(0, RADIUS / 2.2, (BITS, 4)).clip(-RADIUS + 1, RADIUS - 1)
 
 
@@ -70,8 +77,8 @@ def _smooth(a: np.ndarray, times: int = 1) -> np.ndarray:
 
 
 def descriptors(grey: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(x, y, scale, angle) in the image's own pixels and the 32 bytes of each corner, POINTS a scale at most (the strongest: a property of
-    the detector)."""
+    """(x, y, scale, angle) in the image's own pixels and the 32 bytes of each corner, the strongest of each scale (as many as the
+    area asks for: a property of the detector)."""
     places, codes = [], []
     disk = np.mgrid[-RADIUS : RADIUS + 1, -RADIUS : RADIUS + 1].astype(np.float32)
     disk = disk[:, disk[0] ** 2 + disk[1] ** 2 <= RADIUS * RADIUS].astype(int)
@@ -93,7 +100,7 @@ def descriptors(grey: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         y, x = np.nonzero(peak)
         if not len(y):
             continue
-        best = np.argsort(-inner[y, x], kind="stable")[:POINTS]
+        best = np.argsort(-inner[y, x], kind="stable")[: max(POINTS, POINTS * grey.size // POINTS_AREA)]
         y, x = y[best] + edge, x[best] + edge
         s = _smooth(g)
         around = s[y[:, None] + disk[0], x[:, None] + disk[1]]
@@ -125,39 +132,80 @@ def features(images: DataFrame, image: str = "image", key: str = "class") -> Dat
     return images.select(F.col(key).alias("key"), F.col(image).alias("image")).mapInArrow(find, "key binary, x float, y float, scale float, angle float, c0 long, c1 long, c2 long, c3 long")
 
 
+def _pieces(code: np.ndarray) -> np.ndarray:
+    data = np.ascontiguousarray(code).view(np.uint8).astype(np.uint32)
+    return np.stack([data[:, k] | data[:, k + 1] << 8 | data[:, k + 2] << 16 for k in STARTS])
+
+
 def _tables(rows: pa.Table) -> tuple:
     """Query descriptors with, for each piece of their codes, the pieces in order and whose they are."""
     code = np.stack([rows[f"c{k}"].to_numpy() for k in range(4)], 1)
     place = np.stack([rows[c].to_numpy() for c in ("x", "y", "scale", "angle")], 1)
-    pieces = np.ascontiguousarray(code).view(np.uint32)
-    order = np.argsort(pieces, axis=0, kind="stable").astype(np.int32)
-    return code, place, np.take_along_axis(pieces, order, 0), order, rows["key"].to_pylist()
-
-
-def _met(code: np.ndarray, tables: tuple, most_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (own row, query row) that share a piece and differ in most_bits bits at most."""
-    own_pieces, found = np.ascontiguousarray(code).view(np.uint32), []
-    for k in range(PIECES):
-        keys = tables[2][:, k]
-        low = np.searchsorted(keys, own_pieces[:, k])
-        width = np.searchsorted(keys, own_pieces[:, k], side="right") - low
-        b = np.repeat(np.arange(len(code)), width)
-        q = tables[3][np.repeat(low - (np.cumsum(width) - width), width) + np.arange(int(width.sum())), k]
-        near = np.bitwise_count(code[b] ^ tables[0][q]).sum(1) <= most_bits
-        found.append(np.stack([b[near], q[near]], 1))
+    pieces = _pieces(code)
+    order = np.argsort(pieces, axis=1, kind="stable").astype(np.int32)
+    return code, place, np.take_along_axis(pieces, order, 1), order, rows["key"].to_pylist()
+
+
+def _present(tables: tuple) -> list[np.ndarray]:
+    """For each piece a bit for every value: whether a query has it."""
+    out = []
+    for keys in tables[2]:
+        there = np.zeros(1 << 24, bool)
+        there[keys] = True
+        out.append(np.packbits(there, bitorder="little"))
+    return out
+
+
+def _met(code: np.ndarray, tables: tuple, present: list[np.ndarray], most_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (own row, query row) of which some piece differs in one bit at most, and all in most_bits bits at most."""
+    own_pieces, found = _pieces(code), [np.zeros((0, 2), np.int64)]
+    for own, keys, order, bits in zip(own_pieces, tables[2], tables[3], present, strict=True):
+        probes = (own[:, None] ^ FLIPS).ravel()
+        hit = np.flatnonzero(bits[probes >> 3] >> (probes & 7).astype(np.uint8) & 1)
+        low = np.searchsorted(keys, probes[hit])
+        width = np.searchsorted(keys, probes[hit], side="right") - low
+        ends = np.cumsum(width)
+        for start in range(0, int(ends[-1]) if len(ends) else 0, PAIRS):
+            at = np.arange(start, min(start + PAIRS, int(ends[-1])))
+            probe = np.searchsorted(ends, at, side="right")
+            b = hit[probe] // len(FLIPS)
+            q = order[low[probe] + at - (ends[probe] - width[probe])]
+            near = np.bitwise_count(code[b] ^ tables[0][q]).sum(1) <= most_bits
+            found.append(np.stack([b[near], q[near]], 1))
     pairs = np.unique(np.concatenate(found), axis=0)
     return pairs[:, 0], pairs[:, 1]
 
 
-def _votes(b: np.ndarray, q: np.ndarray) -> list[np.ndarray]:
-    """The similarity transform of each pair of places: steps of scale and turn, and the shift in pixels."""
-    turn, scale = b[:, 3] - q[:, 3], b[:, 2] / q[:, 2]
-    x = b[:, 0] - scale * (np.cos(turn) * q[:, 0] - np.sin(turn) * q[:, 1])
-    y = b[:, 1] - scale * (np.sin(turn) * q[:, 0] + np.cos(turn) * q[:, 1])
-    return [np.rint(np.log2(scale) * 2).astype(np.int32), np.rint(turn / (math.pi / 6)).astype(np.int32) % 12, x.astype(np.float64), y.astype(np.float64)]
-
-
-def copies(images: DataFrame, queries: DataFrame, most_bits: int = 40, least_inliers: int = 6, cell: float = 12.0) -> DataFrame:
+def _agreeing(b: np.ndarray, q: np.ndarray, slack: float) -> int:
+    """Of matched places (x, y, scale, angle; q the query's), how many agree with one similarity transform: each match's own is a guess, fitted
+    to those near it and then to those that agree. slack: pixels at the corners' scale."""
+    zb, zq = b[:, 0] + 1j * b[:, 1], q[:, 0] + 1j * q[:, 1]
+    guess = b[:, 2] / q[:, 2] * np.exp(1j * (b[:, 3] - q[:, 3]))
+    bound = slack * np.maximum(b[:, 2], 1.0)
+    best = 0
+    for k in range(len(b)):
+        turn, shift = guess[k], zb[k] - guess[k] * zq[k]
+        # the guess errs in turn and scale: the further a place is from its own, the more
+        near = np.abs(turn * zq + shift - zb) <= bound + 0.35 * np.abs(turn) * np.abs(zq - zq[k])
+        for _ in range(4):
+            if near.sum() < 2:
+                break
+            mq, mb = zq[near].mean(), zb[near].mean()
+            spread = (np.abs(zq[near] - mq) ** 2).sum()
+            if spread == 0:
+                break
+            turn = (np.conj(zq[near] - mq) * (zb[near] - mb)).sum() / spread
+            shift = mb - turn * mq
+            near = np.abs(turn * zq + shift - zb) <= bound
+        else:
+            if 0.1 <= np.abs(turn) <= 10:
+                best = max(best, min(len(np.unique(zq[near])), len(np.unique(zb[near]))))
+                if 2 * best > len(b):  # no other transform has more
+                    break
+    return best
+
+
+def copies(images: DataFrame, queries: DataFrame, most_bits: int = 40, least_inliers: int = 6, slack: float = 3.0) -> DataFrame:
     """images: image; queries: image. Returns query_class, class (SHA-256 of the images) and inliers, for every class of equal
     images that shows an original or copy of the query's: at least least_inliers corners of it match and agree on one place.
 
@@ -166,7 +214,7 @@ def copies(images: DataFrame, queries: DataFrame, most_bits: int = 40, least_inl
     spark = images.sparkSession
     digest = F.unhex(F.sha2("image", 256)).alias("class")
     asked = stored(features(queries.where("image is not null").select(digest, "image").dropDuplicates(["class"])), "features")
-    # equal images are not moved to find that they are: their votes fall into the same cells
+    # equal images are not moved to find that they are: their matches are equal
     there = features(images.where("image is not null").select(digest, "image"))
     blocks = max(1, -(-asked.count() // BLOCK_CODES))
     if blocks > 1:
@@ -178,23 +226,25 @@ def copies(images: DataFrame, queries: DataFrame, most_bits: int = 40, least_inl
 
         def match(batches, sent=sent):
             tables = sent.value
+            present = _present(tables)
             for batch in batches:
                 code = np.stack([batch[f"c{k}"].to_numpy(zero_copy_only=False) for k in range(4)], 1)
                 place = np.stack([batch[c].to_numpy(zero_copy_only=False) for c in ("x", "y", "scale", "angle")], 1)
-                b, q = _met(code, tables, most_bits)
-                votes = _votes(place[b], tables[1][q])
+                b, q = _met(code, tables, present, most_bits)
                 names = pa.array([tables[4][i] for i in q], pa.binary())
-                yield pa.record_batch([names, batch["key"].take(pa.array(b)), pa.array(q.astype(np.int32)), *[pa.array(v) for v in votes]], ["query_class", "class", "corner", "s", "t", "x", "y"])
+                places = np.concatenate([place[b], tables[1][q]], 1).astype(np.float32)
+                yield pa.record_batch([names, batch["key"].take(pa.array(b)), pa.FixedSizeListArray.from_arrays(pa.array(places.ravel()), 8).cast(pa.list_(pa.float32()))], ["query_class", "class", "places"])
 
-        votes = there.mapInArrow(match, "query_class binary, class binary, corner int, s int, t int, x double, y double")
-        halves = F.explode(F.array(*[F.struct(F.floor(F.col("x") / cell + dx).alias("i"), F.floor(F.col("y") / cell + dy).alias("j"), F.lit(int(2 * dx + 4 * dy)).alias("grid")) for dx in (0.0, 0.5) for dy in (0.0, 0.5)]))
-        # corners of different blocks are different, so their counts add up
-        parts.append(votes.select("query_class", "class", "s", "t", "corner", halves.alias("h")).distinct().groupBy("query_class", "class", "s", "t", "h").agg(F.count("*").alias("n")))
-    cells = parts[0]
+        parts.append(there.mapInArrow(match, "query_class binary, class binary, places array<float>"))
+    met = parts[0]
     for more in parts[1:]:
-        cells = cells.unionByName(more)
-    cells = cells.groupBy("query_class", "class", "s", "t", "h").agg(F.sum("n").alias("n")) if blocks > 1 else cells
-    return cells.groupBy("query_class", "class").agg(F.max("n").alias("inliers")).where(F.col("inliers") >= least_inliers)
+        met = met.unionByName(more)
+
+    def verify(column: pa.Array) -> pa.Array:
+        return pa.array([_agreeing(p[:, :4], p[:, 4:], slack) for p in (np.array(x, np.float64) for x in column.to_pylist())], pa.int64())
+
+    whole = met.groupBy("query_class", "class").agg(F.collect_set("places").alias("places")).where(F.size("places") >= least_inliers)
+    return whole.select("query_class", "class", F.arrow_udf(verify, "long")("places").alias("inliers")).where(F.col("inliers") >= least_inliers)
 
 
 def rendered(vectors: DataFrame, id_column: str = "vec_id", vector: str = "embedding", side: int = 96) -> DataFrame:

@@ -315,6 +315,34 @@ def test_images(spark, monkeypatch):
     assert image_copies.copies(images.limit(0), asked).count() == 0
 
 
+def turned(grey, degrees):
+    """Bilinear, about the middle; what comes from outside is the edge."""
+    h, w = grey.shape
+    y, x = np.mgrid[:h, :w].astype(float) - np.array([h / 2, w / 2])[:, None, None]
+    c, s = np.cos(np.radians(degrees)), np.sin(np.radians(degrees))
+    u, v = np.clip(c * x + s * y + w / 2, 0, w - 1.001), np.clip(c * y - s * x + h / 2, 0, h - 1.001)
+    i, j = v.astype(int), u.astype(int)
+    fy, fx = v - i, u - j
+    return (grey[i, j] * (1 - fx) + grey[i, j + 1] * fx) * (1 - fy) + (grey[i + 1, j] * (1 - fx) + grey[i + 1, j + 1] * fx) * fy
+
+
+def test_edited_copies_of_larger_images(spark):
+    rng = np.random.default_rng(4)
+    edits = {"half": lambda g: image_copies.resized(g, 150, 200), "0.85": lambda g: image_copies.resized(g, 255, 340), "2**0.25": lambda g: image_copies.resized(g, 357, 476), "15": lambda g: turned(g, 15), "45": lambda g: turned(g, 45), "1": lambda g: turned(g, 1), "blurred": lambda g: image_copies._smooth(g, 3), "noisy": lambda g: g + rng.normal(0, 8, g.shape)}
+    pictures = [image_copies.resized(rng.uniform(0, 255, (60, 80)), 300, 400) * 0.7 + image_copies.resized(rng.uniform(0, 255, (12, 16)), 300, 400) * 0.3 for _ in range(4)]
+    images = [image_copies.write_image(g) for g in pictures]
+    edited = {}
+    for k, g in enumerate(pictures):
+        for n, f in edits.items():
+            edited[n, k] = image_copies.write_image(f(g))
+    frame = lambda data: spark.createDataFrame([(bytearray(x),) for x in data], "image binary")
+    found = {(bytes(r["query_class"]), bytes(r["class"])) for r in image_copies.copies(frame(images), frame(edited.values())).collect()}
+    digest = lambda b: hashlib.sha256(b).digest()
+    missed = sorted((n, k) for (n, k), e in edited.items() if (digest(e), digest(images[k])) not in found)
+    assert not missed, f"{len(missed)} of {len(edited)}"
+    assert len(found) == len(edited)
+
+
 def test_queries_equal_sql(spark, duck):
     for name, sql in queries.ORACLE_SQL.items():
         got, want = queries.QUERIES[name](spark, SF.replace("0.001", "0.01")).toPandas(), duck.sql(sql).df()
