@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -15,12 +18,16 @@ _LOCAL: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all nodes share: spark.checkpoint.dir, or where it is unset (tests) a local one."""
+    """The folder all nodes share: spark.checkpoint.dir, or where it is unset and all runs in one process (tests) a local
+    one, which goes when Python ends. RuntimeError on a cluster that names none."""
     set_by_cluster = spark.conf.get("spark.checkpoint.dir", None)
     if set_by_cluster:
         return set_by_cluster.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.conf.get("spark.master", "")):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that all nodes share")
     if not _LOCAL:
         _LOCAL.append(tempfile.mkdtemp(prefix="docweave-"))
+        atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)
     return "file://" + os.path.abspath(_LOCAL[0])
 
 

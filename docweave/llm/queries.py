@@ -27,7 +27,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 @query
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"), secrets.fresh_ledger(spark))
+    """Two scans into one ledger: the second finds the base rules' pairs there and looks for what is new."""
+    docs, ledger = _table(spark, sf_dir, "documents").select("doc_id", "text"), secrets.fresh_ledger(spark)
+    secrets.scan(docs, ledger, secrets.BASE_RULES)
+    found = secrets.scan(docs, ledger)
     base = [r.kind for r in secrets.BASE_RULES]
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     of = lambda kinds: F.filter("findings", lambda s: s["kind"].isin(kinds))

@@ -3,28 +3,50 @@
 Every version of a file is addressed by the SHA-256 of its content. The ledger, a Parquet table, has one row for
 each blob and rule version that was scanned, with the findings. A scan takes the blobs that lack a row for some
 rule version, scans one copy of each for just those rules, appends to the ledger, and joins findings back
-to every path that has the blob. A text is moved once, map-side reduced to one copy a blob and task, however many
-paths share it; paths are joined on the hash alone, and only to blobs with findings.
+to every path that has the blob.
+
+Scale. What moves of a version is its hash and one bit a rule: whether its text shows a string that every match of
+the rule has (looked for where the text is read). Only texts that show one for a rule that their blob lacks are moved,
+map-side reduced to one copy a blob and task, and searched in Python; the other pairs are clean. Paths are joined on the
+hash alone, and only to blobs with findings. Every rule's search is linear in the text.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.common import bounded_batches, fresh_dir
+from docweave.llm.common import Scratch, bounded_batches, fresh_dir
+
+_SEGMENT = re.compile(r"[A-Za-z0-9_-]+")
+
+
+def web_tokens(text: str) -> Iterator[tuple[int, int]]:
+    """Matches of the jwt pattern, found run by run: the pattern itself starts anew at each eyJ of a long run."""
+    runs: list[tuple[int, int]] = []
+    for m in _SEGMENT.finditer(text):
+        if runs and (m.start() != runs[-1][1] + 1 or text[runs[-1][1]] != "."):
+            runs = []
+        runs = [*runs[-2:], m.span()]
+        if len(runs) == 3:
+            (low, end), (second, stop), (_, last) = runs
+            start = text.find("eyJ", low, end)
+            if start >= 0 and end - start >= 11 and text.startswith("eyJ", second) and stop - second >= 11:
+                yield start, last
+                runs = []
 
 
 @dataclass(frozen=True)
 class Rule:
     """kind and version name the rule in the ledger; a changed rule needs another version. Matches of pattern count, leftmost
-    first and not overlapping, if `group` has `least` characters; hints are lower-case strings of which a text that
-    matches has one (none: any text may)."""
+    first and not overlapping, if `group` has `least` characters; find gives the same spans where the pattern alone isn't
+    linear. A text that matches has, in lower case, one of the hints, or itself a match of screen (neither: any text may)."""
 
     kind: str
     version: int
@@ -33,66 +55,50 @@ class Rule:
     group: int = 0
     any_case: bool = False
     hints: tuple[str, ...] = ()
+    screen: str | None = None
+    find: Callable[[str], Iterator[tuple[int, int]]] | None = None
+
+    def may(self, text: Column) -> Column:
+        """Whether the rule may match; evaluated where the text is read."""
+        shown = [F.contains(F.lower(text), F.lit(h)) for h in self.hints] + ([text.rlike(self.screen)] if self.screen else [])
+        return reduce(lambda a, b: a | b, shown) if shown else F.lit(True)
+
+    def spans(self, text: str, pattern: re.Pattern) -> list[tuple[int, int]]:
+        if self.find:
+            return list(self.find(text))
+        return [m.span() for m in pattern.finditer(text) if m.end(self.group) - m.start(self.group) >= self.least]
 
 
 #: Fixed values.
 BASE_RULES = (
     Rule("assign", 1, r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 6, 2, True, ("password", "passwd", "secret", "token", "apikey", "api_key")),
     Rule("access", 1, r"AKIA[A-Z0-9]+", 20, hints=("akia",)),
-    Rule("hex", 1, r"[0-9a-f]{24,}", 24),  # the runs of [0-9a-f]+ that are long enough
+    Rule("hex", 1, r"[0-9a-f]{24,}", 24, screen="[0-9a-f]{24}"),  # the runs of [0-9a-f]+ that are long enough
 )
 MORE_RULES = (
     Rule("pem", 1, r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", hints=("private key-----",)),
-    Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", hints=("eyj",)),
+    Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", hints=(".eyj",), find=web_tokens),
 )
 LEDGER = "blob binary, kind string, version int, spans array<struct<start:int,end:int>>"
 
 
-def _spans(text: str, rules: list[tuple[Rule, re.Pattern]]) -> list[tuple[Rule, list]]:
-    low = text.lower()
-    out = []
-    for rule, pattern in rules:
-        if rule.hints and not any(h in low for h in rule.hints):
-            out.append((rule, []))
-        else:
-            out.append((rule, [{"start": m.start(), "end": m.end()} for m in pattern.finditer(text) if m.end(rule.group) - m.start(rule.group) >= rule.least]))
-    return out
-
-
 def scan(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES, text: str = "text") -> DataFrame:
     """Scans what the ledger (a path in storage that all nodes share; made if missing) lacks and appends it there.
     Returns versions with the columns blob and findings, an array of (kind, start, end) in code points by start, then
     in the order of rules.
 
-    A null text is an empty one. Repeated rows stay. Columns named blob or findings are replaced.
+    A null text is an empty one. Repeated rows stay. Columns named blob or findings are replaced. An empty table adds nothing.
     """
-    bounded_batches(versions.sparkSession)
     spark = versions.sparkSession
+    bounded_batches(spark)
     body = F.coalesce(F.col(text), F.lit(""))
     blob = F.unhex(F.sha2(body.cast("binary"), 256))
     if not _exists(spark, ledger):
         spark.createDataFrame([], LEDGER).write.parquet(ledger)
     seen = spark.read.schema(LEDGER).parquet(ledger)
-    wanted = {(r.kind, r.version) for r in rules}
-    current = reduce(lambda a, b: a | b, [(F.col("kind") == k) & (F.col("version") == v) for k, v in sorted(wanted)])
-    have = seen.where(current).groupBy("blob").agg(F.collect_set(F.concat_ws(":", "kind", "version")).alias("have"))
-    blobs = versions.select(blob.alias("blob"), body.alias("text")).dropDuplicates(["blob"])
-    new = blobs if seen.isEmpty() else blobs.join(have, "blob", "left").where(F.col("have").isNull() | (F.size("have") < len(wanted)))
-    if "have" not in new.columns:
-        new = new.withColumn("have", F.lit(None).cast("array<string>"))
+    current = reduce(lambda a, b: a | b, [(F.col("kind") == r.kind) & (F.col("version") == r.version) for r in rules])
+    _append(versions.select(blob.alias("blob"), body.alias("text")), seen, current, rules, ledger)
 
-    def search(batches):
-        ready = [(r, re.compile(r.pattern, re.ASCII | re.IGNORECASE * r.any_case)) for r in rules]
-        for batch in batches:
-            rows = {"blob": [], "kind": [], "version": [], "spans": []}
-            for key, own, known in zip(batch["blob"].to_pylist(), batch["text"], batch["have"].to_pylist(), strict=True):
-                known = set(known or ())
-                for rule, spans in _spans(own.as_py(), [x for x in ready if f"{x[0].kind}:{x[0].version}" not in known]):
-                    for name, value in zip(rows, (key, rule.kind, rule.version, spans), strict=True):
-                        rows[name].append(value)
-            yield pa.record_batch([pa.array(rows["blob"], pa.binary()), pa.array(rows["kind"], pa.string()), pa.array(rows["version"], pa.int32()), pa.array(rows["spans"], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], list(rows))
-
-    new.select("blob", "text", "have").mapInArrow(search, LEDGER).write.mode("append").parquet(ledger)
     found = spark.read.schema(LEDGER).parquet(ledger).where(current).where(F.size("spans") > 0)
     rank = reduce(lambda a, r: a.when(F.col("kind") == r[1].kind, r[0]), enumerate(rules), F.when(F.lit(False), -1))
     spans = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), F.col("rank").alias("rank"), s["end"].alias("end"), F.col("kind").alias("kind")))
@@ -102,6 +108,46 @@ def scan(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = BASE_RULES
     return versions.withColumn("blob", blob).drop("findings").join(by_blob, "blob", "left").withColumn("findings", F.coalesce("findings", none))
 
 
+def _append(texts: DataFrame, seen: DataFrame, current: Column, rules: tuple[Rule, ...], ledger: str) -> None:
+    """texts: blob, text. Adds the pairs of a blob and a rule that seen lacks."""
+    scratch = Scratch(texts.sparkSession)
+    bits = lambda flags: reduce(lambda a, b: a.bitwiseOR(b), [F.when(f, 1 << k).otherwise(0) for k, f in enumerate(flags)])
+    shows = bits([r.may(F.col("text")) for r in rules])
+    blobs = texts.select("blob", shows.alias("shows")).groupBy("blob").agg(F.max("shows").alias("shows"))
+    if seen.isEmpty():
+        todo = blobs.withColumn("lacks", F.lit((1 << len(rules)) - 1))
+    else:
+        have = seen.where(current).groupBy("blob").agg(F.collect_set(F.concat_ws(":", "kind", "version")).alias("have"))
+        lacks = bits([~F.coalesce(F.array_contains("have", f"{r.kind}:{r.version}"), F.lit(False)) for r in rules])
+        todo = blobs.join(have, "blob", "left").select("blob", "shows", lacks.alias("lacks")).where("lacks <> 0")
+    todo = scratch.stored(todo, "todo")
+    pairs = F.array(*[F.struct(F.lit(1 << k).alias("bit"), F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for k, r in enumerate(rules)])
+    clean = todo.select("blob", F.explode(F.filter(pairs, lambda p: (F.col("lacks").bitwiseAND(p["bit"]) != 0) & (F.col("shows").bitwiseAND(p["bit"]) == 0))).alias("p"))
+    clean = clean.select("blob", "p.kind", "p.version", F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
+
+    def search(batches):
+        ready = [(1 << k, r, re.compile(r.pattern, re.ASCII | re.IGNORECASE * r.any_case)) for k, r in enumerate(rules)]
+        for batch in batches:
+            rows = {"blob": [], "kind": [], "version": [], "spans": []}
+            for key, own, wanted in zip(batch["blob"].to_pylist(), batch["text"], batch["wanted"].to_pylist(), strict=True):
+                own = own.as_py()
+                for bit, rule, pattern in ready:
+                    if wanted & bit:
+                        found = [{"start": a, "end": b} for a, b in rule.spans(own, pattern)]
+                        for name, value in zip(rows, (key, rule.kind, rule.version, found), strict=True):
+                            rows[name].append(value)
+            yield pa.record_batch([pa.array(rows["blob"], pa.binary()), pa.array(rows["kind"], pa.string()), pa.array(rows["version"], pa.int32()), pa.array(rows["spans"], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], list(rows))
+
+    wanted = todo.select("blob", F.col("shows").bitwiseAND(F.col("lacks")).alias("wanted")).where("wanted <> 0")
+    if wanted.isEmpty():
+        made = clean
+    else:
+        one = texts.where(shows != 0).groupBy("blob").agg(F.first("text").alias("text"))
+        made = clean.unionByName(one.join(wanted, "blob").select("blob", "text", "wanted").mapInArrow(search, LEDGER))
+    made.write.mode("append").parquet(ledger)
+    scratch.clear()
+
+
 def _exists(spark, path: str) -> bool:
     there = spark._jvm.org.apache.hadoop.fs.Path(path)
     return there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there)

@@ -1,6 +1,7 @@
 import collections
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -207,6 +208,27 @@ def test_secrets_and_ledger(spark, tmp_path):
     assert {r["text"]: [f["kind"] for f in r["findings"]] for r in got} == dict(zip(texts, (["access"], [], ["assign", "hex"], [], [], [])))
 
 
+def test_web_tokens_equal_their_pattern():
+    rng = np.random.default_rng(2)
+    jwt = next(r for r in secrets.MORE_RULES if r.kind == "jwt")
+    pieces = ["eyJ", "eyJabcdefgh", "eyJ" * 5, ".", "..", " ", "abcdefghij", "x", "-", "é", ".eyJ"]
+    for _ in range(3000):
+        text = "".join(rng.choice(pieces, rng.integers(1, 14)))
+        assert list(secrets.web_tokens(text)) == [m.span() for m in re.finditer(jwt.pattern, text, re.ASCII)], text
+    began = time.perf_counter()
+    assert list(secrets.web_tokens("eyJ" * 300_000)) == [] and time.perf_counter() - began < 2
+
+
+def test_secrets_of_clashing_columns_and_long_texts(spark):
+    long = "eyJ" * 100_000 + " password" * 20_000 + " " * 100_000 + "AKIA" + "Z" * 200_000
+    docs = spark.createDataFrame([(long, 1, "x"), (long, 1, "x"), (None, None, None)], "text string, blob int, findings string")
+    got = secrets.scan(docs, secrets.fresh_ledger(spark)).collect()
+    assert sorted(len(r["findings"]) for r in got) == [0, 1, 1] and {type(r["blob"]) for r in got} == {bytearray}
+    assert {tuple(r["findings"][0]) for r in got if r["findings"]} == {("access", len(long) - 200_004, len(long))}
+    ledger = secrets.fresh_ledger(spark)
+    assert secrets.scan(docs.limit(0), ledger).count() == 0 and spark.read.parquet(ledger).count() == 0
+
+
 def test_urls(spark):
     urls = ["HTTP://EX.Example.COM/en/7?x", "https://a.net?q=/de/", "x://example.net/de/8#f", None, "no url", "a://b://c/d", "x://com/en/", "x://notexample.com/en/7", "x://org/es/", "x://É.org/es/é"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id int, url string").withColumn("host", F.lit("clash"))
