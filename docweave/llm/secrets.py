@@ -46,7 +46,7 @@ def web_tokens(text: str) -> Iterator[tuple[int, int]]:
 class Rule:
     """kind and version name the rule in the ledger; a changed rule needs another version. Matches of pattern count, leftmost
     first and not overlapping, if `group` has `least` characters; find gives the same spans where the pattern alone isn't
-    linear. A text that matches has, in lower case, one of the hints, or itself a match of screen (neither: any text may)."""
+    linear. A text that matches has, in lower case, one of the hints or a match of screen (neither: any text may)."""
 
     kind: str
     version: int
@@ -58,9 +58,9 @@ class Rule:
     screen: str | None = None
     find: Callable[[str], Iterator[tuple[int, int]]] | None = None
 
-    def may(self, text: Column) -> Column:
-        """Whether the rule may match; evaluated where the text is read."""
-        shown = [F.contains(F.lower(text), F.lit(h)) for h in self.hints] + ([text.rlike(self.screen)] if self.screen else [])
+    def may(self, low: Column) -> Column:
+        """Whether the rule may match a text, given in lower case; evaluated where the text is read."""
+        shown = [F.contains(low, F.lit(h)) for h in self.hints] + ([low.rlike(self.screen)] if self.screen else [])
         return reduce(lambda a, b: a | b, shown) if shown else F.lit(True)
 
     def spans(self, text: str, pattern: re.Pattern) -> list[tuple[int, int]]:
@@ -112,7 +112,8 @@ def _append(texts: DataFrame, seen: DataFrame, current: Column, rules: tuple[Rul
     """texts: blob, text. Adds the pairs of a blob and a rule that seen lacks."""
     scratch = Scratch(texts.sparkSession)
     bits = lambda flags: reduce(lambda a, b: a.bitwiseOR(b), [F.when(f, 1 << k).otherwise(0) for k, f in enumerate(flags)])
-    shows = bits([r.may(F.col("text")) for r in rules])
+    # a function of one argument, or every hint would lower the text anew
+    shows = F.transform(F.array(F.lower("text")), lambda low: bits([r.may(low) for r in rules]))[0]
     blobs = texts.select("blob", shows.alias("shows")).groupBy("blob").agg(F.max("shows").alias("shows"))
     if seen.isEmpty():
         todo = blobs.withColumn("lacks", F.lit((1 << len(rules)) - 1))
