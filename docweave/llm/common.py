@@ -81,7 +81,10 @@ def free_name(df: DataFrame, stem: str) -> str:
     return name
 
 
-def words_counted(text: Column, pattern: str = r"[^\x20\x09-\x0D]+") -> Column:
+WORD = r"[^\x20\x09-\x0D]+"
+
+
+def words_counted(text: Column, pattern: str = WORD) -> Column:
     """How often pattern occurs in text, as a long; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(pattern)), F.lit(0)).cast("long")
 

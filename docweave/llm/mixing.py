@@ -4,7 +4,7 @@ Every document has a fixed 60-bit hash. A source that is to give k whole passes
 documents k times, and once more where the hash lies below the source's threshold. The threshold is found without
 sorting: words are summed by source and the top 10 bits of the hash, the bucket in which the budget ends is
 found, and only the documents of that bucket are summed by the next 10 bits, until one document (or several of
-the same hash) is left; it is taken if that is nearer to the budget. Thresholds nest: with a larger budget a source keeps
+the same hash) is left, which gives just the words that are missing. Thresholds nest: with a larger budget a source keeps
 what it had. Histograms have at most 1024 rows a source and level, whatever the input.
 """
 
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docweave.llm.common import stored, words_counted
+from docweave.llm.common import WORD, stored, words_counted
 
 HASH_BITS, LEVEL_BITS = 60, 10
 
@@ -46,18 +46,22 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int =
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, text: str = "text", doc_id: str = "doc_id", source: str = "source") -> DataFrame:
-    """doc_id, source, size (words of the text, 0 for null), source_size, target, copies and h (the hash) of every row.
+    """doc_id, source, size (words of the text, 0 for null), source_size, target, copies, part and h (the hash) of every row.
 
-    copies says how often the mix takes the row, `most` times at most. Rows that agree in id and text have the same
-    hash and are taken alike. A source without words has target 0. Other columns are not looked at.
+    The mix takes the row `copies` times and, of the document at the threshold, `part` words once more, `most` times the
+    row's words at most. A source's words miss its target by less than one word; rows that agree in id and text have the same
+    hash and share what is missing evenly, by less than a word for each of them. A source without words has target 0. Other
+    columns are not looked at.
     """
     sizes = stored(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), words_counted(F.col(text)).alias("size"), document_hash(F.col(doc_id), F.col(text)).alias("h")), "sizes")
-    goal, copies = _thresholds(sizes, weights, most)
-    return sizes.alias("a").join(goal.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source"))).select("doc_id", "a.source", "size", "source_size", "target", copies(F.col("h")).alias("copies"), "h")
+    goal, copies, part = _thresholds(sizes, weights, most)
+    rows = sizes.alias("a").join(goal.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")))
+    return rows.select("doc_id", "a.source", "size", "source_size", "target", copies(F.col("h")).alias("copies"), part(F.col("h")).alias("part"), "h")
 
 
 def _thresholds(sizes: DataFrame, weights: tuple[int, ...], most: int):
-    """A written table of source, source_size, target and its thresholds, and the copies of a hash by a row of it."""
+    """A written table of source, source_size, target and its thresholds, and by a row of it the whole copies of a hash and the
+    words that it gives besides."""
     passes = F.coalesce(F.floor(F.col("target") / F.when(F.col("source_size") > 0, F.col("source_size"))), F.lit(0))
     goal = stored(targets(sizes, weights, most).withColumn("passes", passes).withColumn("need", F.col("target") - F.col("passes") * F.col("source_size")), "targets")
     cut = goal.select("source", "need", F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("below"), F.lit(0).cast("long").alias("inside"))
@@ -70,22 +74,35 @@ def _thresholds(sizes: DataFrame, weights: tuple[int, ...], most: int):
         cut = stored(first.select("source", "need", F.col("bucket").alias("prefix"), (F.col("upto") - F.col("inside")).alias("below"), "inside", "rows"), "cut")
         if (cut.agg(F.max("rows")).first()[0] or 0) <= 1:
             break
-    cut = cut.select("source", "prefix", (F.col("below") + F.col("inside") - F.col("need") < F.col("need") - F.col("below")).alias("also"))
-    goal = stored(goal.alias("a").join(cut.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")), "left").select("a.source", "source_size", "target", "passes", "prefix", "also"), "goal")
+    cut = cut.select("source", "prefix", F.greatest(F.floor((F.col("need") - F.col("below")) / F.col("rows")), F.lit(0)).cast("long").alias("missing"), (F.col("inside") / F.col("rows")).alias("each"))
+    goal = stored(goal.alias("a").join(cut.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")), "left").select("a.source", "source_size", "target", "passes", "prefix", "missing", "each"), "goal")
 
     def copies(h: Column) -> Column:
-        own = F.shiftright(h, HASH_BITS - bits)
-        extra = F.when((own < F.col("prefix")) | ((own == F.col("prefix")) & F.col("also")), 1).otherwise(0)
+        extra = F.when(F.shiftright(h, HASH_BITS - bits) < F.col("prefix"), 1).otherwise(0)
         return F.least(F.col("passes") + extra, F.lit(most)).cast("int")
 
-    return goal, copies
+    def part(h: Column) -> Column:
+        at = (F.shiftright(h, HASH_BITS - bits) == F.col("prefix")) & (F.col("passes") < most)
+        return F.when(at, F.col("missing")).otherwise(0).cast("long")
 
+    return goal, copies, part
 
-def mixed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, text: str = "text", doc_id: str = "doc_id", source: str = "source") -> DataFrame:
-    """docs with each row as often as the mix takes it. Rows meet only the table of thresholds, a row for each source."""
+
+def mixed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, text: str = "text", doc_id: str = "doc_id", source: str = "source", cut: bool = False) -> DataFrame:
+    """docs with each row as often as the mix takes it. Rows meet only the table of thresholds, a row for each source.
+
+    Of the document at a source's threshold come, if `cut`, the words that are missing, parted by single spaces; else it comes
+    whole if that is nearer to the target.
+    """
     h = document_hash(F.col(doc_id), F.col(text))
-    goal, copies = _thresholds(stored(docs.select(F.col(source).alias("source"), words_counted(F.col(text)).alias("size"), h.alias("h")), "sizes"), weights, most)
-    own = goal.select(F.col("source").alias("__source"), "passes", "prefix", "also")
+    goal, copies, part = _thresholds(stored(docs.select(F.col(source).alias("source"), words_counted(F.col(text)).alias("size"), h.alias("h")), "sizes"), weights, most)
+    own = goal.select(F.col("source").alias("__source"), "passes", "prefix", "missing", "each")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(source).alias("__own"), h.alias("__h"))
-    taken = rows.join(own, F.col("__own").eqNullSafe(F.col("__source"))).withColumn("copies", copies(F.col("__h"))).where("copies > 0")
-    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("time")).select("row.*")
+    met = rows.join(own, F.col("__own").eqNullSafe(F.col("__source"))).withColumns({"copies": copies(F.col("__h")), "part": part(F.col("__h"))})
+    if not cut:
+        met = met.withColumn("copies", F.col("copies") + F.when(F.col("part") * 2 > F.col("each"), 1).otherwise(0))
+    whole = met.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("time")).select("row.*")
+    if not cut:
+        return whole
+    first = F.array_join(F.slice(F.regexp_extract_all(F.col(f"row.{text}"), F.lit(WORD), F.lit(0)), F.lit(1), F.col("part").cast("int")), " ")
+    return whole.unionByName(met.where("part > 0").select(F.col("row").withField(f"`{text}`", first).alias("row")).select("row.*"))

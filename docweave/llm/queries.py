@@ -68,7 +68,7 @@ ORACLE_SQL["op1_secret_scan"] = _secrets_sql()
 @query
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.mix(_table(spark, sf_dir, "documents"), weights=(5, 2, 1), most=3)
-    return mix.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+    return mix.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size") + F.col("part")).cast("long").alias("taken"))
 
 
 ORACLE_SQL["op2_source_mixing"] = r"""
@@ -85,11 +85,11 @@ ranked AS (
 levels AS (SELECT max(rest::DOUBLE / w_rest) AS level FROM ranked WHERE rest * w <= s * 3 * w_rest),
 goal AS (SELECT source, s, least((s * 3)::DOUBLE, level * w) AS target FROM ranked, levels),
 passes AS (SELECT *, CASE WHEN s > 0 THEN floor(target / s) ELSE 0 END AS k FROM goal),
-groups AS (SELECT source, h, sum(size)::BIGINT AS z FROM sizes GROUP BY source, h),
+groups AS (SELECT source, h, sum(size)::BIGINT AS z, count(*) AS rows FROM sizes GROUP BY source, h),
 summed AS (SELECT *, (sum(z) OVER (PARTITION BY source ORDER BY h) - z)::BIGINT AS before FROM groups)
 SELECT a.doc_id, a.size, g.s AS source_size, g.target,
-       (a.size * least(3, g.k + CASE WHEN c.before + c.z <= g.target - g.k * g.s THEN 1
-          WHEN c.before <= g.target - g.k * g.s AND c.before + c.z - (g.target - g.k * g.s) < (g.target - g.k * g.s) - c.before THEN 1 ELSE 0 END))::BIGINT AS taken
+       (a.size * least(g.k, 3) + CASE WHEN g.k >= 3 THEN 0 WHEN c.before + c.z <= g.target - g.k * g.s THEN a.size
+          ELSE greatest(floor((g.target - g.k * g.s - c.before) / c.rows), 0) END)::BIGINT AS taken
 FROM sizes a JOIN passes g ON a.source IS NOT DISTINCT FROM g.source JOIN summed c ON a.source IS NOT DISTINCT FROM c.source AND a.h = c.h
 """
 
