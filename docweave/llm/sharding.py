@@ -149,13 +149,20 @@ def _slots(rows: DataFrame) -> DataFrame:
 
 
 def text_tree(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> Tree:
-    """A tree over what a text shows of itself, so that equal texts are equal in every dimension: the logarithm of its bytes,
-    its bytes per character and its checksum. A null text is an empty one; size is the bytes plus 1. options: see Tree.
+    """A tree over what a text shows of itself, so that equal texts are equal in every dimension: the logarithm of its bytes, its
+    bytes per character (script), its characters per blank (words) and the logarithm of its bytes per line. A null text is
+    an empty one; size is the bytes plus 1. options: see Tree.
 
     Rows of equal text share a leaf where balance allows; those that don't are divided by a hash of the id, and rows that
     agree in the id too are one. leaves, or target_bytes, of which as many leaves are made as needed (1 for an empty table).
     """
     body = F.coalesce(F.col(text), F.lit(""))
     size = (F.octet_length(body) + 1).cast("long")
-    shape = {"log_bytes": F.log2(size), "wide": F.octet_length(body) / F.greatest(F.length(body), F.lit(1)), "crc": F.crc32(body.cast("binary"))}
+    without = lambda c: F.length(F.replace(body, F.lit(c), F.lit("")))
+    shape = {
+        "log_bytes": F.log2(size),
+        "wide": F.octet_length(body) / F.greatest(F.length(body), F.lit(1)),
+        "words": F.length(body) / (F.length(body) - without(" ") + 1),
+        "lines": F.log2(size / (F.length(body) - without("\n") + 1)),
+    }
     return Tree(docs, size, shape, body, F.col(doc_id), **options)
