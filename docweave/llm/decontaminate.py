@@ -7,8 +7,8 @@ A search reads the index alone. In each segment every query phrase starts from i
 lists of its other terms, rarest first, are shifted by their offset in the phrase and intersected. Nothing is shuffled:
 a phrase that occurs in a third of all documents only makes longer lists in every segment.
 
-Queries come in blocks of bounded size (`block_words` words), so what is broadcast has a fixed bound; each block
-indexes the terms it asks for.
+Queries come in blocks of bounded size (`block_words` words), so what is broadcast has a fixed bound. If one block
+holds them all, only its terms are indexed; else all terms are, once, and every block searches that index.
 """
 
 from __future__ import annotations
@@ -235,14 +235,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, text: s
     appear as 'None'. Repeated rows each get their row. Other columns are not looked at.
     """
     kind = docs.schema[doc_id].dataType
-    base, parts = None, []
+    index, parts = None, []
     for n, items in _blocks(benchmark, item_id, text, block_words):
-        index = stored(build_index(docs, vocabulary([t for _, t in items]), text, doc_id), "index")
+        if index is None:
+            index = stored(build_index(docs, vocabulary([t for _, t in items]) if n == 1 else None, text, doc_id), "index")
         matches = phrase_matches(index, items, size)
         if n > 1:
-            base = index if base is None else base
             parts.append(stored(matches.where("size(items) > 0").dropDuplicates(["tkey", "n_words"]), "matches"))
-    found = matches if n == 1 else _joined(base, parts)
+    found = matches if n == 1 else _joined(index, parts)
     width = F.aggregate("hits", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["first"])
     return found.withColumn("n_hit", width).withColumn("doc_id", F.col("doc_id").cast(kind))
 
