@@ -6,9 +6,9 @@ rule version, scans one copy of each for just those rules, appends to the ledger
 to every path that has the blob.
 
 Scale. What moves of a version is its hash and one bit a rule: whether its text shows a string that every match of
-the rule has (looked for where the text is read). Only texts that show one for a rule that their blob lacks are moved,
-map-side reduced to one copy a blob and task, and searched in Python; the other pairs are clean. Paths are joined on the
-hash alone, and only to blobs with findings. Every rule's search is linear in the text.
+the rule has (looked for where the text is read). Only texts that show one are moved, map-side reduced to one copy a blob
+and task, and searched in Python for the rules that show and that their blob lacks; the other pairs are clean. Paths are
+joined on the hash alone, and only to blobs with findings. Every rule's search is linear in the text.
 """
 
 from __future__ import annotations
@@ -18,11 +18,12 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.common import Scratch, bounded_batches, fresh_dir
+from docweave.llm.common import bounded_batches, fresh_dir
 
 _SEGMENT = re.compile(r"[A-Za-z0-9_-]+")
 
@@ -93,9 +94,7 @@ def scan(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = BASE_RULES
     bounded_batches(spark)
     body = F.coalesce(F.col(text), F.lit(""))
     blob = F.unhex(F.sha2(body.cast("binary"), 256))
-    if not _exists(spark, ledger):
-        spark.createDataFrame([], LEDGER).write.parquet(ledger)
-    seen = spark.read.schema(LEDGER).parquet(ledger)
+    seen = spark.read.schema(LEDGER).parquet(ledger) if _exists(spark, ledger) else spark.createDataFrame([], LEDGER)
     current = reduce(lambda a, b: a | b, [(F.col("kind") == r.kind) & (F.col("version") == r.version) for r in rules])
     _append(versions.select(blob.alias("blob"), body.alias("text")), seen, current, rules, ledger)
 
@@ -110,43 +109,33 @@ def scan(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = BASE_RULES
 
 def _append(texts: DataFrame, seen: DataFrame, current: Column, rules: tuple[Rule, ...], ledger: str) -> None:
     """texts: blob, text. Adds the pairs of a blob and a rule that seen lacks."""
-    scratch = Scratch(texts.sparkSession)
     bits = lambda flags: reduce(lambda a, b: a.bitwiseOR(b), [F.when(f, 1 << k).otherwise(0) for k, f in enumerate(flags)])
     # a function of one argument, or every hint would lower the text anew
     shows = F.transform(F.array(F.lower("text")), lambda low: bits([r.may(low) for r in rules]))[0]
-    blobs = texts.select("blob", shows.alias("shows")).groupBy("blob").agg(F.max("shows").alias("shows"))
+    blobs = texts.withColumn("shows", shows).select("blob", "shows", F.when(F.col("shows") != 0, F.col("text")).alias("text"))
+    todo = blobs.groupBy("blob").agg(F.max("shows").alias("shows"), F.first("text", ignorenulls=True).alias("text"))
     if seen.isEmpty():
-        todo = blobs.withColumn("lacks", F.lit((1 << len(rules)) - 1))
+        todo = todo.withColumn("lacks", F.lit((1 << len(rules)) - 1))
     else:
         have = seen.where(current).groupBy("blob").agg(F.collect_set(F.concat_ws(":", "kind", "version")).alias("have"))
         lacks = bits([~F.coalesce(F.array_contains("have", f"{r.kind}:{r.version}"), F.lit(False)) for r in rules])
-        todo = blobs.join(have, "blob", "left").select("blob", "shows", lacks.alias("lacks")).where("lacks <> 0")
-    todo = scratch.stored(todo, "todo")
-    pairs = F.array(*[F.struct(F.lit(1 << k).alias("bit"), F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for k, r in enumerate(rules)])
-    clean = todo.select("blob", F.explode(F.filter(pairs, lambda p: (F.col("lacks").bitwiseAND(p["bit"]) != 0) & (F.col("shows").bitwiseAND(p["bit"]) == 0))).alias("p"))
-    clean = clean.select("blob", "p.kind", "p.version", F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
+        todo = todo.join(have, "blob", "left").select("blob", "shows", "text", lacks.alias("lacks")).where("lacks <> 0")
 
     def search(batches):
         ready = [(1 << k, r, re.compile(r.pattern, re.ASCII | re.IGNORECASE * r.any_case)) for k, r in enumerate(rules)]
         for batch in batches:
-            rows = {"blob": [], "kind": [], "version": [], "spans": []}
-            for key, own, wanted in zip(batch["blob"].to_pylist(), batch["text"], batch["wanted"].to_pylist(), strict=True):
-                own = own.as_py()
-                for bit, rule, pattern in ready:
-                    if wanted & bit:
-                        found = [{"start": a, "end": b} for a, b in rule.spans(own, pattern)]
-                        for name, value in zip(rows, (key, rule.kind, rule.version, found), strict=True):
-                            rows[name].append(value)
-            yield pa.record_batch([pa.array(rows["blob"], pa.binary()), pa.array(rows["kind"], pa.string()), pa.array(rows["version"], pa.int32()), pa.array(rows["spans"], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], list(rows))
-
-    wanted = todo.select("blob", F.col("shows").bitwiseAND(F.col("lacks")).alias("wanted")).where("wanted <> 0")
-    if wanted.isEmpty():
-        made = clean
-    else:
-        one = texts.where(shows != 0).groupBy("blob").agg(F.first("text").alias("text"))
-        made = clean.unionByName(one.join(wanted, "blob").select("blob", "text", "wanted").mapInArrow(search, LEDGER))
-    made.write.mode("append").parquet(ledger)
-    scratch.clear()
+            shows, lacks = (batch[c].to_numpy(zero_copy_only=False) for c in ("shows", "lacks"))
+            texts = {int(k): batch["text"][int(k)].as_py() for k in np.flatnonzero(shows & lacks)}
+            for bit, rule, pattern in ready:
+                asked = np.flatnonzero(lacks & bit)
+                found = [rule.spans(texts[k], pattern) if shows[k] & bit else [] for k in asked.tolist()]
+                flat = np.array([x for own in found for x in own], np.int32).reshape(-1, 2)
+                ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+                spans = pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], ["start", "end"])
+                n = len(asked)
+                yield pa.record_batch([batch["blob"].take(pa.array(asked)), pa.array([rule.kind] * n, pa.string()), pa.array([rule.version] * n, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), spans)], ["blob", "kind", "version", "spans"])
+
+    todo.select("blob", "shows", "lacks", "text").mapInArrow(search, LEDGER).write.mode("append").parquet(ledger)
 
 
 def _exists(spark, path: str) -> bool:
