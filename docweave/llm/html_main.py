@@ -5,10 +5,11 @@ Every page becomes blocks in page order, each with a role: `main` (inside an art
 or `off` (menus, headers, footers, sidebars, notices, adverts, forms, reader comments by element, role, class or
 id). The blocks' words of all pages of a host make one stream; its suffixes are sorted by prefix doubling
 up to `run` words, so that suffixes of equal rank share a run of that length. Runs that occur on enough distinct pages of
-the host cover their words. A page's text is its main blocks, or its body blocks if it has none: the covered runs that lie
-within a block are cut out and the rest stays; runs across blocks take whole body blocks only (a headline that several
-articles share is no frame). A page whose main blocks are covered by half or more, or whose body blocks all are, is a copy, not
-a frame, and stays whole.
+the host cover their words: every substring of `run` words or more that is repeated so is covered whole. A page's text is its
+main blocks, or its body blocks if it has none. Of body blocks the covered runs are cut out and the rest stays; a main block
+goes only if it is covered whole by runs within it (a notice among the article's paragraphs), for a passage in a paragraph with
+words of its own is the article's, and so is a headline that several articles share. A page whose main blocks are covered by half or
+more, or whose body blocks all are, is a copy, not a frame, and stays whole.
 
 A host's pages are dealt into chunks of about `chunk_bytes`, so a host with a third of all pages is many tasks. A run on
 enough pages of the host has its share of them in some chunk at least: those are the candidates, which are then
@@ -20,6 +21,7 @@ from __future__ import annotations
 import math
 import re
 from html import unescape
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +39,12 @@ OFF = frozenset("nav footer aside form menu dialog button head".split())
 OFF_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 #: A start of the first closes an open one of the second.
 IMPLIED = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+#: A start of these closes an open p, up to an element in which paragraphs are apart.
+CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section summary table ul".split())
+P_SCOPE = frozenset("button caption html table td th".split())
 #: Class names and ids of what is not the article: tokens whose parts are all among them or PLACES, one of them at least.
 OFF_NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar side aside widget widgets rail footer foot header masthead topbar notice notices cookie cookies consent gdpr alert popup modal overlay comment comments commentlist disqus discussion replies reply respond share sharing social related recommended recirc newsletter subscribe subscription signup login search pagination pager toc skip".split()
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar aside widget widgets rail footer foot header masthead topbar notice notices cookie cookies consent gdpr alert popup modal overlay comment comments commentlist disqus discussion replies reply respond share sharing social related recommended recirc newsletter subscribe subscription pagination pager toc skip".split()
 )
 PLACES = frozenset("site global top bottom left right box bar list link links button buttons".split())
 #: What never holds the page's own article.
@@ -48,11 +53,70 @@ APART = frozenset("nav footer aside menu dialog".split())
 #: Partitions of chunks grow in number with the pages, to MOST_PARTITIONS; what a task holds at once is a chunk.
 PARTITION_BYTES, MOST_PARTITIONS = 8_000_000, 100_000
 
-_RAW = re.compile(rf"<({RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*?(?:/>|>.*?(?:</\1\s*>|\Z))", re.S | re.I)
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_NAME = re.compile(r"/?([a-zA-Z][a-zA-Z0-9:-]*)")
+_ENDS = re.compile(r"[>\"']")
+_RAW_ENDS = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for name in RAW.split("|")}
 _ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _PARTS = re.compile(r"[a-z]+")
-_COMMENT = re.compile(r"<!--.*?(?:-->|\Z)", re.S)
+
+
+class Tag(NamedTuple):
+    """name is empty for what is passed over: comments, declarations, and elements of raw text with all that is in them."""
+
+    start: int
+    end: int
+    name: str = ""
+    closing: bool = False
+    attributes: str = ""
+    raw: bool = False
+
+
+def tags_of(page: str) -> list[Tag]:
+    """The tags of a page in one pass. A comment or a raw element without an end goes to the end of the page. If a tag's quotes never
+    close, it ends at its first >, and quotes count for nothing from there on; one without any > is the end of the page."""
+    out, at, size, quotes = [], 0, len(page), True
+    while (start := page.find("<", at)) >= 0:
+        at = start + 1
+        if page.startswith("!--", at):
+            end = page.find("-->", at + 3)
+            at = size if end < 0 else end + 3
+            out.append(Tag(start, at))
+            continue
+        if page[at : at + 1] in ("!", "?"):
+            end = page.find(">", at)
+            at = size if end < 0 else end + 1
+            out.append(Tag(start, at))
+            continue
+        m = _NAME.match(page, at)
+        if not m:
+            continue
+        end = _tag_end(page, m.end()) if quotes else page.find(">", m.end())
+        if end < 0 and quotes:
+            quotes, end = False, page.find(">", m.end())
+        at = size if end < 0 else end + 1
+        name, closing, attributes = m[1].lower(), page[start + 1] == "/", page[m.end() : max(end, m.end())]
+        if name in _RAW_ENDS and not closing:
+            if not attributes.endswith("/"):
+                over = _RAW_ENDS[name].search(page, at)
+                at = over.end() if over else size
+            out.append(Tag(start, at, raw=True))
+        else:
+            out.append(Tag(start, at, name if end >= 0 else "", closing, attributes))
+    return out
+
+
+def _tag_end(page: str, at: int) -> int:
+    """Where the > of a tag is, quoted ones passed over; -1 if there is none."""
+    first = page.find(">", at)
+    if first < 0 or "'" not in (plain := page[at:first]) and plain.count('"') % 2 == 0:
+        return first
+    while m := _ENDS.search(page, at):
+        if m[0] == ">":
+            return m.start()
+        at = page.find(m[0], m.end()) + 1
+        if not at:
+            return -1
+    return -1
 
 
 def _off(tag: str, attributes: str) -> bool:
@@ -88,16 +152,19 @@ def blocks(page: str | None) -> list[tuple[str, str]]:
     """(text, role) of each block with text, in page order."""
     if not page:
         return []
-    page = _RAW.sub(" ", _COMMENT.sub("", page))
-    tags = list(_TAG.finditer(page))
+    tags = tags_of(page)
     for own in ("main", "article"):
-        if any(m[2] and not m[1] and m[2].lower() == own for m in tags):
+        if any(t.name == own and not t.closing for t in tags):
             found = _walked(page, tags, own, frozenset())
             return _walked(page, tags, own, found) if isinstance(found, frozenset) else found
-    return _walked(page, tags, "", frozenset())
+    found = _walked(page, tags, "", frozenset())
+    forms = frozenset(t.start for t in tags if t.name == "form")
+    if forms and all(role == "off" for _, role in found):  # a form around the whole page
+        found = _walked(page, tags, "", forms)
+    return found
 
 
-def _walked(page: str, tags: list[re.Match], own: str, spared: frozenset[int]) -> list[tuple[str, str]] | frozenset[int]:
+def _walked(page: str, tags: list[Tag], own: str, spared: frozenset[int]) -> list[tuple[str, str]] | frozenset[int]:
     """The blocks, elements that start at `spared` not switched off; or, if the page's own article (the first `own` element that
     is not set apart) lies in an element switched off or is one, the starts of those that hold it and its own."""
     out, piece = [], []
@@ -117,36 +184,43 @@ def _walked(page: str, tags: list[re.Match], own: str, spared: frozenset[int]) -
         _, off, main, _ = stack[k]
         del stack[k:]
 
-    for m in tags:
-        if m.start() > at:
-            piece.append(page[at : m.start()])
-        at = m.end()
-        if not m[2]:
+    def closes(open_ones, scope):
+        for k in range(len(stack) - 1, -1, -1):
+            if stack[k][0] in open_ones:
+                return leave(k)
+            if stack[k][0] in scope:
+                return
+
+    for t in tags:
+        if t.start > at:
+            piece.append(page[at : t.start])
+        at, tag = t.end, t.name
+        if not tag:
+            if t.raw:
+                piece.append(" ")
             continue
-        tag = m[2].lower()
         if tag in BLOCK:
             close()
         elif tag == "br":
             piece.append(" ")
         if tag in VOID:
+            if tag == "hr":
+                closes(("p",), P_SCOPE)
             continue
-        if m[1]:
+        if t.closing:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
                     leave(k)
                     break
             continue
-        if m[3].endswith("/") and tag not in BLOCK:
+        if t.attributes.endswith("/") and tag not in BLOCK:
             continue
         if tag in IMPLIED:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in IMPLIED[tag]:
-                    leave(k)
-                    break
-                if stack[k][0] in ("ul", "ol", "dl", "table", "div", "article", "section"):
-                    break
-        stack.append((tag, off, main, m.start()))
-        if m.start() not in spared and (_off(tag, m[3]) or tag == "header" and not main):
+            closes(IMPLIED[tag], ("ul", "ol", "dl", "table", "div", "article", "section"))
+        elif tag in CLOSES_P:
+            closes(("p",), P_SCOPE)
+        stack.append((tag, off, main, t.start))
+        if t.start not in spared and (_off(tag, t.attributes) or tag == "header" and not main):
             off += 1
         elif tag in ("article", "main"):
             main += 1
@@ -254,8 +328,8 @@ def extract(pages: DataFrame, keep: tuple[str, ...], html: str = "html", host=No
         return flat, n_blocks, h, at, np.repeat(np.repeat(np.arange(len(table)), n_blocks), np.diff(at))
 
     def chosen(table: pa.Table, flat: pa.Array, n_blocks: np.ndarray, at: np.ndarray, first: np.ndarray) -> pa.Table:
-        """first: where runs begin that are frames. A body block goes if they cover it all; else, and in main
-        blocks, only words of runs within it go."""
+        """first: where runs begin that are frames. A block goes if they cover it all, of a main block runs within it; of
+        other body blocks the words of runs within go."""
         n_words = np.diff(at)
         inside = _whole(np.repeat(np.arange(len(n_words)), n_words), run)
         seen, cut = _covered(first, int(at[-1]), run), _covered(first[inside[first]], int(at[-1]), run)
@@ -267,6 +341,8 @@ def extract(pages: DataFrame, keep: tuple[str, ...], html: str = "html", host=No
         def rest(b: int) -> str:
             if covered[b] == n_words[b]:
                 return ""
+            if roles[b] == "main":
+                return texts[b]
             gone = cut[at[b] : at[b + 1]]
             return " ".join(w for w, c in zip(texts[b].split(" "), gone.tolist(), strict=True) if not c) if gone.any() else texts[b]
 
