@@ -7,6 +7,9 @@ updated by those of the revisit that may replace them.
 Scale. The join moves captures without bodies. They are range-partitioned by URL, time and record id, so that a URL with a
 third of all captures lies in many parts, in order; within a part a window finds the latest response, and a table with the
 last response of each URL and part gives what comes from the parts before.
+
+Files are read record by record from what is decompressed as it is needed. A record whose length is missing or no number is passed
+over up to the next line that begins a record; what is cut off at a file's end, or follows damage in its compression, is left out.
 """
 
 from __future__ import annotations
@@ -15,12 +18,13 @@ import gzip
 import io
 import re
 import zlib
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docweave.llm.common import stored
+from docweave.llm.common import bounded_batches, stored
 
 #: Fixed values, by RFC 9111 4.3.4 and RFC 9110: a 304's fields replace the stored ones, but not those that describe the body
 #: as sent or the connection.
@@ -89,9 +93,11 @@ def captures_of_pages(pages: DataFrame) -> DataFrame:
     same URL three hours later that the server answers with 304. Times follow page_id. Its ETag is that of this page, so it does not fit where another page of the same canonical URL came between."""
     tag = F.concat(F.lit('"'), F.md5(F.coalesce(F.col("html"), F.lit("")).cast("binary")), F.lit('"'))
     at = F.timestamp_seconds(F.lit(1_700_000_000) + F.coalesce(F.col("page_id"), F.lit(0)) * 60)
+    # as text without a time zone, so the session's does not matter
+    date = lambda later: (F.expr("timestamp_ntz'1970-01-01 00:00:00'") + F.make_interval(secs=F.lit(1_700_000_000 + later) + F.coalesce(F.col("page_id"), F.lit(0)) * 60)).cast("string")
     kind = lambda name, status, shift, headers: F.struct(F.concat(F.lit(f"{name}-"), F.coalesce(F.col("page_id").cast("string"), F.lit("null"))).alias("record_id"), F.lit(name).alias("type"), (at + F.make_interval(secs=F.lit(shift))).alias("ts"), F.lit(status).alias("status"), headers.alias("headers"))
-    first = kind("response", 200, 0, F.create_map(F.lit("etag"), tag, F.lit("content-type"), F.lit("text/html"), F.lit("date"), at.cast("string")))
-    second = kind("revisit", 304, 10800, F.create_map(F.lit("etag"), F.concat(F.lit("W/"), tag), F.lit("content-type"), F.lit("text/plain"), F.lit("date"), (at + F.make_interval(secs=F.lit(10800))).cast("string")))
+    first = kind("response", 200, 0, F.create_map(F.lit("etag"), tag, F.lit("content-type"), F.lit("text/html"), F.lit("date"), date(0)))
+    second = kind("revisit", 304, 10800, F.create_map(F.lit("etag"), F.concat(F.lit("W/"), tag), F.lit("content-type"), F.lit("text/plain"), F.lit("date"), date(10800)))
     return pages.select("url", F.explode(F.array(first, second)).alias("c")).select("c.*", "url")
 
 
@@ -102,66 +108,113 @@ def write_record(record_type: str, url: str, date: str, headers: list[tuple[str,
     return gzip.compress(head.encode() + block + b"\r\n\r\n", mtime=0)
 
 
-def records_of(data: bytes):
-    """(fields with lower-case names, block) of each record of a WARC file, plain or gzipped by record. A record
-    that is cut off at the end of the file is left out."""
-    for part in _members(data) if data[:2] == b"\x1f\x8b" else [data]:
-        stream = io.BytesIO(part)
-        while line := stream.readline():
-            if not line.startswith(b"WARC/"):
-                continue
-            fields = _fields(stream)
-            size = int(fields.get("content-length", 0))
-            block = stream.read(size)
-            if len(block) == size:
-                yield fields, block
-
-
-def _members(data: bytes):
-    """The contents of the gzip members, up to one that is damaged or cut off; a record lies in one member."""
-    while data:
-        member = zlib.decompressobj(31)
-        try:
-            part = member.decompress(data)
-        except zlib.error:
-            return
-        if not member.eof:
+#: Bytes that are decompressed at once, and bytes of records that a task holds before it gives them away.
+CHUNK, HELD = 1 << 15, 8 << 20
+
+
+class _Member(io.RawIOBase):
+    """One gzip member of a file's bytes, decompressed as it is read. `at` is then where the next one begins."""
+
+    def __init__(self, data: memoryview, at: int):
+        self.data, self.at, self.unzip, self.ready, self.damaged = data, at, zlib.decompressobj(31), memoryview(b""), False
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, out) -> int:
+        while not len(self.ready):
+            if self.unzip.eof or self.damaged:
+                return 0
+            piece = self.data[self.at : self.at + CHUNK]
+            try:
+                self.ready = memoryview(self.unzip.decompress(piece))
+            except zlib.error:
+                self.damaged = True
+            self.damaged |= not len(piece)
+            self.at += len(piece) - len(self.unzip.unused_data)
+        n = min(len(out), len(self.ready))
+        out[:n], self.ready = self.ready[:n], self.ready[n:]
+        return n
+
+
+def records_of(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(fields with lower-case names, block) of each record of a WARC file, plain or gzipped (a record lies in one member)."""
+    if data[:2] != b"\x1f\x8b":
+        yield from _records(io.BytesIO(data))
+        return
+    at, whole = 0, memoryview(data)
+    while at < len(whole):
+        member = _Member(whole, at)
+        stream = io.BufferedReader(member, CHUNK)
+        yield from _records(stream)
+        while stream.read(CHUNK):
+            pass
+        if member.damaged:
             return
-        yield part
-        data = member.unused_data
-
-
-def _fields(stream) -> dict[str, str]:
-    out: dict[str, str] = {}
-    name = None
-    while (line := stream.readline()) not in (b"\r\n", b"\n", b""):
+        at = member.at
+
+
+def _records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
+    while line := stream.readline(CHUNK):
+        if not line.startswith(b"WARC/"):
+            continue
+        fields = dict(reversed(_fields(stream)))  # of repeated ones the first
+        size = fields.get("content-length", "")
+        if not re.fullmatch("[0-9]{1,15}", size):
+            continue
+        parts, left = [], int(size)
+        while left and (part := stream.read(min(left, CHUNK))):
+            parts.append(part)
+            left -= len(part)
+        if not left:
+            yield fields, b"".join(parts)
+
+
+def _fields(stream) -> list[tuple[str, str]]:
+    """(lower-case name, value) in order; a line that begins with white space goes on with the one before."""
+    out: list[tuple[str, str]] = []
+    while (line := stream.readline(CHUNK)) not in (b"\r\n", b"\n", b""):
         text = line.decode("utf-8", "replace").rstrip("\r\n")
-        if text[:1] in " \t" and name:
-            out[name] += " " + text.strip()
+        if text[:1] in " \t" and out:
+            out[-1] = (out[-1][0], f"{out[-1][1]} {text.strip()}")
         elif ":" in text:
             name, _, value = text.partition(":")
-            name = name.strip().lower()
-            out[name] = value.strip()
+            out.append((name.strip().lower(), value.strip()))
     return out
 
 
+def combined(fields: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """One field for each name: values of repeated ones joined by a comma (RFC 9110 5.3), those of set-cookie, which may not
+    be, by a line feed."""
+    out: dict[str, list[str]] = {}
+    for name, value in fields:
+        out.setdefault(name, []).append(value)
+    return [(name, ("\n" if name == "set-cookie" else ", ").join(values)) for name, values in out.items()]
+
+
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """The CAPTURE rows of WARC files (one task reads a file; files are split by who writes them, at about 1 GB). HTTP headers have
-    lower-case names; payload is the HTTP body as sent."""
+    """The CAPTURE rows of WARC files (one task reads a file, whose bytes it holds; files are split by who writes them, at about
+    1 GB). HTTP headers have lower-case names, repeated ones are combined; payload is the HTTP body as sent."""
 
     def parse(batches):
+        kinds = pa.schema([("record_id", pa.string()), ("type", pa.string()), ("url", pa.string()), ("date", pa.string()), ("status", pa.int32()), ("headers", pa.map_(pa.string(), pa.string())), ("payload", pa.binary())])
         for batch in batches:
-            for content in batch["content"].to_pylist():
-                rows = []
-                for fields, block in records_of(content):
-                    status, headers, body = None, {}, block
+            for content in batch["content"]:
+                rows, held = [], 0
+                for fields, block in records_of(content.as_py()):
+                    status, headers, body = None, [], block
                     if block.startswith(b"HTTP/"):
                         stream = io.BytesIO(block)
                         m = re.match(rb"HTTP/\S+\s+(\d{3})", stream.readline())
-                        status, headers, body = int(m[1]) if m else None, _fields(stream), None
+                        status, headers = int(m[1]) if m else None, combined(_fields(stream))
                         body = stream.read()
-                    rows.append({"record_id": fields.get("warc-record-id"), "type": fields.get("warc-type"), "url": fields.get("warc-target-uri", "").strip("<>") or None, "date": fields.get("warc-date"), "status": status, "headers": list(headers.items()), "payload": body})
-                yield pa.RecordBatch.from_pylist(rows, pa.schema([("record_id", pa.string()), ("type", pa.string()), ("url", pa.string()), ("date", pa.string()), ("status", pa.int32()), ("headers", pa.map_(pa.string(), pa.string())), ("payload", pa.binary())]))
-
+                    rows.append({"record_id": fields.get("warc-record-id"), "type": fields.get("warc-type"), "url": fields.get("warc-target-uri", "").strip("<>") or None, "date": fields.get("warc-date"), "status": status, "headers": headers, "payload": body})
+                    held += len(body)
+                    if held > HELD:
+                        yield pa.RecordBatch.from_pylist(rows, kinds)
+                        rows, held = [], 0
+                yield pa.RecordBatch.from_pylist(rows, kinds)
+
+    bounded_batches(spark)
     raw = spark.read.format("binaryFile").load(path).select("content")
     return raw.mapInArrow(parse, "record_id string, type string, url string, date string, status int, headers map<string,string>, payload binary").withColumn("ts", F.try_to_timestamp("date")).select("record_id", "type", "url", "ts", "status", "headers", "payload")
