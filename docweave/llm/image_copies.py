@@ -14,6 +14,7 @@ queries' descriptors come to them in blocks of a fixed size, each broadcast by i
 from __future__ import annotations
 
 import io
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +32,10 @@ FLIPS = np.array([0, *(1 << k for k in range(24))], np.uint32)
 PAIRS = 1 << 20
 #: Query descriptors (of about 150 bytes) that are broadcast at once.
 BLOCK_CODES = 150_000
-SCALES = (1.0, 0.75, 0.5625)
+SCALES = (1.0, 0.84, 0.71, 0.59)
 RADIUS = 9
-#: Corners a scale on a picture of POINTS_AREA pixels or fewer; more in proportion on larger ones.
-POINTS, POINTS_AREA = 24, 96 * 96
+#: A corner is the strongest place within so many pixels at its scale. Every such place counts, however many there are.
+APART = 5
 _PAIRS = np.random.default_rng(11).normal(0, RADIUS / 2.2, (BITS, 4)).clip(-RADIUS + 1, RADIUS - 1)
 
 
@@ -47,7 +48,7 @@ def read_image(data: bytes) -> np.ndarray | None:
         if not line:
             return None
         fields += line.split(b"#")[0].split()
-    if fields[0] != b"P5" or fields[3] != b"255":
+    if fields[0] != b"P5" or fields[3] != b"255" or not (fields[1].isdigit() and fields[2].isdigit() and len(fields[1] + fields[2]) < 12):
         return None
     width, height = int(fields[1]), int(fields[2])
     pixels = stream.read(width * height)
@@ -77,8 +78,7 @@ def _smooth(a: np.ndarray, times: int = 1) -> np.ndarray:
 
 
 def descriptors(grey: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(x, y, scale, angle) in the image's own pixels and the 32 bytes of each corner, the strongest of each scale (as many as the
-    area asks for: a property of the detector)."""
+    """(x, y, scale, angle) in the image's own pixels and the 32 bytes of each corner at each scale."""
     places, codes = [], []
     disk = np.mgrid[-RADIUS : RADIUS + 1, -RADIUS : RADIUS + 1].astype(np.float32)
     disk = disk[:, disk[0] ** 2 + disk[1] ** 2 <= RADIUS * RADIUS].astype(int)
@@ -92,16 +92,13 @@ def descriptors(grey: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         a, b, c = _smooth(gx * gx, 2), _smooth(gx * gy, 2), _smooth(gy * gy, 2)
         strength = (a + c) / 2 - np.sqrt(((a - c) / 2) ** 2 + b * b)
         inner = strength[edge:-edge, edge:-edge]
-        peak = inner > 1.0
-        for dy in (-1, 0, 1):
-            for dx in (-1, 0, 1):
-                if dy or dx:
-                    peak &= inner >= strength[edge + dy : strength.shape[0] - edge + dy, edge + dx : strength.shape[1] - edge + dx]
-        y, x = np.nonzero(peak)
+        around = strength
+        for k in (0, 1):  # the maximum of a square, a direction after the other
+            around = reduce(np.maximum, [np.roll(around, d, k) for d in range(-APART, APART + 1)])
+        y, x = np.nonzero((inner > 1.0) & (inner >= around[edge:-edge, edge:-edge]))
         if not len(y):
             continue
-        best = np.argsort(-inner[y, x], kind="stable")[: max(POINTS, POINTS * grey.size // POINTS_AREA)]
-        y, x = y[best] + edge, x[best] + edge
+        y, x = y + edge, x + edge
         s = _smooth(g)
         around = s[y[:, None] + disk[0], x[:, None] + disk[1]]
         angle = np.arctan2((around * disk[0]).sum(1), (around * disk[1]).sum(1))
@@ -156,9 +153,9 @@ def _present(tables: tuple) -> list[np.ndarray]:
     return out
 
 
-def _met(code: np.ndarray, tables: tuple, present: list[np.ndarray], most_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (own row, query row) of which some piece differs in one bit at most, and all in most_bits bits at most."""
-    own_pieces, found = _pieces(code), [np.zeros((0, 2), np.int64)]
+def _met(code: np.ndarray, tables: tuple, present: list[np.ndarray], most_bits: int) -> np.ndarray:
+    """(own row, query row, differing bits) of pairs of which some piece differs in one bit at most, and all in most_bits at most."""
+    own_pieces, found = _pieces(code), [np.zeros((0, 3), np.int64)]
     for own, keys, order, bits in zip(own_pieces, tables[2], tables[3], present, strict=True):
         probes = (own[:, None] ^ FLIPS).ravel()
         hit = np.flatnonzero(bits[probes >> 3] >> (probes & 7).astype(np.uint8) & 1)
@@ -170,10 +167,24 @@ def _met(code: np.ndarray, tables: tuple, present: list[np.ndarray], most_bits:
             probe = np.searchsorted(ends, at, side="right")
             b = hit[probe] // len(FLIPS)
             q = order[low[probe] + at - (ends[probe] - width[probe])]
-            near = np.bitwise_count(code[b] ^ tables[0][q]).sum(1) <= most_bits
-            found.append(np.stack([b[near], q[near]], 1))
-    pairs = np.unique(np.concatenate(found), axis=0)
-    return pairs[:, 0], pairs[:, 1]
+            far = np.bitwise_count(code[b] ^ tables[0][q]).sum(1, dtype=np.int64)
+            near = far <= most_bits
+            found.append(np.stack([b[near], q[near], far[near]], 1))
+    return np.unique(np.concatenate(found), axis=0)
+
+
+def _nearest(places: np.ndarray) -> np.ndarray:
+    """Of the matches of two images (place, query's place, differing bits) for each place of the query the nearest in bits."""
+    places = places[np.lexsort((*places[:, :4].T, places[:, 8], *places[:, 4:8].T))]
+    new = np.append(True, (places[1:, 4:8] != places[:-1, 4:8]).any(1))
+    return places[new]
+
+
+def _by_chance(places: np.ndarray, slack: float) -> float:
+    """How many of these matches may agree with a transform though they match by chance, with a margin of five: those that
+    fall into a circle of slack pixels when they are spread over the area that they lie in."""
+    area = np.prod(np.ptp(places[:, :2], axis=0) + 1)
+    return 5 * len(places) * np.pi * slack * slack / area
 
 
 def _agreeing(b: np.ndarray, q: np.ndarray, slack: float) -> int:
@@ -207,7 +218,8 @@ def _agreeing(b: np.ndarray, q: np.ndarray, slack: float) -> int:
 
 def copies(images: DataFrame, queries: DataFrame, most_bits: int = 40, least_inliers: int = 6, slack: float = 3.0) -> DataFrame:
     """images: image; queries: image. Returns query_class, class (SHA-256 of the images) and inliers, for every class of equal
-    images that shows an original or copy of the query's: at least least_inliers corners of it match and agree on one place.
+    images that shows an original or copy of the query's: at least least_inliers corners of it, and more where so many match that
+    some agree by chance, match and agree on one place.
 
     Other columns are not looked at; null and unreadable images match nothing.
     """
@@ -230,10 +242,10 @@ def copies(images: DataFrame, queries: DataFrame, most_bits: int = 40, least_inl
             for batch in batches:
                 code = np.stack([batch[f"c{k}"].to_numpy(zero_copy_only=False) for k in range(4)], 1)
                 place = np.stack([batch[c].to_numpy(zero_copy_only=False) for c in ("x", "y", "scale", "angle")], 1)
-                b, q = _met(code, tables, present, most_bits)
+                b, q, far = _met(code, tables, present, most_bits).T
                 names = pa.array([tables[4][i] for i in q], pa.binary())
-                places = np.concatenate([place[b], tables[1][q]], 1).astype(np.float32)
-                yield pa.record_batch([names, batch["key"].take(pa.array(b)), pa.FixedSizeListArray.from_arrays(pa.array(places.ravel()), 8).cast(pa.list_(pa.float32()))], ["query_class", "class", "places"])
+                places = np.concatenate([place[b], tables[1][q], far[:, None]], 1).astype(np.float32)
+                yield pa.record_batch([names, batch["key"].take(pa.array(b)), pa.FixedSizeListArray.from_arrays(pa.array(places.ravel()), 9).cast(pa.list_(pa.float32()))], ["query_class", "class", "places"])
 
         parts.append(there.mapInArrow(match, "query_class binary, class binary, places array<float>"))
     met = parts[0]
@@ -241,15 +253,39 @@ def copies(images: DataFrame, queries: DataFrame, most_bits: int = 40, least_inl
         met = met.unionByName(more)
 
     def verify(column: pa.Array) -> pa.Array:
-        return pa.array([_agreeing(p[:, :4], p[:, 4:], slack) for p in (np.array(x, np.float64) for x in column.to_pylist())], pa.int64())
+        out = []
+        for p in (_nearest(np.array(x, np.float64)) for x in column.to_pylist()):
+            n = _agreeing(p[:, :4], p[:, 4:8], slack)
+            out.append(n if n >= least_inliers + _by_chance(p, slack) else 0)
+        return pa.array(out, pa.int64())
 
     whole = met.groupBy("query_class", "class").agg(F.collect_set("places").alias("places")).where(F.size("places") >= least_inliers)
     return whole.select("query_class", "class", F.arrow_udf(verify, "long")("places").alias("inliers")).where(F.col("inliers") >= least_inliers)
 
 
+def turned(grey: np.ndarray, degrees: float) -> np.ndarray:
+    """Bilinear, about the middle; what comes from outside is the edge."""
+    h, w = grey.shape
+    y, x = np.mgrid[:h, :w].astype(float) - np.array([h / 2, w / 2])[:, None, None]
+    c, s = np.cos(np.radians(degrees)), np.sin(np.radians(degrees))
+    u, v = np.clip(c * x + s * y + w / 2, 0, w - 1.001), np.clip(c * y - s * x + h / 2, 0, h - 1.001)
+    i, j = v.astype(int), u.astype(int)
+    fy, fx = v - i, u - j
+    return (grey[i, j] * (1 - fx) + grey[i, j + 1] * fx) * (1 - fy) + (grey[i + 1, j] * (1 - fx) + grey[i + 1, j + 1] * fx) * fy
+
+
+#: What is done to drawn pictures.
+EDITS = {
+    "cropped, brighter": lambda g, rng: g[len(g) // 8 :, len(g) // 8 :] * 0.75 + 50,
+    "turned": lambda g, rng: turned(g, rng.uniform(5, 355)),
+    "scaled": lambda g, rng: resized(g, round(len(g) * 0.8), round(len(g[0]) * 0.8)),
+    "noisy": lambda g, rng: g + rng.normal(0, 6, g.shape),
+}
+
+
 def rendered(vectors: DataFrame, id_column: str = "vec_id", vector: str = "embedding", side: int = 96) -> DataFrame:
-    """id, original and edited (binary PGM) for a table of vectors, where pictures are wanted and there are none: the original is a
-    texture drawn from the vector's bytes; edited is it cropped by an eighth at two sides, brighter and with less contrast."""
+    """id, original, edited (binary PGM) and edit for a table of vectors, where pictures are wanted and there are none: the original
+    is a texture drawn from the vector's bytes, and so is which of EDITS is done to it."""
 
     def draw(column: pa.Array) -> pa.Array:
         out = []
@@ -259,10 +295,9 @@ def rendered(vectors: DataFrame, id_column: str = "vec_id", vector: str = "embed
                 continue
             rng = np.random.default_rng(np.frombuffer(np.array([x if x is not None else 0 for x in v], np.float32).tobytes() + bytes(4), np.uint32))
             grey = resized(rng.uniform(0, 255, (40, 40)), side, side) * 0.7 + resized(rng.uniform(0, 255, (12, 12)), side, side) * 0.3
-            cut = side // 8
-            edited = write_image(grey)
-            edited = write_image(read_image(edited)[cut:, cut:].astype(np.float32) * 0.75 + 50)
-            out.append({"original": write_image(grey), "edited": edited})
-        return pa.array(out, pa.struct([("original", pa.binary()), ("edited", pa.binary())]))
+            original = write_image(grey)
+            edit = list(EDITS)[rng.integers(len(EDITS))]
+            out.append({"original": original, "edited": write_image(EDITS[edit](read_image(original).astype(np.float32), rng)), "edit": edit})
+        return pa.array(out, pa.struct([("original", pa.binary()), ("edited", pa.binary()), ("edit", pa.string())]))
 
-    return vectors.select(F.col(id_column).alias("id"), F.arrow_udf(draw, "original binary, edited binary")(F.col(vector)).alias("p")).select("id", "p.*")
+    return vectors.select(F.col(id_column).alias("id"), F.arrow_udf(draw, "original binary, edited binary, edit string")(F.col(vector)).alias("p")).select("id", "p.*")
