@@ -3,7 +3,7 @@
 Labelled pages (bad or not) are counted by host. Counts roll up to the registered domain and to the suffix;
 each level's rate is shrunk towards its parent's by a beta-binomial prior whose strength is estimated from how much the
 children's rates differ (method of moments). What a host's own pages cannot tell, its domain and suffix do. A page is
-blocked if the posterior's lower bound of its host's bad rate exceeds the threshold.
+blocked if the lower bound of its host's bad rate (a low quantile of the beta posterior) exceeds the threshold.
 """
 
 from __future__ import annotations
@@ -36,9 +36,41 @@ def matched_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> Co
     return F.lit(None).cast("struct<verdict:string,rule:string>") if out is None else out
 
 
+#: Labels under which registries of countries (suffixes of two letters) give out names, as in co.uk.
+SECOND_LEVEL = ("ac", "co", "com", "edu", "go", "gob", "gouv", "gov", "govt", "ltd", "mil", "ne", "net", "nom", "or", "org", "plc", "sch")
+_ADDRESS = r"^([0-9]{1,3}(\.[0-9]{1,3}){3}|\[.*\])$"
+
+
+def plain_host(host: Column) -> Column:
+    """host without credentials, port and the dot at its end."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(host, "^.*@", ""), ":[0-9]*$", ""), r"\.$", "")
+
+
+def suffix_of(host: Column) -> Column:
+    """The public suffix: the last label, or two where it is of two letters and the one before one of SECOND_LEVEL. An IP address
+    has the suffix "ip". This is a rule, no list of all registries."""
+    own = plain_host(host)
+    two = own.rlike(rf"(^|\.)({'|'.join(SECOND_LEVEL)})\.[a-z]{{2}}$")
+    return F.when(own.rlike(_ADDRESS), "ip").when(two, F.substring_index(own, ".", -2)).otherwise(F.substring_index(own, ".", -1))
+
+
 def domain_of(host: Column) -> Column:
-    """The last two labels (a host of one label is its own domain). Public suffixes of several labels are not known here."""
-    return F.substring_index(host, ".", -2)
+    """The registered domain: the suffix and one label more; a host that is a suffix, and an IP address, is its own domain."""
+    own, suffix = plain_host(host), suffix_of(host)
+    labels = F.when(F.contains(suffix, F.lit(".")), F.substring_index(own, ".", -3)).otherwise(F.substring_index(own, ".", -2))
+    return F.when(suffix == "ip", own).otherwise(labels)
+
+
+def beta_bound(a: Column, b: Column, z: float) -> Column:
+    """The quantile of Beta(a, b) that lies as low as -z does in the normal distribution: odds are an F ratio, of which the cube
+    root is nearly normal (Paulson 1942; within 0.01 where a and b are 1 or more). Below a = 1 the bound is 0, and b counts as
+    1 at least: both bounds are too low, never too high."""
+    b = F.greatest(b, F.lit(1.0))
+    p, q = 1 / (9 * a), 1 / (9 * b)
+    low, both, high = (1 - p) * (1 - p) - z * z * p, (1 - p) * (1 - q), (1 - q) * (1 - q) - z * z * q
+    root = F.greatest((both - F.sqrt(both * both - low * high)) / high, F.lit(0.0))
+    ratio = root * root * root
+    return F.when(a < 1, 0.0).otherwise(a * ratio / (a * ratio + b))
 
 
 def _strength(children: DataFrame, by: str) -> DataFrame:
@@ -57,7 +89,7 @@ def _strength(children: DataFrame, by: str) -> DataFrame:
 def reputation(labelled: DataFrame) -> DataFrame:
     """labelled: host, bad (0 or 1; null is not counted). Returns the posterior of each level as rows: level (host, domain,
     suffix or all), name, alpha, beta."""
-    hosts = stored(labelled.where("bad is not null").groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").alias("bad")).withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", F.substring_index("host", ".", -1)), "hosts")
+    hosts = stored(labelled.where("bad is not null").groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").alias("bad")).withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host"))), "hosts")
     domain_sums = hosts.groupBy("domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.first("suffix").alias("suffix"))
     suffix_sums = domain_sums.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     top = _strength(suffix_sums.withColumn("everything", F.lit(1)), "everything").first()  # one row
@@ -78,17 +110,15 @@ def reputation(labelled: DataFrame) -> DataFrame:
 
 
 def posterior(hosts: DataFrame, levels: DataFrame, z: float = 1.645) -> DataFrame:
-    """hosts: host (distinct). Returns host, bad_rate and bad_bound of its finest known level: the posterior mean and its
-    mean - z standard deviations (normal approximation of the beta quantile, cut at 0). Without any label: 0.5 and 0."""
-    at = hosts.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", F.substring_index("host", ".", -1))
+    """hosts: host (distinct). Returns host, bad_rate and bad_bound of its finest known level: the posterior mean and
+    its beta_bound. Without any label: those of the uniform prior."""
+    at = hosts.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
     for level in ("host", "domain", "suffix"):
         at = at.join(levels.where(F.col("level") == level).select(F.col("name").alias(level), F.struct("alpha", "beta").alias(f"p_{level}")), level, "left")
     top = levels.where("level = 'all'").first()  # one row
     found = at.withColumn("p", F.coalesce("p_host", "p_domain", "p_suffix", F.struct(F.lit(top["alpha"]).alias("alpha"), F.lit(top["beta"]).alias("beta"))))
     a, b = F.col("p.alpha"), F.col("p.beta")
-    mean = a / (a + b)
-    bound = F.greatest(F.lit(0.0), mean - z * F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))))
-    return found.select("host", F.coalesce(mean, F.lit(0.5)).alias("bad_rate"), F.coalesce(bound, F.lit(0.0)).alias("bad_bound"))
+    return found.select("host", F.coalesce(a / (a + b), F.lit(0.5)).alias("bad_rate"), F.coalesce(beta_bound(a, b, z), F.lit(0.0)).alias("bad_bound"))
 
 
 def judged(pages: DataFrame, rules: list[tuple[str, str]], labelled: DataFrame | None = None, block_above: float = 0.5, url: str = "url") -> DataFrame:

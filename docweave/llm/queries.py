@@ -101,6 +101,21 @@ def op3_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("record_id", "canonical", "resolution", "refers_to", headers.alias("headers"))
 
 
+ORACLE_SQL["op3_warc_revisits"] = rf"""
+WITH plain AS (SELECT coalesce(page_id::VARCHAR, 'null') AS name, 1700000000 + coalesce(page_id, 0) * 60 AS s, '"' || md5(coalesce(html, '')) || '"' AS tag, url,
+  regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS p FROM pages),
+parts AS (SELECT *, regexp_extract(p, '^([^?]*)', 1) AS head, [x FOR x IN list_sort(string_split(regexp_extract(p, '^[^?]*\?(.*)$', 1), '&')) IF x <> '' AND NOT regexp_matches(x, '(?i)^{warc.TRACKING}(=|$)')] AS kept FROM plain),
+named AS (SELECT name, s, tag, CASE WHEN url IS NOT NULL THEN regexp_replace(regexp_replace(lower(regexp_extract(head, '^([^/]*)', 1)), ':(80|443)$', ''), '^www\.', '')
+  || regexp_replace(regexp_extract(head, '^[^/]*(.*)$', 1), '/+$', '') || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END END AS canonical FROM parts),
+captures AS (SELECT 'response-' || name AS record_id, canonical, s, tag, true AS is_full FROM named UNION ALL SELECT 'revisit-' || name, canonical, s + 10800, 'W/' || tag, false FROM named),
+based AS (SELECT *, max(CASE WHEN is_full THEN {{'s': s, 'id': record_id, 'tag': tag}} END) OVER (PARTITION BY canonical ORDER BY s, record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS base FROM captures),
+told AS (SELECT *, CASE WHEN canonical IS NULL THEN 'other' WHEN is_full THEN 'full' WHEN base IS NULL THEN 'no_earlier' WHEN 'W/' || base.tag = tag THEN 'resolved' ELSE 'validator_mismatch' END AS resolution FROM based)
+SELECT record_id, canonical, resolution, CASE WHEN resolution IN ('resolved', 'validator_mismatch') THEN base.id END AS refers_to,
+  'content-type=' || CASE WHEN is_full OR resolution = 'resolved' THEN 'text/html' ELSE 'text/plain' END || '; date=' || strftime(make_timestamp(s * 1000000), '%Y-%m-%d %H:%M:%S') || '; etag=' || tag AS headers
+FROM told
+"""
+
+
 @query
 def op4_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each image: the queries (edited copies of the images whose id is divisible by 50; equal ones stand for
@@ -133,10 +148,13 @@ def _reputation_sql() -> str:
     judged = " ".join(f"WHEN '{rule}' THEN '{verdict}'" for verdict, rule in ordered)
     strength = lambda children, by: f"""SELECT {by}, n, bad, CASE WHEN k < 2 THEN 10.0 ELSE 1 / least(greatest(((q - n * p * p) / (p * (1 - p)) - k) / greatest(n - k, 1), 1 / 1001), 0.5) - 1 END AS m
   FROM (SELECT {by}, sum(n)::DOUBLE AS n, sum(bad)::DOUBLE AS bad, count(*) AS k, sum(bad * bad / n) AS q, (sum(bad) + 0.5) / (sum(n) + 1.0) AS p FROM {children} GROUP BY {by})"""
-    bound = lambda a, b: f"greatest(0.0, {a} / ({a} + {b}) - 1.645 * sqrt({a} * {b} / (({a} + {b}) * ({a} + {b}) * ({a} + {b} + 1))))"
+    second = "|".join(host_reputation.SECOND_LEVEL)
+    part = lambda n: f"array_to_string(string_split(own, '.')[greatest(len(string_split(own, '.')) - {n - 1}, 1):], '.')"
     return rf"""
 WITH parts AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(url, ''), '://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
-ruled AS (SELECT *, CASE {named} END AS rule, array_to_string(string_split(host, '.')[greatest(len(string_split(host, '.')) - 1, 1):], '.') AS domain, string_split(host, '.')[-1] AS suffix FROM parts),
+plain AS (SELECT *, CASE {named} END AS rule, regexp_replace(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '\.$', '') AS own FROM parts),
+suffixed AS (SELECT *, CASE WHEN regexp_matches(own, '^([0-9]{{1,3}}(\.[0-9]{{1,3}}){{3}}|\[.*\])$') THEN 'ip' WHEN regexp_matches(own, '(^|\.)({second})\.[a-z]{{2}}$') THEN {part(2)} ELSE {part(1)} END AS suffix FROM plain),
+ruled AS (SELECT *, CASE WHEN suffix = 'ip' THEN own WHEN contains(suffix, '.') THEN {part(3)} ELSE {part(2)} END AS domain FROM suffixed),
 hosts AS (SELECT host, domain, suffix, count(*)::DOUBLE AS n, sum((CASE rule {judged} END = 'block')::INT)::DOUBLE AS bad FROM ruled WHERE rule IS NOT NULL GROUP BY ALL),
 domain_sums AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY ALL),
 suffix_sums AS (SELECT suffix, 1 AS everything, sum(n) AS n, sum(bad) AS bad FROM domain_sums GROUP BY suffix),
@@ -145,9 +163,13 @@ suffixes AS (SELECT c.suffix, c.m, bad + t.m * t.a / (t.a + t.b) AS a, n - bad +
 domains AS (SELECT c.domain, c.m, c.bad + u.m * u.a / (u.a + u.b) AS a, c.n - c.bad + u.m * u.b / (u.a + u.b) AS b FROM ({strength("hosts", "domain")}) c JOIN domain_sums d ON c.domain = d.domain JOIN suffixes u ON d.suffix = u.suffix),
 own AS (SELECT host, bad + u.m * u.a / (u.a + u.b) AS a, n - bad + u.m * u.b / (u.a + u.b) AS b FROM hosts h JOIN domains u ON h.domain = u.domain),
 known AS (SELECT page_id, r.host, path, rule, coalesce(o.a, d.a, s.a, t.a) AS a, coalesce(o.b, d.b, s.b, t.b) AS b
-  FROM ruled r LEFT JOIN own o ON r.host = o.host LEFT JOIN domains d ON r.domain = d.domain LEFT JOIN suffixes s ON r.suffix = s.suffix, top t)
-SELECT page_id, host, path, rule, coalesce(CASE rule {judged} END, CASE WHEN {bound("a", "b")} > 0.5 THEN 'block' ELSE 'allow' END) AS verdict, round(a / (a + b), 9) AS bad_rate, round({bound("a", "b")}, 9) AS bad_bound
-FROM known
+  FROM ruled r LEFT JOIN own o ON r.host = o.host LEFT JOIN domains d ON r.domain = d.domain LEFT JOIN suffixes s ON r.suffix = s.suffix, top t),
+shaped AS (SELECT *, greatest(b, 1.0) AS c, 1 / (9 * a) AS p, 1 / (9 * greatest(b, 1.0)) AS q FROM known),
+squared AS (SELECT *, (1 - p) * (1 - p) - 1.645 * 1.645 * p AS low, (1 - p) * (1 - q) AS mid, (1 - q) * (1 - q) - 1.645 * 1.645 * q AS high FROM shaped),
+rooted AS (SELECT *, greatest((mid - sqrt(mid * mid - low * high)) / high, 0.0) AS y FROM squared),
+bounds AS (SELECT *, CASE WHEN a < 1 THEN 0.0 ELSE a * (y * y * y) / (a * (y * y * y) + c) END AS bound FROM rooted)
+SELECT page_id, host, path, rule, coalesce(CASE rule {judged} END, CASE WHEN bound > 0.5 THEN 'block' ELSE 'allow' END) AS verdict, round(a / (a + b), 9) AS bad_rate, round(bound, 9) AS bad_bound
+FROM bounds
 """
 
 
