@@ -1,4 +1,5 @@
 import collections
+import gzip
 import hashlib
 import re
 import time
@@ -348,6 +349,23 @@ def test_urls(spark):
     assert rates["a.x.com"] > rates["new.x.com"] > rates["q"] > rates["new.y.org"]
 
 
+def test_domains(spark):
+    want = {"a.b.example.com": ("example.com", "com"), "www.shop.co.uk:8080": ("shop.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "user:pw@x.example.org.": ("example.org", "org"), "10.0.0.1:80": ("10.0.0.1", "ip"), "[::1]:8080": ("[::1]", "ip"), "localhost": ("localhost", "localhost"), "": ("", ""), "a.co.io": ("a.co.io", "co.io"), "x.cobra.uk": ("cobra.uk", "uk")}
+    hosts = spark.createDataFrame([(h,) for h in want], "host string")
+    got = hosts.select("host", host_reputation.domain_of(F.col("host")).alias("d"), host_reputation.suffix_of(F.col("host")).alias("s")).collect()
+    assert {r["host"]: (r["d"], r["s"]) for r in got} == want
+
+
+def test_beta_bound(spark):
+    shapes = [(1.0, 1.0), (1.0, 9.0), (2.5, 1.0), (3.0, 7.0), (20.0, 2.0), (500.0, 700.0), (0.3, 5.0), (4.0, 0.4)]
+    rows = spark.createDataFrame(shapes, "a double, b double").select("a", "b", host_reputation.beta_bound(F.col("a"), F.col("b"), 1.645).alias("x")).collect()
+    grid = (np.arange(400_000) + 0.5) / 400_000
+    for r in rows:
+        density = np.exp((r["a"] - 1) * np.log(grid) + (r["b"] - 1) * np.log1p(-grid) - np.log(4) * max(0, 1 - r["a"] - r["b"]) + (r["a"] + r["b"]) * 0.68)
+        exact = grid[np.searchsorted(np.cumsum(density) / density.sum(), 0.05)]
+        assert r["x"] <= exact + 0.01 and (min(r["a"], r["b"]) < 1 or abs(r["x"] - exact) < 0.01), (r, exact)
+
+
 def test_html(spark):
     frame = " ".join(f"menu{k}" for k in range(20))
     pages = [(k, "u", f"<body><div>{frame}</div><p>p{k} q{k} r{k} words</p></body>") for k in range(4)] + [(10, None, None), (11, "u", ""), (12, "u", "<article><header><h1>T&eacute;</h1></header><p>a<b>b</b>\n c<br>d<p>x &lt;i&gt;<aside>no</aside><div class='comments'>no</div></article><footer>no"), (13, "u", "<main><p>long " + "word " * 50_000 + "</main>")]
@@ -365,6 +383,25 @@ def test_html_content_is_not_switched_off(before):
     assert [t for t, r in html_main.blocks(page.replace("post no-sidebar", "sponsored")) if r == "main"] == ["text"]
 
 
+@pytest.mark.parametrize("page,want", [("<script>if(a<!--b)x</script><article>yes</article>", ["yes"]), ("<div><p class='notice'>cookie<p>Real text</div>", ["Real text"]), ("<form><p>whole page</p><input></form>", ["whole page"]), ("<article class='related-work'><p id='login'>a<p class='lead side'>b</article>", ["a", "b"]), ("a < b <3 <a href=\"x>y\">c</a> d", ["a < b <3 c d"]), ("x<a href=\"q>t</a> u", ["xt u"]), ("<title>no</title>yes<!-- open", ["yes"]), ("<table><tr><td><p>a<td>b</table>c<hr>d<!doctype x>e", ["a", "b", "c", "de"])])
+def test_html_tags(page, want):
+    assert [t for t, r in html_main.blocks(page) if r != "off"] == want
+
+
+@pytest.mark.parametrize("page", ["<a href=\"x " * 80_001, "<a href='x " * 80_000, "<script>" * 50_000, "<" * 500_000, "<p " * 100_000, "<svg/>" * 100_000, "<!--" * 100_000, "<p>" * 50_000 + "x"])
+def test_html_tags_in_linear_time(page):
+    began = time.perf_counter()
+    html_main.blocks(page)
+    assert time.perf_counter() - began < 5
+
+
+def test_html_keeps_shared_passages_in_paragraphs(spark):
+    shared = " ".join(f"s{k}" for k in range(60))
+    bodies = [f"<article><p>own{k} words here {shared} and more{k}</p><p>u{k} " + " ".join(f"w{k}x{i}" for i in range(90)) + "</p></article>" for k in range(9)]
+    got = extracted(spark, bodies)
+    assert all(shared in got[k] and got[k].startswith(f"own{k}") for k in range(9))
+
+
 def extracted(spark, bodies, **more):
     table = spark.createDataFrame(list(enumerate(bodies)), "page_id int, html string")
     return {r["page_id"]: r["text"] for r in html_main.extract(table, ("page_id",), **more).collect()}
@@ -430,9 +467,37 @@ def test_warc(spark, tmp_path):
     assert warc.resolve_revisits(frame.limit(0)).count() == 0
 
 
+def test_warc_of_odd_records(spark, tmp_path):
+    date = "2024-01-01T00:00:00Z"
+    good = lambda k, body=b"": warc.write_record("response", f"http://a.com/{k}", date, [], b"HTTP/1.1 200 OK\r\nLink: <a>\r\nSet-Cookie: x=1\r\nlink: <b>\r\n  c\r\nSet-Cookie: y=2\r\n\r\n" + body, f"<{k}>")
+    bad = [gzip.compress(b"WARC/1.1\r\nWARC-Record-ID: <bad>\r\n" + length + b"\r\n\r\nbody\r\n\r\n") for length in (b"Content-Length: x", b"Content-Length: -1", b"WARC-Type: y", b"Content-Length: 99999999999999999999", b"Content-Length: 900")]
+    names = lambda data: [f["warc-record-id"] for f, _ in warc.records_of(data)]
+    assert names(good(1) + b"".join(bad) + good(2, bytes(3_000_000)) + good(3)[:-20]) == ["<1>", "<2>"]
+    plain = b"".join(gzip.decompress(x) for x in (good(1), bad[0], good(2), bad[2], good(3), bad[4]))
+    assert names(plain) == ["<1>", "<2>", "<3>"] and names(b"") == names(b"no warc") == []
+    assert names(good(1) + b"\x1f\x8bdamage" + good(2)) == ["<1>"]
+    (tmp_path / "x.warc").write_bytes(plain)
+    rows = warc.read_warc(spark, f"file://{tmp_path}/x.warc").collect()
+    assert [r["headers"] for r in rows] == [{"link": "<a>, <b> c", "set-cookie": "x=1\ny=2"}] * 3
+
+
+def test_warc_files_are_read_in_linear_time():
+    one, began = warc.write_record("response", "http://a.com/", "2024-01-01T00:00:00Z", [], np.random.default_rng(1).bytes(14_000), "<1>"), time.perf_counter()
+    assert sum(1 for _ in warc.records_of(one * 8000)) == 8000 and time.perf_counter() - began < 20
+
+
+def test_odd_images():
+    for data in (b"", b"P5", b"P5 x y 255\n", b"P5 9 9 255\nshort", b"P6 1 1 255\n0", b"P5 99999999999 9 255\n", b"P5 1 1 65535\n00"):
+        assert image_copies.read_image(data) is None
+    for grey in (np.zeros((0, 0)), np.zeros((5, 400)), np.full((90, 90), 7.0)):
+        assert len(image_copies.descriptors(grey)[0]) == 0
+    assert image_copies.read_image(b"P5 0 0 255\n").size == 0
+
+
 def test_images(spark, monkeypatch):
     vectors = spark.createDataFrame([(k, [float(k % 30 + 1), 2.0]) for k in range(40)] + [(None, None)], "vec_id long, embedding array<float>")
     drawn = stored(image_copies.rendered(vectors), "t")
+    assert {r["edit"] for r in drawn.collect()} == {*image_copies.EDITS, None}
     asked = drawn.where("id < 8").select(F.col("edited").alias("image"))
     images = drawn.select(F.col("original").alias("image")).unionByName(spark.createDataFrame([(bytearray(b"x"),)], "image binary"))
     digest = lambda b: hashlib.sha256(b).digest()
@@ -444,20 +509,9 @@ def test_images(spark, monkeypatch):
     assert image_copies.copies(images.limit(0), asked).count() == 0
 
 
-def turned(grey, degrees):
-    """Bilinear, about the middle; what comes from outside is the edge."""
-    h, w = grey.shape
-    y, x = np.mgrid[:h, :w].astype(float) - np.array([h / 2, w / 2])[:, None, None]
-    c, s = np.cos(np.radians(degrees)), np.sin(np.radians(degrees))
-    u, v = np.clip(c * x + s * y + w / 2, 0, w - 1.001), np.clip(c * y - s * x + h / 2, 0, h - 1.001)
-    i, j = v.astype(int), u.astype(int)
-    fy, fx = v - i, u - j
-    return (grey[i, j] * (1 - fx) + grey[i, j + 1] * fx) * (1 - fy) + (grey[i + 1, j] * (1 - fx) + grey[i + 1, j + 1] * fx) * fy
-
-
 def test_edited_copies_of_larger_images(spark):
     rng = np.random.default_rng(4)
-    edits = {"half": lambda g: image_copies.resized(g, 150, 200), "0.85": lambda g: image_copies.resized(g, 255, 340), "2**0.25": lambda g: image_copies.resized(g, 357, 476), "15": lambda g: turned(g, 15), "45": lambda g: turned(g, 45), "1": lambda g: turned(g, 1), "blurred": lambda g: image_copies._smooth(g, 3), "noisy": lambda g: g + rng.normal(0, 8, g.shape)}
+    edits = {"half": lambda g: image_copies.resized(g, 150, 200), "0.85": lambda g: image_copies.resized(g, 255, 340), "2**0.25": lambda g: image_copies.resized(g, 357, 476), "15": lambda g: image_copies.turned(g, 15), "45": lambda g: image_copies.turned(g, 45), "1": lambda g: image_copies.turned(g, 1), "cropped": lambda g: g[60:220, 80:300], "blurred": lambda g: image_copies._smooth(g, 3), "noisy": lambda g: g + rng.normal(0, 8, g.shape)}
     pictures = [image_copies.resized(rng.uniform(0, 255, (60, 80)), 300, 400) * 0.7 + image_copies.resized(rng.uniform(0, 255, (12, 16)), 300, 400) * 0.3 for _ in range(4)]
     images = [image_copies.write_image(g) for g in pictures]
     edited = {}
