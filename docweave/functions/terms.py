@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docweave.functions.text import BOUND, strip, strip_tags
+from docweave.functions.tokens import bound, multiset_of
+
+A_Z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 @dataclass(frozen=True)
@@ -23,7 +26,19 @@ class Term:
 
     @property
     def pattern(self) -> str:
-        return ("" if self.acronym else "(?i)") + BOUND + _quoted(self.text) + BOUND
+        """The term between ASCII word boundaries. Where it begins with a word character that is looked for first, for
+        a boundary that is tried at every place of a text takes several times as long."""
+        flag, own = "" if self.acronym else "(?i)", _quoted(self.text)
+        if WORD.fullmatch(self.text[0]) and WORD.fullmatch(self.text[-1]):
+            return f"{flag}{own[0]}(?<![A-Za-z0-9_].){own[1:]}(?![A-Za-z0-9_])"
+        return flag + BOUND + own + BOUND
+
+    def may(self, c: Column, low: Column) -> Column:
+        """False only where the term cannot be; low is c in lower case."""
+        return F.contains(c, F.lit(self.text)) if self.acronym else F.contains(low, F.lit(self.text.lower())) | F.lit(not self.text.isascii())
+
+
+WORD = re.compile("[A-Za-z0-9_]")
 
 
 def _quoted(text: str) -> str:
@@ -50,8 +65,10 @@ def has_token(c: Column, terms: list[Term]) -> Column:
 
 
 def replaced(c: Column, terms: list[Term]) -> Column:
+    """The longest terms first, each in the whole text; those that a text cannot have cost no pass over it."""
+    low = F.lower(c)
     for t in longest_first(terms):
-        c = F.regexp_replace(c, t.pattern, _replacement(t.token))
+        c = F.when(t.may(c, low), F.regexp_replace(c, t.pattern, _replacement(t.token))).otherwise(c)
     return c
 
 
@@ -68,9 +85,27 @@ def restore(c: Column, terms: list[Term]) -> Column:
 
 def term_counts(c: Column, terms: list[Term]) -> Column:
     """map of term to its count, of those that occur outside tags."""
-    plain = strip_tags(c)
-    counts = F.map_from_arrays(F.array(*[F.lit(t.text) for t in terms]), F.array(*[F.regexp_count(plain, F.lit(t.pattern)) for t in terms]))
-    return F.map_filter(counts, lambda k, v: v > 0)
+
+    def counted(plain: Column) -> Column:
+        words = [t for t in terms if all(map(WORD.fullmatch, t.text))]
+        low = lambda f: bound(F.lower(plain), f)
+        # a term that is one word is counted among the text's words, which are found in one pass
+        folded = F.regexp_extract_all(F.translate(plain, A_Z, A_Z.lower()), F.lit("([a-z0-9_]+)"), F.lit(1))
+        exact = F.regexp_extract_all(plain, F.lit("([A-Za-z0-9_]+)"), F.lit(1))
+        some = lambda found, names: multiset_of(F.filter(found, lambda w: w.isin(*names)))
+        soft, hard = [t.text.lower() for t in words if not t.acronym], [t.text for t in words if t.acronym]
+        maps = (some(folded, soft) if soft else F.lit(None), some(exact, hard) if hard else F.lit(None))
+
+        def of(t: Term, a: Column, b: Column) -> Column:
+            if t in words:
+                return F.coalesce(b[t.text] if t.acronym else a[t.text.lower()], F.lit(0))
+            return F.when(low(lambda x: t.may(plain, x)), F.regexp_count(plain, F.lit(t.pattern))).otherwise(0)
+
+        empty = F.create_map().cast("map<string,int>")
+        pair = F.struct(F.coalesce(maps[0], empty).alias("a"), F.coalesce(maps[1], empty).alias("b"))
+        return bound(pair, lambda m: F.map_from_arrays(F.array(*[F.lit(t.text) for t in terms]), F.array(*[of(t, m["a"], m["b"]) for t in terms])))
+
+    return F.map_filter(bound(strip_tags(c), counted), lambda k, v: v > 0)
 
 
 def normalize(c: Column, terms: list[Term]) -> Column:

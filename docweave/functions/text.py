@@ -5,6 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -44,7 +45,10 @@ def strip_fence(c: Column) -> Column:
 
 @F.arrow_udf(StringType())
 def nfkc(column: pa.Array) -> pa.Array:
-    return pa.array([None if x is None else unicodedata.normalize("NFKC", x) for x in column.to_pylist()], pa.string())
+    """pyarrow's own function leaves characters decomposed, and is slower."""
+    if pc.all(pc.string_is_ascii(column), skip_nulls=True).as_py() is not False:
+        return column
+    return pa.array([x if x is None or x.isascii() else unicodedata.normalize("NFKC", x) for x in column.to_pylist()], pa.string())
 
 
 def squash(c: Column) -> Column:
@@ -82,5 +86,10 @@ def inline_jpeg(c: Column) -> Column:
     return F.concat(F.lit("data:image/jpeg;base64,"), F.regexp_replace(F.base64(c), "[\r\n]", ""))
 
 
+def shown(c: Column, most: int = 80) -> Column:
+    """The first `most` characters, cut before they are escaped."""
+    return escape_html(F.left(c, F.lit(most)))
+
+
 def slug(c: Column) -> Column:
     return F.coalesce(F.nullif(F.left(F.regexp_replace(F.regexp_replace(c, "[^A-Za-z0-9._-]+", "-"), "^-+|-+$", ""), F.lit(48)), F.lit("")), F.lit("paper"))

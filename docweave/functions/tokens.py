@@ -21,9 +21,24 @@ NUMBER_WORDS = {
 }
 
 
+def bound(value: Column, f) -> Column:
+    """f(value), where value is evaluated once however often f has it, in its lambdas too; null stays null."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def multiset(c: Column, pattern: str = KEPT) -> Column:
-    found = F.regexp_extract_all(c, F.lit(pattern), F.lit(1))
-    return F.map_from_entries(F.transform(F.array_distinct(found), lambda t: F.struct(t, F.size(F.filter(found, lambda x: x == t)))))
+    return multiset_of(F.regexp_extract_all(c, F.lit(pattern), F.lit(1)))
+
+
+def multiset_of(found: Column) -> Column:
+    """A map from each element of an array to its count. Elements are sorted and their runs counted, so very many cost no more
+    than the sort."""
+
+    def counted(found: Column) -> Column:
+        starts = F.filter(F.transform(found, lambda x, i: i), lambda i: (i == 0) | (F.get(found, i) != F.get(found, i - 1)))
+        return bound(starts, lambda s: F.map_from_entries(F.transform(s, lambda a, k: F.struct(F.get(found, a), F.coalesce(F.get(s, k + 1), F.size(found)) - a))))
+
+    return bound(F.array_sort(found), counted)
 
 
 def minus(a: Column, b: Column) -> Column:

@@ -1,7 +1,8 @@
-"""Greedy batches: an order-dependent fold over each group's rows, as one expression."""
+"""Greedy batches: an order-dependent fold over each group's rows."""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,14 +11,24 @@ MOST = 2500
 
 def greedy_batches(rows: DataFrame, group: str, order: str, length: str, most: int = MOST) -> DataFrame:
     """group, order, length and batch (from 0): a batch is closed when it isn't empty and the next row would take it over
-    `most`, so one row may exceed it. The group's (order, length) pairs are folded in one row: a group is a document."""
-    pairs = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(length).cast("long").alias("l"))))
-    start = F.struct(F.lit(0).cast("long").alias("size"), F.lit(0).alias("batch"), F.array().cast("array<struct<o:bigint,l:bigint,batch:int>>").alias("out"))
+    `most`, so one row may exceed it. Rows are sorted within partitions and folded as they come, so what a task holds
+    is an Arrow batch, however long a group is. A null length counts as 0."""
 
-    def step(a, x):
-        over = (a["size"] > 0) & (a["size"] + x["l"] > most)
-        batch = a["batch"] + F.when(over, 1).otherwise(0)
-        return F.struct(F.when(over, x["l"]).otherwise(a["size"] + x["l"]).alias("size"), batch.alias("batch"), F.concat(a["out"], F.array(F.struct(x["o"].cast("long").alias("o"), x["l"].alias("l"), batch.alias("batch")))).alias("out"))
+    def fold(batches):
+        own, size, batch = object(), 0, 0
+        for rows in batches:
+            out = []
+            for g, n in zip(rows["g"].to_pylist(), rows["l"].to_pylist(), strict=True):
+                n = n or 0
+                if g != own:
+                    own, size, batch = g, 0, 0
+                if size and size + n > most:
+                    size, batch = 0, batch + 1
+                size += n
+                out.append(batch)
+            yield pa.record_batch([rows["g"], rows["o"], rows["l"], pa.array(out, pa.int32())], ["g", "o", "l", "batch"])
 
-    folded = rows.groupBy(group).agg(F.aggregate(pairs, start, step, lambda a: a["out"]).alias("out"))
-    return folded.select(group, F.explode("out").alias("r")).select(group, F.col("r.o").alias(order), F.col("r.l").alias(length), F.col("r.batch").alias("batch"))
+    ready = rows.select(F.col(group).alias("g"), F.col(order).cast("long").alias("o"), F.col(length).cast("long").alias("l"))
+    kind = ready.schema["g"].dataType.simpleString()
+    done = ready.repartition("g").sortWithinPartitions("g", "o", "l").mapInArrow(fold, f"g {kind}, o long, l long, batch int")
+    return done.select(F.col("g").alias(group), F.col("o").alias(order), F.col("l").alias(length), "batch")
