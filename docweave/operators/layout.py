@@ -13,12 +13,15 @@ HEADING = (
     r"références( bibliographiques)?|bibliographie|referencias( bibliográficas)?|bibliografía|参考文献|參考文獻|引用文献|참고문헌))\z"
 )
 CAPTION = r"(?U)\A(?:Fig\.|Figure|Figura|Abb\.|Abbildung|Table|Tab\.|Tabelle|Tabla|Tableau|図|表|그림|표)\s*\d"
+#: The page of spans that have no width and height.
 PAGE_WIDTH, PAGE_HEIGHT = 595.0, 842.0
+NOT_TRANSLATED = "not translated"
 
 
 def document_spans(docs: DataFrame) -> DataFrame:
     """One span for each line of a text, placed on pages of twelve lines by integer arithmetic: doc_id, block_no (the line's
-    number), page_no, x0, y0, x1, y1, size, text."""
+    number), line_no, block_type, page_no, width, height, x0, y0, x1, y1, size, text. Every seventh document has wide pages, every thirteenth
+    line is a picture's block."""
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "text"))
     right = F.col("n") % 5 == 3
     narrow = F.col("n") % 11 == 10
@@ -26,7 +29,35 @@ def document_spans(docs: DataFrame) -> DataFrame:
     x1 = F.when(narrow, x0 + F.when(right, 15.0).otherwise(13.0)).otherwise(F.when(right, 560.0).otherwise(300.0))
     y0 = (40 + (F.col("n") % 12) * 60).cast("double")
     size = F.when(F.col("n") % 7 == 6, 6.0).when(F.col("n") % 7 == 0, 12.0).otherwise(10.0)
-    return lines.select("doc_id", F.col("n").alias("block_no"), (F.floor(F.col("n") / 12) + 1).cast("int").alias("page_no"), x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), (y0 + 15).alias("y1"), size.alias("size"), "text")
+    wide = F.col("doc_id") % 7 == 3
+    page = [F.when(wide, 1000.0).otherwise(PAGE_WIDTH).alias("width"), F.when(wide, 400.0).otherwise(PAGE_HEIGHT).alias("height")]
+    kind = F.when(F.col("n") % 13 == 12, 1).otherwise(0).alias("block_type")
+    return lines.select("doc_id", F.col("n").alias("block_no"), F.lit(0).alias("line_no"), kind, *page, (F.floor(F.col("n") / 12) + 1).cast("int").alias("page_no"), x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), (y0 + 15).alias("y1"), size.alias("size"), "text")
+
+
+def text_blocks(spans: DataFrame) -> DataFrame:
+    """Spans of text blocks (block_type 0, where there is one), with the default page's width and height if they have none."""
+    usual = {"width": PAGE_WIDTH, "height": PAGE_HEIGHT}
+    spans = spans.withColumns({c: F.lit(v) for c, v in usual.items() if c not in spans.columns})
+    return spans.where("block_type = 0") if "block_type" in spans.columns else spans
+
+
+def blocks(spans: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Spans of lines (doc_id, page_no, block_no, line_no, ...) put together: a row for each block, with its box, its lines joined as text, n_lines, its own
+    dominant size (the document's where it has no span) and body_size. known: doc_id, compounds (of the documents' whole texts)."""
+    rows = text_blocks(spans)
+    by = ["doc_id", "page_no", "block_no"]
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda r: r["text"])
+    box = [F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.first("width").alias("width"), F.first("height").alias("height")]
+    made = rows.groupBy(*by).agg(*box, F.filter(lines, lambda x: strip(x) != "").alias("lines"))
+    body = dominant_size(rows, ["doc_id"], ["page_no", "block_no", "line_no"])
+    own = dominant_size(rows, by, ["line_no"]).withColumnRenamed("body_size", "own_size")
+    made = made.join(own, by, "left").join(body, "doc_id").withColumn("size", F.coalesce("own_size", "body_size")).drop("own_size")
+    none = F.array().cast("array<string>")
+    words = F.lit(None).cast("array<string>") if known is None else F.col("compounds")
+    made = made if known is None else made.join(known, "doc_id", "left")
+    made = made.withColumn("text", joined_lines(F.col("lines"), F.coalesce(words, none))).withColumn("n_lines", F.size("lines"))
+    return made.drop("lines", "compounds")
 
 
 def dominant_size(spans: DataFrame, by: list[str], order: list[str]) -> DataFrame:
@@ -45,12 +76,12 @@ def is_heading(c: Column) -> Column:
 
 def references_heading(spans: DataFrame) -> DataFrame:
     """doc_id, heading(page_no, right, top): the last heading in the order of pages and blocks."""
-    right = F.col("x0") > PAGE_WIDTH / 2
+    spans, right = text_blocks(spans), F.col("x0") > F.col("width") / 2
     return spans.where(is_heading(F.col("text"))).groupBy("doc_id").agg(F.max_by(F.struct("page_no", right.alias("right"), F.col("y0").alias("top")), F.struct("page_no", "block_no")).alias("heading"))
 
 
 def after_heading(heading: Column) -> Column:
-    right = F.col("x0") > PAGE_WIDTH / 2
+    right = F.col("x0") > F.col("width") / 2
     later = F.struct(right, F.col("y0")) > F.struct(heading["right"], heading["top"] + 1)
     return F.coalesce((F.col("page_no") > heading["page_no"]) | ((F.col("page_no") == heading["page_no"]) & later), F.lit(False))
 
@@ -58,7 +89,7 @@ def after_heading(heading: Column) -> Column:
 def skip_reason(heading: Column | None = None) -> Column:
     """Why a block is skipped, the first that holds; null if it is kept."""
     first = F.when(after_heading(heading) if heading is not None else F.lit(False), "references")
-    return first.when(F.col("x1") - F.col("x0") < 20, "narrow margin text").when(~F.col("text").rlike(r"\p{L}{3}"), "no words").when(F.col("y1") < PAGE_HEIGHT * 0.085, "running header")
+    return first.when(F.col("x1") - F.col("x0") < 20, "narrow margin text").when(~F.col("text").rlike(r"\p{L}{3}"), "no words").when(F.col("y1") < F.col("height") * 0.085, "running header")
 
 
 def label(lines: Column | int = 1) -> Column:
@@ -71,29 +102,47 @@ def label(lines: Column | int = 1) -> Column:
 
 def percent_box() -> list[Column]:
     """left, top, width and height as percents of the page, 2 decimals."""
-    at = {"left": F.col("x0") / PAGE_WIDTH, "top": F.col("y0") / PAGE_HEIGHT, "width": (F.col("x1") - F.col("x0")) / PAGE_WIDTH, "height": (F.col("y1") - F.col("y0")) / PAGE_HEIGHT}
+    width, height = F.col("width"), F.col("height")
+    at = {"left": F.col("x0") / width, "top": F.col("y0") / height, "width": (F.col("x1") - F.col("x0")) / width, "height": (F.col("y1") - F.col("y0")) / height}
     return [F.round(c * 100, 2).alias(n) for n, c in at.items()]
 
 
-def paragraphs(spans: DataFrame, heading: DataFrame | None = None) -> DataFrame:
-    """Kept blocks with label and id (dense from 0 in each document, in reading order: page, column, height, block); sizes and
-    headings are those of the whole document. Blocks without text are neither kept nor skipped."""
-    rows = spans.where(strip(F.col("text")) != "").join(dominant_size(spans, ["doc_id"], ["page_no", "block_no"]), "doc_id")
+def told(spans: DataFrame, heading: DataFrame | None = None) -> DataFrame:
+    """Blocks with text, their label, and the reason to skip them (null for those that are kept). Rows of blocks() have
+    their sizes and numbers of lines; others are blocks of one line."""
+    rows = text_blocks(spans)
+    if "body_size" not in rows.columns:
+        rows = rows.join(dominant_size(rows, ["doc_id"], ["page_no", "block_no"]), "doc_id")
+    rows = rows.where(strip(F.col("text")) != "")
     if heading is not None:
         rows = rows.join(heading, "doc_id", "left")
-    rows = rows.withColumn("reason", skip_reason(F.col("heading") if heading is not None else None)).withColumn("label", label())
-    order = Window.partitionBy("doc_id").orderBy("page_no", F.col("x0") > PAGE_WIDTH / 2, "y0", "block_no")
-    return rows.where("reason is null").drop("reason").withColumn("id", (F.row_number().over(order) - 1).cast("long"))
+    reason = skip_reason(F.col("heading") if heading is not None else None)
+    return rows.withColumn("reason", reason).withColumn("label", label(F.col("n_lines") if "n_lines" in rows.columns else 1))
+
+
+def paragraphs(spans: DataFrame, heading: DataFrame | None = None) -> DataFrame:
+    """Kept blocks with label, id (dense from 0 in each document, in reading order: page, column, height, block) and checks: long
+    texts of figures are not translated, by rule; null for the others. Sizes and headings are those of the whole document. Blocks without
+    text are neither kept nor skipped."""
+    order = Window.partitionBy("doc_id").orderBy("page_no", F.col("x0") > F.col("width") / 2, "y0", "block_no")
+    kept = told(spans, heading).where("reason is null").drop("reason").withColumn("id", (F.row_number().over(order) - 1).cast("long"))
+    return kept.withColumn("checks", F.when((F.col("label") == "figure_text") & (F.length("text") > 80), NOT_TRANSLATED))
+
+
+def paired_pages(source: DataFrame, output: DataFrame, by: list[str], page: str = "page_no") -> DataFrame:
+    """by, source, output: the pages of two documents by position; null where one has none."""
+    place = lambda df, name: df.select(*by, F.col(page).alias(name), F.row_number().over(Window.partitionBy(*by).orderBy(page)).alias("at"))
+    return place(source, "source").join(place(output, "output"), [*by, "at"], "full_outer").drop("at")
 
 
 def joined_lines(lines: Column, compounds: Column) -> Column:
-    """An array of lines as one text: a line that ends in a hyphen after letters and goes on in lower case is joined, and
+    """An array of lines as one text: a line that ends in a hyphen after ASCII letters and goes on in lower case is joined, and
     keeps the hyphen if the compound is known (an array of lower-case words); others are joined by a space."""
     own = F.filter(F.transform(lines, lambda x: strip(x)), lambda x: x != "")
 
     def step(a, x):
-        torn = a.rlike(r"\p{L}-\z") & x.rlike(r"\A\p{Ll}")
-        word = F.lower(F.concat(F.regexp_extract(a, r"([A-Za-z]+-)\z", 1), F.regexp_extract(x, r"\A([A-Za-z]+)", 1)))
+        torn = a.rlike(r"[A-Za-z]-\z") & x.rlike(r"\A[a-z]")
+        word = F.lower(F.concat(F.regexp_extract(a, r"([A-Za-z]+-)\z", 1), F.regexp_extract(x, r"\A([a-z]+)", 1)))
         return F.when(a == "", x).when(torn & F.array_contains(compounds, word), F.concat(a, x)).when(torn, F.concat(F.regexp_replace(a, r"-\z", ""), x)).otherwise(F.concat(a, F.lit(" "), x))
 
     return F.aggregate(own, F.lit(""), step)

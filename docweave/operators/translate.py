@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from docweave.functions.script import convert_script
 from docweave.functions.terms import Term, has_token, replaced, term_counts
 from docweave.operators.guards import guard, status
+from docweave.operators.layout import NOT_TRANSLATED
 from docweave.operators.model import ChatClient, ask
 
 #: Names of the languages in prompts.
@@ -35,8 +36,13 @@ def translated(rows: DataFrame, connect: Callable[[], ChatClient], group: list[s
 
     A batch of which a call fails is asked for row by row; a row that fails alone has the output '' and the checks 'error: ...'.
     If its draft was good and only the review failed, lenient keeps the draft as output, with the error in checks. A text that has a
-    glossary token already is an error, a null source an empty one. What fails a guard is published with 'failed: ...'.
+    glossary token already is an error, a null source an empty one. What fails a guard is published with 'failed: ...'. Rows that come
+    with the checks 'not translated' (figure texts, by rule) are not sent: their output is ''.
     """
+    if "checks" in rows.columns:
+        by_rule = F.coalesce(F.col("checks") == NOT_TRANSLATED, F.lit(False))
+        sent = translated(rows.where(~by_rule).drop("checks"), connect, group, terms, source_lang, target_lang, review, lenient)
+        return sent.unionByName(rows.where(by_rule).withColumn("output", F.lit("")), allowMissingColumns=True)
     source = F.coalesce(F.col("source"), F.lit(""))
     counts = F.to_json(term_counts(source, terms)) if terms else F.lit("{}")
     ready = rows.withColumns({"source": source, "input": replaced(source, terms), "terms": counts, "clash": has_token(source, terms)})

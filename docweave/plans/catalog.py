@@ -42,25 +42,26 @@ LINES = """lines AS (
   FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents)
   WHERE trim(l) <> '')"""
 
-SPANS = """spans AS (
-  SELECT doc_id, n AS block_no, n // 12 + 1 AS page_no, CASE WHEN n % 5 = 3 THEN 320.0 ELSE 72.0 END AS x0, (40 + (n % 12) * 60)::DOUBLE AS y0,
+SPANS = """every AS (
+  SELECT doc_id, n AS block_no, CASE WHEN n % 13 = 12 THEN 1 ELSE 0 END AS block_type, n // 12 + 1 AS page_no, CASE WHEN doc_id % 7 = 3 THEN 1000.0 ELSE 595.0 END AS width, CASE WHEN doc_id % 7 = 3 THEN 400.0 ELSE 842.0 END AS height, CASE WHEN n % 5 = 3 THEN 320.0 ELSE 72.0 END AS x0, (40 + (n % 12) * 60)::DOUBLE AS y0,
          CASE WHEN n % 11 = 10 THEN CASE WHEN n % 5 = 3 THEN 335.0 ELSE 85.0 END WHEN n % 5 = 3 THEN 560.0 ELSE 300.0 END AS x1,
          (55 + (n % 12) * 60)::DOUBLE AS y1, CASE n % 7 WHEN 6 THEN 6.0 WHEN 0 THEN 12.0 ELSE 10.0 END AS size, l AS text
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM documents)),
+spans AS (SELECT * FROM every WHERE block_type = 0),
 body AS (
   SELECT doc_id, size AS body_size FROM (
     SELECT doc_id, size, row_number() OVER (PARTITION BY doc_id ORDER BY sum(length(trim(text))) DESC, min(page_no * 100000 + block_no)) AS r
     FROM spans GROUP BY doc_id, size) WHERE r = 1),
 told AS (
   SELECT s.*, body_size, CASE WHEN x1 - x0 < 20 THEN 'narrow margin text' WHEN NOT regexp_matches(text, '\\p{L}{3}') THEN 'no words'
-           WHEN y1 < 842 * 0.085 THEN 'running header' END AS reason,
+           WHEN y1 < height * 0.085 THEN 'running header' END AS reason,
          CASE WHEN regexp_matches(text, '^(Fig\\.|Figure|Figura|Abb\\.|Abbildung|Table|Tab\\.|Tabelle|Tabla|Tableau|図|表|그림|표)\\s*\\d') THEN 'caption'
            WHEN size < 0.75 * body_size AND body_size <> 0 THEN 'figure_text'
            WHEN length(text) < 120 AND NOT regexp_matches(text, '[.,;:。，；：、]$') AND size >= 0.95 * body_size THEN 'title' ELSE 'text' END AS label
   FROM spans s JOIN body USING (doc_id) WHERE trim(text) <> '')""".replace("\\\\", "\\")
 
 KEPT = """kept AS (
-  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page_no, x0 > 297.5, y0, block_no) - 1 AS id FROM told WHERE reason IS NULL)"""
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page_no, x0 > width / 2, y0, block_no) - 1 AS id FROM told WHERE reason IS NULL)"""
 
 BATCHES = """RECURSIVE counted AS (SELECT doc_id, line_no, length(line) AS l, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS k FROM lines),
 folded AS (
@@ -143,7 +144,7 @@ def letter_profile(spark, sf_dir):
 
 
 def _spans(spark, sf_dir):
-    return layout.document_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return layout.text_blocks(layout.document_spans(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 @query(f"WITH {SPANS} SELECT doc_id, body_size FROM body")
@@ -152,9 +153,7 @@ def body_size(spark, sf_dir):
 
 
 def _told(spark, sf_dir):
-    spans = _spans(spark, sf_dir)
-    rows = spans.where(text.strip(F.col("text")) != "").join(layout.dominant_size(spans, ["doc_id"], ["page_no", "block_no"]), "doc_id")
-    return rows.withColumn("reason", layout.skip_reason()).withColumn("label", layout.label())
+    return layout.told(_spans(spark, sf_dir))
 
 
 @query(f"WITH {SPANS} SELECT doc_id, block_no::BIGINT AS block_no, label, (y0 * 1000)::BIGINT AS y_milli FROM told WHERE reason IS NULL")
@@ -226,15 +225,21 @@ PAIRS = """pairs AS (SELECT * FROM (SELECT conv_id, turn, role, text AS source,
 NUMBERS = r"\d+(?:[.,]\d+)?"
 
 
-@query(rf"""WITH {PAIRS}, a AS (SELECT conv_id, turn, t, count(*) AS n FROM (SELECT conv_id, turn, unnest(regexp_extract_all(source, '{NUMBERS}')) AS t FROM pairs) GROUP BY ALL),
-b AS (SELECT conv_id, turn, t, count(*) AS n FROM (SELECT conv_id, turn, unnest(regexp_extract_all(revised, '{NUMBERS}')) AS t FROM pairs) GROUP BY ALL)
-SELECT coalesce(a.conv_id, b.conv_id) AS conv_id, coalesce(a.turn, b.turn) AS turn, coalesce(a.t, b.t) AS token, greatest(coalesce(a.n, 0) - coalesce(b.n, 0), 0)::BIGINT AS missing, greatest(coalesce(b.n, 0) - coalesce(a.n, 0), 0)::BIGINT AS extra
-FROM a FULL JOIN b ON a.conv_id = b.conv_id AND a.turn = b.turn AND a.t = b.t WHERE coalesce(a.n, 0) <> coalesce(b.n, 0)""")
+def _half_sql(odd: int) -> str:
+    return f"SELECT doc_id, t, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(array_to_string([x FOR x, i IN string_split(text, chr(10)) IF i % 2 = {1 - odd}], chr(10)), '{NUMBERS}')) AS t FROM documents) GROUP BY ALL"
+
+
+@query(f"""WITH a AS ({_half_sql(0)}), b AS ({_half_sql(1)})
+SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(a.t, b.t) AS token, greatest(coalesce(a.n, 0) - coalesce(b.n, 0), 0)::BIGINT AS missing, greatest(coalesce(b.n, 0) - coalesce(a.n, 0), 0)::BIGINT AS extra
+FROM a FULL JOIN b ON a.doc_id = b.doc_id AND a.t = b.t WHERE coalesce(a.n, 0) <> coalesce(b.n, 0)""")
 def token_multiset_diff(spark, sf_dir):
-    both = _pairs(spark, sf_dir).select("conv_id", "turn", tokens.multiset(F.col("source")).alias("a"), tokens.multiset(F.col("revised")).alias("b"))
+    """The numbers of each document's odd and even lines."""
+    lines = F.split("text", "\n")
+    half = lambda odd: tokens.multiset(F.array_join(F.filter(lines, lambda x, i: i % 2 == odd), "\n"))
+    both = table(spark, sf_dir, "documents").select("doc_id", half(0).alias("a"), half(1).alias("b"))
     both = both.withColumn("missing", tokens.minus(F.col("a"), F.col("b"))).withColumn("extra", tokens.minus(F.col("b"), F.col("a")))
-    names = both.select("conv_id", "turn", "missing", "extra", F.explode(F.array_union(F.map_keys("missing"), F.map_keys("extra"))).alias("token"))
-    return names.select("conv_id", "turn", "token", F.coalesce(F.col("missing")[F.col("token")], F.lit(0)).cast("long").alias("missing"), F.coalesce(F.col("extra")[F.col("token")], F.lit(0)).cast("long").alias("extra"))
+    names = both.select("doc_id", "missing", "extra", F.explode(F.array_union(F.map_keys("missing"), F.map_keys("extra"))).alias("token"))
+    return names.select("doc_id", "token", F.coalesce(F.col("missing")[F.col("token")], F.lit(0)).cast("long").alias("missing"), F.coalesce(F.col("extra")[F.col("token")], F.lit(0)).cast("long").alias("extra"))
 
 
 WORD_ROWS = "VALUES (1, 'One study and the first of two'), (2, 'none of the ones'), (3, 'Ten, tenth; second'), (4, NULL)"
@@ -316,12 +321,13 @@ def page_spec(spark, sf_dir):
     return rows.select("id", F.array_join(F.transform(library.page_numbers(F.col("spec"), F.col("n")), lambda x: x.cast("string")), ",").alias("pages"))
 
 
-@query("""SELECT a.o_orderkey::VARCHAR AS asked, b.o_orderkey::VARCHAR AS key, 'order-' || b.o_orderkey AS filename FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey WHERE a.o_orderkey % 97 = 0 AND b.o_orderstatus = 'F'""")
+@query("""WITH files AS (SELECT o_custkey, count(*)::BIGINT AS n, sha256(string_agg('order-' || o_orderkey, chr(10) ORDER BY 'order-' || o_orderkey)) AS digest FROM orders WHERE o_orderstatus = 'F' GROUP BY 1)
+SELECT o_orderkey::VARCHAR AS asked, coalesce(n, 0)::BIGINT AS n, digest FROM orders LEFT JOIN files USING (o_custkey)""")
 def attachments(spark, sf_dir):
-    """An analogue: customers are parent items, their orders the children, finished ones the PDFs; some orders are asked for."""
+    """An analogue: customers are parent items, their orders the children, finished ones the PDFs; every order is asked for."""
     orders = table(spark, sf_dir, "orders")
     items = orders.select(F.col("o_orderkey").cast("string").alias("key"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("parent"), F.when(F.col("o_orderstatus") == "F", "application/pdf").alias("content_type"), F.concat(F.lit("order-"), F.col("o_orderkey").cast("string")).alias("filename"))
-    return library.attachments(items, items.where("cast(key as bigint) % 97 = 0").select("key"))
+    return library.attachment_sets(items, items.select("key"))
 
 
 @query("SELECT * FROM (VALUES ('A', '2001', 'One', 'Hall, Ito, Lin'), ('B', NULL, 'Two', 'Group'), ('C', '1999', NULL, '')) v(key, date, title, creators)")
@@ -383,7 +389,7 @@ def compound_words(spark, sf_dir):
     return found.select("doc_id", F.array_join("compounds", " ").alias("compounds"))
 
 
-@query(f"WITH {SPANS} SELECT doc_id, block_no::BIGINT AS block_no, round(x0 / 595 * 10000)::BIGINT AS l, round(y0 / 842 * 10000)::BIGINT AS t, round((x1 - x0) / 595 * 10000)::BIGINT AS w, round((y1 - y0) / 842 * 10000)::BIGINT AS h FROM spans")
+@query(f"WITH {SPANS} SELECT doc_id, block_no::BIGINT AS block_no, round(x0 / width * 10000)::BIGINT AS l, round(y0 / height * 10000)::BIGINT AS t, round((x1 - x0) / width * 10000)::BIGINT AS w, round((y1 - y0) / height * 10000)::BIGINT AS h FROM spans")
 def percent_boxes(spark, sf_dir):
     rows = _spans(spark, sf_dir).select("doc_id", F.col("block_no").cast("long").alias("block_no"), *layout.percent_box())
     return rows.select("doc_id", "block_no", *[F.round(F.col(c) * 100).cast("long").alias(c[0]) for c in ("left", "top", "width", "height")])
@@ -441,3 +447,121 @@ def embedded_batches(spark, sf_dir):
     found = F.transform(replies.embedded(F.col("prompt"), "INPUT:"), lambda r: F.concat_ws("=", r["id"].cast("string"), r["input"]))
     problem = replies.strict_error(F.replace("reply", F.lit('"A"'), F.lit('"A", "more": 1')), F.array(F.lit(1)))
     return rows.select("id", F.array_join(found, "|").alias("inputs"), replies.merged(F.col("reply"), kept).alias("merged"), problem.alias("problem"))
+
+
+HEADINGS = ["References", "3. RÉFÉRENCES", "参 考 文 献", "Bibliography and more", "Literaturverzeichnis", "References  cited"]
+
+
+def _headed(spark, sf_dir):
+    """Spans of which the fifteenth line of every second document, and the third of some, is made a heading or something like one."""
+    spans = _spans(spark, sf_dir)
+    made = F.element_at(F.array(*map(F.lit, HEADINGS)), (F.col("doc_id") % len(HEADINGS) + 1).cast("int"))
+    late, early = (F.col("block_no") == 14) & (F.col("doc_id") % 2 == 0), (F.col("block_no") == 2) & (F.col("doc_id") % 5 == 0)
+    return spans.withColumn("text", F.when(late, made).when(early, "references").otherwise(F.col("text")))
+
+
+HEADED = f"""{SPANS.split("body AS (")[0]}headed AS (
+  SELECT * REPLACE (CASE WHEN block_no = 14 AND doc_id % 2 = 0 THEN {HEADINGS!r}[doc_id % 6 + 1] WHEN block_no = 2 AND doc_id % 5 = 0 THEN 'references' ELSE text END AS text) FROM spans),
+headings AS (
+  SELECT doc_id, arg_max({{'page': page_no, 'place': (x0 > width / 2)::INT * 10000 + y0}}, block_no) AS h FROM headed
+  WHERE regexp_matches(trim(text), '(?i)^((\\d+\\.?\\s*)?(references?( cited)?|bibliography|literaturverzeichnis|références|参考文献))$') OR regexp_matches(regexp_replace(text, '\\s+', ' ', 'g'), '(?i)^references cited$') OR text = '参 考 文 献' GROUP BY doc_id),
+found AS (SELECT s.*, h, CASE WHEN page_no > h.page OR page_no = h.page AND (x0 > width / 2)::INT * 10000 + y0 > h.place + 1 THEN 'references' WHEN x1 - x0 < 20 THEN 'narrow margin text' WHEN NOT regexp_matches(text, '\\p{{L}}{{3}}') THEN 'no words'
+  WHEN y1 < height * 0.085 THEN 'running header' ELSE 'kept' END AS reason FROM headed s LEFT JOIN headings USING (doc_id) WHERE trim(text) <> '')"""
+
+
+@query(f"WITH {HEADED} SELECT doc_id, reason, count(*)::BIGINT AS n, coalesce(any_value(h.page), 0)::BIGINT AS heading_page FROM found GROUP BY doc_id, reason")
+def reference_skips(spark, sf_dir):
+    """What is skipped once the last heading of the references is known."""
+    spans = _headed(spark, sf_dir)
+    rows = layout.told(spans, layout.references_heading(spans))
+    return rows.groupBy("doc_id", F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"), F.coalesce(F.first("heading.page_no"), F.lit(0)).cast("long").alias("heading_page"))
+
+
+@query(f"WITH {SPANS}, {KEPT} SELECT page_no::BIGINT AS page_no, label, CASE WHEN label = 'figure_text' AND length(text) > 80 THEN 'not translated' END AS checks, count(*)::BIGINT AS n FROM kept GROUP BY ALL")
+def figure_policy(spark, sf_dir):
+    rows = layout.paragraphs(_spans(spark, sf_dir))
+    return rows.groupBy(F.col("page_no").cast("long").alias("page_no"), "label", "checks").agg(F.count("*").alias("n"))
+
+
+def _torn(spark, sf_dir):
+    """Texts cut into lines of forty characters, with a hyphen where a word is torn; blocks of six lines."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", r"\s+", " ").alias("t")).where("t <> ''")
+    n = F.floor((F.length("t") - 1) / 40).cast("int")
+    cut = lambda k: F.substr(F.col("t"), k * 40 + 1, F.lit(40))
+    lines = F.transform(F.sequence(F.lit(0), n), lambda k: F.concat(cut(k), F.when(cut(k).rlike(r"[a-z]\z") & cut(k + 1).rlike(r"\A[a-z]"), "-").otherwise("")))
+    rows = docs.select("doc_id", F.posexplode(lines).alias("n", "text")).withColumns({"block_no": F.floor(F.col("n") / 6).cast("int"), "line_no": F.col("n") % 6})
+    place = F.col("line_no") * 15.0
+    size = F.when(F.col("n") % 5 == 0, 12.0).when(F.col("block_no") % 4 == 3, 6.0).otherwise(10.0)
+    return rows.select("doc_id", F.lit(1).alias("page_no"), "block_no", "line_no", F.lit(72.0).alias("x0"), (100 + place).alias("y0"), F.lit(300.0).alias("x1"), (115 + place).alias("y1"), size.alias("size"), "text")
+
+
+@query(r"""WITH plain AS (SELECT doc_id, regexp_replace(text, '\s+', ' ', 'g') AS t FROM documents), known AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z]+-[a-z]+')) AS w FROM documents),
+numbered AS (SELECT doc_id, t, unnest(range(0, (length(t) - 1) // 40 + 1)) AS n FROM plain WHERE t <> ''),
+lines AS (SELECT doc_id, n, substr(t, n * 40 + 1, 40) || CASE WHEN regexp_matches(substr(t, n * 40 + 1, 40), '[a-z]$') AND regexp_matches(substr(t, n * 40 + 41, 40), '^[a-z]') THEN '-' ELSE '' END AS l, CASE WHEN n % 5 = 0 THEN 12.0 WHEN n // 6 % 4 = 3 THEN 6.0 ELSE 10.0 END AS size FROM numbered),
+body AS (SELECT doc_id, size AS body FROM (SELECT doc_id, size, row_number() OVER (PARTITION BY doc_id ORDER BY sum(length(trim(l))) DESC, min(n)) AS r FROM lines GROUP BY doc_id, size) WHERE r = 1),
+own AS (SELECT doc_id, b, size FROM (SELECT doc_id, n // 6 AS b, size, row_number() OVER (PARTITION BY doc_id, n // 6 ORDER BY sum(length(trim(l))) DESC, min(n)) AS r FROM lines GROUP BY doc_id, b, size) WHERE r = 1),
+held AS (SELECT doc_id, n // 6 AS b, list(trim(l) ORDER BY n) FILTER (trim(l) <> '') AS ls FROM lines GROUP BY doc_id, b),
+made AS (SELECT doc_id, b, len(ls) AS k, list_reduce(ls, lambda a, x: CASE WHEN NOT regexp_matches(a, '[A-Za-z]-$') OR NOT regexp_matches(x, '^[a-z]') THEN a || ' ' || x WHEN list_contains(w, lower(regexp_extract(a, '([A-Za-z]+-)$', 1) || regexp_extract(x, '^([a-z]+)', 1))) THEN a || x ELSE a[:-2] || x END) AS text FROM held JOIN known USING (doc_id) WHERE len(ls) > 0)
+SELECT doc_id, b::BIGINT AS block_no, size, CASE WHEN size < 0.75 * body THEN 'figure_text' WHEN k <= 2 AND length(text) < 120 AND NOT regexp_matches(text, '[.,;:]$') AND size >= 0.95 * body THEN 'title' ELSE 'text' END AS label, sha256(text) AS digest
+FROM made JOIN own USING (doc_id, b) JOIN body USING (doc_id) WHERE regexp_matches(text, '\p{L}{3}')""")
+def block_paragraphs(spark, sf_dir):
+    """Lines to blocks: joined without hyphens, with each block's own size."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = layout.told(layout.blocks(_torn(spark, sf_dir), layout.compounds(docs, "doc_id"))).where("reason is null")
+    return rows.select("doc_id", F.col("block_no").cast("long").alias("block_no"), "size", "label", F.sha2("text", 256).alias("digest"))
+
+
+TORN_TERMS = terms.terms_of(["tion", "Heat tion", "AND"])
+
+
+@query(r"""SELECT doc_id, sha256(regexp_replace(regexp_replace(t, '(?i)\bH(?:[ \t]*|-\s+)e(?:[ \t]*|-\s+)a(?:[ \t]*|-\s+)t\s+t(?:[ \t]*|-\s+)i(?:[ \t]*|-\s+)o(?:[ \t]*|-\s+)n\b', 'Heat tion', 'g'), '(?i)\bt(?:[ \t]*|-\s+)i(?:[ \t]*|-\s+)o(?:[ \t]*|-\s+)n\b', 'tion', 'g')) AS digest
+FROM (SELECT doc_id, replace(replace(text, 'ion ', 'I- on '), ' of ', ' he At ti on ') AS t FROM documents)""")
+def rejoined_terms(spark, sf_dir):
+    torn = F.replace(F.replace("text", F.lit("ion "), F.lit("I- on ")), F.lit(" of "), F.lit(" he At ti on "))
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(terms.normalize(torn, TORN_TERMS), 256).alias("digest"))
+
+
+@query(r"""WITH every AS (SELECT conv_id, turn, CASE conv_id % 4 WHEN 3 THEN 'Two of the first. ' || text ELSE text END AS source,
+  CASE conv_id % 4 WHEN 0 THEN '這是 ' || text WHEN 1 THEN text WHEN 2 THEN '這是 7 ' || text ELSE '這 2 1 ' || text END AS revised FROM conversations),
+a AS (SELECT conv_id, turn, t, count(*) AS n FROM (SELECT conv_id, turn, unnest(regexp_extract_all(source, '\d+(?:[.,]\d+)?')) AS t FROM every) GROUP BY ALL),
+b AS (SELECT conv_id, turn, t, count(*) AS n FROM (SELECT conv_id, turn, unnest(regexp_extract_all(revised, '\d+(?:[.,]\d+)?')) AS t FROM every) GROUP BY ALL),
+words AS (SELECT conv_id, turn, lower(unnest(regexp_extract_all(source, '(?i)\b(?:one|first|two|second|three|third|four|fourth|five|fifth|six|sixth|seven|seventh|eight|eighth|nine|ninth|ten|tenth)\b'))) AS w FROM every),
+allowed AS (SELECT conv_id, turn, CASE WHEN w IN ('one', 'first') THEN '1' WHEN w IN ('two', 'second') THEN '2' WHEN w IN ('three', 'third') THEN '3' WHEN w IN ('four', 'fourth') THEN '4' WHEN w IN ('five', 'fifth') THEN '5' WHEN w IN ('six', 'sixth') THEN '6' WHEN w IN ('seven', 'seventh') THEN '7' WHEN w IN ('eight', 'eighth') THEN '8' WHEN w IN ('nine', 'ninth') THEN '9' ELSE '10' END AS t, count(*) AS n FROM words GROUP BY ALL),
+bad AS (SELECT DISTINCT coalesce(a.conv_id, b.conv_id) AS conv_id, coalesce(a.turn, b.turn) AS turn FROM a FULL JOIN b ON a.conv_id = b.conv_id AND a.turn = b.turn AND a.t = b.t LEFT JOIN allowed c ON c.conv_id = b.conv_id AND c.turn = b.turn AND c.t = b.t
+  WHERE coalesce(a.n, 0) > coalesce(b.n, 0) OR coalesce(b.n, 0) - coalesce(a.n, 0) > coalesce(c.n, 0))
+SELECT conv_id, turn, CASE WHEN EXISTS (SELECT 1 FROM bad WHERE bad.conv_id = every.conv_id AND bad.turn = every.turn) THEN 'failed: numbers, tags or placeholders differ'
+  WHEN regexp_matches(source, '(?i)\b(is|are|was|were|have|has|we|this|these|those|reflects|show|shows|shown|can)\b') AND NOT regexp_matches(revised, '[\x{4e00}-\x{9fff}]') THEN 'failed: prose became English' ELSE 'passed' END AS status FROM every""")
+def guard_default_pair(spark, sf_dir):
+    """English to Traditional Chinese, with revisions that are faithful, that stay English, that have one number more and that
+    write number words as digits."""
+    own, kind = F.col("text"), F.col("conv_id") % 4
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(kind == 3, F.concat(F.lit("Two of the first. "), own)).otherwise(own).alias("s"), F.when(kind == 0, F.concat(F.lit("這是 "), own)).when(kind == 1, own).when(kind == 2, F.concat(F.lit("這是 7 "), own)).otherwise(F.concat(F.lit("這 2 1 "), own)).alias("r"))
+    checked = rows.withColumn("g", guards.guard(F.col("s"), F.col("r"), F.lit("en"), F.lit("zh-TW"), []))
+    return checked.select("conv_id", "turn", guards.status(F.col("g")).alias("status"))
+
+
+@query(f"""WITH {SPANS}, {KEPT}, numbers AS (SELECT doc_id, page_no, row_number() OVER (PARTITION BY doc_id ORDER BY page_no) AS at FROM (SELECT DISTINCT doc_id, page_no FROM kept)), outs AS (SELECT doc_id, page_no, row_number() OVER (PARTITION BY doc_id ORDER BY page_no) AS at FROM (SELECT DISTINCT doc_id, page_no FROM spans WHERE page_no % 2 = 1))
+SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(a.page_no, 0)::BIGINT AS source, coalesce(b.page_no, 0)::BIGINT AS output FROM numbers a FULL JOIN outs b ON a.doc_id = b.doc_id AND a.at = b.at""")
+def paired_pages(spark, sf_dir):
+    """Pages with kept text, and every second page, by position."""
+    spans = _spans(spark, sf_dir)
+    own = layout.paragraphs(spans).select("doc_id", F.col("page_no").cast("long").alias("page_no")).distinct()
+    other = spans.where("page_no % 2 = 1").select("doc_id", F.col("page_no").cast("long").alias("page_no")).distinct()
+    return layout.paired_pages(own, other, ["doc_id"]).na.fill(0, ["source", "output"])
+
+
+@query(f"""WITH {SPANS}, {KEPT}, made AS (SELECT *, CASE WHEN label = 'figure_text' THEN '<tr><td>' || {_escaped('left(text, 80)')} || '</td><td>' || CASE WHEN length(text) > 80 THEN '<em>see the page</em>' ELSE {_escaped('text')} END || '</td></tr>' WHEN label = 'title' THEN '<h2>' || {_escaped('text')} || '</h2>' WHEN label = 'caption' THEN '<figcaption>' || {_escaped('text')} || '</figcaption>' ELSE '<p>' || {_escaped('text')} || '</p>' END AS html FROM kept),
+sections AS (SELECT doc_id, page_no, coalesce(string_agg(html, '' ORDER BY id) FILTER (label <> 'figure_text'), '') || CASE WHEN count(*) FILTER (label = 'figure_text') > 0 THEN '<details><summary>' || count(*) FILTER (label = 'figure_text') || '</summary><table>' || string_agg(html, '' ORDER BY id) FILTER (label = 'figure_text') || '</table></details>' ELSE '' END AS body FROM made GROUP BY doc_id, page_no),
+whole AS (SELECT doc_id, page_no, '<section id="page-' || page_no || '">' || coalesce(body, '') || CASE WHEN page_no >= 3 THEN '<p>References</p>' WHEN body IS NULL THEN '<p>Nothing on this page</p>' ELSE '' END || '<img alt="page ' || page_no || '" loading="lazy" src="data:image/jpeg;base64,' || to_base64(encode('jpeg ' || doc_id || ' ' || page_no)) || '"></section>' AS html
+  FROM (SELECT DISTINCT doc_id, page_no FROM every) LEFT JOIN sections USING (doc_id, page_no))
+SELECT doc_id, sha256('<!doctype html><html lang="en"><head><meta charset="utf-8"><title>' || any_value(source) || ' &lt;' || doc_id || '&gt;</title><style>{render.STYLE}</style></head><body><header><h1>' || any_value(source) || ' &lt;' || doc_id || '&gt;</h1></header><nav>' || string_agg('<a href="#page-' || page_no || '">' || page_no || '</a>', '' ORDER BY page_no) || '</nav><main>' || string_agg(html, '' ORDER BY page_no) || '</main><footer><dl><dt>lang</dt><dd>' || any_value(lang) || '</dd><dt>none</dt><dd></dd></dl></footer><aside><form name="ask" data-token="{{token}}" data-first="1"><textarea name="question"></textarea><label><input type="checkbox" name="full">all pages</label><button>Ask</button><output name="answer"></output></form></aside><script>{render.SCRIPT.replace("'", "''")}</script></body></html>') AS digest
+FROM whole JOIN documents USING (doc_id) GROUP BY doc_id""")
+def reading_pages(spark, sf_dir):
+    """Whole documents as reading pages; from the third page on they are taken for references, and the images are not real ones."""
+    docs = table(spark, sf_dir, "documents")
+    every = layout.document_spans(docs.select("doc_id", "text"))
+    rows = layout.paragraphs(every).withColumns({"source": F.col("text"), "output": F.when(F.col("checks").isNull(), F.col("text")).otherwise(""), "ref": F.lit(3)})
+    pages = every.select("doc_id", "page_no").distinct().withColumn("jpeg", F.concat_ws(" ", F.lit("jpeg"), F.col("doc_id").cast("string"), F.col("page_no").cast("string")).cast("binary"))
+    titles = docs.select("doc_id", F.concat("source", F.lit(" <"), F.col("doc_id").cast("string"), F.lit(">")).alias("title"), F.array(F.struct(F.lit("lang").alias("name"), F.col("lang").alias("value")), F.struct(F.lit("none").alias("name"), F.lit(None).cast("string").alias("value"))).alias("facts"))
+    whole = render.reading_pages(render.page_sections(rows, ["doc_id"], references_page="ref", pages=pages), titles, ["doc_id"])
+    return whole.select("doc_id", F.sha2("html", 256).alias("digest"))

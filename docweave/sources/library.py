@@ -36,8 +36,25 @@ def search_rows(items: DataFrame) -> DataFrame:
     return items.select("key", "date", "title", F.array_join(names, ", ").alias("creators"))
 
 
+def _asked(items: DataFrame, keys: DataFrame) -> DataFrame:
+    """asked, top: each key's item, or its parent if the key is a child's. A file without a parent is an error."""
+    alone = F.col("parent").isNull() & F.col("content_type").isNotNull()
+    top = F.when(alone, F.raise_error(F.concat(F.lit("an attachment that belongs to no item: "), F.col("key")))).otherwise(F.coalesce("parent", "key"))
+    return keys.join(items.select("key", "parent", "content_type"), "key").select(F.col("key").alias("asked"), top.alias("top"))
+
+
+def _files(items: DataFrame) -> DataFrame:
+    return items.where("content_type = 'application/pdf' and parent is not null").select(F.col("parent").alias("top"), "key", "filename")
+
+
 def attachments(items: DataFrame, keys: DataFrame) -> DataFrame:
     """asked, key, filename: the PDF children of each key's item, or of its parent if the key is a child's."""
-    own = keys.join(items.select("key", "parent"), "key").select(F.col("key").alias("asked"), F.coalesce("parent", "key").alias("top"))
-    pdf = items.where("content_type = 'application/pdf' and parent is not null").select(F.col("parent").alias("top"), "key", "filename")
-    return own.join(pdf, "top").select("asked", "key", "filename")
+    return _asked(items, keys).join(_files(items), "top").select("asked", "key", "filename")
+
+
+def attachment_sets(items: DataFrame, keys: DataFrame) -> DataFrame:
+    """asked, n, digest: how many PDFs attachments() finds for each key, and SHA-256 of their sorted file names, one a line. Files meet by
+    parent before they meet keys, so an item with very many children costs no more than they are."""
+    by_item = _files(items).groupBy("top").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("filename")), "\n"), 256).alias("digest"))
+    found = _asked(items, keys).join(by_item, "top", "left")
+    return found.select("asked", F.coalesce("n", F.lit(0)).alias("n"), "digest")
