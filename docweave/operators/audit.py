@@ -26,6 +26,13 @@ def required(rows: DataFrame, lenient: bool = False) -> None:
         raise RuntimeError("some rows failed their checks")
 
 
+def review_failures(rows: DataFrame, checks: str = "checks") -> DataFrame:
+    """The rows of a model stage that did not pass and were not left out by rule, with what was drafted and revised."""
+    kind = F.substring_index(checks, ":", 1)
+    told = rows.where(~F.coalesce(F.col(checks), F.lit("passed")).isin("passed", "not translated"))
+    return told.withColumns({"kind": kind, "reason": F.ltrim(F.expr(f"substr({checks}, length(substring_index({checks}, ':', 1)) + 2)"))})
+
+
 def drift(recorded: Column, current: Column) -> Column:
     """Sorted names of the current facts (a map) that the recorded ones do not have with the same value."""
     return F.array_sort(F.filter(F.map_keys(current), lambda k: ~F.coalesce(recorded[k] == current[k], recorded[k].isNull() & current[k].isNull() & F.map_contains_key(recorded, k), F.lit(False))))

@@ -48,12 +48,20 @@ class HttpClient:
         request = urllib.request.Request(f"{self.endpoint.rstrip('/')}/chat/completions", json.dumps(body).encode(), {"Content-Type": "application/json"})
         try:
             with urllib.request.build_opener(urllib.request.ProxyHandler({})).open(request, timeout=self.timeout) as reply:
-                choice = json.load(reply)["choices"][0]
-        except (OSError, KeyError, IndexError, TypeError, json.JSONDecodeError) as e:
+                told = json.load(reply)
+        except (OSError, ValueError) as e:
             raise RuntimeError(f"no answer from the model: {e}") from e
-        if choice.get("finish_reason") != "stop" or not (choice.get("message") or {}).get("content"):
-            raise ValueError(f"the answer was not finished: {choice.get('finish_reason')}")
-        return choice["message"]["content"].strip()
+        return finished(told)
+
+
+def finished(told: object) -> str:
+    """The text of a chat completion. ValueError if the model stopped early or said nothing, RuntimeError if it is no completion."""
+    match told:
+        case {"choices": [{"finish_reason": "stop", "message": {"content": str(text)}}, *_]} if text.strip():
+            return text.strip()
+        case {"choices": [{"finish_reason": why}, *_]}:
+            raise ValueError(f"the answer was not finished: {why}")
+    raise RuntimeError("no answer from the model: not a completion")
 
 
 @dataclass(frozen=True)

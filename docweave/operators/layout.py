@@ -129,6 +129,11 @@ def paragraphs(spans: DataFrame, heading: DataFrame | None = None) -> DataFrame:
     return kept.withColumn("checks", F.when((F.col("label") == "figure_text") & (F.length("text") > 80), NOT_TRANSLATED))
 
 
+def skipped(spans: DataFrame, heading: DataFrame | None = None) -> DataFrame:
+    """doc_id, page_no, reason, text (its first 80 characters) of the blocks that are left out."""
+    return told(spans, heading).where("reason is not null").select("doc_id", "page_no", "reason", F.left("text", F.lit(80)).alias("text"))
+
+
 def paired_pages(source: DataFrame, output: DataFrame, by: list[str], page: str = "page_no") -> DataFrame:
     """by, source, output: the pages of two documents by position; null where one has none."""
     place = lambda df, name: df.select(*by, F.col(page).alias(name), F.row_number().over(Window.partitionBy(*by).orderBy(page)).alias("at"))

@@ -565,3 +565,96 @@ def reading_pages(spark, sf_dir):
     titles = docs.select("doc_id", F.concat("source", F.lit(" <"), F.col("doc_id").cast("string"), F.lit(">")).alias("title"), F.array(F.struct(F.lit("lang").alias("name"), F.col("lang").alias("value")), F.struct(F.lit("none").alias("name"), F.lit(None).cast("string").alias("value"))).alias("facts"))
     whole = render.reading_pages(render.page_sections(rows, ["doc_id"], references_page="ref", pages=pages), titles, ["doc_id"])
     return whole.select("doc_id", F.sha2("html", 256).alias("digest"))
+
+
+@query("""SELECT c_custkey, array_to_string(CASE WHEN c_custkey % 13 = 0 THEN range(1, 21) ELSE list_sort(list_distinct([c_custkey % 7 + 1] || range(c_custkey % 11 + 1, c_custkey % 11 + c_custkey % 5 + 2))) END, ',') AS pages FROM customer""")
+def page_lists(spark, sf_dir):
+    """A list of pages for each customer, made of its key."""
+    k, text_of = F.col("c_custkey"), lambda c: c.cast("string")
+    spec = F.concat(text_of(k % 7 + 1), F.lit(", "), text_of(k % 11 + 1), F.lit("-"), text_of(k % 11 + k % 5 + 1), F.lit(" ,"), text_of(k % 7 + 1))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.when(k % 13 != 0, spec).alias("spec"))
+    return rows.select("c_custkey", F.array_join(F.transform(library.page_numbers(F.col("spec"), F.lit(20)), text_of), ",").alias("pages"))
+
+
+WORDED = "replace(replace(replace(text, ' the ', ' One '), ' of ', ' tenth '), ' and ', ' two seconds ')"
+
+
+@query("SELECT doc_id, digit, sum(n)::BIGINT AS n FROM (" + " UNION ALL ".join(f"SELECT doc_id, '{d}' AS digit, len(regexp_extract_all({WORDED}, '(?i)\\b{w}\\b')) AS n FROM documents" for d, words in tokens.NUMBER_WORDS.items() for w in words) + ") GROUP BY doc_id, digit HAVING sum(n) > 0")
+def number_words(spark, sf_dir):
+    """Documents in which some short words are made number words."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(tokens.number_words(F.expr(WORDED))).alias("digit", "n"))
+    return rows.withColumn("n", F.col("n").cast("long"))
+
+
+@query("""SELECT n_name AS key, CASE WHEN n_nationkey % 3 > 0 THEN n_regionkey::VARCHAR END AS date, n_name AS title, array_to_string(coalesce(list(coalesce(CASE WHEN s_suppkey % 3 = 2 THEN s_name END, CASE WHEN s_suppkey % 5 > 0 THEN 'n' || s_suppkey END, '') ORDER BY s_suppkey) FILTER (s_suppkey IS NOT NULL), [])[1:3], ', ') AS creators
+FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_name, n_nationkey, n_regionkey""")
+def item_projection(spark, sf_dir):
+    """Nations as library items, their suppliers as creators with one kind of name or the other."""
+    k = F.col("s_suppkey")
+    person = F.struct(k.alias("k"), F.when(k % 3 == 2, F.col("s_name")).when(k % 3 == 1, "").alias("lastName"), F.when(k % 5 > 0, F.concat(F.lit("n"), k.cast("string"))).alias("name"))
+    people = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.array_sort(F.collect_list(person)).alias("p"))
+    creators = F.transform(F.coalesce("p", F.array().cast("array<struct<k:bigint,lastName:string,name:string>>")), lambda x: F.struct(x["lastName"].alias("lastName"), x["name"].alias("name")))
+    items = table(spark, sf_dir, "nation").join(people, "n_nationkey", "left").select(F.col("n_name").alias("key"), F.when(F.col("n_nationkey") % 3 > 0, F.col("n_regionkey").cast("string")).alias("date"), F.col("n_name").alias("title"), creators.alias("creators"))
+    return library.search_rows(items)
+
+
+@query("""WITH lines AS (SELECT p_partkey, p_type, CASE WHEN p_partkey % 3 = 0 THEN replace(p_brand, '#', '-') || '|' || p_size END AS banned FROM part WHERE p_partkey % 3 < 2),
+known AS (SELECT p_type AS term, min(p_partkey) AS first, coalesce(arg_max(banned, p_partkey) FILTER (banned IS NOT NULL), '') AS banned FROM lines GROUP BY 1),
+numbered AS (SELECT *, row_number() OVER (ORDER BY first) - 1 AS ord FROM known)
+SELECT ord::BIGINT AS ord, term, '{v' || (1000000 + ord) || '}' AS token, banned, term = upper(term) AND term <> lower(term) AS is_acronym FROM numbered""")
+def glossary_lines(spark, sf_dir):
+    """A glossary with a line for each part: a type with banned renderings, a type with a comment, or nothing but a comment."""
+    k = F.col("p_partkey")
+    line = F.when(k % 3 == 0, F.concat("p_type", F.lit(" | "), F.replace("p_brand", F.lit("#"), F.lit("-")), F.lit("，"), F.col("p_size").cast("string"), F.lit(", # no more"))).when(k % 3 == 1, F.concat(F.lit("  "), "p_type", F.lit(" # | none"))).otherwise(F.lit("# | nothing"))
+    lines = table(spark, sf_dir, "part").select(k.alias("line_no"), line.alias("line"))
+    return terms.parse_glossary(lines).select(F.col("ord").cast("long").alias("ord"), "term", "token", F.array_join("banned", "|").alias("banned"), "is_acronym")
+
+
+@query("""SELECT doc_id, sha256(CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN '%PDF-1.7 ' || text WHEN 2 THEN text WHEN 3 THEN '%PDF-1.4 /Encrypt 5 0 R ' || text ELSE '%PDF-1.4 /Encryption ' || text END) AS sha256,
+CASE doc_id % 5 WHEN 0 THEN 'empty file' WHEN 1 THEN CASE WHEN doc_id % 2 = 0 THEN 'no pages' END WHEN 2 THEN 'not a PDF' WHEN 3 THEN 'encrypted' ELSE CASE WHEN doc_id % 2 = 0 THEN 'no pages' END END AS problem FROM documents""")
+def file_preflight(spark, sf_dir):
+    """Documents as the contents of files, good and bad."""
+    kind, own = F.col("doc_id") % 5, F.col("text")
+    content = F.when(kind == 0, F.lit("")).when(kind == 1, F.concat(F.lit("%PDF-1.7 "), own)).when(kind == 2, own).when(kind == 3, F.concat(F.lit("%PDF-1.4 /Encrypt 5 0 R "), own)).otherwise(F.concat(F.lit("%PDF-1.4 /Encryption "), own))
+    files = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), content.cast("binary").alias("content"), (F.col("doc_id") % 2).alias("page_count"))
+    return pdf.preflight(files).withColumnRenamed("path", "doc_id")
+
+
+@query("""SELECT o_orderkey, array_to_string([x FOR x IN [CASE WHEN o_orderkey % 3 = 0 THEN 'model' END, CASE WHEN o_orderkey % 2 = 1 AND o_orderstatus <> 'F' THEN 'size' END] IF x IS NOT NULL], ',') AS changed FROM orders""")
+def fact_drift(spark, sf_dir):
+    """Facts of each order before and after: one that may change, one that may be new."""
+    status, key = F.col("o_orderstatus"), F.col("o_orderkey")
+    old = F.create_map(F.lit("size"), status, F.lit("gone"), F.lit("x"))
+    new = F.map_concat(F.create_map(F.lit("size"), F.when(key % 2 == 1, "F").otherwise(status)), F.when(key % 3 == 0, F.create_map(F.lit("model"), F.lit("m"))).otherwise(F.create_map().cast("map<string,string>")))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(audit.drift(old, new), ",").alias("changed"))
+
+
+@query("""WITH held AS (SELECT conv_id, string_agg(text, '|' ORDER BY turn) AS t FROM conversations GROUP BY 1)
+SELECT conv_id, CASE WHEN conv_id % 6 IN (0, 1, 5) THEN sha256(t) ELSE '' END AS outputs, CASE conv_id % 6 WHEN 2 THEN 'no array' WHEN 3 THEN 'other ids' WHEN 4 THEN 'a row without id or output' ELSE '' END AS error FROM held""")
+def reply_batches(spark, sf_dir):
+    """Each conversation as a model's reply: fenced, with text around it, without an array, with a row too many, with numbers as
+    outputs, with more keys."""
+    kind = F.col("conv_id") % 6
+    row = F.struct(F.col("turn").alias("id"), F.col("text").alias("output"))
+    held = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(row)).alias("r"))
+    json_of = F.to_json("r")
+    wide = F.to_json(F.transform("r", lambda r: F.struct(r["id"].alias("id"), r["output"].alias("output"), F.lit(1).alias("more"))))
+    numbers = F.to_json(F.transform("r", lambda r: F.struct(r["id"].alias("id"), r["id"].alias("output"))))
+    twice = F.to_json(F.concat("r", F.slice("r", 1, 1)))
+    reply = F.when(kind == 0, F.concat(F.lit("```json\n"), json_of, F.lit("\n```"))).when(kind == 1, F.concat(F.lit("Here: "), json_of, F.lit(" done"))).when(kind == 2, "sorry").when(kind == 3, twice).when(kind == 4, numbers).otherwise(wide)
+    parsed = held.withColumn("p", replies.parsed(reply, F.transform("r", lambda r: r["id"])))
+    outputs = F.sha2(F.array_join(F.transform("p.rows", lambda r: r["output"]), "|"), 256)
+    return parsed.select("conv_id", F.coalesce(outputs, F.lit("")).alias("outputs"), F.coalesce("p.error", F.lit("")).alias("error"))
+
+
+@query("""WITH held AS (SELECT conv_id, string_agg(turn || '=' || text, '|' ORDER BY turn) AS t FROM conversations GROUP BY 1)
+SELECT conv_id, CASE WHEN conv_id % 3 = 0 THEN sha256(t) ELSE '' END AS inputs, CASE conv_id % 3 WHEN 0 THEN '' ELSE 'passed on' END AS how FROM held""")
+def prompt_batches(spark, sf_dir):
+    """Each conversation as a batch within a prompt: after the marker, without it, or malformed; those are passed on whole."""
+    row = F.struct(F.col("turn").alias("id"), F.col("text").alias("input"))
+    held = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.to_json(F.array_sort(F.collect_list(row))).alias("r"))
+    kind = F.col("conv_id") % 3
+    prompt = F.when(kind == 0, F.concat(F.lit("Do this. INPUT:\n"), "r")).when(kind == 1, F.col("r")).otherwise(F.concat(F.lit("INPUT: {"), "r"))
+    found = held.withColumn("b", replies.embedded(prompt, "INPUT:"))
+    inputs = F.sha2(F.array_join(F.transform("b", lambda r: F.concat_ws("=", r["id"].cast("string"), r["input"])), "|"), 256)
+    return found.select("conv_id", F.coalesce(inputs, F.lit("")).alias("inputs"), F.when(F.col("b").isNull(), "passed on").otherwise("").alias("how"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docweave.functions.text import strip
@@ -20,10 +20,14 @@ def files_of(spark, path: str) -> DataFrame:
 
 
 def preflight(files: DataFrame) -> DataFrame:
-    """path, sha256, problem: null for what starts as a PDF does and isn't encrypted."""
+    """path, sha256, problem: null for what starts as a PDF does and isn't encrypted. With a column page_count, which who parses the files
+    knows (null: it could not be opened), that is looked at too."""
     raw = F.col("content")
+    locked = F.decode(raw, "ISO-8859-1").rlike(r"/Encrypt\s*(\d+\s+\d+\s+R|<<)")
     magic = F.substring(raw, 1, 5) == F.lit(b"%PDF-")
-    problem = F.when(raw.isNull() | (F.octet_length(raw) == 0), "empty file").when(~magic, "not a PDF").when(F.contains(raw, F.lit(b"/Encrypt")), "encrypted")
+    problem = F.when(raw.isNull() | (F.octet_length(raw) == 0), "empty file").when(~magic, "not a PDF").when(locked, "encrypted")
+    if "page_count" in files.columns:
+        problem = problem.when(F.col("page_count").isNull(), "unopenable").when(F.col("page_count") < 1, "no pages")
     return files.select("path", F.sha2(raw, 256).alias("sha256"), problem.alias("problem"))
 
 
@@ -33,6 +37,21 @@ def low_text_pages(pages: DataFrame, by: list[str], text: str = "text") -> DataF
     return pages.groupBy(*by).agg(F.count("*").alias("n_pages"), F.array_sort(F.collect_list(F.when(low, F.col("page_no")))).alias("low_text"))
 
 
+def required_text(pages: DataFrame, by: list[str], text: str = "text") -> None:
+    """Raises if a page has too little text to be anything but a scan."""
+    found = low_text_pages(pages, by, text).where(F.size("low_text") > 0).first()
+    if found:
+        raise RuntimeError(f"pages without text in {[found[c] for c in by]}: {found['low_text']}")
+
+
+def output_problem(source_pages: Column, output_pages: Column, text: Column, path: Column, folder: str, encrypted: Column, bilingual: bool = False) -> Column:
+    """What is wrong with a translated PDF, the first that holds; null if nothing is: its number of pages, no Han character in its
+    text, a place outside the output folder, encryption."""
+    wanted = source_pages * 2 if bilingual else source_pages
+    outside = ~path.startswith(folder.rstrip("/") + "/") | F.contains(path, F.lit("/../"))
+    return F.when(encrypted, "encrypted").when(output_pages != wanted, "another number of pages").when(~text.rlike(r"[\x{4e00}-\x{9fff}]"), "nothing translated").when(outside, "outside the output folder")
+
+
 def _library():
     try:
         import pymupdf

@@ -15,12 +15,19 @@ def recent(history: DataFrame, by: str, seq: str, n: int = RECENT) -> DataFrame:
 
 
 def contexts(questions: DataFrame, pages: DataFrame, history: DataFrame) -> DataFrame:
-    """questions: job_id, question, page_no, full; pages: job_id, page_no, original, output; history: job_id, seq, question, answer. Returns
-    job_id, question, context: the page (or all pages, if full), the last entries, and the question, parted by blank lines."""
+    """questions: job_id, question, page_no, full and perhaps question_id and picked (a paragraph's text); pages: job_id, page_no, original,
+    output; history: job_id, seq, question, answer. Returns job_id, question_id, question, context: the page (or all pages, if full), the
+    picked paragraph, the last entries, and the question, parted by blank lines. Without ids, questions that differ in nothing are
+    one. A question about a page that isn't there has no row."""
+    if "picked" not in questions.columns:
+        questions = questions.withColumn("picked", F.lit(None).cast("string"))
+    if "question_id" not in questions.columns:
+        questions = questions.withColumn("question_id", F.xxhash64("job_id", "question", "page_no", "full", "picked"))
     asked = questions.alias("q").join(pages.alias("p"), (F.col("q.job_id") == F.col("p.job_id")) & (F.col("q.full") | (F.col("q.page_no") == F.col("p.page_no"))))
-    shown = asked.groupBy("q.job_id", "q.question").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("p.page_no"), F.concat_ws("\n\n", "original", "output").alias("t")))), lambda s: s["t"]), "\n\n").alias("pages"))
+    shown = asked.groupBy("q.job_id", "q.question_id", "q.question", "q.picked").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("p.page_no"), F.concat_ws("\n\n", "original", "output").alias("t")))), lambda s: s["t"]), "\n\n").alias("pages"))
     said = recent(history, "job_id", "seq").groupBy("job_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", F.concat_ws("\n", "question", "answer").alias("t")))), lambda s: s["t"]), "\n\n").alias("said"))
-    return shown.join(said, "job_id", "left").select("job_id", "question", F.concat_ws("\n\n", "pages", "said", "question").alias("context"))
+    context = F.concat_ws("\n\n", "pages", "picked", "said", "question")
+    return shown.join(said, "job_id", "left").select("job_id", "question_id", "question", context.alias("context"))
 
 
 def append_history(stream: DataFrame, path: str, checkpoint: str):
