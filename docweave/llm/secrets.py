@@ -8,7 +8,8 @@ to every path that has the blob.
 Scale. What moves of a version is its hash and one bit a rule: whether its text shows a string that every match of
 the rule has (looked for where the text is read). Only texts that show one are moved, map-side reduced to one copy a blob
 and task, and searched in Python for the rules that show and that their blob lacks; the other pairs are clean. Paths are
-joined on the hash alone, and only to blobs with findings. Every rule's search is linear in the text.
+joined on the hash alone, and only to blobs with findings, which are broadcast if they are few. Every rule's search is linear
+in the text.
 """
 
 from __future__ import annotations
@@ -80,6 +81,8 @@ MORE_RULES = (
     Rule("pem", 1, r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", hints=("private key-----",)),
     Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", hints=(".eyj",), find=web_tokens),
 )
+#: Findings of so many bytes, about, are broadcast; more are joined by shuffle.
+BROADCAST_BYTES = 16 << 20
 LEDGER = "blob binary, kind string, version int, spans array<struct<start:int,end:int>>"
 
 
@@ -95,31 +98,32 @@ def scan(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = BASE_RULES
     body = F.coalesce(F.col(text), F.lit(""))
     blob = F.unhex(F.sha2(body.cast("binary"), 256))
     seen = spark.read.schema(LEDGER).parquet(ledger) if _exists(spark, ledger) else spark.createDataFrame([], LEDGER)
-    current = reduce(lambda a, b: a | b, [(F.col("kind") == r.kind) & (F.col("version") == r.version) for r in rules])
-    _append(versions.select(blob.alias("blob"), body.alias("text")), seen, current, rules, ledger)
+    _append(versions.select(blob.alias("blob"), body.alias("text")), seen, rules, ledger)
 
+    current = reduce(lambda a, b: a | b, [(F.col("kind") == r.kind) & (F.col("version") == r.version) for r in rules])
     found = spark.read.schema(LEDGER).parquet(ledger).where(current).where(F.size("spans") > 0)
     rank = reduce(lambda a, r: a.when(F.col("kind") == r[1].kind, r[0]), enumerate(rules), F.when(F.lit(False), -1))
     spans = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), F.col("rank").alias("rank"), s["end"].alias("end"), F.col("kind").alias("kind")))
     by_blob = found.withColumn("rank", rank).groupBy("blob").agg(F.array_distinct(F.array_sort(F.flatten(F.collect_list(spans)))).alias("f"))
     by_blob = by_blob.select("blob", F.transform("f", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("findings"))
+    weight = by_blob.agg(F.sum(60 + 24 * F.size("findings"))).first()[0] or 0
+    by_blob = F.broadcast(by_blob) if weight <= BROADCAST_BYTES else by_blob
     none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
     return versions.withColumn("blob", blob).drop("findings").join(by_blob, "blob", "left").withColumn("findings", F.coalesce("findings", none))
 
 
-def _append(texts: DataFrame, seen: DataFrame, current: Column, rules: tuple[Rule, ...], ledger: str) -> None:
-    """texts: blob, text. Adds the pairs of a blob and a rule that seen lacks."""
+def _append(texts: DataFrame, seen: DataFrame, rules: tuple[Rule, ...], ledger: str) -> None:
+    """texts: blob, text. Adds the pairs of a blob and a rule that seen lacks. Texts and what was seen meet in one aggregation by blob."""
     bits = lambda flags: reduce(lambda a, b: a.bitwiseOR(b), [F.when(f, 1 << k).otherwise(0) for k, f in enumerate(flags)])
     # a function of one argument, or every hint would lower the text anew
     shows = F.transform(F.array(F.lower("text")), lambda low: bits([r.may(low) for r in rules]))[0]
-    blobs = texts.withColumn("shows", shows).select("blob", "shows", F.when(F.col("shows") != 0, F.col("text")).alias("text"))
-    todo = blobs.groupBy("blob").agg(F.max("shows").alias("shows"), F.first("text", ignorenulls=True).alias("text"))
-    if seen.isEmpty():
-        todo = todo.withColumn("lacks", F.lit((1 << len(rules)) - 1))
-    else:
-        have = seen.where(current).groupBy("blob").agg(F.collect_set(F.concat_ws(":", "kind", "version")).alias("have"))
-        lacks = bits([~F.coalesce(F.array_contains("have", f"{r.kind}:{r.version}"), F.lit(False)) for r in rules])
-        todo = todo.join(have, "blob", "left").select("blob", "shows", "text", lacks.alias("lacks")).where("lacks <> 0")
+    blobs = texts.withColumn("shows", shows).select("blob", "shows", F.when(F.col("shows") != 0, F.col("text")).alias("text"), F.lit(0).alias("has"))
+    if not seen.isEmpty():
+        has = bits([(F.col("kind") == r.kind) & (F.col("version") == r.version) for r in rules])
+        blobs = blobs.unionByName(seen.select("blob", F.lit(None).cast("int").alias("shows"), F.lit(None).cast("string").alias("text"), has.alias("has")))
+    todo = blobs.groupBy("blob").agg(F.max("shows").alias("shows"), F.first("text", ignorenulls=True).alias("text"), F.bit_or("has").alias("has"))
+    lacks = F.lit((1 << len(rules)) - 1).bitwiseAND(F.bitwise_not("has"))
+    todo = todo.where("shows is not null").withColumn("lacks", lacks).where("lacks <> 0")
 
     def search(batches):
         ready = [(1 << k, r, re.compile(r.pattern, re.ASCII | re.IGNORECASE * r.any_case)) for k, r in enumerate(rules)]

@@ -337,6 +337,14 @@ def test_secrets_of_clashing_columns_and_long_texts(spark):
     assert secrets.scan(docs.limit(0), ledger).count() == 0 and spark.read.parquet(ledger).count() == 0
 
 
+def test_secrets_joined_by_shuffle(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "text")
+    rows = lambda: sorted((r["doc_id"], str(r["findings"])) for r in secrets.scan(docs, secrets.fresh_ledger(spark)).collect())
+    few = rows()
+    monkeypatch.setattr(secrets, "BROADCAST_BYTES", -1)
+    assert rows() == few and any(f != "[]" for _, f in few)
+
+
 def test_urls(spark):
     urls = ["HTTP://EX.Example.COM/en/7?x", "https://a.net?q=/de/", "x://example.net/de/8#f", None, "no url", "a://b://c/d", "x://com/en/", "x://notexample.com/en/7", "x://org/es/", "x://É.org/es/é"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id int, url string").withColumn("host", F.lit("clash"))
