@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import re
 import shutil
@@ -45,14 +46,33 @@ def bounded_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read again: the lineage ends there, and a lost executor
-    costs only a reread. Its size is then known to the planner too."""
+    costs only a reread. Its size is then known to the planner too. The table stays until clear_stored()."""
     path = fresh_dir(df.sparkSession, name)
+    if not _WRITTEN:
+        atexit.register(clear_stored)
+    _WRITTEN.append((df.sparkSession, path))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear_stored() -> None:
+    """Deletes what stored() wrote: to be called when the results that read it are written, and called when Python ends."""
+    while _WRITTEN:
+        spark, path = _WRITTEN.pop()
+        with contextlib.suppress(Exception):  # the JVM may be gone by now
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 class Scratch:
     """Written tables that an operator needs only until its result is written."""
 
@@ -67,8 +87,7 @@ class Scratch:
 
     def clear(self) -> None:
         for path in self.paths:
-            place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+            _delete(self.spark, path)
         self.paths = []
 
 

@@ -439,6 +439,57 @@ def test_html_frames_do_not_depend_on_chunks(spark):
     assert extracted(spark, few) == extracted(spark, few, chunk_bytes=100) == {p: f"{own[p]}\n\n{quoted}" for p in range(2)}
 
 
+def brute_extract(pages, run, least):
+    """pages: (host, blocks). The texts by the rules of html_main's docstring, run by run."""
+    out = []
+    hosts = collections.defaultdict(list)
+    for k, (host, _) in enumerate(pages):
+        hosts[host].append(k)
+    for k, (host, blocks) in enumerate(pages):
+        need = max(least, int(np.ceil(np.sqrt(len(hosts[host])))))
+        streams = {p: [w for t, _ in pages[p][1] for w in t.split()] for p in hosts[host]}
+        on = collections.Counter(g for s in streams.values() for g in {tuple(s[i : i + run]) for i in range(len(s) - run + 1)})
+        words = streams[k]
+        of = [b for b, (t, _) in enumerate(blocks) for _ in t.split()]
+        any_run, inner = set(), set()
+        for i in range(len(words) - run + 1):
+            if on[tuple(words[i : i + run])] >= need:
+                any_run |= set(range(i, i + run))
+                inner |= set(range(i, i + run)) if of[i] == of[i + run - 1] else set()
+        places = [[i for i, o in enumerate(of) if o == b] for b in range(len(blocks))]
+        kind = "main" if any(r == "main" for _, r in blocks) else "body"
+        held = [b for b, (_, r) in enumerate(blocks) if r == kind]
+        gone = inner if kind == "main" else any_run
+        left = []
+        for b in held:
+            if set(places[b]) <= gone:
+                continue
+            left.append(blocks[b][0] if kind == "main" else " ".join(words[i] for i in places[b] if i not in inner))
+        covered = sum(i in gone for b in held for i in places[b])
+        if kind == "main" and held and 2 * covered >= sum(len(places[b]) for b in held):
+            left = []
+        out.append("\n\n".join([t for t in left if t] or [blocks[b][0] for b in held]))
+    return out
+
+
+def test_extract_equals_brute_force(spark):
+    rng = np.random.default_rng(8)
+    stock = [" ".join(rng.choice(list("abcde"), rng.integers(3, 14))) for _ in range(12)]
+    pages = []
+    for k in range(120):
+        inside = k % 3 == 0
+        blocks = [(str(rng.choice(stock)) if rng.random() < 0.6 else " ".join(rng.choice([f"w{i}" for i in range(300)], rng.integers(1, 20))), str(rng.choice(["main" if inside else "body"] * 3 + ["off"]))) for _ in range(rng.integers(1, 7))]
+        pages.append(("a" if rng.random() < 0.7 else "b", blocks))
+    html = ["".join(f"<nav>{t}</nav>" if r == "off" else f"<article><p>{t}</p></article>" if r == "main" else f"<p>{t}</p>" for t, r in own) for _, own in pages]
+    assert [html_main.blocks(h) for h in html] == [own for _, own in pages]
+    table = spark.createDataFrame([(k, h, t) for k, (t, (h, _)) in enumerate(zip(html, pages, strict=True))], "page_id int, host string, html string")
+    want = dict(enumerate(brute_extract(pages, 4, 3)))
+    assert sum(want[k] != "\n\n".join(t for t, r in own if r == ("main" if k % 3 == 0 else "body")) for k, (_, own) in enumerate(pages)) > 20
+    for chunk in (4_000_000, 1500):
+        got = {r["page_id"]: r["text"] for r in html_main.extract(table, ("page_id",), host=F.col("host"), run=4, chunk_bytes=chunk).collect()}
+        assert got == want
+
+
 def test_repeated_runs_equal_brute_force():
     rng = np.random.default_rng(5)
     words, page = rng.integers(0, 4, 600).astype(np.uint64), np.sort(rng.integers(0, 12, 600))
@@ -540,6 +591,55 @@ def test_queries_equal_sql(spark, duck):
         assert rows_of(got) == rows_of(want)
 
 
+def brute_pipeline(docs, items):
+    """(doc_id, text) rows as often as the first four stages leave them."""
+    docs = [r for r in docs if any(c.isalpha() for c in r["text"] or "")]
+    sets, root = brute_components([(r["doc_id"], r["text"]) for r in docs], 5)
+    docs = [r for r in docs if root[r["doc_id"]] == r["doc_id"]]
+    hit = {i: (n, h) for i, n, h, _ in brute_contamination([(r["doc_id"], r["text"]) for r in docs], items)}
+    docs = [r for r in docs if not (hit[r["doc_id"]][1] and 20 * hit[r["doc_id"]][1] >= hit[r["doc_id"]][0])]
+    size = {r["doc_id"]: len(re.findall(r"[^\x20\x09-\x0D]+", r["text"])) for r in docs}
+    own = collections.defaultdict(list)
+    for r in docs:
+        own[r["source"]].append(r)
+    names = sorted(own)
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}
+    sums = {s: sum(size[r["doc_id"]] for r in own[s]) for s in names}
+    target, open_, rest = {}, set(names), sum(sums.values())
+    while open_:
+        level = rest / sum(weight[s] for s in open_)
+        full = {s for s in open_ if level * weight[s] > 3 * sums[s]}
+        for s in full or open_:
+            target[s] = 3 * sums[s] if full else level * weight[s]
+        rest -= sum(target[s] for s in full)
+        open_ = open_ - full if full else set()
+    out = []
+    for s in names:
+        passes = min(int(target[s] // sums[s]), 3)
+        need, below = target[s] - passes * sums[s], 0
+        for r in sorted(own[s], key=lambda r: hashlib.md5(f"{r['doc_id']}\n{r['text']}".encode()).hexdigest()[:15]):
+            n = size[r["doc_id"]]
+            more = passes < 3 and (below + n <= need or (below <= need and 2 * int(need - below) > n))
+            below += n
+            out += [r["doc_id"]] * (passes + more)
+    return sorted(out)
+
+
+def test_pipeline_equals_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    full = corpus_pipeline.run(spark, SF)
+    rows = full.select("doc_id", "text", "shard").collect()
+    assert sorted(r["doc_id"] for r in rows) == brute_pipeline(docs, items)
+    texts = {r["doc_id"]: r["text"] for r in docs}
+    assert all(r["text"] == texts[r["doc_id"]] for r in rows) and {r["shard"] for r in rows} == set(range(8))
+    size = collections.Counter()
+    for r in rows:
+        size[r["shard"]] += len(r["text"].encode()) + 1
+    largest = max(collections.Counter(r["doc_id"] for r in rows).items(), key=lambda x: x[1] * len(texts[x[0]].encode()))
+    assert max(size.values()) - min(size.values()) <= 2 * largest[1] * (len(texts[largest[0]].encode()) + 1)
+
+
 def test_pipeline_stages(spark):
     docs = odd_documents(spark).drop("shard")
     for frame in (docs, docs.limit(0)):
