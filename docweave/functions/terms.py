@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docweave.functions.text import BOUND, strip, strip_tags
-from docweave.functions.tokens import bound, multiset_of
-
-A_Z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+from docweave.functions.text import BOUND, bound, strip, strip_tags
+from docweave.functions.tokens import multiset_of
 
 
 @dataclass(frozen=True)
@@ -65,11 +64,13 @@ def has_token(c: Column, terms: list[Term]) -> Column:
 
 
 def replaced(c: Column, terms: list[Term]) -> Column:
-    """The longest terms first, each in the whole text; those that a text cannot have cost no pass over it."""
-    low = F.lower(c)
-    for t in longest_first(terms):
-        c = F.when(t.may(c, low), F.regexp_replace(c, t.pattern, _replacement(t.token))).otherwise(c)
-    return c
+    """The longest terms first, each in the whole text; a term that the text cannot have costs no pass over it."""
+
+    def each(own: Column) -> Column:
+        one = lambda t: lambda x: F.when(t.may(own["text"], own["low"]), F.regexp_replace(x, t.pattern, _replacement(t.token))).otherwise(x)
+        return reduce(lambda out, t: bound(out, one(t)), longest_first(terms), own["text"])
+
+    return bound(F.struct(c.alias("text"), F.lower(c).alias("low")), each) if terms else c
 
 
 def protect(c: Column, terms: list[Term]) -> Column:
@@ -86,33 +87,37 @@ def restore(c: Column, terms: list[Term]) -> Column:
 def term_counts(c: Column, terms: list[Term]) -> Column:
     """map of term to its count, of those that occur outside tags."""
 
-    def counted(plain: Column) -> Column:
-        words = [t for t in terms if all(map(WORD.fullmatch, t.text))]
-        low = lambda f: bound(F.lower(plain), f)
-        # a term that is one word is counted among the text's words, which are found in one pass
-        folded = F.regexp_extract_all(F.translate(plain, A_Z, A_Z.lower()), F.lit("([a-z0-9_]+)"), F.lit(1))
-        exact = F.regexp_extract_all(plain, F.lit("([A-Za-z0-9_]+)"), F.lit(1))
-        some = lambda found, names: multiset_of(F.filter(found, lambda w: w.isin(*names)))
-        soft, hard = [t.text.lower() for t in words if not t.acronym], [t.text for t in words if t.acronym]
-        maps = (some(folded, soft) if soft else F.lit(None), some(exact, hard) if hard else F.lit(None))
-
-        def of(t: Term, a: Column, b: Column) -> Column:
+    words = [t for t in terms if all(map(WORD.fullmatch, t.text))]
+    # terms of one word are found in one pass, whichever they are: no word is two of them but for its letters' case
+    any_word = f"(?i)(?=[{''.join(sorted({t.text[0].lower() for t in words}))}])(?<![A-Za-z0-9_])({'|'.join(sorted({t.text.lower() for t in words}, key=len, reverse=True))})(?![A-Za-z0-9_])"
+
+    def counted(own: Column) -> Column:
+        plain, low = own["plain"], own["low"]
+        found = F.regexp_extract_all(plain, F.lit(any_word), F.lit(1)) if words else F.array().cast("array<string>")
+        maps = bound(found, lambda f: F.struct(multiset_of(f).alias("exact"), multiset_of(F.transform(f, lambda w: F.lower(w))).alias("folded")))
+
+        def of(t: Term, m: Column) -> Column:
             if t in words:
-                return F.coalesce(b[t.text] if t.acronym else a[t.text.lower()], F.lit(0))
-            return F.when(low(lambda x: t.may(plain, x)), F.regexp_count(plain, F.lit(t.pattern))).otherwise(0)
+                return F.coalesce(m["exact"][t.text] if t.acronym else m["folded"][t.text.lower()], F.lit(0))
+            return F.when(t.may(plain, low), F.regexp_count(plain, F.lit(t.pattern))).otherwise(0)
 
-        empty = F.create_map().cast("map<string,int>")
-        pair = F.struct(F.coalesce(maps[0], empty).alias("a"), F.coalesce(maps[1], empty).alias("b"))
-        return bound(pair, lambda m: F.map_from_arrays(F.array(*[F.lit(t.text) for t in terms]), F.array(*[of(t, m["a"], m["b"]) for t in terms])))
+        return bound(maps, lambda m: F.map_from_arrays(F.array(*[F.lit(t.text) for t in terms]), F.array(*[of(t, m) for t in terms])))
 
-    return F.map_filter(bound(strip_tags(c), counted), lambda k, v: v > 0)
+    if not terms:
+        return F.create_map().cast("map<string,int>")
+    plain = bound(strip_tags(c), lambda x: F.struct(x.alias("plain"), F.lower(x).alias("low")))
+    return F.map_filter(bound(plain, counted), lambda k, v: v > 0)
 
 
 def normalize(c: Column, terms: list[Term]) -> Column:
     """Terms that line breaks or hyphens tore apart, in their canonical spelling; acronyms are left alone."""
     for t in longest_first([t for t in terms if not t.acronym]):
-        words = [r"(?:[ \t]*|-\s+)".join(map(_quoted, w)) for w in re.split(r"\s+", t.text) if w]
-        c = F.regexp_replace(c, "(?i)" + BOUND + r"\s+".join(words) + BOUND, _replacement(t.text))
+        gap, words = r"(?:[ \t]*|-\s+)", [w for w in re.split(r"\s+", t.text) if w]
+        begins = WORD.fullmatch(words[0][0])
+        own = r"\s+".join(gap.join(map(_quoted, w)) for w in words)
+        # looking for a letter first is faster than for a boundary
+        pattern = f"{_quoted(words[0][0])}(?<![A-Za-z0-9_].){own[len(_quoted(words[0][0])):]}" if begins else BOUND + own
+        c = F.regexp_replace(c, "(?i)" + pattern + BOUND, _replacement(t.text))
     return c
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import reduce
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -58,11 +59,13 @@ def squash(c: Column) -> Column:
 
 def repair_symbols(c: Column) -> Column:
     """struct(text, n): the repairs applied in turn, and how many there were in all."""
-    n = F.lit(0)
-    for pattern, by in SYMBOL_REPAIRS:
-        n = n + F.regexp_count(c, F.lit(f"(?U){pattern}"))
-        c = F.regexp_replace(c, f"(?U){pattern}", by)
-    return F.struct(c.alias("text"), n.alias("n"))
+    one = lambda p, by: lambda x: F.struct(F.regexp_replace(x["text"], f"(?U){p}", by).alias("text"), (x["n"] + F.regexp_count(x["text"], F.lit(f"(?U){p}"))).alias("n"))
+    return reduce(lambda own, r: bound(own, one(*r)), SYMBOL_REPAIRS, F.struct(c.alias("text"), F.when(c.isNotNull(), 0).alias("n")))
+
+
+def bound(value: Column, f) -> Column:
+    """f(value), where value is evaluated once however often f has it, in its lambdas too."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
 def dense_letters(c: Column) -> Column:

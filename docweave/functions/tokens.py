@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from docweave.functions.text import bound
+
 KEPT = r"(?U)(\{v\d+\}|</?style(?:\s[^>]+)?>|\d+(?:[.,]\d+)?)"
 #: English number words by the digits that other languages write.
 NUMBER_WORDS = {
@@ -21,11 +23,6 @@ NUMBER_WORDS = {
 }
 
 
-def bound(value: Column, f) -> Column:
-    """f(value), where value is evaluated once however often f has it, in its lambdas too; null stays null."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
-
-
 def multiset(c: Column, pattern: str = KEPT) -> Column:
     return multiset_of(F.regexp_extract_all(c, F.lit(pattern), F.lit(1)))
 

@@ -20,18 +20,20 @@ def in_references(plain: Column, section: Column) -> Column:
 GRAM, WINDOW, BLOCK = 12, 60, 4096
 
 
-def containing(keys: DataFrame, sections: DataFrame, section: str, key: str = "k", text: str = "text") -> DataFrame:
-    """key, section: each distinct search key with each section whose text contains it.
+def containing(keys: DataFrame, sections: DataFrame, section: str, key: str = "k", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """key, section: each distinct search key with each section whose text contains it; with keep, these columns, key and
+    section for each distinct row of them, which spares the way back from keys to rows.
 
     An equi-join in place of a comparison of all pairs: keys meet the blocks of a text that have the hash of their first GRAM
     characters at some place, of which only hash and block move, and stay if the block contains them. Null keys meet nothing."""
-    asked = keys.where(F.col(key).isNotNull()).select(key).distinct().withColumn("gram", F.xxhash64(F.left(key, F.lit(GRAM))))
+    asked = keys.where(F.col(key).isNotNull()).select(*keep, key)
+    asked = (asked if keep else asked.distinct()).withColumn("gram", F.xxhash64(F.left(key, F.lit(GRAM))))
     cut = F.transform(F.sequence(F.lit(0), F.floor((F.length(text) - 1) / BLOCK).cast("int")), lambda k: F.substr(F.col(text), k * BLOCK + 1, F.lit(BLOCK + WINDOW - 1)))
     blocks = sections.where(F.length(text) >= GRAM).select(section, F.posexplode(cut).alias("part", "block"))
     grams = F.transform(F.sequence(F.lit(1), F.least(F.length("block") - GRAM + 1, F.lit(BLOCK))), lambda k: F.xxhash64(F.substr(F.col("block"), k, F.lit(GRAM))))
     places = blocks.where(F.length("block") >= GRAM).select(section, "part", F.explode(F.array_distinct(grams)).alias("gram"))
-    met = asked.join(places, "gram").select(key, section, "part").join(blocks, [section, "part"])
-    return met.where(F.contains("block", F.col(key))).select(key, section).distinct()
+    met = asked.join(places, "gram").select(*keep, key, section, "part").join(blocks, [section, "part"])
+    return met.where(F.contains("block", F.col(key))).select(*keep, key, section).distinct()
 
 
 def split_and_merge(rows: DataFrame, flag: str, send, key: str = "id") -> DataFrame:

@@ -200,18 +200,15 @@ def _keyed(spark, sf_dir):
 
 @query(f"WITH {LINES}, {HITS} SELECT doc_id, line_no::BIGINT AS line_no, section::BIGINT AS section FROM keyed JOIN sections ON contains(body, k)")
 def reference_hits(spark, sf_dir):
-    lines = _keyed(spark, sf_dir).where("k is not null")
-    found = lines.join(references.containing(lines, _sections(spark, sf_dir), "section"), "k")
+    found = references.containing(_keyed(spark, sf_dir), _sections(spark, sf_dir), "section", keep=("doc_id", "line_no"))
     return found.select("doc_id", F.col("line_no").cast("long").alias("line_no"), "section")
 
 
 @query(f"""WITH {LINES}, {HITS} SELECT doc_id, line_no::BIGINT AS id, CASE WHEN EXISTS (SELECT 1 FROM sections WHERE contains(body, k)) THEN line ELSE 'sent: ' || line END AS output FROM keyed""")
 def reference_split(spark, sf_dir):
-    rows = _keyed(spark, sf_dir)
-    cited = references.containing(rows, _sections(spark, sf_dir), "section").select("k").distinct().withColumn("cited", F.lit(True))
-    # lines without a key get one that nothing has, each its own, or all of them would meet in one task
-    keyed = rows.withColumn("k", F.coalesce("k", F.concat_ws("-", F.col("doc_id").cast("string"), F.col("line_no").cast("string"), F.lit(""))))
-    flagged = keyed.join(cited, "k", "left").select("doc_id", F.col("line_no").cast("long").alias("id"), F.col("line").alias("input"), F.coalesce("cited", F.lit(False)).alias("cited"))
+    rows, own = _keyed(spark, sf_dir), ["doc_id", "line_no"]
+    cited = references.containing(rows, _sections(spark, sf_dir), "section", keep=tuple(own)).select(own).distinct().withColumn("cited", F.lit(True))
+    flagged = rows.join(cited, own, "left").select("doc_id", F.col("line_no").cast("long").alias("id"), F.col("line").alias("input"), F.coalesce("cited", F.lit(False)).alias("cited"))
     return references.split_and_merge(flagged, "cited", lambda r: r.withColumn("output", F.concat(F.lit("sent: "), "input"))).select("doc_id", "id", "output")
 
 
@@ -426,7 +423,7 @@ def job_gates(spark, sf_dir):
 @query(f"""WITH {LINES}, {HITS} SELECT count(*)::BIGINT AS n_lines, count(DISTINCT s)::BIGINT AS n_texts FROM keyed WHERE EXISTS (SELECT 1 FROM sections WHERE contains(body, k))""")
 def skipped_references(spark, sf_dir):
     rows = _keyed(spark, sf_dir)
-    cited = rows.join(references.containing(rows, _sections(spark, sf_dir), "section").select("k").distinct(), "k")
+    cited = references.containing(rows, _sections(spark, sf_dir), "section", keep=("doc_id", "line_no", "s")).select("doc_id", "line_no", "s").distinct()
     return cited.agg(F.count("*").alias("n_lines"), F.count_distinct("s").alias("n_texts"))
 
 
@@ -486,9 +483,8 @@ def figure_policy(spark, sf_dir):
 def _torn(spark, sf_dir):
     """Texts cut into lines of forty characters, with a hyphen where a word is torn; blocks of six lines."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", r"\s+", " ").alias("t")).where("t <> ''")
-    n = F.floor((F.length("t") - 1) / 40).cast("int")
-    cut = lambda k: F.substr(F.col("t"), k * 40 + 1, F.lit(40))
-    lines = F.transform(F.sequence(F.lit(0), n), lambda k: F.concat(cut(k), F.when(cut(k).rlike(r"[a-z]\z") & cut(k + 1).rlike(r"\A[a-z]"), "-").otherwise("")))
+    torn = lambda own: F.transform(own, lambda x, k: F.concat(x, F.when(x.rlike(r"[a-z]\z") & F.coalesce(F.get(own, k + 1).rlike(r"\A[a-z]"), F.lit(False)), "-").otherwise("")))
+    lines = text.bound(F.regexp_extract_all("t", F.lit("(.{1,40})"), F.lit(1)), torn)
     rows = docs.select("doc_id", F.posexplode(lines).alias("n", "text")).withColumns({"block_no": F.floor(F.col("n") / 6).cast("int"), "line_no": F.col("n") % 6})
     place = F.col("line_no") * 15.0
     size = F.when(F.col("n") % 5 == 0, 12.0).when(F.col("block_no") % 4 == 3, 6.0).otherwise(10.0)
