@@ -14,7 +14,6 @@ queries' descriptors come to them in blocks of a fixed size, each broadcast by i
 from __future__ import annotations
 
 import io
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -70,10 +69,31 @@ def resized(grey: np.ndarray, height: int, width: int) -> np.ndarray:
 
 
 def _smooth(a: np.ndarray, times: int = 1) -> np.ndarray:
+    """Binomial weights of three by three along the last two axes; beyond the edge is the edge."""
     for _ in range(times):
-        p = np.pad(a, 1, mode="edge")
-        a = (p[:-2] + 2 * p[1:-1] + p[2:]) / 4
-        a = (a[:, :-2] + 2 * a[:, 1:-1] + a[:, 2:]) / 4
+        out = a * 2
+        out[..., 1:, :] += a[..., :-1, :]
+        out[..., :1, :] += a[..., :1, :]
+        out[..., :-1, :] += a[..., 1:, :]
+        out[..., -1:, :] += a[..., -1:, :]
+        a = out * 2
+        a[..., 1:] += out[..., :-1]
+        a[..., :1] += out[..., :1]
+        a[..., :-1] += out[..., 1:]
+        a[..., -1:] += out[..., -1:]
+        a *= 1 / 16
+    return a
+
+
+def _highest(a: np.ndarray, axis: int) -> np.ndarray:
+    """The maximum of each window of 2 * APART + 1 values along an axis, by windows of doubled length."""
+    cut = lambda x, low, high: x[low:high] if axis == 0 else x[:, low:high]
+    wanted, length = 2 * APART + 1, 1
+    while length < wanted:
+        step = min(length, wanted - length)
+        n = a.shape[axis] - step
+        a = np.maximum(cut(a, 0, n), cut(a, step, n + step))
+        length += step
     return a
 
 
@@ -89,13 +109,11 @@ def descriptors(grey: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             continue
         g = _smooth(resized(grey, height, width) if scale != 1 else grey.astype(np.float32))
         gy, gx = np.gradient(g)
-        a, b, c = _smooth(gx * gx, 2), _smooth(gx * gy, 2), _smooth(gy * gy, 2)
+        a, b, c = _smooth(np.stack([gx * gx, gx * gy, gy * gy]), 2)
         strength = (a + c) / 2 - np.sqrt(((a - c) / 2) ** 2 + b * b)
         inner = strength[edge:-edge, edge:-edge]
-        around = strength
-        for k in (0, 1):  # the maximum of a square, a direction after the other
-            around = reduce(np.maximum, [np.roll(around, d, k) for d in range(-APART, APART + 1)])
-        y, x = np.nonzero((inner > 1.0) & (inner >= around[edge:-edge, edge:-edge]))
+        around = _highest(_highest(strength[edge - APART : height - edge + APART, edge - APART : width - edge + APART], 0), 1)
+        y, x = np.nonzero((inner > 1.0) & (inner >= around))
         if not len(y):
             continue
         y, x = y + edge, x + edge
@@ -283,9 +301,9 @@ EDITS = {
 }
 
 
-def rendered(vectors: DataFrame, id_column: str = "vec_id", vector: str = "embedding", side: int = 96) -> DataFrame:
+def rendered(vectors: DataFrame, id_column: str = "vec_id", vector: str = "embedding", side: int = 96, edited: bool = True) -> DataFrame:
     """id, original, edited (binary PGM) and edit for a table of vectors, where pictures are wanted and there are none: the original
-    is a texture drawn from the vector's bytes, and so is which of EDITS is done to it."""
+    is a texture drawn from the vector's bytes, and so is which of EDITS is done to it (null unless edited)."""
 
     def draw(column: pa.Array) -> pa.Array:
         out = []
@@ -296,6 +314,9 @@ def rendered(vectors: DataFrame, id_column: str = "vec_id", vector: str = "embed
             rng = np.random.default_rng(np.frombuffer(np.array([x if x is not None else 0 for x in v], np.float32).tobytes() + bytes(4), np.uint32))
             grey = resized(rng.uniform(0, 255, (40, 40)), side, side) * 0.7 + resized(rng.uniform(0, 255, (12, 12)), side, side) * 0.3
             original = write_image(grey)
+            if not edited:
+                out.append({"original": original, "edited": None, "edit": None})
+                continue
             edit = list(EDITS)[rng.integers(len(EDITS))]
             out.append({"original": original, "edited": write_image(EDITS[edit](read_image(original).astype(np.float32), rng)), "edit": edit})
         return pa.array(out, pa.struct([("original", pa.binary()), ("edited", pa.binary()), ("edit", pa.string())]))

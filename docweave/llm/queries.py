@@ -121,7 +121,7 @@ def op4_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each image: the queries (edited copies of the images whose id is divisible by 50; equal ones stand for
     each other under their smallest id) that show it."""
     vectors = _table(spark, sf_dir, "embeddings")
-    images = image_copies.rendered(vectors)
+    images = image_copies.rendered(vectors, edited=False)
     asked = image_copies.rendered(vectors.where("vec_id % 50 = 0"))
     digest = lambda c: F.unhex(F.sha2(c, 256))
     found = image_copies.copies(images.select(F.col("original").alias("image")), asked.select(F.col("edited").alias("image")))
