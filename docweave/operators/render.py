@@ -22,7 +22,8 @@ def page_sections(rows: DataFrame, by: list[str], page: str = "page_no", referen
     """by, page, html, n_rows: rows have id, label, output and perhaps checks and source. Text rows come in order of id, with a mark where the
     checks failed; figure texts are grouped in a table, beside the first 80 characters of their source, those that are not translated by
     rule with a hint. pages: by, page and perhaps jpeg: these pages have a section even without rows, which then says so, and their
-    image in it; by default only pages with rows have one. Pages from the references on say that they are left as they are."""
+    image in it; by default only pages with rows have one. Pages from the references on say that they are left as they are; references_page is
+    a column of pages or, where pages do not have it, of rows, and then a document without rows has none."""
     tag = F.when(F.col("label") == "title", "h2").when(F.col("label") == "caption", "figcaption").otherwise("p")
     checks = F.coalesce(F.col("checks"), F.lit("passed")) if "checks" in rows.columns else F.lit("passed")
     mark = F.when(checks.isin("passed", NOT_TRANSLATED), "").otherwise(_joined('<span class="warn">', escape_html(checks), "</span>"))
@@ -32,13 +33,15 @@ def page_sections(rows: DataFrame, by: list[str], page: str = "page_no", referen
     html = F.when(F.col("label") == "figure_text", cell).otherwise(_joined("<", tag, ">", body, mark, "</", tag, ">"))
     made = rows.withColumn("html", html).withColumn("figure", F.col("label") == "figure_text")
     text, cells = (_ordered(F.when(which, F.struct("id", "html"))) for which in (~F.col("figure"), F.col("figure")))
-    sections = made.groupBy(*by, page).agg(text.alias("text"), cells.alias("cells"), F.count_if("figure").alias("n_figures"), F.count("*").alias("n_rows"), *([F.first(references_page).alias("ref")] if references_page else []))
+    of_pages = pages is not None and references_page in pages.columns
+    of_rows = references_page is not None and not of_pages
+    sections = made.groupBy(*by, page).agg(text.alias("text"), cells.alias("cells"), F.count_if("figure").alias("n_figures"), F.count("*").alias("n_rows"), *([F.first(references_page).alias("ref")] if of_rows else []))
     jpeg = F.lit(None).cast("binary")
     if pages is not None:
-        kept = [*by, page, *(["jpeg"] if "jpeg" in pages.columns else [])]
+        kept = [*by, page, *(["jpeg"] if "jpeg" in pages.columns else []), *([F.col(references_page).alias("ref")] if of_pages else [])]
         sections = pages.select(kept).join(sections, [*by, page], "left")
         jpeg = F.col("jpeg") if "jpeg" in pages.columns else jpeg
-        if references_page:  # a page without rows has its document's
+        if of_rows:  # a page without rows has its document's
             known = rows.groupBy(*by).agg(F.first(references_page).alias("own_ref"))
             sections = sections.join(known, by, "left").withColumn("ref", F.coalesce("ref", "own_ref"))
     n_rows = F.coalesce("n_rows", F.lit(0))

@@ -556,8 +556,9 @@ def reading_pages(spark, sf_dir):
     """Whole documents as reading pages; from the third page on they are taken for references, and the images are not real ones."""
     docs = table(spark, sf_dir, "documents")
     every = layout.document_spans(docs.select("doc_id", "text"))
-    rows = layout.paragraphs(every).withColumns({"source": F.col("text"), "output": F.when(F.col("checks").isNull(), F.col("text")).otherwise(""), "ref": F.lit(3)})
-    pages = every.select("doc_id", "page_no").distinct().withColumn("jpeg", F.concat_ws(" ", F.lit("jpeg"), F.col("doc_id").cast("string"), F.col("page_no").cast("string")).cast("binary"))
+    rows = layout.paragraphs(every).withColumns({"source": F.col("text"), "output": F.when(F.col("checks").isNull(), F.col("text")).otherwise("")})
+    jpeg = F.concat_ws(" ", F.lit("jpeg"), F.col("doc_id").cast("string"), F.col("page_no").cast("string")).cast("binary")
+    pages = every.select("doc_id", "page_no").distinct().withColumns({"jpeg": jpeg, "ref": F.lit(3)})
     titles = docs.select("doc_id", F.concat("source", F.lit(" <"), F.col("doc_id").cast("string"), F.lit(">")).alias("title"), F.array(F.struct(F.lit("lang").alias("name"), F.col("lang").alias("value")), F.struct(F.lit("none").alias("name"), F.lit(None).cast("string").alias("value"))).alias("facts"))
     whole = render.reading_pages(render.page_sections(rows, ["doc_id"], references_page="ref", pages=pages), titles, ["doc_id"])
     return whole.select("doc_id", F.sha2("html", 256).alias("digest"))

@@ -3,11 +3,13 @@
 import time
 from collections import Counter
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from docweave.functions import terms, tokens
 from docweave.operators import audit, batching, clients, jobs, layout, model, render, translate
+from docweave.plans import catalog
 from docweave.sources import library, pdf
 from docweave.streaming import qa
 
@@ -50,6 +52,21 @@ def test_sections_of_given_pages(spark):
     assert whole.index('id="page-2"') < whole.index('id="page-3"') and 'data-first="1"' in whole
 
 
+def test_references_of_documents_without_rows(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 1, 0, "text", "out")], "doc_id int, page_no int, id int, label string, output string")
+    pages = spark.createDataFrame([(1, 1, 2), (1, 2, 2), (2, 1, 2), (2, 2, 2), (3, 9, None)], "doc_id int, page_no int, ref int")
+    html = {(r["doc_id"], r["page_no"]): r["html"] for r in render.page_sections(rows, ["doc_id"], references_page="ref", pages=pages).collect()}
+    body = {k: v.removeprefix(f'<section id="page-{k[1]}">').removesuffix("</section>") for k, v in html.items()}
+    assert body == {(1, 1): "<p>out</p>", (1, 2): "<p>References</p>", (2, 1): "<p>Nothing on this page</p>", (2, 2): "<p>References</p>", (3, 9): "<p>Nothing on this page</p>"}
+    # no line of the first document is kept, for none has a word of three letters
+    texts = [(1, "\n".join(["St ea."] * 40)), (2, "\n".join(["St ea.", "some words"] * 20))]
+    spark.createDataFrame([(k, t, "en", "a", len(t)) for k, t in texts], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = [tuple(r) for r in catalog.reading_pages(spark, str(tmp_path)).orderBy("doc_id").collect()]
+    assert got == con.sql(catalog.ORACLE_SQL["reading_pages"] + " ORDER BY doc_id").fetchall()
+
+
 def test_rows_left_out_by_rule_are_not_sent(spark):
     rows = spark.createDataFrame([(1, 1, "a", None), (1, 2, "long", "not translated")], "batch int, id int, source string, checks string")
     got = {r["id"]: (r["output"], r["checks"]) for r in translate.translated(rows, lambda: model.echo, ["batch"], [], "de", "fr").collect()}
