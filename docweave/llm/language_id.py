@@ -11,25 +11,31 @@ bounds the number of distinct grams, not a setting.
 
 A text gets the language of the lowest cross-entropy per character. It is rejected if that lies too far above what the
 language's own texts have. Mean and deviation per character are taken from the training counts with each gram left
-out of its own estimate. How far whole texts stray from the mean is calibrated: a part of the labelled rows is scored
-by models fitted to the others, and the bound is mean + slack * (long + short * deviation / sqrt(characters)), where long
-and short are such that one in 1/risk of the calibration rows of LONG characters or more, or of fewer, lies beyond
-slack = 1. So next to no text of a language that was learned is rejected, and a short text only if it is very odd.
+out of its own estimate. How far whole texts stray from the mean is calibrated by cross-validation over all labelled rows:
+they are dealt into FOLDS folds by their texts' hash, each row is scored by models fitted to the other folds, and the
+bound is mean + slack * (long + short * deviation / sqrt(characters)), where long and short are such that one in 1/risk of
+the rows of LONG characters or more, or of fewer, lies beyond slack = 1; rows for which another language is found
+do not count. So next to no text of a language that was learned is rejected, and a short text only if it is very odd.
+A fold at a time is scored, so that beside the model itself one fold's models are held.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docweave.llm.common import Scratch, bounded_batches, spans_of_rows, utf8
 
-ORDER = 4
-#: Texts of so many characters or more are long. The long and short of calibrations with fewer than LEAST rows of a kind.
+ORDER, FOLDS = 4, 5
+#: Texts of so many characters or more are long. The long and short of calibrations with fewer than LEAST or 1/risk rows of a
+#: kind: among fewer, none can be the one in 1/risk, and the bound would be whatever the strangest of them has.
 LONG, LEAST, UNCALIBRATED = 100, 50, (1.0, 2.0)
 _MASK = [np.uint64((1 << 16 * k) - 1) for k in range(4)] + [np.uint64(2**64 - 1)]
 _LETTER: list[np.ndarray] = []
@@ -79,10 +85,10 @@ def _runs(texts: pa.Array, step: int):
 
 
 def gram_counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """lang, gram (packed), c: how often each gram of order 4 occurs in the texts of each language."""
+    """lang, fold, gram (packed), c: how often each gram of order 4 occurs in the texts of each language and fold."""
 
     def count(batches):
-        held: dict[str, list] = {}
+        held: dict[tuple[str, int], list] = {}
         size = 0
 
         def merged(parts):
@@ -90,30 +96,36 @@ def gram_counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> Data
             return g, np.bincount(which, np.concatenate([x for _, x in parts])).astype(np.int64)
 
         def rows():
-            for name, parts in held.items():
+            for (name, fold), parts in held.items():
                 g, c = merged(parts)
-                yield pa.record_batch([pa.array([name] * len(g), pa.string()), pa.array(g.view(np.int64)), pa.array(c)], ["lang", "gram", "c"])
+                yield pa.record_batch([pa.array([name] * len(g), pa.string()), pa.array([fold] * len(g), pa.int32()), pa.array(g.view(np.int64)), pa.array(c)], ["lang", "fold", "gram", "c"])
 
         for batch in batches:
-            langs = batch["lang"].to_pylist()
-            for name in dict.fromkeys(langs):
-                mine = batch["text"].take(pa.array([k for k, x in enumerate(langs) if x == name], pa.int64()))
-                for texts in _runs(mine, 1 << 19):
+            places: dict[tuple[str, int], list] = {}
+            for k, key in enumerate(zip(batch["lang"].to_pylist(), batch["fold"].to_pylist(), strict=True)):
+                places.setdefault(key, []).append(k)
+            for key, mine in places.items():
+                for texts in _runs(batch["text"].take(pa.array(mine, pa.int64())), 1 << 19):
                     g, c = np.unique(_codes(texts)[0], return_counts=True)
-                    held.setdefault(name, []).append((g, c))
+                    held.setdefault(key, []).append((g, c))
                     size += len(g)
-                    if len(held[name]) > 8:
-                        before = sum(len(x) for x, _ in held[name])
-                        held[name] = [merged(held[name])]
-                        size += len(held[name][0][0]) - before
+                    if len(held[key]) > 8:
+                        before = sum(len(x) for x, _ in held[key])
+                        held[key] = [merged(held[key])]
+                        size += len(held[key][0][0]) - before
             if size > 2_000_000:
                 yield from rows()
                 held, size = {}, 0
         yield from rows()
 
     bounded_batches(docs.sparkSession)
-    known = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
-    return known.mapInArrow(count, "lang string, gram long, c long").groupBy("lang", "gram").agg(F.sum("c").alias("c"))
+    return _labelled(docs, text, lang).mapInArrow(count, "lang string, fold int, gram long, c long").groupBy("lang", "fold", "gram").agg(F.sum("c").alias("c"))
+
+
+def _labelled(docs: DataFrame, text: str, lang: str) -> DataFrame:
+    """lang, text, fold of the rows that have both; equal texts are in one fold."""
+    known = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
+    return known.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.pmod(F.xxhash64(text), F.lit(FOLDS)).cast("int").alias("fold"))
 
 
 class _KneserNey:
@@ -193,22 +205,18 @@ class Model:
         return out
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", calibration_rows: int = 20_000, risk: float = 0.001) -> Model | None:
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", calibration_rows: int | None = None, risk: float = 0.001) -> Model | None:
     """The models of all languages in docs; rows without text or language are not used. None if no text has a letter.
 
-    Of every ten distinct texts one, by its hash, is for calibration, of more than ten times calibration_rows fewer, so
-    that about calibration_rows rows are; the models that are returned learn from all rows.
+    All other rows are learned from, and all of them calibrate (see the module). calibration_rows has no effect any more; it
+    is taken for the calls that have it.
     """
     scratch = Scratch(docs.sparkSession)
-    known = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
-    counts = _collected(scratch.stored(gram_counts(known, text, lang), "grams"))
-    model = fitted(counts)
+    counts = scratch.stored(gram_counts(docs, text, lang), "grams")
+    whole = _collected(counts.groupBy("lang", "gram").agg(F.sum("c").alias("c")))
+    model = fitted(whole)
     if model is not None:
-        some = known.where(F.pmod(F.xxhash64(text), F.lit(max(10, known.count() // calibration_rows))) == 0)
-        theirs = _collected(scratch.stored(gram_counts(some, text, lang), "grams"))
-        others = fitted({name: _less(x, theirs.get(name)) for name, x in counts.items()})
-        if others is not None:
-            model.stray = _strays(some, text, lang, model, others, risk)
+        model.stray = _strays(scratch, _labelled(docs, text, lang), counts, whole, model, risk)
     scratch.clear()
     return model
 
@@ -228,18 +236,50 @@ def _less(counts: tuple[np.ndarray, np.ndarray], other: tuple[np.ndarray, np.nda
     return counts[0][c > 0], c[c > 0]
 
 
-def _strays(some: DataFrame, text: str, lang: str, model: Model, others: Model, risk: float) -> tuple[float, float]:
-    """The long and short of the bound, from the bits of some rows under the models of others (see the module)."""
+def _strays(scratch: Scratch, known: DataFrame, counts: DataFrame, whole: dict, model: Model, risk: float) -> tuple[float, float]:
+    """The long and short of the bound, from the bits of each row under the models of the other folds (see the module)."""
     means = dict(zip(model.langs, zip(model.mean.tolist(), model.deviation.tolist(), strict=True), strict=True))
-    own = [F.create_map(*[F.lit(x) for name, v in means.items() for x in (name, v[k])])[F.col("lang")] for k in (0, 1)]
-    p = predictor(some, others, raw=True)(F.col(text))
-    rows = some.select(F.col(lang).cast("string").alias("lang"), p.alias("p")).where("p.letters > 0 and p.lang = lang")
-    rows = rows.select("p.n", (F.col("p.bits") - own[0]).alias("more"), own[1].alias("deviation"))
-    long = F.col("n") >= LONG
-    far = {"long": (long, F.col("more")), "short": (~long, F.col("more") * F.sqrt("n") / F.greatest("deviation", F.lit(1e-9)))}
-    # exact percentiles: the rows are of a bounded number
-    found = rows.agg(*[F.percentile(F.when(c, v), F.lit(1 - risk)).alias(k) for k, (c, v) in far.items()], *[F.count_if(c).alias(f"n_{k}") for k, (c, _) in far.items()]).first()
-    return tuple(max(found[k], 0.0) if found[f"n_{k}"] >= LEAST else usual for k, usual in zip(far, UNCALIBRATED, strict=True))
+    mean, deviation = [F.create_map(*[F.lit(x) for name, v in means.items() for x in (name, v[k])])[F.col("lang")] for k in (0, 1)]
+    more, long = F.col("p.bits") - mean, F.col("p.n") >= LONG
+    far = F.when(long, more).otherwise(more * F.sqrt("p.n") / F.greatest(deviation, F.lit(1e-9)))
+    scored = []
+    for fold in range(FOLDS):
+        theirs = _collected(counts.where(F.col("fold") == fold).drop("fold"))
+        others = fitted({name: _less(x, theirs.get(name)) for name, x in whole.items()}) if theirs else None
+        if others is not None:
+            sent = _sent(known, others)
+            rows = known.where(F.col("fold") == fold).select("lang", _scorer(sent, raw=True)(F.col("text")).alias("p"))
+            scored.append(scratch.stored(rows.where("p.letters > 0 and p.lang = lang").select(long.alias("long"), far.alias("far")), "strays"))
+            sent.destroy()
+    if not scored:
+        return UNCALIBRATED
+    rows = reduce(DataFrame.union, scored)
+    found = [_percentile(rows.where(which).select("far"), 1 - risk) for which in (F.col("long"), ~F.col("long"))]
+    return tuple(max(far, 0.0) if n >= max(LEAST, 1 / risk) else usual for (far, n), usual in zip(found, UNCALIBRATED, strict=True))
+
+
+def _percentile(values: DataFrame, share: float, bins: int = 4096, most: int = 10_000) -> tuple[float | None, int]:
+    """The exact percentile of values' only column, as Spark's percentile interpolates it, and the number of values.
+
+    Histograms narrow the range until at most `most` values are left, which are collected: no task or driver holds all."""
+    v = F.col(values.columns[0])
+    n, low, high = values.agg(F.count(v), F.min(v), F.max(v)).first()
+    place = share * max(n - 1, 0)
+    first, last = math.floor(place), math.ceil(place)
+    between = lambda a, b: a + (b - a) * (place - first)
+    before, within = 0, n
+    while within > most and low < high:
+        number = F.least(F.floor((v - low) / ((high - low) / bins)), F.lit(bins - 1))
+        found = values.where(v.between(low, high)).groupBy(number.alias("bin")).agg(F.count(v).alias("n"), F.min(v).alias("low"), F.max(v).alias("high")).orderBy("bin").collect()
+        ends = before + np.cumsum([r["n"] for r in found])
+        a, b = np.searchsorted(ends, [first, last], side="right")
+        if a != b:
+            return between(found[a]["high"], found[b]["low"]), n
+        before, within, low, high = int(ends[a]) - found[a]["n"], found[a]["n"], found[a]["low"], found[a]["high"]
+    if not n or low == high:
+        return low, n
+    own = sorted(r[0] for r in values.where(v.between(low, high)).collect())
+    return between(own[first - before], own[last - before]), n
 
 
 def fitted(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model | None:
@@ -273,9 +313,16 @@ def predictor(docs: DataFrame, model: Model | None, slack: float = 2.0, trust: i
     if bits (cross-entropy per character) lie beyond the rejection bound. Whole texts are scored, in runs that hold
     one text at least.
     """
+    return _scorer(_sent(docs, model), slack, trust, raw)
+
+
+def _sent(docs: DataFrame, model: Model | None) -> Broadcast:
     bounded_batches(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(model and vars(model))
-    step = max(1 << 15, (1 << 20) // max(1, len(model.langs) if model else 1))
+    return docs.sparkSession.sparkContext.broadcast(model and vars(model))
+
+
+def _scorer(sent: Broadcast, slack: float = 2.0, trust: int = 40, raw: bool = False):
+    step = max(1 << 15, (1 << 20) // max(1, len(sent.value["langs"]) if sent.value else 1))
 
     def predict(texts: pa.Array) -> pa.Array:
         m = Model(**sent.value) if sent.value else None

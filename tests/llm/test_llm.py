@@ -208,6 +208,40 @@ def test_rejection_is_calibrated(spark):
     assert all(r[0] for r in strange.select(language_id.predictor(strange, model)(F.col("text"))["rejected"]).collect())
 
 
+def test_every_labelled_row_calibrates(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("lang is not null").select("text", "lang")
+    docs = docs.union(docs.select(F.substring("text", 1, 60), "lang"))
+    rows = docs.select("text", "lang", F.pmod(F.xxhash64("text"), F.lit(5)).alias("fold")).collect()
+    counted = lambda own: {x: np.unique(language_id._codes([r["text"] for r in own if r["lang"] == x])[0], return_counts=True) for x in sorted({r["lang"] for r in own})}
+    model = language_id.fitted(counted(rows))
+    long, short = [], []
+    for fold in range(5):
+        others = language_id.fitted(counted([r for r in rows if r["fold"] != fold]))
+        for r in (r for r in rows if r["fold"] == fold):
+            gram, _, letters = language_id._codes([r["text"]])
+            bits = -others.bits(gram).sum(0, dtype=float) / max(len(gram), 1)
+            if letters[0] and others.langs[bits.argmin()] == r["lang"]:
+                k = model.langs.index(r["lang"])
+                more, n = bits.min() - model.mean[k], len(gram)
+                (long if n >= language_id.LONG else short).append(more if n >= language_id.LONG else more * n**0.5 / model.deviation[k])
+    assert min(len(long), len(short)) > 150 and len(rows) - len(long) - len(short) < 20
+    for risk in (0.01, 0.1, 0.5):
+        want = [max(np.percentile(x, 100 * (1 - risk)), 0) for x in (long, short)]
+        assert language_id.train(docs, risk=risk).stray == pytest.approx(want, abs=1e-4)
+    assert language_id.train(docs).stray == language_id.UNCALIBRATED  # too few rows for one in 1000
+
+
+def test_percentile_is_exact(spark):
+    rng = np.random.default_rng(5)
+    for values in (rng.normal(size=3000), np.repeat([0.25, 3.0, 1e6], [2000, 1, 999]), np.round(rng.exponential(size=1500), 1), np.zeros(500), np.array([2.0])):
+        frame = spark.createDataFrame([(float(x),) for x in values], "v double")
+        for share in (0.0, 0.5, 0.999, 1.0):
+            for bins, most in ((4096, 10_000), (8, 20)):
+                got, n = language_id._percentile(frame, share, bins, most)
+                assert n == len(values) and got == pytest.approx(np.percentile(values, 100 * share), rel=1e-12)
+    assert language_id._percentile(frame.limit(0), 0.5) == (None, 0)
+
+
 def test_language_stage_drops_strange_documents_only(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
     odd = spark.createDataFrame([(100_000 + k, t * 3, None) for k, t in enumerate([*STRANGE, "12 34 !?", ""])], docs.schema)
