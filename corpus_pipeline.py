@@ -16,8 +16,8 @@ from docweave.llm.common import free_name, stored
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the language models do not reject. The models learn from the rows that op8 learns from."""
-    model = language_id.train(docs.where(F.col("doc_id").isNotNull() & ~language_id.held_out(F.col("doc_id"))))
+    """Documents that the language models do not reject. The models learn from all rows that have a language: nothing is held out here."""
+    model = language_id.train(docs)
     name = free_name(docs, "language")
     return docs.withColumn(name, language_id.predictor(docs, model)(F.col("text"))).where(~F.col(f"{name}.rejected")).select(docs.columns)
 

@@ -249,6 +249,14 @@ def test_language_stage_drops_strange_documents_only(spark, tmp_path):
     assert sorted(r["doc_id"] for r in kept.select("doc_id").collect()) == sorted(r["doc_id"] for r in docs.select("doc_id").collect())
 
 
+def test_language_stage_learns_from_every_labelled_row(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    ids = [k for k in range(100_000, 100_200) if zlib.crc32(str(k).encode()) % 3 == 1][:20]
+    russian = spark.createDataFrame([(k, f"{STRANGE[2]} {'Ещё одна строка о погоде. ' * (k % 4 + 1)}", "ru") for k in ids], docs.schema)
+    kept = corpus_pipeline.known_language(spark, docs.unionByName(russian), SF)
+    assert sorted(r["doc_id"] for r in kept.where("doc_id >= 100000").select("doc_id").collect()) == ids
+
+
 def test_kneser_ney_sums_to_one():
     g, c = np.unique(language_id._codes(["the cat sat on the mat, the end", "a cat"])[0], return_counts=True)
     m = language_id._KneserNey(g, c, len(np.unique(g & language_id._MASK[1])))
