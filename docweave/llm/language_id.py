@@ -249,7 +249,9 @@ def _strays(scratch: Scratch, known: DataFrame, counts: DataFrame, whole: dict,
         if others is not None:
             sent = _sent(known, others)
             rows = known.where(F.col("fold") == fold).select("lang", _scorer(sent, raw=True)(F.col("text")).alias("p"))
-            scored.append(scratch.stored(rows.where("p.letters > 0 and p.lang = lang").select(long.alias("long"), far.alias("far")), "strays"))
+            # a filter on p would be pushed below, and every text scored twice: rows that do not count are null
+            counts_here = F.expr("p.letters > 0 and p.lang = lang")
+            scored.append(scratch.stored(rows.select(long.alias("long"), F.when(counts_here, far).alias("far")), "strays"))
             sent.destroy()
     if not scored:
         return UNCALIBRATED

@@ -231,6 +231,18 @@ def test_every_labelled_row_calibrates(spark):
     assert language_id.train(docs).stray == language_id.UNCALIBRATED  # too few rows for one in 1000
 
 
+def test_fold_texts_are_scored_once(spark, monkeypatch):
+    plans, keep = [], language_id.Scratch.stored
+
+    def stored_too(self, df, name):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return keep(self, df, name)
+
+    monkeypatch.setattr(language_id.Scratch, "stored", stored_too)
+    language_id.train(spark.read.parquet(f"{SF}/documents.parquet"))
+    assert [plan.count("ArrowEvalPython") for name, plan in plans if name == "strays"] == [1] * language_id.FOLDS
+
+
 def test_percentile_is_exact(spark):
     rng = np.random.default_rng(5)
     for values in (rng.normal(size=3000), np.repeat([0.25, 3.0, 1e6], [2000, 1, 999]), np.round(rng.exponential(size=1500), 1), np.zeros(500), np.array([2.0])):
