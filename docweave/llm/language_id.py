@@ -2,7 +2,8 @@
 
 One model of order 4 per language. Texts are lower-cased, everything but letters becomes a space, runs of
 spaces one. A gram of up to four characters packs into 64 bits (characters beyond the BMP share one code), which
-is the hash the tables are sorted by; lookups are binary searches over whole batches.
+is the hash the tables are sorted by; lookups go over whole batches, by two hash slots for grams of order 4 and by binary
+search for those that are not there and for lower orders.
 
 Only the counts of the highest order are taken from the corpus (all training rows, counted per task and summed); all
 lower orders are continuation counts of its types. The model holds every gram of the corpus, for discounts, continuation
@@ -22,7 +23,7 @@ A fold at a time is scored, so that beside the model itself one fold's models ar
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 
 import numpy as np
@@ -38,6 +39,7 @@ ORDER, FOLDS = 4, 5
 #: kind: among fewer, none can be the one in 1/risk, and the bound would be whatever the strangest of them has.
 LONG, LEAST, UNCALIBRATED = 100, 50, (1.0, 2.0)
 _MASK = [np.uint64((1 << 16 * k) - 1) for k in range(4)] + [np.uint64(2**64 - 1)]
+_FACTORS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _LETTER: list[np.ndarray] = []
 
 
@@ -167,6 +169,34 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, keys[at] == wanted
 
 
+def _slot(grams: np.ndarray, which: int, shift: int) -> np.ndarray:
+    return ((grams * np.uint64(_FACTORS[which])) >> np.uint64(shift)).view(np.int64)
+
+
+class _Slots:
+    """Where grams are among sorted keys: a key is in one of two hash slots, or else in neither and has to be searched. 16 bytes
+    a key at most."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys, self.shift = keys, 64 - max(4, int(len(keys)).bit_length())
+        self.places, rest = [], np.arange(len(keys), dtype=np.int32)
+        for which in range(len(_FACTORS)):
+            place = np.zeros(1 << 64 - self.shift, np.int32)
+            slot = _slot(keys[rest], which, self.shift)
+            place[slot] = rest
+            self.places.append(place)
+            rest = rest[place[slot] != rest]
+
+    def find(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A place for each gram, and the grams of which it isn't the key."""
+        at = self.places[0][_slot(grams, 0, self.shift)]
+        left = np.flatnonzero(self.keys[at] != grams)
+        for which, place in enumerate(self.places[1:], 1):
+            at[left] = place[_slot(grams[left], which, self.shift)]
+            left = left[self.keys[at[left]] != grams[left]]
+        return at, left
+
+
 @dataclass
 class Model:
     """langs; by order the sorted grams of any language with log2 probabilities in each, and the sorted contexts
@@ -180,6 +210,8 @@ class Model:
     mean: np.ndarray
     deviation: np.ndarray
     stray: tuple[float, float] = UNCALIBRATED
+    #: What a process has found out for its lookups; it isn't sent.
+    held: dict = field(default_factory=dict)
 
     def bound(self, lang: np.ndarray, n: np.ndarray, slack: float) -> np.ndarray:
         """Bits per character beyond which a text of n characters is rejected."""
@@ -187,16 +219,19 @@ class Model:
 
     def bits(self, gram: np.ndarray) -> np.ndarray:
         """log2 probability of each gram's last character in each language."""
-        out = np.zeros((len(gram), len(self.langs)), np.float32)
-        left = np.arange(len(gram))
+        if "slots" not in self.held:
+            self.held["slots"] = _Slots(self.tables[ORDER][0])
+        at, left = self.held["slots"].find(gram)
+        out = self.tables[ORDER][1].take(at, axis=0)
+        out[left] = 0
         for k in range(ORDER, 0, -1):
+            if not len(left):
+                return out
             own = gram[left] & _MASK[k]
             keys, rows = self.tables[k]
             at, there = _find(keys, own)
             out[left[there]] += rows[at[there]]
             left, own = left[~there], own[~there]
-            if not len(left):
-                return out
             if k > 1:
                 keys, rows = self.contexts[k]
                 at, there = _find(keys, own >> np.uint64(16))
@@ -320,7 +355,7 @@ def predictor(docs: DataFrame, model: Model | None, slack: float = 2.0, trust: i
 
 def _sent(docs: DataFrame, model: Model | None) -> Broadcast:
     bounded_batches(docs.sparkSession)
-    return docs.sparkSession.sparkContext.broadcast(model and vars(model))
+    return docs.sparkSession.sparkContext.broadcast(model and vars(model) | {"held": {}})
 
 
 def _scorer(sent: Broadcast, slack: float = 2.0, trust: int = 40, raw: bool = False):

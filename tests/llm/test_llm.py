@@ -243,6 +243,23 @@ def test_fold_texts_are_scored_once(spark, monkeypatch):
     assert [plan.count("ArrowEvalPython") for name, plan in plans if name == "strays"] == [1] * language_id.FOLDS
 
 
+def test_few_grams_are_searched(monkeypatch):
+    rng, searched, find = np.random.default_rng(6), [], language_id._find
+    letters = [chr(i) for i in (*range(97, 123), *range(0x4E00, 0x4E20))]
+    texts = ["".join(rng.choice(letters, 20_000)) for _ in range(3)]
+    model = language_id.fitted({"a": np.unique(language_id._codes(texts)[0], return_counts=True), "b": np.unique(language_id._codes(texts[:1])[0], return_counts=True)})
+    keys, rows = model.tables[4]
+    monkeypatch.setattr(language_id, "_find", lambda keys, wanted: (searched.append(len(wanted)), find(keys, wanted))[1])
+    own = rng.permutation(np.repeat(np.arange(len(keys)), 2))
+    assert (model.bits(keys[own]) == rows[own]).all() and sum(searched) < 0.15 * len(own)
+    strange = np.concatenate([keys[:500] + np.uint64(1), np.zeros(1, np.uint64), language_id._codes(["Это", "漢字 q"])[0]])
+    slots = language_id._Slots(keys)
+    at, left = slots.find(strange)
+    assert set(np.flatnonzero(keys[at] != strange)) == set(left) and len(slots.places[0]) + len(slots.places[1]) <= 4 * len(keys)
+    alone = np.concatenate([model.bits(strange[k : k + 1]) for k in range(len(strange))])
+    assert (model.bits(strange) == alone).all()
+
+
 def test_percentile_is_exact(spark):
     rng = np.random.default_rng(5)
     for values in (rng.normal(size=3000), np.repeat([0.25, 3.0, 1e6], [2000, 1, 999]), np.round(rng.exponential(size=1500), 1), np.zeros(500), np.array([2.0])):
